@@ -22,12 +22,24 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.langid import identify_languages
+
+    return identify_languages(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), scratch(spark, "token-cache"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.packing import pack_documents
 
@@ -40,6 +52,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op4_token_counts, op9_retrieval_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_token_counts, op6_benchmark_decontamination, op9_retrieval_packing, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
