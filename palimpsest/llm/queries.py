@@ -28,6 +28,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.pii import scan_pii
+
+    return scan_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_counts import count_tokens
 
@@ -40,6 +46,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.packing import pack_documents
 
@@ -52,6 +64,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op4_token_counts, op6_benchmark_decontamination, op9_retrieval_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_pii_sanitisation, op4_token_counts, op6_benchmark_decontamination, op8_document_fingerprints, op9_retrieval_packing, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
