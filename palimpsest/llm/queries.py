@@ -40,6 +40,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), scratch(spark, "token-cache"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.decontaminate import contaminated
 
@@ -64,6 +70,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_pii_sanitisation, op4_token_counts, op6_benchmark_decontamination, op8_document_fingerprints, op9_retrieval_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_pii_sanitisation, op4_token_counts, op5_suffix_dedup, op6_benchmark_decontamination, op8_document_fingerprints, op9_retrieval_packing, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
