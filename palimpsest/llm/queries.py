@@ -52,6 +52,12 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from palimpsest.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.fingerprints import fingerprint_edits
 
@@ -70,6 +76,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_pii_sanitisation, op4_token_counts, op5_suffix_dedup, op6_benchmark_decontamination, op8_document_fingerprints, op9_retrieval_packing, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_id, op3_pii_sanitisation, op4_token_counts, op5_suffix_dedup, op6_benchmark_decontamination, op7_license_scan, op8_document_fingerprints, op9_retrieval_packing, op10_secret_scan)}
 
 ORACLES: dict[str, str] = {}
