@@ -1 +1,306 @@
-"""To come."""
+"""F: scoring; E19, G4 and N1 on top of it."""
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators import aggregates as A
+from palimpsest.operators import scoring as S
+from palimpsest.operators.ledger import asof
+from palimpsest.plans.registry import query
+from palimpsest.sources.views import reliability
+
+AT = "1999-01-01 00:00:00"
+SIG = "1 / (1 + exp(-({0})))"
+CLIPP = "least(greatest({0}, 0.01), 0.99)"
+ABSENT_LLR = f"least(greatest(least(ln((1 - {CLIPP.format('{0}')}) / (1 - {CLIPP.format('{1}')})), 2.5), -2.5), 0)"
+FOUND_LLR = f"greatest(least(ln({CLIPP.format('{0}')} / {CLIPP.format('{1}')}), 2.5), -2.5)"
+STATE = "CASE WHEN {1} THEN 'absent_but_expected' WHEN {0} >= 2 THEN 'verified' WHEN {0} <= -2 THEN 'contradicted' ELSE 'unverified' END"
+DELTAS = {
+    "deltas": f"""SELECT e.*, weight, CASE WHEN coalesce(log_odds_delta, 0) <> 0 THEN log_odds_delta WHEN kind = 'expected_absent' THEN CASE WHEN NOT found AND expected AND penalised AND findability_prior IS NOT NULL THEN {ABSENT_LLR.format('findability_prior', '0.1')} ELSE 0 END
+        WHEN source_class = 'self_report' THEN weight WHEN kind = 'contradicting' THEN -abs(weight) ELSE abs(weight) END AS delta FROM evidence e LEFT JOIN reliability USING (source_class) WHERE observed_at <= TIMESTAMP '1999-01-01'""",
+}
+CLAIMS = DELTAS | {
+    "scored": f"""SELECT claim_id, person_id, n_evidence, log_odds, widen, state, CASE WHEN state <> 'absent_but_expected' THEN round({SIG.format('log_odds')}, 6) END AS posterior FROM (
+        SELECT claim_id, person_id, coalesce(n, 0) AS n_evidence, coalesce(s, 0.0) AS log_odds, coalesce(w, 0.0) AS widen, {STATE.format('coalesce(s, 0.0)', 'is_manifest_predicted OR coalesce(a, FALSE)')} AS state
+        FROM (SELECT * FROM claim WHERE observed_at <= TIMESTAMP '1999-01-01') LEFT JOIN (SELECT claim_id, count(*) AS n, round(sum(delta), 2) AS s, bool_and(kind = 'expected_absent') AS a, round(sum(interval_widen), 6) AS w FROM deltas GROUP BY 1) USING (claim_id))""",
+}
+
+
+def deltas(v):
+    return S.with_delta(asof(v.evidence(), AT), reliability(v.spark))
+
+
+def scored(v):
+    return S.claim_log_odds(asof(v.claim(), AT), asof(v.evidence(), AT), reliability(v.spark))
+
+
+@query("f1_claim_log_odds", "SELECT * FROM scored", CLAIMS)
+def claim_log_odds(v):
+    return scored(v)
+
+
+@query("f2_claim_waterfall", "SELECT claim_id, evidence_id, ordinal, round(delta, 6) AS delta, round(sum(delta) OVER (PARTITION BY claim_id ORDER BY coalesce(ordinal, 99), evidence_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM deltas", DELTAS)
+def waterfall(v):
+    return S.claim_waterfall(deltas(v))
+
+
+LOO = f"""SELECT claim_id, evidence_id, lo AS log_odds_without, round({SIG.format('lo')}, 6) AS posterior_without, {STATE.format('lo', 'FALSE')} AS state_without, {STATE.format('lo', 'FALSE')} <> state AS flips_state
+    FROM (SELECT claim_id, evidence_id, round(sum(delta) OVER w - delta, 2) AS lo, count(*) OVER w AS n FROM deltas WINDOW w AS (PARTITION BY claim_id)) JOIN scored USING (claim_id) WHERE n >= 2"""
+
+
+@query("f3_claim_leave_one_out", LOO, CLAIMS)
+def leave_one_out(v):
+    return S.claim_leave_one_out(deltas(v), scored(v))
+
+
+@query("f21_claim_routing", "SELECT claim_id, CASE WHEN state = 'absent_but_expected' THEN 'gap_row' WHEN state = 'contradicted' THEN 'bear_case' WHEN n_evidence = 0 THEN 'blocked_gap' ELSE 'body' END AS route FROM scored", CLAIMS)
+def routing(v):
+    return scored(v).select("claim_id", S.claim_routing(F.col("state"), F.col("n_evidence")).alias("route"))
+
+
+@query("f22_receipt_pairs", "SELECT claim_id, said, evidence_id AS checked FROM evidence JOIN (SELECT claim_id, arg_min(evidence_id, (ordinal, evidence_id)) AS said FROM evidence WHERE source_class = 'self_report' GROUP BY 1) USING (claim_id) WHERE source_class <> 'self_report'")
+def pairs(v):
+    return S.receipt_pairs(v.evidence().withColumn("http_status", F.lit(None).cast("int")))
+
+
+@query("e19_entity_claim_rollup", "SELECT person_id, count(*) FILTER (state = 'verified') AS n_verified, count(*) FILTER (state = 'contradicted') AS n_contradicted, count(*) FILTER (state NOT IN ('verified', 'contradicted')) AS n_open FROM scored GROUP BY 1", CLAIMS)
+def rollup(v):
+    return A.claim_rollup(scored(v), "person_id", "state")
+
+
+@query("d4_stored_vs_recomputed", "SELECT claim_id, CASE WHEN claim_id % 10 = 0 THEN 'verified' ELSE 'unverified' END AS stored, state AS recomputed FROM scored WHERE (CASE WHEN claim_id % 10 = 0 THEN 'verified' ELSE 'unverified' END) <> state", CLAIMS)
+def stored(v):
+    from palimpsest.operators.quality import changed_states
+
+    s = scored(v)
+    return changed_states(s.select("claim_id", F.when(F.col("claim_id") % 10 == 0, "verified").otherwise("unverified").alias("stored_state")), s, "claim_id", "stored_state", "state")
+
+
+# --- pooled scores over observations -------------------------------------------------------------------------------------------------
+
+BUILD = "least(greatest(base + 0.5 * (coalesce(p_pop, 0) - coalesce(p_class, 0)), 0), 1)"
+POOL = CLAIMS | {
+    "obs": "SELECT *, (k % 100) / 100.0 AS confidence FROM observation WHERE person_id IS NOT NULL",
+    "rates": "SELECT artifact_type, count(DISTINCT person_id) / (SELECT count(DISTINCT person_id) FROM obs) AS p_pop, count(DISTINCT person_id) FILTER (person_id % 2 = 0) / (SELECT count(DISTINCT person_id) FROM obs WHERE person_id % 2 = 0) AS p_class FROM obs GROUP BY 1",
+    "resolved": "SELECT person_id % 400 AS person_id, claim_id, posterior FROM scored WHERE state IN ('verified', 'contradicted')",
+    "streams": f"""SELECT person_id, 'credibility' AS component, source_class AS stream, {SIG.format('weight')} AS y FROM (SELECT DISTINCT person_id, source_class FROM obs WHERE person_id NOT IN (SELECT person_id FROM resolved)) JOIN reliability USING (source_class)
+        UNION ALL SELECT person_id, 'credibility', 'claim ' || claim_id, posterior FROM resolved
+        UNION ALL SELECT person_id, 'build', artifact_type || '/' || CASE WHEN is_milestone THEN 'true' ELSE 'false' END, {BUILD} FROM (SELECT person_id, artifact_type, is_milestone, arg_min(confidence, (observed_at, observation_id)) AS base FROM obs GROUP BY 1, 2, 3) LEFT JOIN rates USING (artifact_type)""",
+    "constants": "SELECT * FROM (VALUES ('credibility', CAST(0.04 AS DOUBLE), CAST(6 AS DOUBLE)), ('build', CAST(0.09 AS DOUBLE), CAST(9 AS DOUBLE))) AS c(component, sigma2, k)",
+    "people": "SELECT person_id, coalesce(sector, 'unknown') AS cell FROM person",
+    "class_means": "SELECT cell, component, avg(m) AS m FROM (SELECT cell, component, person_id, avg(y) AS m FROM streams JOIN people USING (person_id) GROUP BY 1, 2, 3) GROUP BY 1, 2",
+    "cellrates": "SELECT cell, artifact_type, count(DISTINCT person_id) / max(n) AS p FROM (SELECT cell, count(*) AS n FROM people GROUP BY 1) JOIN people USING (cell) JOIN (SELECT DISTINCT person_id, artifact_type FROM obs) USING (person_id) GROUP BY 1, 2",
+    "gone": "SELECT person_id, artifact_type, p, p >= 0.07 AS expected FROM people JOIN cellrates USING (cell) WHERE p >= 0.05 AND NOT EXISTS (SELECT 1 FROM obs WHERE obs.person_id = people.person_id AND obs.artifact_type = cellrates.artifact_type)",
+}
+
+
+def pool(v):
+    obs = v.observation().filter("person_id IS NOT NULL").withColumn("confidence", (F.col("k") % 100) / 100.0)
+    even = F.col("person_id") % 2 == 0
+    totals = obs.agg(F.countDistinct("person_id").alias("a"), F.countDistinct(F.when(even, F.col("person_id"))).alias("b"))
+    rates = obs.groupBy("artifact_type").agg(F.countDistinct("person_id").alias("x"), F.countDistinct(F.when(even, F.col("person_id"))).alias("y")).crossJoin(F.broadcast(totals)).select("artifact_type", (F.col("x") / F.col("a")).alias("p_pop"), (F.col("y") / F.col("b")).alias("p_class"))
+    resolved = scored(v).filter("state IN ('verified', 'contradicted')").select((F.col("person_id") % 400).alias("person_id"), "claim_id", "posterior")
+    streams = S.evidence_streams(obs, reliability(v.spark), rates, resolved)
+    constants = v.spark.createDataFrame([("credibility", 0.04, 6.0), ("build", 0.09, 9.0)], "component string, sigma2 double, k double")
+    people = v.person().select("person_id", F.coalesce("sector", F.lit("unknown")).alias("cell"))
+    means = streams.join(people, "person_id").groupBy("cell", "component", "person_id").agg(F.avg("y").alias("m")).groupBy("cell", "component").agg(F.avg("m").alias("m"))
+    return obs, streams, constants, people, means
+
+
+def missing(v, obs, people):
+    held = obs.select("person_id", "artifact_type").distinct()
+    sizes = people.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = people.join(held, "person_id").groupBy("cell", "artifact_type").agg(F.count(F.lit(1)).alias("k")).join(sizes, "cell").select("cell", "artifact_type", (F.col("k") / F.col("n")).alias("p"))
+    return S.absences(people, cells, held, "cell", 0.05, 0.07)
+
+
+@query("f4_evidence_streams", "SELECT person_id, component, stream, round(y, 6) AS y FROM streams", POOL)
+def streams(v):
+    return pool(v)[1].withColumn("y", F.round("y", 6))
+
+
+@query("f5_absences", "SELECT person_id, artifact_type, round(p, 9) AS p, expected FROM gone", POOL)
+def absences(v):
+    obs, _, _, people, _ = pool(v)
+    return missing(v, obs, people).withColumn("p", F.round("p", 9))
+
+
+@query("f6_eb_score", """SELECT person_id, component, n, round(least(greatest(100 * th, 0), 100), 6) AS point, round(least(greatest(100 * (th - h), 0), 100), 6) AS low, round(least(greatest(100 * (th + h), 0), 100), 6) AS high, round(k / (n + k), 6) AS prior_weight FROM (
+    SELECT person_id, component, coalesce(n, 0) AS n, k, (coalesce(n, 0) * coalesce(yb, 0) + k * m) / (coalesce(n, 0) + k) AS th, 1.959964 * sqrt(sigma2 / (coalesce(n, 0) + k)) * sqrt(1 + coalesce(mass, 0) / (coalesce(n, 0) + k)) AS h
+    FROM people CROSS JOIN constants LEFT JOIN class_means USING (cell, component) LEFT JOIN (SELECT person_id, component, count(*) AS n, avg(y) AS yb FROM streams GROUP BY 1, 2) USING (person_id, component) LEFT JOIN (SELECT person_id, sum(p) AS mass FROM gone GROUP BY 1) USING (person_id))""", POOL)
+def eb(v):
+    obs, rows, constants, people, means = pool(v)
+    mass = missing(v, obs, people).groupBy("person_id").agg(F.sum("p").alias("mass"))
+    return S.eb_score(rows, people, constants, means, "cell", mass)
+
+
+@query("f7_eb_leave_one_out", "SELECT person_id, component, stream, round(least(greatest(100 * (s - y + k * m) / (n - 1 + k), 0), 100), 6) AS point_without FROM (SELECT *, count(*) OVER w AS n, sum(y) OVER w AS s FROM streams WINDOW w AS (PARTITION BY person_id, component)) JOIN people USING (person_id) JOIN constants USING (component) JOIN class_means USING (cell, component)", POOL)
+def eb_loo(v):
+    _, rows, constants, people, means = pool(v)
+    return S.eb_leave_one_out(rows, constants, means, people, "cell")
+
+
+RANK = {k: POOL[k] for k in ("obs", "people", "cellrates", "gone")} | {
+    "prof": "SELECT person_id, n, log_odds, cell FROM (SELECT person_id, count(*) AS n, round(sum(weight), 3) AS log_odds FROM obs LEFT JOIN reliability USING (source_class) GROUP BY 1) JOIN people USING (person_id)",
+    "cm": "SELECT cell, n / (n + 20) * mean + 20 / (n + 20) * all_ AS shrunk FROM (SELECT cell, count(*) AS n, avg(100 / (1 + exp(-log_odds / 6))) AS mean FROM prof GROUP BY 1), (SELECT avg(100 / (1 + exp(-log_odds / 6))) AS all_ FROM prof)",
+    "est": f"""SELECT person_id, n, round(pt, 6) AS point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high FROM (SELECT person_id, n, n / (n + 5) * 100 * {SIG.format('log_odds / 6')} + (1 - n / (n + 5)) * shrunk AS pt, least(24 * sqrt(5 / (n + 5)) + coalesce(more, 0), 45) AS h
+        FROM prof LEFT JOIN cm USING (cell) LEFT JOIN (SELECT person_id, sum(6 * p) AS more FROM gone WHERE p >= 0.4 GROUP BY 1) USING (person_id))""",
+}
+
+
+def estimate(v):
+    obs = v.observation().filter("person_id IS NOT NULL")
+    people = v.person().select("person_id", F.coalesce("sector", F.lit("unknown")).alias("cell"))
+    profiles = A.entity_profile(obs, reliability(v.spark)).select("person_id", "n", "log_odds").join(people, "person_id")
+    return S.ranking_estimate(profiles, missing(v, obs, people), A.reference_class_means(profiles, ["cell"]), ["cell"])
+
+
+@query("f8_ranking_estimate", "SELECT * FROM est", RANK)
+def ranking_estimate(v):
+    return estimate(v)
+
+
+GATE = "CASE WHEN low >= 55 AND high - low <= {0} THEN 'decide_now' WHEN low >= 55 OR point >= 55 THEN 'probe_further' ELSE 'pass' END"
+
+
+@query("f15_gate", f"SELECT person_id, {GATE.format(30)} AS verdict FROM est", RANK)
+def gate(v):
+    return estimate(v).select("person_id", S.gate(F.col("low"), F.col("point"), F.col("high") - F.col("low"), F.lit(55.0), F.lit(30.0)).alias("verdict"))
+
+
+@query("e14_verdict_counts", f"SELECT verdict, count(*) AS n FROM (SELECT {GATE.format(30)} AS verdict FROM est) GROUP BY 1", RANK)
+def verdicts(v):
+    return gate(v).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f16_appetite_sweep", f"SELECT *, NOT (verdict_low = verdict_medium AND verdict_medium = verdict_high) AS differs FROM (SELECT person_id, {GATE.format(20)} AS verdict_low, {GATE.format(30)} AS verdict_medium, {GATE.format(42)} AS verdict_high FROM est)", RANK)
+def sweep(v):
+    return S.appetite_sweep(estimate(v), "person_id", 55.0)
+
+
+@query("g4_rank_board", f"SELECT person_id, verdict, rank FROM (SELECT person_id, {GATE.format(30)} AS verdict, row_number() OVER (ORDER BY 0.6 * p1 + 0.4 * p2 DESC, person_id) AS rank FROM (SELECT *, (row_number() OVER (ORDER BY point, person_id) - 1) / (count(*) OVER () - 1) AS p1, (row_number() OVER (ORDER BY n, person_id) - 1) / (count(*) OVER () - 1) AS p2 FROM est))", RANK)
+def rank_board(v):
+    from palimpsest.operators.ranking import global_rank, index_percentile
+
+    board = estimate(v).withColumn("verdict", S.gate(F.col("low"), F.col("point"), F.col("high") - F.col("low"), F.lit(55.0), F.lit(30.0)))
+    board = index_percentile(index_percentile(board, "point", "person_id", "p1"), "n", "person_id", "p2")
+    return global_rank(board.withColumn("w", 0.6 * F.col("p1") + 0.4 * F.col("p2")), [F.desc("w"), F.asc("person_id")], "rank").select("person_id", "verdict", "rank")
+
+
+FAM = {"talk": ["view_0", "view_1", "error_0"], "code": ["click_0", "click_1", "click_2"], "registry": ["purchase_0", "signup_3"]}
+
+
+@query("f9_manifest_rows", f"""SELECT person_id, family, was, coalesce(ex, FALSE) AS expected, coalesce(NOT was AND ex, FALSE) AS penalised, round(CASE WHEN shrunk IS NULL OR complement IS NULL THEN 0 WHEN was THEN {FOUND_LLR.format('shrunk', 'complement')} WHEN ex THEN llr ELSE 0 END, 6) AS delta, round(CASE WHEN NOT was AND shrunk IS NOT NULL AND complement IS NOT NULL THEN 8 * shrunk ELSE 0 END, 6) AS widen
+    FROM (SELECT *, shrunk >= 0.02 AND llr <= -0.001 AS ex FROM (SELECT p.person_id, g.family, coalesce(s.was_found, h.held, FALSE) AS was, g.shrunk, g.complement, {ABSENT_LLR.format('shrunk', 'complement')} AS llr FROM person p JOIN pri g ON g.solo_or_team IS NOT DISTINCT FROM p.solo_or_team
+    LEFT JOIN (SELECT DISTINCT person_id, family, TRUE AS held FROM heldfam) h ON h.person_id = p.person_id AND h.family = g.family LEFT JOIN (SELECT person_id, 'code' AS family, person_id % 14 = 0 AS was_found FROM person WHERE person_id % 7 = 0) s ON s.person_id = p.person_id AND s.family = g.family))""".replace("family, was,", "family, was AS found,").replace("shrunk >= 0.02 AND llr <= -0.001", "shrunk >= 0.35 AND llr <= -0.15"),
+    {"fam": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}')" for f, xs in FAM.items() for a in xs) + ") AS f(family, artifact_type)",
+     "heldfam": "SELECT DISTINCT person_id, family FROM observation JOIN fam USING (artifact_type) WHERE person_id IS NOT NULL",
+     "pri": """SELECT g.solo_or_team, g.family, (coalesce(k, 0) + 8 * tk / tn) / (n + 8) AS shrunk, (tk - coalesce(k, 0)) / nullif(tn - n, 0) AS complement FROM (SELECT * FROM (SELECT solo_or_team, count(*) AS n FROM person GROUP BY 1) CROSS JOIN (SELECT DISTINCT family FROM fam)) g
+        LEFT JOIN (SELECT solo_or_team, family, count(*) AS k FROM person JOIN heldfam USING (person_id) GROUP BY 1, 2) f ON f.family = g.family AND f.solo_or_team IS NOT DISTINCT FROM g.solo_or_team
+        JOIN (SELECT fam2.family, count(p.person_id) AS tk, (SELECT count(*) FROM person) AS tn FROM (SELECT DISTINCT family FROM fam) fam2 LEFT JOIN heldfam USING (family) LEFT JOIN person p USING (person_id) GROUP BY 1) t ON t.family = g.family"""})
+def manifest(v):
+    held = v.observation().filter("person_id IS NOT NULL").select("person_id", "artifact_type").distinct()
+    people = v.person().select("person_id", "solo_or_team")
+    priors = A.family_priors(people, held, FAM, ["solo_or_team"]).select("family", "solo_or_team", "shrunk", "complement")
+    of = F.create_map(*[F.lit(x) for f, xs in FAM.items() for a in xs for x in (a, f)])
+    found = held.select("person_id", F.element_at(of, F.col("artifact_type")).alias("family")).dropna().distinct()
+    searched = people.filter("person_id % 7 = 0").select("person_id", F.lit("code").alias("family"), (F.col("person_id") % 14 == 0).alias("was_found"))
+    return S.manifest_rows(people, priors, ["solo_or_team"], found, searched)
+
+
+@query("d2_absence_invariant", "SELECT claim_id, evidence_id FROM deltas WHERE kind = 'expected_absent' AND NOT expected AND delta <> 0", DELTAS)
+def absence(v):
+    from palimpsest.operators.quality import absence_charged
+
+    return absence_charged(deltas(v)).select("claim_id", "evidence_id")
+
+
+AXF = CLAIMS | {"rel": "SELECT claim_id, avg(weight) AS reliability, max(findability_prior) AS fp FROM deltas GROUP BY 1",
+    "cl": "SELECT claim_id % 1500 AS opp, state, reliability, fp, CASE WHEN claim_id % 1500 % 3 = 0 THEN (claim_id % 1500 % 100) / 1.0 END AS memory, (claim_id % 1500 % 9 - 4) / 4.0 AS shift FROM scored LEFT JOIN rel USING (claim_id)"}
+
+
+@query("f10_axis_founder", """SELECT opp, n, round(pt, 6) AS point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high FROM (SELECT opp, n, w * ev + (1 - w) * least(greatest(50 + 8 * sh, 0), 100) AS pt, least(45, 8 + 22 * (1 - w) + 2.5 * (a - p)) AS h
+    FROM (SELECT *, n / (n + 6) AS w, CASE WHEN mem IS NOT NULL THEN 0.55 * raw + 0.45 * mem ELSE raw END AS ev FROM (SELECT *, least(greatest(least(greatest(50 + 9 * coalesce(rel_, 0), 0), 100) + 4 * v - 9 * c - 6 * p, 0), 100) AS raw
+    FROM (SELECT opp, count(*) AS n, avg(reliability) AS rel_, count(*) FILTER (state = 'verified') AS v, count(*) FILTER (state = 'contradicted') AS c, count(*) FILTER (state = 'absent_but_expected' AND coalesce(fp, 0) >= 0.5) AS p, count(*) FILTER (state = 'absent_but_expected') AS a, max(memory) AS mem, max(shift) AS sh FROM cl GROUP BY 1))))""", AXF)
+def founder(v):
+    rel = deltas(v).groupBy("claim_id").agg(F.avg("weight").alias("reliability"), F.max("findability_prior").alias("fp"))
+    rows = scored(v).join(rel, "claim_id", "left").withColumn("opp", F.col("claim_id") % 1500)
+    rows = rows.withColumn("memory", F.when(F.col("opp") % 3 == 0, (F.col("opp") % 100) / 1.0)).withColumn("shift", (F.col("opp") % 9 - 4) / 4.0)
+    return S.axis_founder(rows, "opp", "fp", "memory", "shift")
+
+
+TERMS = {
+    "terms": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'wind_down' ELSE 'press' END AS kind, CASE WHEN event_type = 'view' THEN value - 10 ELSE value END AS value, ts AS tm FROM events WHERE event_id % 4 <> 0 AND (event_type <> 'error' OR event_id % 9 = 0)",
+    "mk": """SELECT opp, n, round(cl - 0.4 * least(comp, 2) + coalesce(sign(la - fi) * least(1, la / 50) * 0.6, 0) - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) AS index FROM (SELECT opp, count(*) AS n, sum(CASE WHEN kind = 'claim' THEN sign(value) ELSE 0 END) AS cl, count(*) FILTER (kind = 'comparable') AS comp, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms GROUP BY 1)
+        LEFT JOIN (SELECT person_id AS opp, (person_id % 7 - 3) / 10.0 AS shift FROM person WHERE person_id % 2 = 0) USING (opp)""",
+}
+
+
+def market_axis(v):
+    e = v.table("events").filter("event_id % 4 <> 0 AND (event_type <> 'error' OR event_id % 9 = 0)")
+    terms = e.select((F.col("event_id") % 300).alias("opp"), F.expr("CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'wind_down' ELSE 'press' END").alias("kind"), F.expr("CASE WHEN event_type = 'view' THEN value - 10 ELSE value END").alias("value"), F.col("ts").alias("at"))
+    return S.axis_market(terms, "opp", v.person().filter("person_id % 2 = 0").select(F.col("person_id").alias("opp"), ((F.col("person_id") % 7 - 3) / 10.0).alias("shift")))
+
+
+@query("f11_axis_market", "SELECT opp, n, index, CASE WHEN index <= -0.35 THEN 'bear' WHEN index >= 0.35 THEN 'bullish' ELSE 'neutral' END AS label FROM mk", TERMS)
+def market(v):
+    return market_axis(v)
+
+
+@query("f14_sector_writeback", "SELECT opp, sector, CASE WHEN n > 20 THEN round(0.5 * index, 3) END AS written, round(coalesce(sum(CASE WHEN n > 20 THEN round(0.5 * index, 3) END) OVER (PARTITION BY sector ORDER BY opp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 3) AS prior FROM (SELECT *, 'sector ' || (opp % 6) AS sector FROM mk)", TERMS)
+def writeback(v):
+    own = market_axis(v).withColumn("sector", F.concat(F.lit("sector "), (F.col("opp") % 6).cast("string"))).withColumn("m", F.greatest(F.col("n") - 20, F.lit(0)))
+    return S.sector_writeback(own, "sector", ["opp"], "index", "m").select("opp", "sector", "written", "prior")
+
+
+@query("f12_axis_fit", """SELECT opp, n, point, point >= 50 AS survives FROM (SELECT opp, n, round(n / (n + 5) * least(greatest(50 + st + least(greatest(coalesce(ca, 0), -1), 1) * 8 + 5 * g - 8 * b - 6 * least(co, 2) + CASE m WHEN 'bullish' THEN 6 WHEN 'bear' THEN -6 ELSE 0 END, 0), 100) + (1 - n / (n + 5)) * 50, 6) AS point
+    FROM (SELECT opp, count(*) AS n, coalesce(arg_max(CASE ds WHEN 'transacting' THEN 14 WHEN 'pricing' THEN 8 WHEN 'changelog' THEN 5 WHEN 'waitlist' THEN 1 WHEN 'parked' THEN -10 END, tm), 0) AS st, avg(cadence) AS ca, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b, count(*) FILTER (comparable) AS co, arg_max(market, tm) AS m FROM fit GROUP BY 1))""",
+    {"fit": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, ts AS tm, CASE event_type WHEN 'view' THEN 'parked' WHEN 'click' THEN 'pricing' WHEN 'signup' THEN 'waitlist' WHEN 'error' THEN 'changelog' ELSE 'transacting' END AS ds, (value - 20) / 20 AS cadence, event_id % 5 = 0 AS good, event_id % 11 = 0 AS bad, event_id % 13 = 0 AS comparable, CASE event_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bear' ELSE 'neutral' END AS market FROM events"})
+def fit(v):
+    rows = v.table("events").selectExpr("event_id % 300 AS opp", "ts AS at", "CASE event_type WHEN 'view' THEN 'parked' WHEN 'click' THEN 'pricing' WHEN 'signup' THEN 'waitlist' WHEN 'error' THEN 'changelog' ELSE 'transacting' END AS domain_state", "(value - 20) / 20 AS cadence", "event_id % 5 = 0 AS good", "event_id % 11 = 0 AS bad", "event_id % 13 = 0 AS comparable", "CASE event_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bear' ELSE 'neutral' END AS market")
+    return S.axis_fit(rows, "opp")
+
+
+@query("f13_axis_disagreement", """SELECT id, count(DISTINCT st) > 1 AS disagree, arg_min(axis, (rank, axis)) AS binding, (SELECT arg_max(o.axis, (o.rank, o.axis)) FROM ax o WHERE o.id = ax.id AND o.st <> (SELECT arg_min(q.st, (q.rank, q.axis)) FROM ax q WHERE q.id = ax.id)) AS dissent FROM ax GROUP BY id""",
+    {"ax": """SELECT *, CASE WHEN score >= 60 THEN 1 WHEN score <= 40 THEN -1 ELSE 0 END AS st FROM (SELECT c_custkey AS id, 'founder' AS axis, CAST(c_custkey % 3 AS BIGINT) AS rank, c_acctbal / 100 AS score FROM customer UNION ALL SELECT c_custkey, 'market', CAST(c_custkey % 2 AS BIGINT), (c_custkey * 37 % 101)::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'fit', CAST(1 AS BIGINT), (c_custkey * 53 % 103)::DOUBLE FROM customer)"""})
+def disagreement(v):
+    c = v.table("customer")
+    one = lambda axis, rank, score: c.selectExpr("c_custkey AS id", f"'{axis}' AS axis", f"cast({rank} AS bigint) AS rank", f"cast({score} AS double) AS score")
+    return S.axis_disagreement(one("founder", "c_custkey % 3", "c_acctbal / 100").unionByName(one("market", "c_custkey % 2", "c_custkey * 37 % 101")).unionByName(one("fit", "1", "c_custkey * 53 % 103")), "id")
+
+
+PRIOR = "CASE WHEN coalesce({0}, 0) > 0 THEN {1} ELSE {2} END"
+PRESENCE = {"hits": "SELECT person_id, count(*) AS n, count(*) FILTER (source_class IN ('registry_filing', 'third_party_observable')) AS m, count(*) FILTER (artifact_type = 'click_0') AS h FROM observation WHERE person_id IS NOT NULL GROUP BY 1",
+    "probs": "SELECT person_id, n, sector, region, CASE WHEN h > 0 THEN 0.0 ELSE (1 - 0.18) / ((1 - 0.18) + 0.18 * pow(1 - 0.1, m)) END AS p_absent, CASE WHEN h > 0 THEN 1 - pow(0.5, h) ELSE 0.18 * pow(1 - 0.1, m) / (0.18 * pow(1 - 0.1, m) + (1 - 0.18)) END AS p_present FROM hits JOIN person USING (person_id)"}
+
+
+def presence(v):
+    g = v.observation().filter("person_id IS NOT NULL").groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source_class").isin("registry_filing", "third_party_observable")).alias("m"), F.count_if(F.col("artifact_type") == "click_0").alias("h"))
+    args = (F.lit(0.18), F.lit(0.1), F.col("m"), F.col("h"))
+    return g.join(v.person().select("person_id", "sector", "region"), "person_id").withColumns({"p_absent": S.p_absent(*args), "p_present": S.p_present(*args)})
+
+
+@query("f17_p_absent_present", "SELECT person_id, round(p_absent, 9) AS p_absent, round(p_present, 9) AS p_present FROM probs", PRESENCE)
+def absent_present(v):
+    return presence(v).select("person_id", F.round("p_absent", 9).alias("p_absent"), F.round("p_present", 9).alias("p_present"))
+
+
+@query("f18_compound_resolve", "SELECT person_id, round(p_present, 4) AS s_repo, round(1 - pow(0.9, n % 9), 4) AS s_other, round(round(p_present, 4) * round(1 - pow(0.9, n % 9), 4), 9) AS p_all FROM probs WHERE coalesce(sector, 'BUILDING') IN ('BUILDING', 'MACHINERY') AND coalesce(region, 'x') <> 'ASIA'", PRESENCE)
+def compound(v):
+    from palimpsest.operators.predicates import three_valued
+
+    hard = {"c_sector": three_valued("sector", F.col("sector").isin("BUILDING", "MACHINERY")), "c_region": three_valued("region", F.col("region") == "ASIA", negated=True)}
+    out = S.compound_resolve(presence(v), hard, {"s_repo": F.col("p_present"), "s_other": 1 - F.pow(F.lit(0.9), F.col("n") % 9)}, [F.desc("n"), F.asc("person_id")])
+    return out.select("person_id", "s_repo", "s_other", F.round("p_all", 9).alias("p_all"))
+
+
+@query("f19_idea_fit", "SELECT doc_id, CASE WHEN n_chars > 300 THEN CASE WHEN source IN ('src1', 'src2') THEN 70.0 ELSE 40.0 END + least(15, 3 * w) + least(10, 2 * (doc_id % 7)) END AS fit FROM (SELECT *, contains(lower(text), 'license')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'the')::INT AS w FROM documents)")
+def idea(v):
+    d = v.table("documents")
+    words = sum(F.lower("text").contains(w).cast("int") for w in ("license", "token", "the"))
+    return d.select("doc_id", S.idea_fit(F.col("source").isin("src1", "src2"), words, F.col("doc_id") % 7, F.col("n_chars") > 300).cast("double").alias("fit"))
+
+
+@query("n1_portfolio_conflict", "SELECT opportunity_id, sector, EXISTS (SELECT 1 FROM positions p WHERE p.sector = o.sector) AS conflict, (SELECT count(*) FROM positions) AS n_checked FROM opportunity o", {"positions": "SELECT c_custkey, c_mktsegment AS sector FROM customer WHERE c_acctbal > 9800 AND c_mktsegment IN ('BUILDING', 'HOUSEHOLD')"})
+def conflict(v):
+    positions = v.table("customer").filter("c_acctbal > 9800 AND c_mktsegment IN ('BUILDING', 'HOUSEHOLD')").select(F.col("c_mktsegment").alias("sector"))
+    return S.portfolio_conflict(v.opportunity().select("opportunity_id", "sector"), positions, "sector")
