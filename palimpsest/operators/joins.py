@@ -105,6 +105,11 @@ def board_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return out.orderBy(F.desc("verdict_changed"), F.least("rank_a", "rank_b"), F.desc_nulls_last(F.abs("rank_delta")), key)
 
 
+def _runs(n: int):
+    """The runs of n words of an array of words."""
+    return lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+
+
 def name_leaks(names: DataFrame, texts: DataFrame, name: str, text_id: str, text: str, longer_than: int = 4) -> DataFrame:
     """(text_id, name): texts that hold a name as a run of whole words, in any case. Names are met by the hash of their words; a name glued inside a word is not found."""
     words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}#]+"), lambda w: w != "")
@@ -113,6 +118,6 @@ def name_leaks(names: DataFrame, texts: DataFrame, name: str, text_id: str, text
     found = []
     said = texts.select(text_id, words(F.col(text)).alias("_w"))
     for n in sizes:
-        grams = said.filter(F.size("_w") >= n).select(text_id, F.explode(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, n), " "))).alias("_gram")).distinct()
+        grams = said.filter(F.size("_w") >= n).select(text_id, F.explode(F.transform(F.array("_w"), _runs(n))[0]).alias("_gram")).distinct()
         found.append(grams.join(known.filter(F.col("_n") == n), "_gram").select(text_id, "name"))
     return reduce(DataFrame.unionByName, found) if found else said.select(text_id, F.lit(None).cast("string").alias("name")).limit(0)

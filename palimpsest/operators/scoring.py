@@ -39,7 +39,7 @@ def claim_log_odds(claims: DataFrame, evidence: DataFrame, reliability: DataFram
 def claim_waterfall(deltas: DataFrame) -> DataFrame:
     """Each term with the running total of its claim, by ordinal (null: 99) and id."""
     order = Window.partitionBy("claim_id").orderBy(F.coalesce("ordinal", F.lit(99)), "evidence_id").rowsBetween(Window.unboundedPreceding, 0)
-    return deltas.select("claim_id", "evidence_id", "ordinal", F.round("delta", 6).alias("delta"), F.round(F.sum("delta").over(order), 6).alias("running"))
+    return deltas.select("claim_id", "evidence_id", "ordinal", (F.round("delta", 6) + 0.0).alias("delta"), (F.round(F.sum("delta").over(order), 6) + 0.0).alias("running"))
 
 
 def claim_leave_one_out(deltas: DataFrame, states: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def manifest_rows(entities: DataFrame, priors: DataFrame, cell: list[str], held:
     expected = (F.col("shrunk") >= 0.35) & (llr <= -0.15)
     known = F.col("shrunk").isNotNull() & F.col("complement").isNotNull()
     delta = F.when(~known, 0.0).when(found, log_ratio_found("shrunk", "complement")).when(expected, llr).otherwise(0.0)
-    return out.select("person_id", "family", found.alias("found"), F.coalesce(expected, F.lit(False)).alias("expected"), F.coalesce(~found & expected, F.lit(False)).alias("penalised"), F.round(delta, 6).alias("delta"), F.round(F.when(~found & known, 8 * F.col("shrunk")).otherwise(0.0), 6).alias("widen"))
+    return out.select("person_id", "family", found.alias("found"), F.coalesce(expected, F.lit(False)).alias("expected"), F.coalesce(~found & expected, F.lit(False)).alias("penalised"), (F.round(delta, 6) + 0.0).alias("delta"), F.round(F.when(~found & known, 8 * F.col("shrunk")).otherwise(0.0), 6).alias("widen"))
 
 
 def axis_founder(claims: DataFrame, key: str, findability: str, memory: str, shift: str) -> DataFrame:
@@ -155,7 +155,7 @@ def axis_market(terms: DataFrame, key: str, shift: DataFrame) -> DataFrame:
     )
     review = F.coalesce(F.signum(F.col("_last") - F.col("_first")) * F.least(F.lit(1.0), F.col("_last") / 50) * 0.6, F.lit(0.0))
     index = F.col("_claims") - 0.4 * F.least("_comp", F.lit(2)) + review - F.when(F.col("_wind") > 0, 0.6).otherwise(0.0) + F.when(F.col("_press") > 0, 0.2).otherwise(0.0)
-    out = g.join(shift, key, "left").withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 6))
+    out = g.join(shift, key, "left").withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 6) + 0.0)
     return out.select(key, "n", "index", F.when(F.col("index") <= -0.35, "bear").when(F.col("index") >= 0.35, "bullish").otherwise("neutral").alias("label"))
 
 

@@ -38,7 +38,7 @@ def claim_log_odds(v):
     return scored(v)
 
 
-@query("f2_claim_waterfall", "SELECT claim_id, evidence_id, ordinal, round(delta, 6) AS delta, round(sum(delta) OVER (PARTITION BY claim_id ORDER BY coalesce(ordinal, 99), evidence_id ROWS UNBOUNDED PRECEDING), 6) AS running FROM deltas", DELTAS)
+@query("f2_claim_waterfall", "SELECT claim_id, evidence_id, ordinal, round(delta, 6) + 0.0::DOUBLE AS delta, round(sum(delta) OVER (PARTITION BY claim_id ORDER BY coalesce(ordinal, 99), evidence_id ROWS UNBOUNDED PRECEDING), 6) + 0.0::DOUBLE AS running FROM deltas", DELTAS)
 def waterfall(v):
     return S.claim_waterfall(deltas(v))
 
@@ -189,7 +189,7 @@ def rank_board(v):
 FAM = {"talk": ["view_0", "view_1", "error_0"], "code": ["click_0", "click_1", "click_2"], "registry": ["purchase_0", "signup_3"]}
 
 
-@query("f9_manifest_rows", f"""SELECT person_id, family, was, coalesce(ex, FALSE) AS expected, coalesce(NOT was AND ex, FALSE) AS penalised, round(CASE WHEN shrunk IS NULL OR complement IS NULL THEN 0 WHEN was THEN {FOUND_LLR.format('shrunk', 'complement')} WHEN ex THEN llr ELSE 0 END, 6) AS delta, round(CASE WHEN NOT was AND shrunk IS NOT NULL AND complement IS NOT NULL THEN 8 * shrunk ELSE 0 END, 6) AS widen
+@query("f9_manifest_rows", f"""SELECT person_id, family, was, coalesce(ex, FALSE) AS expected, coalesce(NOT was AND ex, FALSE) AS penalised, round(CASE WHEN shrunk IS NULL OR complement IS NULL THEN 0 WHEN was THEN {FOUND_LLR.format('shrunk', 'complement')} WHEN ex THEN llr ELSE 0 END, 6) + 0.0::DOUBLE AS delta, round(CASE WHEN NOT was AND shrunk IS NOT NULL AND complement IS NOT NULL THEN 8 * shrunk ELSE 0 END, 6) AS widen
     FROM (SELECT *, shrunk >= 0.02 AND llr <= -0.001 AS ex FROM (SELECT p.person_id, g.family, coalesce(s.was_found, h.held, FALSE) AS was, g.shrunk, g.complement, {ABSENT_LLR.format('shrunk', 'complement')} AS llr FROM person p JOIN pri g ON g.solo_or_team IS NOT DISTINCT FROM p.solo_or_team
     LEFT JOIN (SELECT DISTINCT person_id, family, TRUE AS held FROM heldfam) h ON h.person_id = p.person_id AND h.family = g.family LEFT JOIN (SELECT person_id, 'code' AS family, person_id % 14 = 0 AS was_found FROM person WHERE person_id % 7 = 0) s ON s.person_id = p.person_id AND s.family = g.family))""".replace("family, was,", "family, was AS found,").replace("shrunk >= 0.02 AND llr <= -0.001", "shrunk >= 0.35 AND llr <= -0.15"),
     {"fam": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}')" for f, xs in FAM.items() for a in xs) + ") AS f(family, artifact_type)",
@@ -230,7 +230,7 @@ def founder(v):
 
 TERMS = {
     "terms": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'wind_down' ELSE 'press' END AS kind, CASE WHEN event_type = 'view' THEN value - 10 ELSE value END AS value, ts AS tm FROM events WHERE event_id % 4 <> 0 AND (event_type <> 'error' OR event_id % 9 = 0)",
-    "mk": """SELECT opp, n, round(cl - 0.4 * least(comp, 2) + coalesce(sign(la - fi) * least(1, la / 50) * 0.6, 0) - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) AS index FROM (SELECT opp, count(*) AS n, sum(CASE WHEN kind = 'claim' THEN sign(value) ELSE 0 END) AS cl, count(*) FILTER (kind = 'comparable') AS comp, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms GROUP BY 1)
+    "mk": """SELECT opp, n, round(cl - 0.4 * least(comp, 2) + coalesce(sign(la - fi) * least(1, la / 50) * 0.6, 0) - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) + 0.0::DOUBLE AS index FROM (SELECT opp, count(*) AS n, sum(CASE WHEN kind = 'claim' THEN sign(value) ELSE 0 END) AS cl, count(*) FILTER (kind = 'comparable') AS comp, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms GROUP BY 1)
         LEFT JOIN (SELECT person_id AS opp, (person_id % 7 - 3) / 10.0 AS shift FROM person WHERE person_id % 2 = 0) USING (opp)""",
 }
 
@@ -293,7 +293,7 @@ def compound(v):
     return out.select("person_id", "s_repo", "s_other", F.round("p_all", 9).alias("p_all"))
 
 
-@query("f19_idea_fit", "SELECT doc_id, CASE WHEN n_chars > 300 THEN CASE WHEN source IN ('src1', 'src2') THEN 70.0 ELSE 40.0 END + least(15, 3 * w) + least(10, 2 * (doc_id % 7)) END AS fit FROM (SELECT *, contains(lower(text), 'license')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'the')::INT AS w FROM documents)")
+@query("f19_idea_fit", "SELECT doc_id, CASE WHEN n_chars > 300 THEN CASE WHEN source IN ('src1', 'src2') THEN 70.0 ELSE 40.0 END + least(15, 3 * w) + least(10, 2 * (doc_id % 7)) END::DOUBLE AS fit FROM (SELECT *, contains(lower(text), 'license')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'the')::INT AS w FROM documents)")
 def idea(v):
     d = v.table("documents")
     words = sum(F.lower("text").contains(w).cast("int") for w in ("license", "token", "the"))

@@ -1 +1,72 @@
-"""To come."""
+"""K: the streaming jobs run over a file stream of events and read back as tables; K3's oracle is its batch twin."""
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators.ranking import _path
+from palimpsest.plans.registry import query
+from palimpsest.plans.scans import HASHED, KEY
+from palimpsest.sources.views import reliability
+from palimpsest.streaming import jobs
+
+
+class StreamViews:
+    """The observation view over a stream of the events file."""
+
+    def __init__(self, v):
+        self.v = v
+
+    def observation(self):
+        from palimpsest.sources.views import Views
+
+        spark, sf_dir = self.v.spark, self.v.sf_dir
+        schema = self.v.table("events").schema
+        source = Views(spark, sf_dir)
+        source.table = lambda name: spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+        return source.observation()
+
+
+FIRST = {"hashed": HASHED["hashed"], "first_rows": "SELECT observation_id, source_url, claim_type, value_hash FROM hashed WHERE source_url IS NULL UNION ALL SELECT min(observation_id), source_url, claim_type, value_hash FROM hashed WHERE source_url IS NOT NULL GROUP BY ALL"}
+
+
+@query("k1_stream_append", "SELECT source_url, claim_type, value_hash, count(*) AS n FROM first_rows GROUP BY ALL", FIRST)
+def append(v):
+    from palimpsest.operators.ledger import with_digest
+
+    rows = with_digest(StreamViews(v).observation(), "value_text").withColumn("observed_at", F.col("observed_at").cast("timestamp")).select("observation_id", *KEY, "observed_at")
+    path = _path(v.table("region"))
+    jobs.stream_append(rows, path, f"{path}-state", KEY, ["observation_id"]).awaitTermination()
+    return v.spark.read.parquet(path).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("k2_stream_volume", "SELECT channel_id, epoch_us(date_trunc('day', observed_at)) // 1000000 AS start_s, count(*) AS n FROM observation GROUP BY ALL")
+def volume(v):
+    rows = StreamViews(v).observation().withColumn("at", F.col("observed_at").cast("timestamp"))
+    name = f"volumes_{uuid.uuid4().hex}"
+    jobs.stream_volume(rows, name, f"{_path(v.table('region'))}-state", "channel_id", "at", "1 day").awaitTermination()
+    return v.spark.table(name).select("channel_id", F.col("start").cast("long").alias("start_s"), "n")
+
+
+@query("k2_sliding_volume", "SELECT channel_id, epoch_us(d) // 1000000 AS start_s, count(*) AS n FROM observation, range(0, 7) r(i), (SELECT 1) GROUP BY channel_id, start_s".replace("epoch_us(d)", "epoch_us(date_trunc('day', observed_at) - CAST(i AS INT) * INTERVAL 1 DAY)"))
+def sliding(v):
+    rows = v.observation().withColumn("at", F.col("observed_at").cast("timestamp"))
+    return jobs.volumes(rows, "channel_id", "at", "7 days", "1 day").select("channel_id", F.col("start").cast("long").alias("start_s"), "n")
+
+
+CROSS = """SELECT person_id, epoch_us(arg_min(observed_at, (observed_at, observation_id))) AS triggered_us, round(arg_min(s, (observed_at, observation_id)), 6) AS total FROM (SELECT person_id, observed_at, observation_id, round(sum(weight) OVER (PARTITION BY person_id ORDER BY observed_at, observation_id ROWS UNBOUNDED PRECEDING), 6) AS s FROM observation JOIN reliability USING (source_class) WHERE person_id IS NOT NULL) WHERE s >= 12 GROUP BY 1"""
+
+
+@query("k3_stream_trigger", CROSS)
+def trigger(v):
+    rows = v.observation().join(F.broadcast(reliability(v.spark)), "source_class")
+    return jobs.crossings(rows, "person_id", "weight", 12.0, "observed_at", "observation_id").select("person_id", F.unix_micros(F.col("triggered_at").cast("timestamp")).alias("triggered_us"), "total")
+
+
+@query("k3_stream_trigger_state")
+def trigger_state(v):
+    """The stateful stream; its rows are those of the batch twin for keys that the watermark has passed."""
+    rows = StreamViews(v).observation().join(F.broadcast(reliability(v.spark)), "source_class").select("person_id", F.col("observed_at").cast("timestamp").alias("observed_at"), "observation_id", "weight")
+    path = _path(v.table("region"))
+    jobs.stream_trigger(rows, path, f"{path}-state", 12.0).awaitTermination()
+    return v.spark.read.schema(jobs.TRIGGERS).parquet(path)

@@ -1 +1,85 @@
-"""To come."""
+"""J5-J11 and F20: text and page jobs."""
+
+from pyspark.sql import functions as F
+
+from palimpsest.operators import texts as T
+from palimpsest.plans.registry import query
+
+BARE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
+
+
+@query("j5_clean_markup")
+def clean(v):
+    return v.table("pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
+
+
+@query("j5_strip_tags", f"SELECT page_id, {BARE} AS text FROM pages")
+def strip(v):
+    return v.table("pages").select("page_id", T.clean_markup(F.col("html"), unescape=False).alias("text"))
+
+
+MARKERS = {"parked": ['class="ad"', "<nav"], "transacting": ["<form", "<table"], "pricing": ["&amp;&amp;"], "changelog": ["<pre", "2024-"], "waitlist": ["<footer"]}
+
+
+@query("j6_page_state", """SELECT page_id, CASE WHEN page_id % 40 = 0 THEN 'unknown' WHEN contains(l, 'class="ad"') THEN 'parked' WHEN contains(l, '<form') OR contains(l, '<table') THEN 'transacting' WHEN contains(l, '&amp;&amp;') THEN 'pricing' WHEN contains(l, '<pre') OR contains(l, '2024-') THEN 'changelog' WHEN contains(l, '<footer') THEN 'waitlist' ELSE 'unknown' END AS state FROM (SELECT page_id, lower(html) AS l FROM pages)""")
+def state(v):
+    status = F.when(F.col("page_id") % 40 == 0, 403).otherwise(200)
+    return v.table("pages").select("page_id", T.page_state(F.col("html"), status, MARKERS, ["<nav"]).alias("state"))
+
+
+SUBSTANCE, LIVED, SECTOR = ["the", "and", "tion"], ["was", "and"], ["license", "token"]
+
+
+@query("j7_text_signal_score", r"""SELECT doc_id, round((0.2 * least(greatest((contains(l, 'the')::INT + contains(l, 'and')::INT + contains(l, 'tion')::INT) / 3, 0), 1) + 0.2 * least(len(regexp_extract_all(text, '[0-9]+')) / 4, 1) + 0.2 * least(len(regexp_extract_all(text, '\b[A-Z][a-z]{3,}')) / 20, 1)
+    + 0.3 * least((contains(l, 'was')::INT + contains(l, 'and')::INT) / 2, 1) + 0.1 * least((contains(l, 'license')::INT + contains(l, 'token')::INT) / 1, 1)) * CASE WHEN length(text) - length(regexp_replace(text, 'https?://\S+', '', 'g')) > 0.25 * length(text) THEN 0.6 ELSE 1 END * CASE WHEN len(regexp_extract_all(text, '(?m)^>')) >= 4 THEN 0.8 ELSE 1 END, 6) AS score
+    FROM (SELECT doc_id, text, lower(text) AS l FROM documents WHERE lang = 'en')""")
+def signal(v):
+    return v.table("documents").filter("lang = 'en'").select("doc_id", F.round(T.signal_score(F.col("text"), SUBSTANCE, LIVED, SECTOR), 6).alias("score"))
+
+
+@query("j8_hiring_template_fields", r"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(body, '(?i)\b(location|remote|visa|token)\s*:', 1), lambda x: lower(x)))) + CASE WHEN regexp_matches(split_part(body, chr(10), 1), '\|.*\|') THEN 2 ELSE 0 END AS BIGINT) AS fields FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y ' WHEN 1 THEN 'visa: no location: x ' ELSE '' END || text AS body FROM documents)")
+def template(v):
+    body = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y ' WHEN 1 THEN 'visa: no location: x ' ELSE '' END"), "text")
+    return v.table("documents").select("doc_id", T.template_fields(body, ["location", "remote", "visa", "token"]).cast("long").alias("fields"))
+
+
+def _atoms_sql() -> str:
+    rest, parts = "body", []
+    for kind, pattern, hard in T.ATOMS:
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all({rest}, '{pattern}')) AS raw, {str(hard).upper()} AS hard FROM b")
+        rest = f"regexp_replace({rest}, '{pattern}', ' ', 'g')"
+    return " UNION ALL ".join(parts)
+
+
+@query("j9_extract_atoms", _atoms_sql(), {"b": "SELECT doc_id, 'v1.' || (doc_id % 7) || ' of 2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' at $' || doc_id || '.5m, ' || (doc_id % 90) || '% ' || text AS body FROM documents"})
+def atoms(v):
+    body = F.expr("concat('v1.', doc_id % 7, ' of 2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), ' at $', doc_id, '.5m, ', doc_id % 90, '% ', text)")
+    return T.extract_atoms(v.table("documents").withColumn("body", body), "doc_id", "body")
+
+
+@query("j10_passages_in_documents", "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def literal(v):
+    return T.passages_in_texts(v.table("benchmark"), v.table("documents"), "item_id", "text", "doc_id", "text")
+
+
+@query("j10_verify_excerpts")
+def verify(v):
+    """Conversation turns as excerpts, each against the turn before it as its page."""
+    from pyspark.sql import Window
+
+    c = v.table("conversations").withColumn("page_text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("check_id"), F.expr("CASE WHEN turn % 3 = 0 THEN substr(coalesce(page_text, text), 5, 60) ELSE concat(substr(text, 1, 60), ' v1.', conv_id % 3) END").alias("excerpt"), "page_text",
+                    F.expr("CASE conv_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END").alias("http_status"), F.expr("conv_id % 14 = 0").alias("expected_absent"), F.expr("conv_id % 14 <> 0").alias("claimed_found"), F.expr("CASE WHEN conv_id % 11 = 0 THEN 'http://a.test/x' ELSE 'http://a.example.com/' END").alias("url"))
+    return T.verify_excerpts(rows)
+
+
+@query("j11_excerpt_truncate", r"SELECT doc_id, CASE WHEN length(f) > 120 THEN rtrim(substr(f, 1, 119)) || '…' ELSE f END AS excerpt FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS f FROM documents)")
+def truncate(v):
+    return v.table("documents").select("doc_id", T.one_line(F.col("text"), 120).alias("excerpt"))
+
+
+@query("f20_derived_attributes", """SELECT source, CASE WHEN t >= 4 THEN 'technical' WHEN o >= 2 THEN 'operator' ELSE 'unknown' END AS founder_type, region, CASE WHEN greatest(s1, s2) = 0 THEN NULL WHEN s1 = greatest(s1, s2) THEN 'law' ELSE 'security' END AS sector FROM (
+    SELECT source, max(contains(l, 'tion')::INT) + max(contains(l, 'ing')::INT) + max(contains(l, 'ed')::INT) + max(contains(l, 'qzx')::INT) AS t, max(contains(l, 'license')::INT) + max(contains(l, 'moron')::INT) AS o, arg_min(r, doc_id) FILTER (r IS NOT NULL) AS region, max(contains(l, 'license')::INT) + max(contains(l, 'gnu')::INT) AS s1, max(contains(l, 'token')::INT) + max(contains(l, 'scum')::INT) AS s2
+    FROM (SELECT source, doc_id, lower(text) AS l, CASE WHEN contains(lower(text), 'schung') THEN 'DE' WHEN contains(lower(text), 'ción') THEN 'ES' END AS r FROM documents) GROUP BY source)""")
+def attributes(v):
+    return T.derived_attributes(v.table("documents"), "source", "text", "doc_id", ["tion", "ing", "ed", "qzx"], ["license", "moron"], {"law": ["license", "gnu"], "security": ["token", "scum"]}, {"schung": "DE", "ción": "ES"})
