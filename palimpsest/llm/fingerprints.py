@@ -102,20 +102,22 @@ def next_ids(docs: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, nth, next_id, text, n_chars, edited): each row's text beside the text whose last third is replaced by the start of the next document.
+    """(k, doc_id, nth, next_id, text, n_chars, edited): each row's text beside the text whose last third is replaced by the start of the next document.
 
-    nth tells rows of one id apart. Of rows of the next id, the text of least hash is taken. Rows with a null id
+    k is the id, or a hash of the text for rows with a null id; the rows are hash-partitioned by it. nth tells rows of one k
+    apart. Of rows of the next id, the text of least hash is taken. Rows with a null id
     have no next document: nothing replaces their end.
     """
-    rows = documents(docs)
+    # k is never null, so both joins below read one and the same exchange of the texts
+    rows = documents(docs).select(F.coalesce("doc_id", F.xxhash64("text", F.lit(5))).alias("k"), "doc_id", "text")
     follows = next_ids(rows)
-    need = rows.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need")).join(follows, "doc_id").select(F.col("doc_id").alias("of_id"), F.col("next_id").alias("doc_id"), "need")
-    starts = rows.join(need, "doc_id").select("of_id", F.col("doc_id").alias("next_id"), F.xxhash64("text").alias("h"), F.expr("left(text, cast(need as int))").alias("start"))
-    starts = starts.groupBy("of_id").agg(F.min(F.struct("h", "start", "next_id")).alias("s")).select(F.col("of_id").alias("doc_id"), "s.start", "s.next_id")
-    both = rows.join(starts, "doc_id", "left").withColumn("n_chars", F.length("text").cast("long"))
+    need = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 3)).alias("need")).join(follows, "doc_id").select(F.col("doc_id").alias("of_id"), F.col("next_id").alias("k"), "need")
+    starts = rows.join(need, "k").select("of_id", F.col("doc_id").alias("next_id"), F.xxhash64("text").alias("h"), F.expr("left(text, cast(need as int))").alias("start"))
+    starts = starts.groupBy("of_id").agg(F.min(F.struct("h", "start", "next_id")).alias("s")).select(F.col("of_id").alias("k"), "s.start", "s.next_id")
+    both = rows.join(starts, "k", "left").withColumn("n_chars", F.length("text").cast("long"))
     edited = F.expr("concat(left(text, cast(n_chars - n_chars div 3 as int)), left(coalesce(start, ''), cast(n_chars div 3 as int)))")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.length("text")))
-    return both.select("doc_id", nth.alias("nth"), "next_id", "text", "n_chars", edited.alias("edited"))
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("text"), F.length("text")))
+    return both.select("k", "doc_id", nth.alias("nth"), "next_id", "text", "n_chars", edited.alias("edited"))
 
 
 def fingerprint_edits(docs: DataFrame, radius: int = 6, every: int = 50) -> DataFrame:
@@ -127,7 +129,7 @@ def fingerprint_edits(docs: DataFrame, radius: int = 6, every: int = 50) -> Data
     results; a table of one document is its own next; an empty table gives an empty result.
     """
     pairs = edited_pairs(docs)
-    keys = ["doc_id", "nth", "next_id", "n_chars", "digest", "which"]
+    keys = ["k", "nth", "doc_id", "next_id", "n_chars", "digest", "which"]
     texts = pairs.withColumn("digest", F.unhex(F.sha2("edited", 256))).select(*keys[:-1], F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("t")).select(*keys[:-1], "t.which", "t.text")
     votes = add_votes(texts, keys)
     pick = lambda which, half: F.bit_or(F.when(F.col("which") == which, F.col(half)).otherwise(F.lit(0).cast("long")))
