@@ -16,9 +16,9 @@ PEOPLE = "SELECT person_id, coalesce(sector, 'unknown') AS sector, coalesce(solo
 HELD = "SELECT DISTINCT person_id, artifact_type FROM observation WHERE person_id IS NOT NULL"
 
 
-@query("e1_entity_profile", "SELECT person_id, count(*) AS n, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) FILTER (source_class IN ('registry_filing', 'third_party_observable')) AS n_outside, count(*) FILTER (source_class = 'self_report') AS n_self, round(sum(weight), 3) AS log_odds, list_sort(list(DISTINCT channel_id)) AS channels, list_sort(list(DISTINCT artifact_type)) AS artifacts FROM observation LEFT JOIN reliability USING (source_class) WHERE person_id IS NOT NULL GROUP BY 1")
+@query("e1_entity_profile", "SELECT person_id, count(*) AS n, min(observed_at) AS first_seen, max(observed_at) AS last_seen, count(*) FILTER (source_class IN ('registry_filing', 'third_party_observable')) AS n_outside, count(*) FILTER (source_class = 'self_report') AS n_self, round(sum(weight), 3) AS log_odds, array_to_string(list_sort(list(DISTINCT channel_id)), ',') AS channels, array_to_string(list_sort(list(DISTINCT artifact_type)), ',') AS artifacts FROM observation LEFT JOIN reliability USING (source_class) WHERE person_id IS NOT NULL GROUP BY 1")
 def profile(v):
-    return A.entity_profile(v.observation(), reliability(v.spark))
+    return A.entity_profile(v.observation(), reliability(v.spark)).withColumns({c: F.array_join(c, ",") for c in ("channels", "artifacts")})
 
 
 @query("e2_class_level_means", f"SELECT level, cell, n, mean FROM (SELECT {CELL}, n, mean FROM (SELECT grouping(sector, shape) AS g, sector, shape, count(*) AS n, round(avg(m), 6) AS mean FROM (SELECT person_id, avg(value) AS m FROM observation WHERE person_id IS NOT NULL GROUP BY 1) JOIN people USING (person_id) GROUP BY GROUPING SETS ((sector, shape), (sector), ())))", {"people": PEOPLE})
