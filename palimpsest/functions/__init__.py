@@ -69,3 +69,22 @@ def first_of(kept: list[tuple[Column, str]], otherwise: str) -> Column:
     for condition, name in kept:
         out = F.when(condition, name) if out is None else out.when(condition, name)
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
+
+
+def confidence_band(p: Column | str) -> Column:
+    """A word for a probability: strong from 0.9 (or to 0.1), moderate from 0.7 (or to 0.3), else weak; null stays null."""
+    far = F.abs(col(p) - 0.5)
+    return F.when(far >= 0.4, "strong").when(far >= 0.2, "moderate").when(far.isNotNull(), "weak")
+
+
+def written_sum(terms: Column | str, total: Column | str) -> Column:
+    """An array of numbers as a line of arithmetic: `-1.2 + 0.6 = -0.6`, one decimal each."""
+    show = lambda x: F.call_function("format_number", x, F.lit("0.0"))
+    return F.concat(F.array_join(F.transform(col(terms), show), " + "), F.lit(" = "), show(col(total)))
+
+
+def first_mode(values: Column | str) -> Column:
+    """The commonest value of an array; of equally common ones that which comes first. Nulls don't count."""
+    kept = F.filter(col(values), lambda x: x.isNotNull())
+    counted = F.transform(F.array_distinct(kept), lambda x: F.struct(F.size(F.filter(kept, lambda y: y == x)).alias("n"), (-F.array_position(kept, x)).alias("at"), x.alias("x")))
+    return F.array_max(counted)["x"]

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import math
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +73,62 @@ def skyline(vectors: DataFrame, a: str, level: str, b: str, levels: int = 3) ->
     return _mark(_ranges(vectors, a, level, b), a, level, b, levels).drop("_range")
 
 
-def pareto_fronts(df: DataFrame, a: str, level: str, b: str, levels: int = 3, max_fronts: int = 1000) -> DataFrame:
+def _fronts_here(pdf: pd.DataFrame, levels: int, first: int) -> list[int]:
+    """The front of each of some vectors, in the order of a, b, level falling. If a front holds a dominator, so does each one before it, so the vector's own front is found by bisection over the fronts' largest b."""
+    best: list[list[float]] = [[] for _ in range(levels)]  # by least level, then front: the negated largest b
+    out = []
+    for level, b in zip(pdf["level"], pdf["b"]):
+        front = bisect.bisect_right(best[level], -b)
+        for k in range(levels):
+            if front == len(best[k]):
+                best[k].append(math.inf)
+            if k <= level:
+                best[k][front] = min(best[k][front], -b)
+        out.append(first + front)
+    return out
+
+
+def _finish(levels: int, first: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b", "level"], ascending=False)
+        return pdf[["a", "level", "b"]].assign(front=[min(f, most) for f in _fronts_here(pdf, levels, first)])
+
+    return run
+
+
+def pareto_fronts(df: DataFrame, a: str, level: str, b: str, levels: int = 3, max_fronts: int = 1000, small: int = 20_000) -> DataFrame:
     """(a, level, b, front) of each distinct vector: front 0 is dominated by none, the next by front 0 alone, and so on.
 
-    The ranges are cut once; a peel is one pass over what is left. Beyond max_fronts the rest is one last front.
+    The ranges are cut once; a peel is one pass over what is left. When `small` vectors or fewer are left, which one task holds
+    easily, they are finished there in one go. Beyond max_fronts the rest is one last front.
     """
-    left = _ranges(df.select(a, level, b).dropna().distinct(), a, level, b)
+    distinct = df.select(F.col(a).cast("long").alias("a"), F.col(level).cast("long").alias("level"), F.col(b).cast("long").alias("b")).dropna().distinct()
+    left = _ranges(distinct, "a", "level", "b")
+    names = [F.col("a").alias(a), F.col("level").alias(level), F.col("b").alias(b), "front"]
     done = None
     for front in range(max_fronts):
-        marked = written(_mark(left, a, level, b, levels))
-        peeled = marked.filter("NOT dominated").select(a, level, b, F.lit(front).cast("long").alias("front"))
+        if left.count() <= small:
+            rest = left.select("a", "level", "b", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(_finish(levels, front, max_fronts), "a long, level long, b long, front long")
+            return (rest if done is None else done.unionByName(rest)).select(*names)
+        marked = written(_mark(left, "a", "level", "b", levels))
+        peeled = marked.filter("NOT dominated").select("a", "level", "b", F.lit(front).cast("long").alias("front"))
         done = peeled if done is None else done.unionByName(peeled)
         left = marked.filter("dominated").drop("dominated")
-        if left.isEmpty():
-            return done
-    return done.unionByName(left.select(a, level, b, F.lit(max_fronts).cast("long").alias("front")))
+    return done.unionByName(left.select("a", "level", "b", F.lit(max_fronts).cast("long").alias("front"))).select(*names)
+
+
+def rank_board(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, vector: tuple[str, str, str], weights: dict[str, float], levels: int = 3, max_fronts: int = 1000) -> DataFrame:
+    """The scored rows with front and rank: by front, then by the weighted sum of index percentiles, falling, then by key.
+
+    score is a hook on plans, DataFrame to DataFrame, not on rows; it must give the vector's columns (none null) and those that weights names.
+    """
+    board = score(df)
+    fronts = pareto_fronts(board, *vector, levels=levels, max_fronts=max_fronts)
+    board = board.join(fronts, list(vector))
+    for c in weights:
+        board = index_percentile(board, c, key, f"_p_{c}")
+    total = sum(w * F.col(f"_p_{c}") for c, w in weights.items())
+    return global_rank(board.withColumn("_total", total), [F.asc("front"), F.desc("_total"), F.asc(key)], "rank").drop("_total", *[f"_p_{c}" for c in weights])
 
 
 def cap_per_key(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:

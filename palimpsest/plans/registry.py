@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,9 @@ def query(name: str, sql: str | None = None, more: dict[str, str] | None = None)
         if sql is not None:
             # views by need, so that oracles stay short
             text = " ".join([sql, *(more or {}).values()])
-            used = {v: s for v, s in VIEWS.items() if __import__("re").search(rf"\b{v}\b", text)}
-            ORACLES[name] = "WITH " + ", ".join(f"{k} AS ({s})" for k, s in (used | (more or {})).items()) + " " + sql if used or more else sql
+            used = {v: s for v, s in VIEWS.items() if re.search(rf"\b{v}\b", text)}
+            recursive = "RECURSIVE " if any("(" in k for k in more or {}) else ""
+            ORACLES[name] = f"WITH {recursive}" + ", ".join(f"{k} AS ({s})" for k, s in (used | (more or {})).items()) + " " + sql if used or more else sql
         return f
 
     return put

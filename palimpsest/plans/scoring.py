@@ -177,13 +177,24 @@ def sweep(v):
     return S.appetite_sweep(estimate(v), "person_id", 55.0)
 
 
-@query("g4_rank_board", f"SELECT person_id, verdict, rank FROM (SELECT person_id, {GATE.format(30)} AS verdict, row_number() OVER (ORDER BY 0.6 * p1 + 0.4 * p2 DESC, person_id) AS rank FROM (SELECT *, (row_number() OVER (ORDER BY point, person_id) - 1) / (count(*) OVER () - 1) AS p1, (row_number() OVER (ORDER BY n, person_id) - 1) / (count(*) OVER () - 1) AS p2 FROM est))", RANK)
+VECTOR = "CAST(round(point) AS BIGINT) AS a, CAST(n % 3 AS BIGINT) AS level, CAST(n AS BIGINT) AS b"
+DOMINATED = "SELECT 1 FROM {0} o WHERE o.a >= v.a AND o.level >= v.level AND o.b >= v.b AND (o.a, o.level, o.b) <> (v.a, v.level, v.b)"
+PEEL = RANK | {
+    "board": f"SELECT *, {VECTOR}, (row_number() OVER (ORDER BY point, person_id) - 1) / (count(*) OVER () - 1) AS p1, (row_number() OVER (ORDER BY n, person_id) - 1) / (count(*) OVER () - 1) AS p2 FROM est",
+    "vec": "SELECT DISTINCT a, level, b FROM board",
+    "peel(front, a, level, b, gone)": f"SELECT CAST(0 AS BIGINT), a, level, b, NOT EXISTS ({DOMINATED.format('vec')}) FROM vec v UNION ALL SELECT v.front + 1, v.a, v.level, v.b, NOT EXISTS ({DOMINATED.format('(SELECT * FROM peel WHERE NOT gone)')}) FROM peel v WHERE NOT v.gone",
+}
+
+
+@query("g4_rank_board", f"SELECT person_id, {GATE.format(30)} AS verdict, front, row_number() OVER (ORDER BY front, 0.6 * p1 + 0.4 * p2 DESC, person_id) AS rank FROM board JOIN peel USING (a, level, b) WHERE gone", PEEL)
 def rank_board(v):
-    from palimpsest.operators.ranking import global_rank, index_percentile
+    from palimpsest.operators import ranking as R
+
+    def score(df):
+        verdict = S.gate(F.col("low"), F.col("point"), F.col("high") - F.col("low"), F.lit(55.0), F.lit(30.0))
+        return df.withColumns({"verdict": verdict, "a": F.round("point").cast("long"), "level": (F.col("n") % 3).cast("long"), "b": F.col("n").cast("long")})
 
-    board = estimate(v).withColumn("verdict", S.gate(F.col("low"), F.col("point"), F.col("high") - F.col("low"), F.lit(55.0), F.lit(30.0)))
-    board = index_percentile(index_percentile(board, "point", "person_id", "p1"), "n", "person_id", "p2")
-    return global_rank(board.withColumn("w", 0.6 * F.col("p1") + 0.4 * F.col("p2")), [F.desc("w"), F.asc("person_id")], "rank").select("person_id", "verdict", "rank")
+    return R.rank_board(estimate(v), score, "person_id", ("a", "level", "b"), {"point": 0.6, "n": 0.4}).select("person_id", "verdict", "front", "rank")
 
 
 FAM = {"talk": ["view_0", "view_1", "error_0"], "code": ["click_0", "click_1", "click_2"], "registry": ["purchase_0", "signup_3"]}

@@ -130,3 +130,19 @@ def test_no_loop_joins(spark, sf, name):
 def test_scan_is_pushed_down(spark, sf):
     plan = QUERIES["b4_staged_funnel"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "l_shipdate" not in plan.split("ReadSchema")[1]
+
+
+def test_scalar_helpers(spark):
+    from palimpsest.functions import confidence_band, first_mode, leading_number, written_sum
+
+    df = spark.createDataFrame([([-1.2, 0.6], -0.6, ["b", "a", None, "a", "b"], "11_entries_90d")], "t array<double>, s double, m array<string>, v string")
+    row = df.select(written_sum("t", "s").alias("line"), first_mode("m").alias("m"), leading_number("v").alias("v"), confidence_band(F.lit(0.95)).alias("c")).first()
+    assert tuple(row) == ("-1.2 + 0.6 = -0.6", "b", 11.0, "strong")
+
+
+def test_fronts_peel_and_finish_alike(spark, sf):
+    from palimpsest.plans.ranking import vectors
+
+    v = vectors(Views(spark, sf))
+    one, two = (sorted(map(tuple, R.pareto_fronts(v, "a", "level", "b", small=n).collect())) for n in (10**6, 120))
+    assert one == two and max(r[3] for r in one) > 3
