@@ -14,6 +14,14 @@ def _smallest_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _held(pairs: DataFrame) -> tuple[DataFrame, str]:
+    """Pairs written to the shared folder, so that plans stay small and a lost executor costs one step."""
+    spark = pairs.sparkSession
+    path = scratch(spark, "stars")
+    pairs.select("u", "v").write.parquet(path)
+    return spark.read.schema("u long, v long").parquet(path), path
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node with an edge to another node; component is the least node reachable.
 
@@ -27,19 +35,19 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     old = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _smallest_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large, large_path = _held(_smallest_neighbour(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         star = _smallest_neighbour(large)
-        small = star.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(star.select("u", F.col("m").alias("v"))).distinct()
-        path = scratch(spark, "stars")
-        small.write.parquet(path)
-        after = spark.read.schema("u long, v long").parquet(path)
+        # of each row (u, v, m): v and u itself go below m
+        small = star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        after, path = _held(small)
+        remove(spark, large_path)
         # a star forest: every node has one centre, and no centre has a centre
-        done = after.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("u").alias("k")).first()
-        deep = after.select(F.col("v").alias("u")).distinct().join(after.select("u").distinct(), "u", "left_semi").limit(1).count()
+        seen = after.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("c")).unionByName(after.select("v", F.lit(0), F.lit(1)).toDF("x", "a", "c").distinct())
+        settled = seen.groupBy("x").agg(F.sum("a").alias("a"), F.sum("c").alias("c")).filter("a > 1 OR (a > 0 AND c > 0)").isEmpty()
         if old:
             remove(spark, old)
         now, old = after, path
-        if done["n"] == done["k"] and deep == 0:
+        if settled:
             break
     else:
         raise RuntimeError("connected components: more rounds are needed")

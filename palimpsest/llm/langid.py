@@ -24,7 +24,7 @@ START = "▁"
 OTHER = 255
 #: Words are cut after this many characters, so that no probability underflows.
 LONGEST = 40
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 
 
 def public_pieces(model_file: str, longest: int = 6) -> list[str]:
@@ -90,8 +90,8 @@ class Model:
         """Expected uses of each piece in the weighted words."""
         p, out = self.logits[:, language], np.zeros(len(self.logits))
         length = np.array([len(w) for w in words])
-        for n in np.unique(length):
-            who = np.flatnonzero(length == n)
+        for who in [x[i : i + 2000] for n in np.unique(length) for x in [np.flatnonzero(length == n)] for i in range(0, len(x), 2000)]:
+            n = length[who[0]]
             codes = self.codes([words[i] for i in who])
             alpha, beta, used = np.zeros((n + 1, len(who))), np.zeros((n + 1, len(who))), []
             alpha[0] = beta[n] = 1
@@ -140,7 +140,7 @@ def fit(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth: float
     return model
 
 
-def train(docs: DataFrame, pieces: list[str], usable, per_language: int = 400, rounds: int = 4) -> Model | None:
+def train(docs: DataFrame, pieces: list[str], usable, per_language: int = 200, rounds: int = 4) -> Model | None:
     """Fits on at most `per_language` rows of each language (those of least hash) among the rows that `usable` allows and whose lang isn't null; None if there is none."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
     best = Window.partitionBy("lang").orderBy("h", "doc_id")

@@ -132,16 +132,11 @@ def near_links(fps: DataFrame, radius: int = 4, posting: int = POSTING) -> DataF
     index = fps.select("fp", F.explode(keys).alias("key"))
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = index.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / posting))
-    block = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks"))
-    whole = met.filter("blocks = 1").select(F.xxhash64("key").alias("cell"), F.lit(-1).alias("side"), "fp", "key", F.lit(0).cast("long").alias("pair"))
-    # a hot posting: each pair of its blocks is one bounded cell; a block meets itself in the cell (b, b)
-    parts = (
-        met.filter("blocks > 1").withColumn("block", block)
-        .select("fp", "key", "block", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("fp", "key", (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("pair"), F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"))
-        .select(F.xxhash64("key", "pair", F.lit(1)).alias("cell"), "side", "fp", "key", "pair")
-    )
-    cells = whole.unionByName(parts).select("cell", "side", "fp").repartition("cell").sortWithinPartitions("cell")
+    # a posting within the bound is one block; in a hot one each pair of blocks is one bounded cell, and a block meets itself in the cell (b, b)
+    own = met.select("fp", "key", "blocks", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    side = F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int"))
+    cells = own.select(F.xxhash64("key", pair).alias("cell"), side.alias("side"), "fp").repartition("cell").sortWithinPartitions("cell")
     return cells.mapInArrow(_links(radius, least), "a long, b long").distinct()
 
 
@@ -164,7 +159,10 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, radius:
 
 
 def keep_one_per_component(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the least doc_id. Rows with a null doc_id are kept as they are."""
+    """docs with one row of each near-duplicate component: that of the least doc_id.
+
+    Rows with a null doc_id are kept as they are. An id stands for one document: of several rows with a kept id the longest text stays.
+    """
     kept = simhash_components(docs, **settings).select(F.col("component_id").alias("_kept_id")).filter("_kept_id IS NOT NULL").distinct()
     from pyspark.sql import Window
 
