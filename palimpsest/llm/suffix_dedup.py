@@ -9,7 +9,7 @@ refined, at three lengths instead of 400.
 
 1. Anchors: the least hash of a 32-byte string in each window. Equal windows have equal anchors at
    equal offsets. Anchors whose string occurs once in the corpus end here.
-2. Blocks: the windows around an anchor, 64 offsets together. Their union (outer string) repeated
+2. Blocks: the windows around an anchor, 32 offsets together. Their union (outer string) repeated
    elsewhere: all are repeated. Their intersection (inner string) occurring once: none is.
 3. Windows: for blocks that share an inner string with a block that is still open, each window.
 
@@ -25,41 +25,53 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, documents
-from palimpsest.llm.rolling import mix, prefix, spans
+from palimpsest.llm.rolling import INVERSE, mix, powers, prefix, spans
 
 GRAM = 32
-BLOCK = 64
-FILTER_BITS = 25
+BLOCK = 32
+FILTER_BITS = 24
 SEGMENT = 1 << 22
+#: Bytes of short texts that are scanned together, and rows that a pass gathers before it hands them on.
+TOGETHER, ROWS = 1 << 16, 50_000
+IDENTITY = "high long, low long, text string"
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """rows with high and low: 128 bits that stand for the text."""
+    return rows.withColumns({"high": F.xxhash64("text"), "low": F.shiftleft(F.hash("text").cast("long"), 32).bitwiseOR(F.crc32(F.col("text").cast("binary")))})
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` neighbours, by running minima of blocks from both ends."""
     n = len(x) - width + 1
-    pad = -len(x) % width
-    rows = np.concatenate([x, np.full(pad, np.iinfo(np.uint64).max, np.uint64)]).reshape(-1, width)
+    rows = np.full(-(-len(x) // width) * width, np.iinfo(np.uint64).max, np.uint64)
+    rows[: len(x)] = x
+    rows = rows.reshape(-1, width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(sums: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, first, last): the windows from start `first` to `last` have their anchor there."""
     found = []
-    windows = len(data) - length + 1
+    windows = len(sums) - length
+    back = powers(INVERSE, len(sums))
     for a in range(0, windows, SEGMENT):
         n = min(SEGMENT, windows - a)
-        at = np.arange(a, a + n + length - GRAM)
-        hashes = spans(sums, at, at + GRAM)
-        local = np.arange(len(at), dtype=np.uint64)
-        low = _least(hashes & np.uint64(0xFFFFFFFFFF000000) | local, length - GRAM + 1) & np.uint64(0xFFFFFF)
-        new = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        found.append((low[new].astype(np.int64) + a, new + a, np.r_[new[1:], n] - 1 + a))
+        size = n + length - GRAM
+        h = sums[a + GRAM : a + GRAM + size] - sums[a : a + size]
+        h *= back[a : a + size]
+        h *= np.uint64(0xFF51AFD7ED558CCD)
+        h &= np.uint64(0xFFFFFFFFFF000000)
+        h |= np.arange(size, dtype=np.uint64)
+        low = _least(h, length - GRAM + 1) & np.uint64(0xFFFFFF)
+        new = np.flatnonzero(low[1:] != low[:-1]) + 1
+        found.append((np.r_[low[:1], low[new]].astype(np.int64) + a, np.r_[0, new] + a, np.r_[new, n] - 1 + a))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
 
 
@@ -82,8 +94,9 @@ def _filter(keys: DataFrame, column: str) -> np.ndarray:
         for pdf in batches:
             for b in _bits(pdf[column].to_numpy()):
                 marks[b] = True
-        at = np.flatnonzero(marks)
-        yield pd.DataFrame({"word": at >> 5, "bit": np.int64(1) << (at & 31)}).groupby("word", as_index=False)["bit"].sum()
+        words = np.packbits(marks, bitorder="little").view("<u4")
+        at = np.flatnonzero(words)
+        yield pd.DataFrame({"word": at, "bit": words[at].astype(np.int64)})
 
     words = keys.select(column).mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
@@ -97,53 +110,93 @@ def _passes(marks: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (hit(one) & hit(two)).astype(bool)
 
 
-class Text:
-    """A text's bytes, identity, prefix sums and anchors."""
-
-    def __init__(self, text: str, length: int):
-        raw = text.encode("utf-8", "surrogatepass")
-        self.data = np.frombuffer(raw, np.uint8)
-        self.identity = xxhash.xxh3_128_intdigest(raw)
-        self.high, self.low = np.array([self.identity >> 64, self.identity & (2**64 - 1)], np.uint64).view(np.int64).tolist()
-        self.sums = prefix(self.data)
-        self.at, self.first, self.last = anchors(self.data, self.sums, length)
+class Texts:
+    """Some texts end to end: bytes, identities, prefix sums and the anchors of their windows; a window never runs from one text into the next."""
+
+    def __init__(self, raw: list[bytes], high: list[int], low: list[int], length: int):
+        self.length = length
+        size = np.array([len(x) for x in raw])
+        self.start = np.cumsum(size) - size
+        self.high, self.low = np.array(high, np.int64), np.array(low, np.int64)
+        self.sums = prefix(np.frombuffer(b"".join(raw), np.uint8))
+        at, first, last = anchors(self.sums, length)
+        end = self.start + size - length  # the last window of each text
+        one, two = (np.searchsorted(self.start, x, side="right") - 1 for x in (first, last))
+        parts = []
+        for d, keep in ((one, slice(None)), (two, two != one)):
+            f, t = np.maximum(first, self.start[d])[keep], np.minimum(last, end[d])[keep]
+            ok = f <= t
+            parts.append((at[keep][ok], f[ok], t[ok], d[keep][ok]))
+        self.at, self.first, self.last, self.doc = (np.concatenate(x) for x in zip(*parts))
         self.gram = spans(self.sums, self.at, self.at + GRAM).view(np.int64)
 
-    def occurrence(self, at: np.ndarray) -> np.ndarray:
-        return _salted(np.full(len(at), self.identity & (2**64 - 1), np.uint64), at)
+    def only(self, ok: np.ndarray) -> bool:
+        self.at, self.first, self.last, self.doc, self.gram = (x[ok] for x in (self.at, self.first, self.last, self.doc, self.gram))
+        return len(self.at) > 0
+
+    def occurrence(self, doc: np.ndarray, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        return _salted(mix(self.high.view(np.uint64)[doc] ^ (self.low.view(np.uint64)[doc] * np.uint64(3))), at - self.start[doc], *more)
 
-    def blocks(self, length: int):
-        """(first, last, inner, outer) of the blocks of this text's anchors: canonical blocks of BLOCK offsets of an anchor in its window, met with the windows that the anchor serves."""
+    def named(self, doc: np.ndarray, **columns: np.ndarray) -> dict[str, np.ndarray]:
+        return {"high": self.high[doc], "low": self.low[doc], **columns}
+
+    def blocks(self):
+        """(doc, first, last, inner, outer, occurrence) of canonical blocks of BLOCK offsets of an anchor in its window, met with the windows that the anchor serves."""
         far, near = self.at - self.first, self.at - self.last
         count = far // BLOCK - near // BLOCK + 1
         who = np.repeat(np.arange(len(self.at)), count)
         number = near[who] // BLOCK + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
-        p = self.at[who]
+        p, doc = self.at[who], self.doc[who]
         last, first = p - np.maximum(near[who], number * BLOCK), p - np.minimum(far[who], number * BLOCK + BLOCK - 1)
         start = p - number * BLOCK
-        inner = _salted(spans(self.sums, start, start - BLOCK + 1 + length), number)
-        outer = _salted(spans(self.sums, first, last + length), p - first, p - last)
-        return first, last, inner, outer, p
+        inner = _salted(spans(self.sums, start, start - BLOCK + 1 + self.length), number)
+        outer = _salted(spans(self.sums, first, last + self.length), p - first, p - last)
+        return doc, first, last, inner, outer, self.occurrence(doc, p, number)
 
 
-def _each(length: int, rows: Callable[[Text], dict[str, np.ndarray] | None], empty: dict[str, str]):
+def _each(length: int, rows: Callable[[Texts], dict[str, np.ndarray] | None], columns: dict[str, str]):
     """A pass over texts; a text that a task has already seen adds nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for pdf in batches:
-            held: list[pd.DataFrame] = []
-            for text in pdf["text"]:
-                t = Text(text, length)
-                if len(t.at) and t.identity not in seen:
-                    seen.add(t.identity)
-                    found = rows(t)
-                    if found is not None:
-                        held.append(pd.DataFrame(found))
-            if held:
-                yield pd.concat(held)
+        seen: set[tuple[int, int]] = set()
+        held: list[dict[str, np.ndarray]] = []
+        wait: tuple[list[bytes], list[int], list[int]] = ([], [], [])
+        size = made = 0
+
+        def scan():
+            nonlocal made, size
+            found = rows(Texts(*wait, length))
+            if found is not None:
+                held.append(found)
+                made += len(found["occ"])
+            for x in wait:
+                x.clear()
+            size = 0
+
+        def out() -> pd.DataFrame:
+            done = pd.DataFrame({k: np.concatenate([h[k] for h in held]) for k in columns})
+            held.clear()
+            return done
 
-    return run, ", ".join(f"{k} {v}" for k, v in empty.items())
+        for pdf in batches:
+            for text, high, low in zip(pdf["text"], pdf["high"].tolist(), pdf["low"].tolist()):
+                if (high, low) in seen:
+                    continue
+                seen.add((high, low))
+                for x, value in zip(wait, (text.encode("utf-8", "surrogatepass"), high, low)):
+                    x.append(value)
+                size += len(wait[0][-1])
+                if size >= TOGETHER:
+                    scan()
+                    if made > ROWS:
+                        yield out()
+                        made = 0
+        if wait[0]:
+            scan()
+        if held:
+            yield out()
+
+    return run, ", ".join(f"{k} {v}" for k, v in columns.items())
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -152,47 +205,46 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
-    """(high, low, first, last): runs of starts of repeated windows, by text identity."""
+    """(high, low, first, last): runs of starts of repeated windows, by text identity. texts has the columns of IDENTITY, each text of `length` bytes at least."""
     spark = texts.sparkSession
-    # the passes read bounded batches, so memory follows a few texts
 
-    def grams(t: Text):
-        return {"gram": t.gram, "occ": t.occurrence(t.at)}
+    def grams(t: Texts):
+        return {"gram": t.gram, "occ": t.occurrence(t.doc, t.at)}
 
     fn, schema = _each(length, grams, {"gram": "long", "occ": "long"})
     known = spark.sparkContext.broadcast(_filter(_repeated(texts.mapInPandas(fn, schema), "gram"), "gram"))
 
-    def blocks(t: Text):
-        ok = _passes(known.value, t.gram)
-        if not ok.any():
+    def blocks(t: Texts):
+        if not t.only(_passes(known.value, t.gram)):
             return None
-        t.at, t.first, t.last = t.at[ok], t.first[ok], t.last[ok]
-        first, last, inner, outer, p = t.blocks(length)
-        return {"high": t.high, "low": t.low, "first": first.astype(np.int32), "last": last.astype(np.int32), "inner": inner, "outer": outer, "occ": t.occurrence(p)}
+        doc, first, last, inner, outer, occ = t.blocks()
+        return t.named(doc, first=(first - t.start[doc]).astype(np.int32), last=(last - t.start[doc]).astype(np.int32), inner=inner, outer=outer, occ=occ)
 
     fn, schema = _each(length, blocks, {"high": "long", "low": "long", "first": "int", "last": "int", "inner": "long", "outer": "long", "occ": "long"})
     found = cut(texts.mapInPandas(fn, schema), "blocks")
-    whole = cut(_repeated(found, "outer"), "outer")
-    sure = found.join(whole, "outer", "left_semi").select("high", "low", "first", "last")
-    open_blocks = found.join(whole, "outer", "left_anti").select("inner").distinct().join(_repeated(found, "inner"), "inner", "left_semi")
-    undecided = spark.sparkContext.broadcast(_filter(open_blocks, "inner"))
-
-    def windows(t: Text):
-        ok = _passes(known.value, t.gram)
-        if not ok.any():
+    # an outer string has one inner string, so a row for each outer string is enough to decide on blocks
+    kinds = cut(found.groupBy("outer").agg(F.min("occ").alias("a"), F.max("occ").alias("b"), F.min("inner").alias("inner")), "outer")
+    # inner strings that stand in an open block and in another block; of blocks with one outer string, one speaks for all
+    asked = kinds.groupBy("inner").agg(F.min("a").alias("a"), F.max("b").alias("b"), F.bool_or(F.col("a") == F.col("b")).alias("open")).filter("a <> b AND open").select("inner")
+    speakers = kinds.join(asked, "inner", "left_semi").select(F.col("a").alias("occ"))
+    undecided = spark.sparkContext.broadcast(_filter(speakers, "occ"))
+
+    def windows(t: Texts):
+        if not t.only(_passes(known.value, t.gram)):
             return None
-        t.at, t.first, t.last = t.at[ok], t.first[ok], t.last[ok]
-        first, last, inner, _, _ = t.blocks(length)
-        ok = _passes(undecided.value, inner)
+        doc, first, last, _, _, occ = t.blocks()
+        ok = _passes(undecided.value, occ)
         if not ok.any():
             return None
-        first, size = first[ok], (last - first + 1)[ok]
-        starts = np.unique(np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-        return {"high": t.high, "low": t.low, "first": starts.astype(np.int32), "window": spans(t.sums, starts, starts + length).view(np.int64), "occ": t.occurrence(starts)}
+        doc, first, size = doc[ok], first[ok], (last - first + 1)[ok]
+        starts = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        doc = np.repeat(doc, size)
+        return t.named(doc, first=(starts - t.start[doc]).astype(np.int32), window=spans(t.sums, starts, starts + length).view(np.int64), occ=t.occurrence(doc, starts))
 
     fn, schema = _each(length, windows, {"high": "long", "low": "long", "first": "int", "window": "long", "occ": "long"})
     single = cut(texts.mapInPandas(fn, schema), "windows")
     more = single.join(_repeated(single, "window"), "window", "left_semi").select("high", "low", "first", F.col("first").alias("last"))
+    sure = found.select("outer", "high", "low", "first", "last").join(kinds.filter("a <> b").select("outer"), "outer", "left_semi").drop("outer")
     return sure.unionByName(more)
 
 
@@ -204,16 +256,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
     kept. kept (on request) is the rest as text, with bytes that are no UTF-8 any more replaced. An
     empty table gives an empty result; other columns are ignored.
     """
-    rows = documents(docs)
-    texts = rows.filter(F.octet_length("text") >= length).select("text")
-
-    @F.pandas_udf("high long, low long")
-    def identity(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for x in batches:
-            ids = [xxhash.xxh3_128_intdigest(t.encode("utf-8", "surrogatepass")) for t in x]
-            yield pd.DataFrame({"high": np.array([i >> 64 for i in ids], np.uint64).view(np.int64), "low": np.array([i & (2**64 - 1) for i in ids], np.uint64).view(np.int64)})
-
-    runs = repeated_windows(texts, length).groupBy("high", "low").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    rows = identified(documents(docs))
+    texts = rows.filter(F.octet_length("text") >= length).select("high", "low", "text")
+    runs = repeated_windows(texts, length).groupBy("high", "low").agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))).alias("runs"))
 
     def first_of_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
@@ -227,19 +272,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = False)
             for text, found in zip(pdf["text"], pdf["runs"]):
                 data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 edge = np.zeros(len(data) + 1, np.int64)
-                for r in found if found is not None else ():
-                    edge[r["first"]] += 1
-                    edge[r["last"] + length] -= 1
+                if found is not None:
+                    edge += np.bincount(found >> 32, minlength=len(edge))
+                    edge -= np.bincount((found & 0xFFFFFFFF) + length, minlength=len(edge))
                 gone = np.cumsum(edge[:-1]) > 0
                 left = data[~gone].tobytes()
                 out.append((int(gone.sum()), int((np.diff(np.r_[False, gone].astype(np.int8)) == 1).sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace") if with_text else None))
             res = pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "kept"])
             yield pd.concat([pdf[["high", "low"]].reset_index(drop=True), res], axis=1)
 
-    keyed = rows.withColumn("id", identity("text")).select("doc_id", "text", "id.high", "id.low")
-    distinct = keyed.select("high", "low", "text").mapInPandas(first_of_each, "high long, low long, text string")
+    distinct = rows.select("high", "low", "text").mapInPandas(first_of_each, IDENTITY)
     own = distinct.join(runs, ["high", "low"], "left").mapInPandas(keep, "high long, low long, n_removed long, n_spans long, kept_sha256 string, kept string").dropDuplicates(["high", "low"])
-    small = keyed.select("doc_id", "high", "low", F.octet_length("text").cast("long").alias("n_bytes"))
+    small = rows.select("doc_id", "high", "low", F.octet_length("text").cast("long").alias("n_bytes"))
     often = small.groupBy("high", "low").agg(F.count(F.lit(1)).alias("copies"))
     all_gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     told = own.join(often, ["high", "low"])
