@@ -100,13 +100,13 @@ def union_of_hosts(v):
     return L.hosts(v.table("pages"), "url").unionByName(L.hosts(v.observation(), "source_url")).unionByName(L.hosts(suppliers, "url")).distinct()
 
 
-@query("a10_record_to_observations", """SELECT o_orderkey, 'price' AS claim_type, CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) AS value, least(0.95, 0.35 + 0.6 * (o_orderkey % 100) / 100.0) AS confidence FROM orders
+@query("a10_record_to_observations", """SELECT o_orderkey, 'price' AS claim_type, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS value, least(0.95, 0.35 + 0.6 * (o_orderkey % 100) / 100.0) AS confidence FROM orders
     UNION ALL SELECT o_orderkey, 'priority', o_orderpriority, CAST(0.9 AS DOUBLE) FROM orders WHERE o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' UNION ALL SELECT o_orderkey, 'open', NULL, CAST(0.5 AS DOUBLE) FROM orders WHERE o_orderstatus = 'O'
     UNION ALL SELECT o_orderkey, 'milestone', o_orderstatus, CAST(0.8 AS DOUBLE) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000""")
 def record_rows(v):
     high = F.least(F.lit(0.95), 0.35 + 0.6 * (F.col("o_orderkey") % 100) / 100.0)
     kinds = [
-        ("price", F.lit(True), F.col("o_totalprice").cast("long"), high), ("priority", F.col("o_orderpriority").rlike("^[12]"), F.col("o_orderpriority"), F.lit(0.9)),
+        ("price", F.lit(True), F.floor("o_totalprice").cast("long"), high), ("priority", F.col("o_orderpriority").rlike("^[12]"), F.col("o_orderpriority"), F.lit(0.9)),
         ("open", F.col("o_orderstatus") == "O", F.lit(None), F.lit(0.5)), ("milestone", (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 100000), F.col("o_orderstatus"), F.lit(0.8)),
     ]
     return L.narrow(v.table("orders"), kinds, ["o_orderkey"])
