@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
-A candidate block is compressed with zstandard alone, and once with each license template as a raw
-dictionary; what a template saves, as a share of the size without one, ranks the templates. The
-winner is confirmed by the exact differences in wording between block and template.
+A block reaches as many words to both sides of a license mark as the longest confirmed wording can
+have, whatever the line ends. Every template of which a block holds enough words is aligned with it
+exactly, word by word. A wording found is compressed with zstandard alone, and with its template as
+a raw dictionary; what the template saves, as a share of the size without it, is reported and ranks
+wordings that are equally like.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -38,19 +43,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "All rights reserved."),
 ]
-MARK = re.compile(r"licen[cs]|permission is hereby|redistribut|all rights reserved|public domain|creative commons|\bcc by|\bcc0|warrant|waived", re.I)
+#: Words of a mark may stand on two lines, with a comment's sign between them.
+MARK = re.compile(r"licen[cs]|permission is hereby|redistribut|all rights reserved|public domain|creative commons|\bcc by|\bcc0|warrant|waived".replace(" ", "[^a-z0-9]+"), re.I)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.I)
 SCHEMA = "doc_id long, license string, start long, end long, saving double, similarity double, missing string, added string"
 LEVEL = 9
 
 
-def blocks(text: str, before: int = 60, after: int = 80) -> list[tuple[int, int]]:
-    """Stretches around license marks, cut at line ends; marks nearer than both margins share one."""
+def blocks(text: str, starts: list[int], reach: int) -> list[tuple[int, int]]:
+    """Ranges of words, `reach` to both sides of each license mark; ranges that meet are one. starts: where each word starts."""
     out: list[list[int]] = []
     for m in MARK.finditer(text):
-        s = max(text.rfind("\n", 0, m.start()) + 1, m.start() - before)
-        e = text.find("\n", m.end(), m.end() + after)
-        e = min(len(text), m.end() + after) if e < 0 else e
+        s = max(0, bisect.bisect_right(starts, m.start()) - 1 - reach)
+        e = min(len(starts), bisect.bisect_left(starts, m.end()) + reach)
         if out and s <= out[-1][1]:
             out[-1][1] = max(e, out[-1][1])
         else:
@@ -58,66 +63,132 @@ def blocks(text: str, before: int = 60, after: int = 80) -> list[tuple[int, int]
     return [(s, e) for s, e in out]
 
 
+def _rows(item: np.ndarray, text: np.ndarray, cost: float) -> Iterator[np.ndarray]:
+    """For each beginning of item: by end in text, the most matched words in order less `cost` for each text word put in between; words of item may be missing."""
+    steps = np.arange(len(text) + 1) * cost
+    row = np.zeros(len(text) + 1)
+    for w in item:
+        same = np.flatnonzero(text == w)
+        if len(same):
+            now = row.copy()
+            now[same + 1] = np.maximum(now[same + 1], row[same] + 1)
+            row = np.maximum.accumulate(now + steps) - steps
+        yield row
+
+
+def _trace(item: np.ndarray, text: np.ndarray, cost: float) -> list[tuple[int, int]]:
+    """The matched words (of item, of text) of the best alignment."""
+    rows = np.array([np.zeros(len(text) + 1), *_rows(item, text, cost)])
+    i, j = len(item), int((rows[-1] > rows[-1].max() - 1e-6).argmax())
+    out = []
+    while i and rows[i, j] > 1e-6:
+        if item[i - 1] == text[j - 1] and abs(rows[i, j] - rows[i - 1, j - 1] - 1) < 1e-6:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        elif abs(rows[i, j] - rows[i - 1, j]) < 1e-6:
+            i -= 1
+        else:
+            j -= 1
+    return out[::-1]
+
+
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]]):
-        self.all = templates
+    def __init__(self, templates: list[tuple[str, str]], similarity: float):
+        self.all, self.similarity = templates, similarity
         make = lambda **k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, **k).compress
         self.plain = make()
         self.primed = [make(dict_data=zstandard.ZstdCompressionDict(x.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, x in templates]
         self.words = [[w.lower() for w in WORD.findall(x)] for _, x in templates]
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """(saving, template), best first: the share of the template's own wording that the block's size falls by when the template is known."""
+        self.counts = [Counter(x) for x in self.words]
+        self.code: dict[str, int] = {}
+        self.coded = [np.array([self.code.setdefault(w, len(self.code)) for w in x], np.int64) for x in self.words]
+        #: a wording as like as `similarity` has at most so many words
+        self.spans = [math.ceil(len(x) / similarity) for x in self.words]
+        self.reach = max(self.spans, default=0)
+
+    def saving(self, block: str, i: int) -> float:
+        """The share of the template's own wording that the block's size falls by when the template is known."""
         raw = block.encode("utf-8", "surrogatepass")
         size = len(self.plain(raw))
-        saved = [(size - len(f(raw))) / max(1, min(size, len(self.plain(x.encode())))) for f, (_, x) in zip(self.primed, self.all)]
-        return sorted(((s, i) for i, s in enumerate(saved)), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str, i: int, similarity: float):
-        """(start, end, likeness, missing, added) of the template's wording in the block, or None: words of the template in order, over all of them, less those put in between."""
-        found = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(block)]
-        same = [m for m in SequenceMatcher(None, self.words[i], [w for *_, w in found], autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return None
-        a, z = same[0].b, same[-1].b + same[-1].size
-        kept = {same_a for m in same for same_a in range(m.a, m.a + m.size)}
-        inside = {b for m in same for b in range(m.b, m.b + m.size)}
-        added = [found[k][2] for k in range(a, z) if k not in inside]
-        like = len(kept) / (len(self.words[i]) + len(added))
-        missing = [w for k, w in enumerate(self.words[i]) if k not in kept]
-        return (found[a][0], found[z - 1][1], like, " ".join(missing), " ".join(added)) if like >= similarity else None
-
-
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, similarity: float = 0.8, tries: int = 4) -> DataFrame:
+        return (size - len(self.primed[i](raw))) / max(1, min(size, len(self.plain(self.all[i][1].encode()))))
+
+    def confirm(self, coded: np.ndarray, i: int) -> Iterator[tuple[float, list[tuple[int, int]]]]:
+        """(likeness, matched words) of wordings of the template among coded words: words of the template in order, over all of them and those put in between.
+
+        kept / (all + added) reaches the similarity where kept - similarity * added reaches similarity * all, so each such wording
+        shows in one pass; then the cost is raised to the likeness found for as long as that finds one more like.
+        """
+        least = self.similarity * len(self.words[i]) - 1e-6
+        row = np.zeros(len(coded) + 1)
+        for row in _rows(self.coded[i], coded, self.similarity):
+            pass
+        over = np.r_[False, row >= least, False].astype(np.int8)
+        edge = np.flatnonzero(np.diff(over))
+        for s, e in zip(edge[::2], edge[1::2]):
+            end = s + int((row[s:e] > row[s:e].max() - 1e-6).argmax())
+            start = max(0, end - self.spans[i])
+            like, same = -1.0, []
+            now, cost = self.similarity, self.similarity
+            while now > like + 1e-9:
+                found = _trace(self.coded[i], coded[start:end], cost)
+                if not found:
+                    break
+                now = len(found) / (len(self.words[i]) + found[-1][1] + 1 - found[0][1] - len(found))
+                if now > like + 1e-9:
+                    like, same, cost = now, [(a, start + b) for a, b in found], now
+                else:
+                    break
+            if same and like >= self.similarity - 1e-9:
+                yield like, same
+
+    def find(self, text: str) -> Iterator[tuple]:
+        """(template, start, end, saving, likeness, missing, added) of the licenses in a text."""
+        if not MARK.search(text):
+            return
+        found = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+        coded = np.array([self.code.get(w, -1) for *_, w in found], np.int64)
+        todo = blocks(text, [s for s, *_ in found], self.reach)
+        while todo:
+            s, e = todo.pop()
+            if s >= e or not MARK.search(text, found[s][0], found[e - 1][1]):
+                continue
+            held = Counter(w for *_, w in found[s:e])
+            hits = []
+            for i, words in enumerate(self.words):
+                # no alignment keeps more words than the block holds of the template
+                if not words or sum(min(n, held[w]) for w, n in self.counts[i].items()) < self.similarity * len(words) - 1e-6:
+                    continue
+                for like, same in self.confirm(coded[s:e], i):
+                    a, z = s + same[0][1], s + same[-1][1] + 1
+                    kept, inside = {x for x, _ in same}, {s + x for _, x in same}
+                    missing = [w for k, w in enumerate(words) if k not in kept]
+                    added = [found[k][2] for k in range(a, z) if k not in inside]
+                    hits.append((len(same) - len(missing) - len(added), like, self.saving(text[found[a][0] : found[z - 1][1]], i), -i, a, z, missing, added))
+            taken: list[tuple[int, int]] = []
+            for _, like, saving, i, a, z, missing, added in sorted(hits, key=lambda x: x[:6], reverse=True):
+                at = bisect.bisect_left(taken, (a, z))
+                if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z):
+                    continue
+                taken.insert(at, (a, z))
+                yield -i, found[a][0], found[z - 1][1], saving, like, " ".join(missing), " ".join(added)
+            if taken:  # what stands around them may hold others
+                todo += zip([s, *(z for _, z in taken)], [*(a for a, _ in taken), e])
+
+
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, similarity: float = 0.8) -> DataFrame:
     """One row for each license found in each row of docs, as in SCHEMA; start and end are code points, end exclusive.
 
-    The best `tries` templates by saving are confirmed in that order; the most like wording wins
-    (ties: the longer template, then the first). missing and added are the differences in wording. Null and empty
-    texts, and blocks without a confirmed template, give no row. A block gives each of its licenses
-    once. Repeated rows give repeated results; other columns are ignored.
+    Every wording as like a template as `similarity` is found, over line ends and whatever stands between its words, if a mark
+    stands in it. Of wordings that share words, the one with most of its template's words less the differences wins (ties: the more
+    like, the larger saving, then the first template). missing and added are the differences in wording. Null and empty texts, and
+    blocks without a confirmed template, give no row. Repeated rows give repeated results; other columns are ignored.
     """
     templates = templates or TEMPLATES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Templates(templates)
+        known = Templates(templates, similarity)
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                for s, e in blocks(text):
-                    todo = [(s, e)]
-                    while todo:
-                        s, e = todo.pop()
-                        block, best = text[s:e], None
-                        if not MARK.search(block):
-                            continue
-                        for saving, i in [x for x in known.ranked(block)[:tries] if x[0] > 0]:
-                            hit = known.confirm(block, i, similarity)
-                            if hit and (best is None or (hit[2], len(known.words[i])) > (best[0][2], len(known.words[best[1]]))):
-                                best = hit, i, saving
-                        if best:
-                            hit, i, saving = best
-                            rows.append((doc, templates[i][0], s + hit[0], s + hit[1], saving, hit[2], hit[3], hit[4]))
-                            todo += [(s, s + hit[0]), (s + hit[1], e)]  # what stands around it may hold another
+            rows = [(doc, templates[i][0], *hit) for doc, text in zip(pdf["doc_id"], pdf["text"]) for i, *hit in known.find(text)]
             out = pd.DataFrame(rows, columns=["doc_id", "license", "start", "end", "saving", "similarity", "missing", "added"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out

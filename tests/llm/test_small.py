@@ -245,6 +245,28 @@ def test_op7(spark, docs, none):
     assert licenses.scan_licenses(none).collect() == [] == licenses.scan_licenses(docs).collect()
 
 
+def test_whole_license_texts(spark):
+    """Every template, wrapped as in a header, on one line, and with every 20th word changed; two neighbours stay apart."""
+    import textwrap
+
+    whole = [(i, name, x) for i, (name, x) in enumerate(licenses.TEMPLATES)]
+    wrapped = lambda x: "\n".join(" * " + line for line in textwrap.wrap(x, 70))
+    edited = lambda x: " ".join("changed" if k % 20 == 19 else w for k, w in enumerate(x.split()))
+    rows, want = [], {}
+    for i, name, x in whole:
+        for k, form in enumerate((wrapped(x), x, edited(x))):
+            rows.append((3 * i + k, prose(50) + "\n" + form + "\n" + prose(50)))
+            want[3 * i + k] = [name]
+    rows.append((1000, wrapped(licenses.TEMPLATES[2][1]) + "\n" + prose(9) + "\n" + wrapped(licenses.TEMPLATES[8][1])))
+    want[1000] = ["BSD-3-Clause", "MIT"]
+    got = byid(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert {i: sorted(r.license for r in rs) for i, rs in got.items()} == want
+    for i, _, x in whole:
+        hit = got[3 * i][0]
+        assert hit.similarity == 1 and not hit.missing and not hit.added
+        assert licenses.WORD.findall(dict(rows)[3 * i][hit.start : hit.end]) == licenses.WORD.findall(x)
+
+
 def test_op8(docs, none):
     got = byid(fingerprints.fingerprint_edits(docs).collect())
     assert sum(map(len, got.values())) == len(TEXTS)
