@@ -1,14 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are seeds. One pass over the documents tests every n-gram against a
-filter of fixed size made of the seeds, and keeps the neighbourhoods of hits. Seeds that are rare
-among the documents, measured against the other seeds of their item (so that an item copied into a
-third of all documents keeps its seeds), join neighbourhoods to items. Each such pair is aligned
-word by word; the share of the item's words that the best local alignment earns is the score.
+filter of fixed size made of the seeds, and keeps the neighbourhoods of hits. Every seed joins the
+distinct neighbourhoods to items, however many have it: the rarest seed that a pair shares may be a
+frequent one, where an edited passage is itself copied often. Each such pair is aligned once, word
+by word, unless the words it shares are too few for the threshold; the share of the item's words
+that the best local alignment earns is the score, and goes back to all documents with that text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -22,6 +24,8 @@ from palimpsest.llm.rolling import mix, prefix, spans
 
 #: log2 of the filter's bits: 2 MB, whatever the benchmark's size; false hits fall out in the join.
 FILTER_BITS = 24
+#: A text of more documents than this is joined back in blocks.
+COPIES = 2048
 #: Bytes of words: letters, digits and all of other scripts.
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -32,8 +36,8 @@ def words_in(text: str) -> list[bytes]:
     return WORDS.findall(text.lower().encode("utf-8", "surrogatepass"))
 
 
-def _grams(texts: list[str], n: int):
-    """Of the texts, one after the other: their bytes, the words' starts and ends, each word's text, and (first word, hash) of each n-gram."""
+def _grams(texts: list[str], sizes: list[int]):
+    """Of the texts, one after the other: their bytes, the words' starts and ends, each word's text, and (first word, hash, size) of each n-gram of these sizes, by first word."""
     parts = [x.lower().encode("utf-8", "surrogatepass") + b"\n" for x in texts]
     raw = b"".join(parts)
     data = np.frombuffer(raw, np.uint8)
@@ -42,24 +46,34 @@ def _grams(texts: list[str], n: int):
     start, end = edge[::2], edge[1::2]
     whose = np.searchsorted(np.cumsum([len(x) for x in parts]), start, side="right")
     h = spans(prefix(data), start, end)
-    if len(h) < n:
-        return raw, start, end, whose, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    gram = np.zeros(len(h) - n + 1, np.uint64)
-    for k in range(n):
-        gram = mix(gram * np.uint64(3) + h[k : len(h) - n + 1 + k])
-    inside = np.flatnonzero(whose[: len(gram)] == whose[n - 1 :])
-    return raw, start, end, whose, inside, gram[inside]
+    firsts, grams, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for n in sizes:
+        if len(h) < n:
+            continue
+        gram = np.zeros(len(h) - n + 1, np.uint64)
+        for k in range(n):
+            gram = mix(gram * np.uint64(3) + h[k : len(h) - n + 1 + k])
+        inside = np.flatnonzero(whose[: len(gram)] == whose[n - 1 :])
+        firsts.append(inside)
+        grams.append(gram[inside])
+        lengths.append(np.full(len(inside), n))
+    first, gram, length = (np.concatenate(x) for x in (firsts, grams, lengths))
+    if len(sizes) > 1:
+        order = np.argsort(first, kind="stable")
+        first, gram, length = first[order], gram[order], length[order]
+    return raw, start, end, whose, first, gram, length
 
 
 def seeds(items: DataFrame, n: int) -> DataFrame:
-    """(item_id, seed) of every n-gram of every item; an item of fewer words has its whole sequence as no seed and can't be found."""
+    """(item_id, seed, size) of every n-gram of every item; the seed of an item of fewer words is its whole sequence."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            _, _, _, whose, first, gram = _grams(pdf["text"].tolist(), n)
-            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[whose[first]] if len(first) else np.zeros(0, np.int64), "seed": gram.view(np.int64)})
+            _, _, _, whose, first, gram, length = _grams(pdf["text"].tolist(), list(range(1, n + 1)))
+            own = length == np.minimum(n, np.bincount(whose, minlength=len(pdf)))[whose[first]]
+            yield pd.DataFrame({"item_id": pdf["item_id"].to_numpy()[whose[first[own]]] if own.any() else np.zeros(0, np.int64), "seed": gram[own].view(np.int64), "size": length[own]})
 
-    return items.mapInPandas(run, "item_id long, seed long").distinct()
+    return items.mapInPandas(run, "item_id long, seed long, size long").distinct()
 
 
 def _bits(seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,27 +97,27 @@ def seed_filter(found: DataFrame) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if len(words) else np.zeros(1 << FILTER_BITS, bool)
 
 
-def neighbourhoods(docs: DataFrame, marks: np.ndarray, n: int, reach: int) -> DataFrame:
-    """(doc_id, region, first_byte, text, seeds): stretches of a document around n-grams that pass the filter, `reach` words to both sides; nearer hits share one."""
+def neighbourhoods(docs: DataFrame, marks: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
+    """(doc_id, text, seeds): stretches of a document around n-grams that pass the filter, `reach` words to both sides; nearer hits share one."""
     held = docs.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         marks = np.unpackbits(held.value, bitorder="little").astype(bool)
 
         def scan(ids: list, texts: list[str]) -> pd.DataFrame:
-            raw, start, end, whose, first, gram = _grams(texts, n)
+            raw, start, end, whose, first, gram, length = _grams(texts, sizes)
             one, two = _bits(gram)
             hit = marks[one] & marks[two]
-            first, gram = first[hit], gram[hit]
+            first, gram, length = first[hit], gram[hit], length[hit]
             rows = []
             if len(first):
                 apart = np.flatnonzero((np.diff(first) > reach) | (np.diff(whose[first]) != 0)) + 1
                 lo, hi = np.searchsorted(whose, np.arange(len(texts))), np.searchsorted(whose, np.arange(len(texts)), side="right")
-                for region, (a, b) in enumerate(zip(np.r_[0, apart], np.r_[apart, len(first)])):
+                for a, b in zip(np.r_[0, apart], np.r_[apart, len(first)]):
                     d = whose[first[a]]
-                    s, e = max(first[a] - reach, lo[d]), min(first[b - 1] + n + reach, hi[d])
-                    rows.append((ids[d], region, int(start[s] - start[lo[d]]), raw[start[s] : end[e - 1]].decode("utf-8", "surrogatepass"), np.unique(gram[a:b]).view(np.int64)))
-            out = pd.DataFrame(rows, columns=["doc_id", "region", "first_byte", "text", "seeds"])
+                    s, e = max(first[a] - reach, lo[d]), min(first[b - 1] + length[b - 1] + reach, hi[d])
+                    rows.append((ids[d], raw[start[s] : end[e - 1]].decode("utf-8", "surrogatepass"), np.unique(gram[a:b]).view(np.int64)))
+            out = pd.DataFrame(rows, columns=["doc_id", "text", "seeds"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             return out
 
@@ -116,7 +130,7 @@ def neighbourhoods(docs: DataFrame, marks: np.ndarray, n: int, reach: int) -> Da
                     yield scan(ids[a : i + 1], texts[a : i + 1])
                     a, size = i + 1, 0
 
-    return docs.mapInPandas(run, "doc_id long, region int, first_byte long, text string, seeds array<long>")
+    return docs.mapInPandas(run, "doc_id long, text string, seeds array<long>")
 
 
 def align(item: np.ndarray, text: np.ndarray, gap: int = 1) -> tuple[int, int, int]:
@@ -141,44 +155,56 @@ def align(item: np.ndarray, text: np.ndarray, gap: int = 1) -> tuple[int, int, i
     return score, j - back, j
 
 
-def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc, item, text, passage in zip(pdf["doc_id"], pdf["item_id"], pdf["text"], pdf["item_text"]):
-            a, b = words_in(passage), words_in(text)
-            code: dict[bytes, int] = {}
-            x, y = (np.array([code.setdefault(w, len(code)) for w in ws], np.int64) for ws in (a, b))
-            score, s, e = align(x, y)
-            rows.append((doc, item, score / len(a), b" ".join(b[s:e]).decode("utf-8", "surrogatepass")))
-        out = pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "passage"])
-        out["doc_id"], out["item_id"] = out["doc_id"].astype("Int64"), out["item_id"].astype("Int64")
-        yield out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5, rare: int = 20, factor: float = 4.0) -> DataFrame:
+def _aligned(threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, item, text, passage in zip(pdf["key"], pdf["item_id"], pdf["text"], pdf["item_text"]):
+                a, b = words_in(passage), words_in(text)
+                code: dict[bytes, int] = {}
+                x, y = (np.array([code.setdefault(w, len(code)) for w in ws], np.int64) for ws in (a, b))
+                if not a or np.minimum(*(np.bincount(z, minlength=len(code)) for z in (x, y))).sum() < threshold * len(a):
+                    continue  # no alignment scores more than the words shared
+                score, s, e = align(x, y)
+                if score / len(a) >= threshold:
+                    rows.append((key, item, score / len(a), b" ".join(b[s:e]).decode("utf-8", "surrogatepass")))
+            out = pd.DataFrame(rows, columns=["key", "item_id", "score", "passage"])
+            out["item_id"] = out["item_id"].astype("Int64")
+            yield out
+
+    return run
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: float = 0.5) -> DataFrame:
     """(doc_id, item_id, score, passage): documents that hold an item, whole or edited, with the aligned words.
 
-    score is the alignment's score over the item's number of words, from `threshold` to 1. A seed
-    is rare if at most `rare` neighbourhoods have it, or at most `factor` times the median of its
-    item's seeds that occur. Null texts and items count as empty and are never found; items under n
-    words have no seed. Repeated documents and items each give their pairs (once for a repeated
-    pair of ids, with the best score). Empty tables give an empty result; other columns are ignored.
+    score is the alignment's score over the item's number of words, from `threshold` to 1. Every passage
+    that shares `n` words in a row with an item is aligned with it; an item under n words is found where its whole
+    sequence stands. Null texts and items count as empty and are never found. Repeated documents
+    and items each give their pairs (once for a repeated pair of ids, with the best score). Empty tables
+    give an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = cut(seeds(items, n), "seeds")
-    reach = items.agg(F.max(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    near = cut(neighbourhoods(documents(docs), seed_filter(found), n, reach), "neighbourhoods")
-    hits = near.select("doc_id", "region", "first_byte", F.explode("seeds").alias("seed"))
-    often = hits.groupBy("seed").agg(F.count(F.lit(1)).alias("df")).join(found, "seed")
-    usual = often.groupBy("item_id").agg(F.percentile("df", F.lit(0.5)).alias("usual"))
-    rare_seeds = often.join(usual, "item_id").filter((F.col("df") <= rare) | (F.col("df") <= factor * F.col("usual"))).select("seed", "item_id")
-    key = F.xxhash64("doc_id", "region", "first_byte", "text")
-    pairs = near.select(key.alias("key"), F.explode("seeds").alias("seed")).join(rare_seeds, "seed").select("key", "item_id").distinct()
-    texts = near.select(key.alias("key"), "doc_id", "text").dropDuplicates(["key"])
-    both = pairs.join(texts, "key").join(items.select("item_id", F.col("text").alias("item_text")).distinct(), "item_id")
-    scored = both.select("doc_id", "item_id", "text", "item_text").mapInPandas(_aligned, "doc_id long, item_id long, score double, passage string").filter(F.col("score") >= threshold)
-    return scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "passage")).alias("best")).select("doc_id", "item_id", "best.score", "best.passage")
+    sizes = sorted({n, *(r.size_ for r in found.select(F.col("size").alias("size_")).distinct().collect())})  # n numbers at most
+    found = found.select("item_id", "seed")
+    longest = items.agg(F.max(F.length("text") - F.length(F.regexp_replace(F.lower("text"), r"(?<![0-9a-z\x{80}-\x{10ffff}])[0-9a-z\x{80}-\x{10ffff}]", "")))).first()[0] or 0
+    # of a passage over the threshold, the words put in are fewer than the score leaves
+    reach = math.ceil(longest * (2 - threshold))
+    near = cut(neighbourhoods(documents(docs), seed_filter(found), sizes, reach).withColumn("key", F.sha2("text", 256)), "neighbourhoods")
+    texts = near.dropDuplicates(["key"]).select("key", "text", "seeds")
+    pairs = texts.select("key", F.explode("seeds").alias("seed")).join(found, "seed").select("key", "item_id").distinct()
+    both = pairs.join(texts.select("key", "text"), "key").join(items.select("item_id", F.col("text").alias("item_text")).distinct(), "item_id")
+    scored = both.mapInPandas(_aligned(threshold), "key string, item_id long, score double, passage string")
+    # a text of many documents is dealt out in blocks
+    block = lambda x: F.pmod(F.xxhash64(F.coalesce(x, F.lit(0))), F.col("blocks"))
+    sizes_of = near.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / COPIES).alias("blocks"))
+    many = sizes_of.filter("blocks > 1")
+    holders = near.select("key", "doc_id").join(F.broadcast(many), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    holders = holders.select("key", "doc_id", block(F.col("doc_id")).alias("block"))
+    dealt = scored.join(F.broadcast(many), "key", "left").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    back = holders.join(dealt, ["key", "block"])
+    return back.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "passage")).alias("best")).select("doc_id", "item_id", "best.score", "best.passage")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

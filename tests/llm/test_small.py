@@ -237,6 +237,20 @@ def test_op6(spark, docs, none):
     assert decontaminate.contaminated(docs, bench).collect() == []
 
 
+def test_op6_copied_edits(spark):
+    """An edited passage that is itself copied often is found beside a few whole ones, half an item too, and an item under n words."""
+    item, other = prose(40).split(), prose(40).split()
+    edited = ["zz" if k % 7 == 6 else w for k, w in enumerate(item)]
+    rows = [(i, prose(5) + " " + " ".join(item)) for i in range(3)] + [(10 + i, prose(5) + " " + " ".join(edited)) for i in range(150)]
+    rows += [(200 + i, prose(5) + " " + " ".join(other)) for i in range(3)] + [(300 + i, prose(5) + " " + " ".join(other[:22])) for i in range(150)]
+    rows += [(500 + i, "the same " + " ".join(edited)) for i in range(2500)] + [(4000, "so they met qqq-rrr at noon")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, "Qqq rrr")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    want = {(i, 1) for i in (*range(3), *range(10, 160), *range(500, 3000))} | {(i, 2) for i in (*range(200, 203), *range(300, 450))} | {(4000, 3)}
+    assert set(got) == want and got[0, 1] == 1 == got[4000, 3]
+    assert {round(got[i, 1], 9) for i in (*range(10, 160), *range(500, 3000))} == {round(slow_align(item, edited) / 40, 9)}
+
+
 def test_op7(spark, docs, none):
     rows = [(1, prose(20) + "\nReleased under the MIT License.\n" + prose(5)), (2, "Licensed under CC BY-NC 4.0. Licensed under the Apache License, Version 2.0."), (3, "a license to think " + prose(20)), (4, None), (5, "This work is licensed under the GNU General Public License version 3")]
     got = byid(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
