@@ -73,9 +73,11 @@ def skyline(vectors: DataFrame, a: str, level: str, b: str, levels: int = 3) ->
     return _mark(_ranges(vectors, a, level, b), a, level, b, levels).drop("_range")
 
 
-def _fronts_here(pdf: pd.DataFrame, levels: int, first: int) -> list[int]:
-    """The front of each of some vectors, in the order of a, b, level falling. If a front holds a dominator, so does each one before it, so the vector's own front is found by bisection over the fronts' largest b."""
-    best: list[list[float]] = [[] for _ in range(levels)]  # by least level, then front: the negated largest b
+def _fronts_here(pdf: pd.DataFrame, levels: int, best: list[list[float]]) -> list[int]:
+    """The front of each of some vectors, in the order of a, b, level falling. If a front holds a dominator, so does each one before it, so the vector's own front is found by bisection over the fronts' largest b.
+
+    best holds these, by least level, then front, negated, of all vectors before; it is brought up to date.
+    """
     out = []
     for level, b in zip(pdf["level"], pdf["b"]):
         front = bisect.bisect_right(best[level], -b)
@@ -84,46 +86,57 @@ def _fronts_here(pdf: pd.DataFrame, levels: int, first: int) -> list[int]:
                 best[k].append(math.inf)
             if k <= level:
                 best[k][front] = min(best[k][front], -b)
-        out.append(first + front)
+        out.append(front)
     return out
 
 
-def _finish(levels: int, first: int, most: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _carry(levels: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The fronts of one range, and the fronts' largest b by least level after it (`state`), from those after the range before."""
+
+    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        best = [[math.inf] * int((before["level"] == 0).sum()) for _ in range(levels)]  # level 0 counts every vector, so it has every front
+        for level, b, front in zip(before["level"], before["b"], before["front"]):
+            best[level][front] = -int(b)
         pdf = pdf.sort_values(["a", "b", "level"], ascending=False)
-        return pdf[["a", "level", "b"]].assign(front=[min(f, most) for f in _fronts_here(pdf, levels, first)])
+        rows = pdf[["a", "level", "b"]].assign(front=_fronts_here(pdf, levels, best), state=False)
+        held = [(0, k, -x, f, True) for k in range(levels) for f, x in enumerate(best[k]) if x != math.inf]
+        return pd.concat([rows, pd.DataFrame(held, columns=list(rows.columns))])
 
     return run
 
 
-def pareto_fronts(df: DataFrame, a: str, level: str, b: str, levels: int = 3, max_fronts: int = 1000, small: int = 20_000) -> DataFrame:
-    """(a, level, b, front) of each distinct vector: front 0 is dominated by none, the next by front 0 alone, and so on.
+def pareto_fronts(df: DataFrame, a: str, level: str, b: str, levels: int = 3, small: int = 20_000) -> DataFrame:
+    """(a, level, b, front) of each distinct vector: front 0 is dominated by none, the next by front 0 alone, and so on, to the last.
 
-    The ranges are cut once; a peel is one pass over what is left. When `small` vectors or fewer are left, which one task holds
-    easily, they are finished there in one go. Beyond max_fronts the rest is one last front.
+    In the order of a, b and level falling, whatever dominates a vector stands before it, so one ordered pass gives all fronts. The
+    order is cut into ranges of `small` vectors on average, read in turn; a range hands on the largest b of each front and least level.
     """
     distinct = df.select(F.col(a).cast("long").alias("a"), F.col(level).cast("long").alias("level"), F.col(b).cast("long").alias("b")).dropna().distinct()
-    left = _ranges(distinct, "a", "level", "b")
-    names = [F.col("a").alias(a), F.col("level").alias(level), F.col("b").alias(b), "front"]
-    done = None
-    for front in range(max_fronts):
-        if left.count() <= small:
-            rest = left.select("a", "level", "b", F.lit(0).alias("_all")).groupBy("_all").applyInPandas(_finish(levels, front, max_fronts), "a long, level long, b long, front long")
-            return (rest if done is None else done.unionByName(rest)).select(*names)
-        marked = written(_mark(left, "a", "level", "b", levels))
-        peeled = marked.filter("NOT dominated").select("a", "level", "b", F.lit(front).cast("long").alias("front"))
-        done = peeled if done is None else done.unionByName(peeled)
-        left = marked.filter("dominated").drop("dominated")
-    return done.unionByName(left.select("a", "level", "b", F.lit(max_fronts).cast("long").alias("front"))).select(*names)
-
-
-def rank_board(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, vector: tuple[str, str, str], weights: dict[str, float], levels: int = 3, max_fronts: int = 1000) -> DataFrame:
+    distinct = written(distinct)
+    pieces = max(1, -(-distinct.count() // small))
+    ranged = written(distinct.repartitionByRange(pieces, F.desc("a"), F.desc("b"), F.desc("level")).withColumn("_range", F.spark_partition_id()))
+    schema = "a long, level long, b long, front long, state boolean"
+    spark = df.sparkSession
+    state, paths, out = spark.createDataFrame([], schema), [], None
+    for r in range(pieces):
+        here = ranged.filter(F.col("_range") == r).withColumn("_all", F.lit(0)).groupBy("_all")
+        out = here.cogroup(state.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(_carry(levels), schema)
+        if pieces > 1:
+            paths.append(_path(df))
+            out.write.parquet(paths[-1])
+            state = spark.read.schema(schema).parquet(paths[-1]).filter("state")
+    if paths:
+        out = spark.read.schema(schema).parquet(*paths)
+    return out.filter("NOT state").select(F.col("a").alias(a), F.col("level").alias(level), F.col("b").alias(b), "front")
+
+
+def rank_board(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, vector: tuple[str, str, str], weights: dict[str, float], levels: int = 3) -> DataFrame:
     """The scored rows with front and rank: by front, then by the weighted sum of index percentiles, falling, then by key.
 
     score is a hook on plans, DataFrame to DataFrame, not on rows; it must give the vector's columns (none null) and those that weights names.
     """
     board = score(df)
-    fronts = pareto_fronts(board, *vector, levels=levels, max_fronts=max_fronts)
+    fronts = pareto_fronts(board, *vector, levels=levels)
     board = board.join(fronts, list(vector))
     for c in weights:
         board = index_percentile(board, c, key, f"_p_{c}")

@@ -146,3 +146,19 @@ def test_fronts_peel_and_finish_alike(spark, sf):
     v = vectors(Views(spark, sf))
     one, two = (sorted(map(tuple, R.pareto_fronts(v, "a", "level", "b", small=n).collect())) for n in (10**6, 120))
     assert one == two and max(r[3] for r in one) > 3
+
+
+def test_fronts_are_told_to_the_last(spark):
+    """A chain of more than a thousand fronts among others, in one task and over ranges, against a pass over all pairs."""
+    import random
+
+    rng = random.Random(3)
+    vectors = list({*((i, i * 3 // 1600, i) for i in range(1600)), *((rng.randrange(1600), rng.randrange(3), rng.randrange(1600)) for _ in range(400))})
+    want: dict[tuple, int] = {}
+    for x in sorted(vectors, key=lambda v: (-v[0], -v[2], -v[1])):
+        want[x] = 1 + max((f for y, f in want.items() if all(p >= q for p, q in zip(y, x))), default=-1)
+    assert max(want.values()) > 1500
+    df = spark.createDataFrame(vectors + vectors[:50], "a long, level long, b long")
+    for small in (10**6, 700):
+        got = {(r.a, r.level, r.b): r.front for r in R.pareto_fronts(df, "a", "level", "b", small=small).collect()}
+        assert got == want
