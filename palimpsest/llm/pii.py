@@ -1,10 +1,11 @@
 """Information-theoretic sanitisation of personal data, in SQL expressions.
 
-Base patterns give the protected entities. For each term in the words around an entity, document
+Base patterns give the protected entities. For each term in the documents of an entity, document
 counts over the whole corpus estimate how much the term tells of it: the pointwise mutual
 information of term and entity, as a share of the entity's own information content. Terms that
-tell more than the threshold, with a minimum of support, become spans of kind `term`, and the
-sanitised text has them removed, as it has entities generalised to their kind.
+tell more than the threshold, with a minimum of support, become spans of kind `term` wherever they
+stand, in whatever document, and the sanitised text has them removed, as it has entities
+generalised to their kind.
 """
 
 from __future__ import annotations
@@ -25,8 +26,7 @@ PATTERNS = {
 GATES = {"email": "contains(text, '@')", "ip": r"text RLIKE r'[0-9]\.[0-9]+\.[0-9]+\.[0-9]'", "card": r"text RLIKE r'[0-9](?:[\x20-]?[0-9]){11}'", "phone": r"contains(text, '+') AND text RLIKE r'\+[0-9]'"}
 KINDS = [*PATTERNS, "term"]
 WORD = r"\p{L}+"
-#: Characters around an entity in which terms are sought.
-AROUND = 200
+KEY = ["doc_id", "h", "n"]
 
 
 def luhn(digits: Column) -> Column:
@@ -48,8 +48,15 @@ def _key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("text")).withColumn("n", F.length("text"))
 
 
+def _meet(a: DataFrame, b: DataFrame, how: str = "inner", more: Column | None = None) -> DataFrame:
+    """a joined with the rows of b of the same document, a null id too; b's other columns must have names of their own."""
+    b = b.withColumnsRenamed({c: f"_{c}" for c in KEY})
+    same = (F.col("h") == F.col("_h")) & (F.col("n") == F.col("_n")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))
+    return a.join(b, same if more is None else same & more, how).drop(*[f"_{c}" for c in KEY])
+
+
 def base_matches(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, n, kind, start, end, found, before, after) of every base span of distinct rows.
+    """(doc_id, h, n, kind, start, end, found) of every base span of distinct rows.
 
     A text is cut at its matches: the lengths of the pieces between them, added up with the
     matches' own, give the offsets in code points.
@@ -57,59 +64,71 @@ def base_matches(rows: DataFrame) -> DataFrame:
     parts = None
     for kind, pattern in PATTERNS.items():
         found = rows.filter(GATES[kind]).select("doc_id", "h", "n", F.regexp_extract_all("text", F.lit(pattern), 0).alias("found"), F.split("text", pattern, -1).alias("gaps"))
-        one = found.filter(F.size("found") > 0).select("doc_id", "h", "n", F.lit(kind).alias("kind"), F.posexplode(F.expr("""
-            transform(found, (x, i) -> named_struct('found', x, 'gap', length(gaps[i]), 'before', right(gaps[i], {0}), 'after', left(gaps[i + 1], {0})))
-        """.format(AROUND))).alias("nth", "m")).select("doc_id", "h", "n", "kind", "nth", "m.*")
+        one = found.filter(F.size("found") > 0).select("doc_id", "h", "n", F.lit(kind).alias("kind"), F.posexplode(F.expr("transform(found, (x, i) -> named_struct('found', x, 'gap', length(gaps[i])))")).alias("nth", "m")).select("doc_id", "h", "n", "kind", "nth", "m.*")
         parts = one if parts is None else parts.unionByName(one)
     parts = parts.dropDuplicates(["doc_id", "h", "n", "kind", "nth"])
     so_far = Window.partitionBy("doc_id", "h", "n", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(so_far)
     placed = parts.withColumn("end", end.cast("int")).withColumn("start", F.col("end") - F.length("found"))
-    return placed.filter(valid(F.col("kind"), F.col("found"))).select("doc_id", "h", "n", "kind", "start", "end", "found", "before", "after")
+    return placed.filter(valid(F.col("kind"), F.col("found"))).select("doc_id", "h", "n", "kind", "start", "end", "found")
 
 
-def context_terms(matches: DataFrame, words: int) -> DataFrame:
-    """(doc_id, h, n, entity, term, start, end): the lower-cased words, four letters or more, among the nearest `words` on each side of each base span."""
-    side = lambda text, origin, cut_off: F.expr(f"""
-        transform(regexp_extract_all({text}, r'{WORD}', 0), (x, i) -> named_struct('term', lower(x), 'nth', i,
-            'start', {origin} + aggregate(slice(split({text}, r'{WORD}', -1), 1, i + 1), 0, (s, g) -> s + length(g)) + aggregate(slice(regexp_extract_all({text}, r'{WORD}', 0), 1, i), 0, (s, g) -> s + length(g)),
-            'size', length(x), 'whole', {cut_off}))
-    """)
-    left = side("before", "start - length(before)", f"NOT (i = 0 AND length(before) = {AROUND} AND before RLIKE r'^{WORD}')")
-    right = side("after", "end", f"NOT (length(after) = {AROUND} AND i = size(regexp_extract_all(after, r'{WORD}', 0)) - 1)")
-    both = matches.select("doc_id", "h", "n", F.lower("found").alias("entity"), F.explode(F.concat(F.slice(F.reverse(left), 1, words), F.slice(right, 1, words))).alias("t"))
-    return both.filter("t.whole AND t.size >= 4").select("doc_id", "h", "n", "entity", "t.term", F.col("t.start").alias("start"), (F.col("t.start") + F.col("t.size")).alias("end"))
+def terms_of(text: Column) -> Column:
+    """The distinct lower-cased words of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), 0), F.lower))
 
 
-def disclosing_terms(rows: DataFrame, matches: DataFrame, terms: DataFrame, threshold: float, support: int) -> DataFrame:
+def disclosing_terms(rows: DataFrame, matches: DataFrame, threshold: float, support: int) -> DataFrame:
     """(entity, term, disclosure) of the pairs over the threshold.
 
     With n documents, disclosure = ln(n · n(term, entity) / (n(term) · n(entity))) / ln(n / n(entity)):
-    1 if every document with the term has the entity beside it. n(term) counts all documents of the
-    corpus that have the word.
+    1 if every document with the term has the entity. n(term) counts all documents of the corpus that have the
+    word, n(term, entity) those that have both, the word outside of addresses. As n(term, entity) is n(entity) at
+    most, entities of less than `support` documents and terms of too many for the threshold fall out before words meet entities.
     """
-    doc = F.struct("doc_id", "h", "n")
-    pairs = terms.groupBy("entity", "term").agg(F.countDistinct(doc).alias("n_pair")).filter(F.col("n_pair") >= support)
-    entities = matches.groupBy(F.lower("found").alias("entity")).agg(F.countDistinct(doc).alias("n_entity"))
-    said = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("term")).filter(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
-    known = pairs.join(said, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # total is one row
-    ratio = F.ln(F.col("n") * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.ln(F.col("n") / F.col("n_entity"))
-    return known.filter("n > n_entity").select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= threshold)
-
-
-def find_spans(docs: DataFrame, words: int = 6, threshold: float = 0.75, support: int = 2) -> DataFrame:
+    held = matches.select(*KEY, F.lower("found").alias("entity")).distinct()
+    total = rows.agg(F.count(F.lit(1)).alias("n_all"))
+    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support).crossJoin(F.broadcast(total)).filter("n_all > n_entity")  # total is one row
+    least = threshold * F.ln(F.col("n_all") / F.col("n_entity")) - 1e-9
+    entities = cut(held.join(entities.withColumn("most", F.col("n_all") * F.exp(-least)), "entity"), "entities")
+    said = rows.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= support)
+    whose = entities.groupBy(*KEY).agg(F.max("most").alias("most"))
+    texts = _meet(rows, whose)
+    words = texts.select(*KEY, "most", F.explode(terms_of(F.regexp_replace("text", PATTERNS["email"], " "))).alias("term")).distinct()
+    words = words.join(said, "term").filter("n_term <= most").drop("most")
+    both = _meet(words, entities).filter("n_term <= most")
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"), F.first("n_all").alias("n_all")).filter(F.col("n_pair") >= support)
+    ratio = F.ln(F.col("n_all") * F.col("n_pair") / (F.col("n_term") * F.col("n_entity"))) / F.ln(F.col("n_all") / F.col("n_entity"))
+    return pairs.select("entity", "term", ratio.alias("disclosure")).filter(F.col("disclosure") >= threshold)
+
+
+def term_spans(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, h, n, start, end) of every word of every text that is one of terms (distinct, column term)."""
+    has = rows.select(*KEY, F.explode(terms_of(F.col("text"))).alias("term")).join(terms, "term").groupBy(*KEY).agg(F.collect_set("term").alias("terms"))
+    texts = _meet(rows, has)
+    words = texts.select(*KEY, "terms", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"), F.split("text", WORD, -1).alias("gaps"))
+    placed = words.select(
+        *KEY, "words", F.expr("transform(words, (x, i) -> length(gaps[i]) + length(x))").alias("sizes"), F.expr("filter(transform(words, (x, i) -> if(array_contains(terms, lower(x)), i, -1)), i -> i >= 0)").alias("at")
+    )
+    # the lengths from one such word's end to the next one's
+    step = F.expr("transform(at, (w, k) -> named_struct('size', length(words[w]), 'step', aggregate(slice(sizes, if(k = 0, 1, at[k - 1] + 2), w - if(k = 0, -1, at[k - 1])), 0, (s, x) -> s + x)))")
+    parts = placed.select(*KEY, F.posexplode(step).alias("nth", "m")).select(*KEY, "nth", "m.*").dropDuplicates([*KEY, "nth"])
+    end = F.sum("step").over(Window.partitionBy(*KEY).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return parts.withColumn("end", end).select(*KEY, (F.col("end") - F.col("size")).alias("start"), "end")
+
+
+def find_spans(docs: DataFrame, threshold: float = 0.75, support: int = 2) -> DataFrame:
     """(doc_id, h, n, spans) for the distinct rows that have any span: an array of (start, rank, kind, end), in that order. rank is the kind's place in KINDS."""
     rows = _key(documents(docs))
     matches = cut(base_matches(rows), "matches")
-    terms = context_terms(matches, words)
-    told = disclosing_terms(rows, matches, terms, threshold, support)
-    added = terms.join(told.select("entity", "term"), ["entity", "term"], "left_semi").select("doc_id", "h", "n", F.lit("term").alias("kind"), "start", "end").distinct()
-    base = matches.select("doc_id", "h", "n", "kind", "start", "end")
-    # terms beside an entity may stand in another entity's span
-    apart = added.join(base.select("doc_id", "h", "n", F.col("start").alias("s"), F.col("end").alias("e")), ["doc_id", "h", "n"]).groupBy("doc_id", "h", "n", "kind", "start", "end").agg(F.max((F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).alias("inside")).filter("NOT inside").drop("inside")
+    told = cut(disclosing_terms(rows, matches, threshold, support).select("term").distinct(), "told")
+    base = matches.select(*KEY, "kind", "start", "end")
+    found = term_spans(rows, told)
+    # letters stand in no entity but an address
+    mail = base.filter("kind = 'email'").select("doc_id", "h", "n", F.col("start").alias("s"), F.col("end").alias("e"))
+    apart = _meet(found, mail, "left_anti", (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).select(*KEY, F.lit("term").alias("kind"), "start", "end")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
-    return base.unionByName(apart).groupBy("doc_id", "h", "n").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
+    return base.unionByName(apart).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
 
 
 def scan_pii(docs: DataFrame, **settings) -> DataFrame:

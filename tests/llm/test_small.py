@@ -168,6 +168,19 @@ def test_op3_terms_and_sanitise(spark):
     assert "[email]" in clean[0] and "Zanthorp" not in clean[0] and clean[10] == dict(rows)[10]
 
 
+def test_op3_terms_far_from_the_entity(spark):
+    """A telling name is found far from the address, under four letters, in a document without the address, and under a null id; not inside an address."""
+    far, fill = " ".join(WORDS[:300]), " ".join(WORDS)
+    rows = [(i, f"Zanthorp Ann {far} a.b@c.example.org {far}") for i in range(8)] + [(None, f"{far} zanthorp, {far}"), (20, f"{far} ann@zanthorp.net")] + [(i, fill) for i in range(30, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.scan_pii(df).collect()}
+    mail = len("Zanthorp Ann ") + len(far) + 1
+    assert all(spans[i] == f"term:0:8,term:9:12,email:{mail}:{mail + len('a.b@c.example.org')}" for i in range(8))
+    assert spans[None] == f"term:{len(far) + 1}:{len(far) + 9}" and spans[20] == f"email:{len(far) + 1}:{len(far) + 17}"
+    assert not any(spans[i] for i in range(30, 400))
+    assert {r.doc_id: r.text for r in pii.sanitise(df).collect()}[None] == f"{far} […], {far}"
+
+
 def test_op3_long_hostile_texts(spark):
     df = spark.createDataFrame([(1, "1 " * 100_000), (2, "a." * 100_000), (3, "+1" + " " * 100_000), (4, "1." * 50_000)], "doc_id long, text string")
     assert pii.scan_pii(df).count() == 4
