@@ -27,6 +27,8 @@ GATES = {"email": "contains(text, '@')", "ip": r"text RLIKE r'[0-9]\.[0-9]+\.[0-
 KINDS = [*PATTERNS, "term"]
 WORD = r"\p{L}+"
 KEY = ["doc_id", "h", "n"]
+#: Up to so many told terms are broadcast; more are joined by a shuffle.
+SENT = 500_000
 
 
 def luhn(digits: Column) -> Column:
@@ -123,7 +125,8 @@ def find_spans(docs: DataFrame, threshold: float = 0.75, support: int = 2) -> Da
     matches = cut(base_matches(rows), "matches")
     told = cut(disclosing_terms(rows, matches, threshold, support).select("term").distinct(), "told")
     base = matches.select(*KEY, "kind", "start", "end")
-    found = term_spans(rows, told)
+    # few enough terms go to the tasks, so that the words of all texts needn't be dealt out
+    found = term_spans(rows, F.broadcast(told) if told.count() <= SENT else told)
     # letters stand in no entity but an address
     mail = base.filter("kind = 'email'").select("doc_id", "h", "n", F.col("start").alias("s"), F.col("end").alias("e"))
     apart = _meet(found, mail, "left_anti", (F.col("s") < F.col("end")) & (F.col("start") < F.col("e"))).select(*KEY, F.lit("term").alias("kind"), "start", "end")
