@@ -5,21 +5,30 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys with more rows than this, and with over one in MOST_HOT of all rows, are dealt out in blocks.
+HOT = 256
+MOST_HOT = 10_000
+#: Tables of so many small rows at most are sent to every task; larger ones are joined by a shuffle.
+SENT = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own where it is unset and all tasks run in this process."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if held:
         return held.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if own is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -30,18 +39,29 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df written once to the shared folder and read again: later stages start from files that outlive executors."""
+def held(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
+    """df written once to the shared folder and read again, and its path: for what is removed once it is used up."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """df written once to the shared folder and read again: later stages start from files that outlive executors."""
+    return held(df, name)[0]
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch path on whatever file system holds it."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch paths on whatever file system holds them."""
+    for path in paths:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def plain_text(docs: DataFrame) -> Column:
+    """The text of docs as a string, null as empty."""
+    return F.coalesce(docs["text"].cast("string"), F.lit(""))
 
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
@@ -49,6 +69,29 @@ def documents(df: DataFrame, *more: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def spread(spark: SparkSession, rows: int, each: int) -> int:
+def wrapped(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs as one struct column `row`, beside columns of our own: no name of the caller's can clash with these. select("row.*") gives docs back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def spread(rows: int, each: int) -> int:
     """Number of partitions that hold `each` rows on average."""
     return max(1, -(-rows // each))
+
+
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined with keyed, which has one row for each key.
+
+    The rows of a hot key (over HOT rows and one in MOST_HOT of all) are dealt out in blocks, and its row
+    of keyed is given to each block. There are fewer than MOST_HOT hot keys, whatever the tables' size, so
+    these alone are sent to all tasks. rows should be read from files: how they are dealt follows their order there.
+    """
+    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    bound = max(HOT, rows.select(F.lit(1)).count() // MOST_HOT)
+    hot = cut(sizes.filter(F.col("_rows") > bound).select(*on, F.ceil(F.col("_rows") / bound).alias("_blocks")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(keyed, on)
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("_block", F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod("_nth", "_blocks"))).drop("_nth", "_blocks")
+    given = keyed.join(F.broadcast(hot), on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
+    return dealt.join(given, [*on, "_block"]).drop("_block")

@@ -9,67 +9,85 @@ maximisation (forward and backward over the same cuts) on a bounded sample of la
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import documents
+from palimpsest.llm.common import documents, plain_text, wrapped
 
 UNKNOWN = "und"
 START = "▁"
-OTHER = 255
-#: Words are cut after this many characters, so that no probability underflows.
-LONGEST = 40
-MOST_WORDS = 300_000
+#: The code of all characters that the sample lacks.
+OTHER = 0x110000
+#: Forward probabilities of longer words are scaled as they grow small; training leaves such words out.
+SCALED = 64
+MOST_WORDS, STRETCH = 500_000, 200_000
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def public_pieces(model_file: str, longest: int = 6) -> list[str]:
-    """Lower-cased letter pieces of a sentencepiece vocabulary, word starts marked, of at most `longest` characters."""
+def public_pieces(model_file: str) -> list[str]:
+    """Lower-cased letter pieces of a sentencepiece vocabulary, word starts marked."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     found = {sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))}
-    return sorted(x for x in found if len(x) <= longest and x.removeprefix(START).isalpha())
+    return sorted(x for x in found if x.removeprefix(START).isalpha())
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs between white space, with a mark at the start, cut into stretches of bounded length."""
-    out = []
-    for w in text.lower().split():
-        w = START + w
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
-    return out
+    """Lower-cased runs between white space, with a mark at the start."""
+    return [START + w for w in text.lower().split()]
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    letters: list[str]  # the character of each code, from code 1
-    keys: np.ndarray  # packed codes of the pieces, sorted
-    logits: np.ndarray  # probability of each piece by language; a last row of zeros for what is no piece
-    longest: int
+def hashed(codes: Iterable[int]) -> int:
+    """The key of a piece: a polynomial of its characters' codes modulo 2^64."""
+    key = 0
+    for c in codes:
+        key = (key * int(BASE) + c + 1) % 2**64
+    return key
 
-    def __post_init__(self):
-        self.table = np.full(0x110000, OTHER, np.uint8)
-        for i, c in enumerate(self.letters):
-            self.table[ord(c)] = i + 1
+
+class Model:
+    """Probabilities of pieces by language. rows: the keys' rows in logits; a last row of zeros stands for what is no piece."""
+
+    def __init__(self, languages: list[str], letters: list[str], pieces: list[str]):
+        self.languages = languages
+        self.known = np.zeros(OTHER, bool)
+        self.known[[ord(c) for c in letters]] = True
+        told = [x for x in dict.fromkeys([*letters, *pieces]) if self.known[[ord(c) for c in x]].all()]
+        self.spelled = [[ord(c) for c in x] for x in told] + [[OTHER]]
+        self.other = len(told)
+        row = {hashed(x): i for i, x in enumerate(self.spelled)}
+        # the ends of pieces: a run of characters that ends no piece can't be made one by more in front
+        ends = sorted({hashed(x[k:]) for x in self.spelled for k in range(len(x))})
+        self.keys, self.rows = np.array(ends, np.uint64), np.array([row.get(k, len(row)) for k in ends])
+        self.longest = max(map(len, self.spelled))
+        self.logits = np.zeros((len(row) + 1, len(languages)))
 
     def codes(self, words: list[str]) -> np.ndarray:
         """A row of codes for each word; the words are of one length."""
-        return self.table[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(len(words), -1)
+        found = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+        return np.where(self.known[found], found, OTHER).astype(np.uint64) + np.uint64(1)
 
-    def cuts(self, codes: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(start, row of the piece [start, end) in logits) for the pieces that can end at `end`."""
-        key = np.zeros(len(codes), np.uint64)
+    def cuts(self, codes: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(start, words, their rows in logits) for the pieces that can end at `end`."""
+        who, key, power = np.arange(len(codes)), np.zeros(len(codes), np.uint64), 1
         for k in range(1, min(self.longest, end) + 1):
-            key = key | codes[:, end - k].astype(np.uint64) << np.uint64(8 * (k - 1))
+            key = key + codes[who, end - k] * np.uint64(power)
+            power = power * int(BASE) % 2**64
             at = np.searchsorted(self.keys, key)
             at[at == len(self.keys)] = 0
-            yield end - k, np.where(self.keys[at] == key, at, len(self.keys))
+            ok = self.keys[at] == key
+            if not ok.any():
+                return
+            who, key, at = who[ok], key[ok], at[ok]
+            rows = self.rows[at]
+            piece = rows < len(self.logits) - 1
+            if piece.any():
+                yield end - k, who[piece], rows[piece]
 
     def forward(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, over all its segmentations."""
@@ -81,9 +99,14 @@ class Model:
             alpha = np.zeros((n + 1, len(who), len(self.languages)))
             alpha[0] = 1
             for j in range(1, n + 1):
-                for i, rows in self.cuts(codes, j):
-                    alpha[j] += alpha[i] * self.logits[rows]
-            out[who] = np.log(alpha[n])
+                for i, some, rows in self.cuts(codes, j):
+                    alpha[j, some] += alpha[i, some] * self.logits[rows]
+                if n > SCALED and j % 16 == 0:
+                    lately = alpha[max(0, j - self.longest) : j + 1]
+                    scale = lately.max(axis=0)
+                    lately /= scale
+                    out[who] += np.log(scale)
+            out[who] += np.log(alpha[n])
         return out
 
     def expected(self, words: list[str], weight: np.ndarray, language: int) -> np.ndarray:
@@ -96,47 +119,31 @@ class Model:
             alpha, beta, used = np.zeros((n + 1, len(who))), np.zeros((n + 1, len(who))), []
             alpha[0] = beta[n] = 1
             for j in range(1, n + 1):
-                for i, rows in self.cuts(codes, j):
-                    alpha[j] += alpha[i] * p[rows]
-                    used.append((i, j, rows))
-            for i, j, rows in reversed(used):
-                beta[i] += beta[j] * p[rows]
+                for i, some, rows in self.cuts(codes, j):
+                    alpha[j, some] += alpha[i, some] * p[rows]
+                    used.append((i, j, some, rows))
+            for i, j, some, rows in reversed(used):
+                beta[i, some] += beta[j, some] * p[rows]
             scale = weight[who] / alpha[n]
-            for i, j, rows in used:
-                out += np.bincount(rows, alpha[i] * p[rows] * beta[j] * scale, minlength=len(out))
+            for i, j, some, rows in used:
+                out += np.bincount(rows, alpha[i, some] * p[rows] * beta[j, some] * scale[some], minlength=len(out))
         return out
 
 
-def packed(piece: str, code: dict[str, int]) -> int:
-    key = 0
-    for c in piece:
-        key = key << 8 | code.get(c, OTHER)
-    return key
-
-
 def fit(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth: float = 0.1) -> Model:
-    """counts: lang, word, n. Characters beyond the 254 most frequent, and those never seen, share one code that tells nothing."""
-    languages = sorted(counts["lang"].unique())
-    seen: Counter[str] = Counter()
-    for w, n in zip(counts["word"], counts["n"]):
-        for c in w:
-            if c.isalpha() or c == START:
-                seen[c] += n
-    letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:254]]
-    code = {c: i + 1 for i, c in enumerate(letters)}
-    longest = max(map(len, pieces))
-    keys = np.array(sorted({packed(x, code) for x in [*letters, *(p for p in pieces if all(c in code for c in p))]} | {OTHER}), np.uint64)
-    model = Model(languages, letters, keys, np.zeros((len(keys) + 1, len(languages))), longest)
-    other = int(np.searchsorted(keys, OTHER))
-    model.logits[:-1] = 1 / len(keys)
-    for k, lang in enumerate(languages):
+    """counts: lang, word, n. All letters of the words are pieces; characters never seen, and signs, share one that tells nothing. Words of over SCALED characters don't count."""
+    counts = counts[counts["word"].str.len() <= SCALED]
+    letters = sorted({c for w in counts["word"] for c in w if c.isalpha() or c == START} | {START})
+    model = Model(sorted(counts["lang"].unique()), letters, pieces)
+    model.logits[:-1] = 1 / (len(model.logits) - 1)
+    for k, lang in enumerate(model.languages):
         mine = counts[counts["lang"] == lang]
         words, weight = mine["word"].tolist(), mine["n"].to_numpy(float)
         for _ in range(rounds):
             use = model.expected(words, weight, k)[:-1]
-            use[other] = 0
+            use[model.other] = 0
             model.logits[:-1, k] = (use + smooth) / (use + smooth).sum()
-            model.logits[other, k] = 1e-3  # the same for each language
+            model.logits[model.other, k] = 1e-3  # the same for each language
     return model
 
 
@@ -148,7 +155,7 @@ def train(docs: DataFrame, pieces: list[str], usable, per_language: int = 200, r
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(sample), ["doc_id", "h"])
     words = texts.groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).mapInPandas(_counted, "lang string, word string, n long")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    return fit(counts.sort_values(["lang", "word"]), pieces, rounds) if len(counts) else None
+    return fit(counts.sort_values(["lang", "word"]), pieces, rounds) if (counts["word"].str.len() <= SCALED).any() else None
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,56 +182,90 @@ def _has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, lang_pred, score) for every row of docs.
+def predictor(spark: SparkSession, model: Model | None):
+    """A column function: text → struct<lang_pred, score>.
 
     lang_pred is the language of the largest forward probability (ties: the first by name); score is
     its share when the probabilities, each to the power of one over the root of the number of words,
     are summed to 1. Null texts and those without a letter are `und` with score 0, and so is every
     text if there was nothing to learn from. A text in letters never learned scores one over the
-    number of languages. Columns other than doc_id and text are not read. A worker holds a bounded
-    table of words; all words of all texts count.
+    number of languages. A worker holds a bounded table of words; all words of all texts count, and
+    the words of a long text are added up in bounded stretches.
     """
-    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = held.value
-        table, scores = Words(), np.zeros((0, len(model.languages) if model else 1))
+        n_lang = len(model.languages) if model else 1
+        table, scores = Words(), np.zeros((0, n_lang))
 
         def scored(texts: list[str]) -> list[tuple[str, float]]:
             nonlocal table, scores
-            if len(table) > MOST_WORDS:
-                table, scores = Words(), scores[:0]
-            lists = [words_of(x) for x in texts]
-            rows = np.array([i for ws in lists for i in map(table.__getitem__, ws)], np.int64)
-            if table.new:
-                scores = np.concatenate([scores, model.forward(table.new)])
-                table.new.clear()
-            size = np.array([len(x) for x in lists])
-            ends = np.cumsum(size)
-            total = np.concatenate([np.zeros((1, scores.shape[1])), scores[rows].cumsum(axis=0)])
-            log = (total[ends] - total[ends - size]) / np.sqrt(np.maximum(size, 1))[:, None]
+            total, size = np.zeros((len(texts), n_lang)), np.zeros(len(texts))
+            waiting: list[tuple[int, np.ndarray]] = []
+
+            def add():
+                nonlocal scores
+                if table.new:
+                    scores = np.concatenate([scores, model.forward(table.new)])
+                    table.new.clear()
+                doc = np.repeat([i for i, _ in waiting], [len(r) for _, r in waiting])
+                rows = scores[np.concatenate([r for _, r in waiting])]
+                for k in range(n_lang):
+                    total[:, k] += np.bincount(doc, rows[:, k], minlength=len(texts))
+                waiting.clear()
+
+            held_words = 0
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                size[i] = len(words)
+                for a in range(0, len(words), STRETCH):
+                    if len(table) > MOST_WORDS:
+                        if waiting:
+                            add()
+                        table, scores, held_words = Words(), scores[:0], 0
+                    part = words[a : a + STRETCH]
+                    waiting.append((i, np.array(list(map(table.__getitem__, part)), np.int64)))
+                    held_words += len(part)
+                    if held_words > STRETCH:
+                        add()
+                        held_words = 0
+            if waiting:
+                add()
+            log = total / np.sqrt(np.maximum(size, 1))[:, None]
             share = np.exp(log - log.max(axis=1, keepdims=True))
             share /= share.sum(axis=1, keepdims=True)
             top = share.argmax(axis=1)
             return [(model.languages[k], float(share[i, k])) for i, k in enumerate(top)]
 
-        for pdf in batches:
-            out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(pdf)
-            texts = pdf["text"].tolist()
-            wait, n = [], 0
-            for i, x in enumerate(texts):
-                if model and _has_letter(x):
-                    wait.append(i)
-                    n += len(x)
-                if wait and (n > 1_000_000 or i + 1 == len(texts)):
-                    for k, found in zip(wait, scored([texts[k] for k in wait])):
-                        out[k] = found
-                    wait, n = [], 0
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in out], "score": [s for _, s in out]})
+        for texts in batches:
+            out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+            told = [i for i, x in enumerate(texts) if model and x and _has_letter(x)]
+            if told:
+                for i, found in zip(told, scored([texts.iat[i] for i in told])):
+                    out[i] = found
+            yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return documents(docs).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return predicted
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, lang_pred, score) for every row of docs, as `predictor` tells. Columns other than doc_id and text are not read."""
+    told = predictor(docs.sparkSession, model)
+    return documents(docs).select("doc_id", told("text").alias("told")).select("doc_id", "told.lang_pred", "told.score")
+
+
+def keep_told(docs: DataFrame, model: Model | None, margin: float = 1.2) -> DataFrame:
+    """The rows of docs whose language can be told: texts with a letter whose score is over `margin` times what all languages alike would have (one language learned: any text with a letter).
+
+    Each row is judged by its own text, whatever its id; null and empty texts go, repeated rows stay
+    each, and all columns are as they were. With nothing to learn from no text can be told, and none stays.
+    """
+    told = predictor(docs.sparkSession, model)
+    rows = wrapped(docs, told=told(plain_text(docs)))
+    alike = 1 / len(model.languages) if model and len(model.languages) > 1 else 0.0
+    return rows.filter((F.col("told.lang_pred") != UNKNOWN) & (F.col("told.score") >= margin * alike)).select("row.*")
 
 
 def held_out() -> F.Column:
@@ -233,6 +274,10 @@ def held_out() -> F.Column:
 
 
 def identify_languages(docs: DataFrame, vocabulary: str, **settings) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score), trained on the rows of docs that aren't held out."""
+    """(doc_id, held_out, lang_pred, score) for every row of docs, trained on the rows that aren't held out.
+
+    Null texts, null languages and null ids: the first is `und`, the second isn't learned from, the
+    third isn't held out. Repeated rows give repeated results; an empty table gives an empty result.
+    """
     model = train(docs, public_pieces(vocabulary), ~held_out(), **settings)
     return predict(docs, model).withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")

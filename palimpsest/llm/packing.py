@@ -1,11 +1,11 @@
 """Packing by lexical retrieval: a sharded BM25 index gives each seed its unused neighbours, which fill its window.
 
-Documents are dealt to shards of a bounded mean size by a hash of their id, so shards are alike
-however ids, sources or copies are spread, and their number follows the number of documents. A
-shard builds a BM25 inverted index over the token ids of its documents. Starting from its first
-document, the window is filled with the best unused neighbour of the document that ended it, and
-so on; a document that runs over a window's end is cut there and seeds the next. Only the last
-window of a shard is padded.
+Document frequencies and the mean length are those of the whole corpus. The index is sharded by
+content: documents are ordered by their terms of largest BM25 weight, so those that share them lie
+together, and ranges of that order are the shards, however many there are. In a shard, a window's
+seed queries the inverted index with all its terms; its neighbours that no window has used yet
+follow in the order of their scores until the window is full. A document that runs over the
+window's end is cut there and seeds the next window. Only the last window of a range is padded.
 """
 
 from __future__ import annotations
@@ -15,105 +15,170 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.bpe import as_bytes, byte_bpe
-from palimpsest.llm.common import documents, spread
+from palimpsest.llm.bpe import byte_bpe
+from palimpsest.llm.common import cut, documents, spread
 
-SHARD = 2000
+#: Tokens of a range (one task), and of a shard of the index (what a task holds at a time).
+RANGE, SHARD = 2_000_000, 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def neighbour_order(tokens: list[np.ndarray], query_terms: int = 8, k1: float = 1.2, b: float = 0.75) -> list[int]:
-    """All documents of a shard, each after the one whose best unused BM25 neighbour it is (the first unused one where no neighbour is left).
-
-    A query is a document's `query_terms` rarest terms that another document has; ties go to the earlier document.
-    """
-    n = len(tokens)
-    if n < 3:
-        return list(range(n))
-    size = np.array([len(x) for x in tokens], np.int64)
-    doc = np.repeat(np.arange(n), size)
-    pair, tf = np.unique(np.concatenate(tokens).astype(np.int64) * n + doc, return_counts=True)
-    term, doc = pair // n, (pair % n).astype(np.int32)  # sorted by term: the postings
-    starts = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    df = np.diff(np.r_[starts, len(term)])
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-    score = np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / max(1, size.mean())))
-    row = np.repeat(np.arange(len(starts)), df)
-    own = np.argsort(doc, kind="stable")
-    rare = row[own]
-    bounds = np.searchsorted(doc[own], np.arange(n + 1))
-    order, unused, free, now = [], np.ones(n, bool), 0, 0
-    while True:
-        order.append(now)
-        unused[now] = False
-        if len(order) == n:
-            return order
-        mine = rare[bounds[now] : bounds[now + 1]]
-        mine = mine[df[mine] > 1]
-        if len(mine) > query_terms:
-            mine = mine[np.argpartition(df[mine], query_terms)[:query_terms]]
-        best, most = -1, 0.0
-        if len(mine):
-            where = np.concatenate([np.arange(starts[t], starts[t] + df[t]) for t in mine])
-            where = where[unused[doc[where]]]
-            if len(where):
-                total = np.bincount(doc[where], score[where], minlength=n)
-                best = int(total.argmax())
-                most = total[best]
-        if most <= 0:
-            while not unused[free]:
-                free += 1
-            best = free
-        now = best
-
-
-def fill_windows(sizes: list[int], order: list[int], window: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset): documents in order, cut where a window ends."""
-    out, sequence, offset = [], 0, 0
-    for d in order:
-        start = 0
-        while start < sizes[d]:
-            length = min(sizes[d] - start, window - offset)
-            out.append((d, start, length, sequence, offset))
-            start, offset = start + length, offset + length
-            if offset == window:
-                sequence, offset = sequence + 1, 0
-    return out
-
-
-def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard: int = SHARD) -> DataFrame:
+class Weights:
+    """BM25 with the corpus's document frequencies (an array over the vocabulary) and mean length."""
+
+    def __init__(self, df: np.ndarray, documents: int, mean: float, k1: float = 1.2, b: float = 0.75):
+        self.df, self.mean, self.k1, self.b = df, max(mean, 1.0), k1, b
+        self.idf = np.log(1 + (documents - df + 0.5) / (df + 0.5))
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a document and their weights."""
+        tf = np.bincount(ids, minlength=len(self.df))
+        terms = np.flatnonzero(tf > 0)
+        tf = tf[terms]
+        return terms, self.idf[terms] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * len(ids) / self.mean))
+
+    def leading(self, ids: np.ndarray, n: int) -> list[int]:
+        """The n terms of largest weight that another document has too (ties: the smaller id), -1 where there are fewer."""
+        terms, weight = self.of(ids)
+        shared = self.df[terms] > 1
+        terms, weight = terms[shared], weight[shared]
+        if len(terms) > n:
+            least = np.partition(weight, len(weight) - n)[len(weight) - n]
+            terms, weight = terms[weight >= least], weight[weight >= least]
+        best = terms[np.lexsort((terms, -weight))][:n].tolist()
+        return best + [-1] * (n - len(best))
+
+
+class Shard:
+    """The inverted index of some documents: for each term its documents and weights."""
+
+    def __init__(self, docs: list[np.ndarray], weights: Weights):
+        found = [weights.of(x) for x in docs]
+        size = [len(t) for t, _ in found]
+        term, weight = (np.concatenate(x) for x in zip(*found))
+        doc = np.repeat(np.arange(len(docs)), size)
+        order = np.argsort(term, kind="stable")
+        self.doc, self.weight = doc[order], weight[order]
+        count = np.bincount(term, minlength=len(weights.df))
+        self.first = np.cumsum(count) - count
+        self.count = count
+        self.terms = [t for t, _ in found]
+        self.n = len(docs)
+
+    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents that share a term with the seed, by score (ties: the earlier)."""
+        terms = self.terms[seed]
+        terms = terms[self.count[terms] > 1]
+        n = self.count[terms]
+        at = np.repeat(self.first[terms] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        score = np.bincount(self.doc[at], self.weight[at], minlength=self.n)
+        score[~unused] = 0
+        found = np.flatnonzero(score)
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+class Filler:
+    """Lays documents into windows, one after the other; a window stays open from one shard to the next."""
+
+    def __init__(self, window: int):
+        self.window, self.sequence, self.offset = window, 0, 0
+
+    def place(self, size: int) -> list[tuple[int, int, int, int]]:
+        """(start, length, sequence, offset) of the pieces of a document of `size` ids."""
+        out, start = [], 0
+        while start < size:
+            length = min(size - start, self.window - self.offset)
+            out.append((start, length, self.sequence, self.offset))
+            start, self.offset = start + length, self.offset + length
+            if self.offset == self.window:
+                self.sequence, self.offset = self.sequence + 1, 0
+        return out
+
+    def fill(self, docs: list[np.ndarray], weights: Weights) -> Iterator[tuple[int, int, int, int, int]]:
+        """(document, start, length, sequence, offset) of all pieces of docs: each window's seed, then its neighbours as they come."""
+        index, unused, free, seed, ranked = Shard(docs, weights), np.ones(len(docs), bool), 0, -1, iter(())
+        for _ in range(len(docs)):
+            at = -1 if seed < 0 else next((int(d) for d in ranked if unused[d]), -1)
+            alone = at < 0
+            if alone:  # no seed yet, or no neighbour left: the next document in the order of the range
+                while not unused[free]:
+                    free += 1
+                at = free
+            unused[at] = False
+            before = self.sequence
+            for piece in self.place(len(docs[at])):
+                yield at, *piece
+            if alone or self.sequence != before:
+                # the document that opens a window, stands at its start or has no neighbour before it is a seed
+                seed = at if self.offset else -1
+                ranked = iter(index.neighbours(seed, unused)) if self.offset else iter(())
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, range_tokens: int = RANGE, shard_tokens: int = SHARD) -> DataFrame:
     """One row for each piece of each row of docs, as in PIECES.
 
     Null and empty texts are documents of the end id alone. Repeated rows and rows with a null id
-    are documents of their own. sequence_id is the shard's number times 2^32 plus the sequence's
+    are documents of their own. sequence_id is the range's number times 2^32 plus the sequence's
     number in it; offsets in a sequence run without gaps from 0. A document longer than a window
     fills windows of its own and leaves a rest. An empty table gives an empty result. Other columns
-    are ignored.
+    are ignored. The order of ranges ends with a digest and doc_id, so copies may lie in several. A
+    task holds the ids and the index of one shard: shard_tokens, or one longer document.
     """
-    rows = documents(docs)
-    spark = docs.sparkSession
-    shards = spread(spark, docs.select(F.lit(1)).count(), shard)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(tokenizer)
+        df, end = np.zeros(max(bpe.size, end_id + 1), np.int64), np.array([end_id], bpe.dtype).tobytes()
+        for pdf in batches:
+            ids = [bpe.packed(x) + end for x in pdf["text"]]
+            for x in ids:
+                df += np.bincount(np.frombuffer(x, bpe.dtype), minlength=len(df)) > 0
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "size": [len(x) // bpe.dtype.itemsize for x in ids], "term": None, "df": None})
+        seen = np.flatnonzero(df)
+        yield pd.DataFrame({"doc_id": None, "ids": None, "size": None, "term": seen, "df": df[seen]})
+
+    held = cut(documents(docs).mapInPandas(encode, "doc_id long, ids binary, size long, term int, df long"), "encoded")
+    encoded = held.filter("term IS NULL").select("doc_id", "ids", "size")
+    count, tokens = encoded.agg(F.count("size"), F.sum("size")).first()
+    bpe = byte_bpe(tokenizer)
+    df = np.zeros(max(bpe.size, end_id + 1), np.int64)
+    for term, n in held.filter("term IS NOT NULL").groupBy("term").agg(F.sum("df")).collect():  # at most a row for each entry of the vocabulary
+        df[term] = n
+    weights = docs.sparkSession.sparkContext.broadcast(Weights(df, count, (tokens or 0) / max(1, count)))
+    dtype = bpe.dtype
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lead = np.array([weights.value.leading(np.frombuffer(x, dtype), 3) for x in pdf["ids"]], np.int32).reshape(-1, 3)
+            yield pd.DataFrame({"a": lead[:, 0], "b": lead[:, 1], "c": lead[:, 2], "digest": [zlib.crc32(x) for x in pdf["ids"]], "doc_id": pdf["doc_id"].astype("Int64"), "ids": pdf["ids"]})
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, filler = TaskContext.get().partitionId(), Filler(window)
+        names, wait, size = [], [], 0
+
+        def out() -> pd.DataFrame:
+            pieces = list(filler.fill(wait, weights.value))
+            return pd.DataFrame({
+                "doc_id": pd.array([names[d] for d, *_ in pieces], "Int64"), "start": [s for _, s, *_ in pieces], "length": [n for _, _, n, *_ in pieces],
+                "ids_crc32": [zlib.crc32(wait[d][s : s + n].astype("<u4").tobytes()) for d, s, n, *_ in pieces], "doc_tokens": [len(wait[d]) for d, *_ in pieces],
+                "sequence_id": [(number << 32) + q for *_, q, _ in pieces], "offset": [o for *_, o in pieces],
+            })
+
         for pdf in batches:
-            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "ids": [as_bytes([*bpe.ids(x), end_id]) for x in pdf["text"]]})
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = [np.frombuffer(x, "<u4") for x in pdf["ids"]]
-        names = pdf["doc_id"].tolist()
-        first = sorted(range(len(ids)), key=lambda i: (names[i] is None or names[i] != names[i], 0 if names[i] is None or names[i] != names[i] else names[i], pdf["ids"].iat[i]))
-        ids, names = [ids[i] for i in first], [names[i] for i in first]
-        pieces = fill_windows([len(x) for x in ids], neighbour_order(ids), window)
-        return pd.DataFrame({
-            "doc_id": pd.array([names[d] for d, *_ in pieces], "Int64"), "start": [s for _, s, *_ in pieces], "length": [x for _, _, x, *_ in pieces],
-            "ids_crc32": [zlib.crc32(ids[d][s : s + x].tobytes()) for d, s, x, *_ in pieces], "doc_tokens": [len(ids[d]) for d, *_ in pieces],
-            "sequence_id": [(int(key[0]) << 32) + q for *_, q, _ in pieces], "offset": [o for *_, o in pieces],
-        })
-
-    dealt = rows.select(F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), F.lit(9)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text")
-    encoded = dealt.mapInPandas(encode, "shard int, doc_id long, ids binary")
-    return encoded.groupBy("shard").applyInPandas(pack, PIECES)
+            for name, packed in zip(pdf["doc_id"].astype("Int64").astype(object), pdf["ids"]):
+                ids = np.frombuffer(packed, dtype)
+                if wait and size + len(ids) > shard_tokens:
+                    yield out()
+                    names, wait, size = [], [], 0
+                names.append(name)
+                wait.append(ids)
+                size += len(ids)
+        if wait:
+            yield out()
+
+    order = ["a", "b", "c", "digest", "doc_id"]
+    ranges = encoded.select("doc_id", "ids").mapInPandas(keyed, "a int, b int, c int, digest long, doc_id long, ids binary").repartitionByRange(spread(tokens or 0, range_tokens), *order)
+    return ranges.sortWithinPartitions(*order).mapInPandas(pack, PIECES)

@@ -37,7 +37,9 @@ def op3_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from palimpsest.llm.token_counts import count_tokens
 
-    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), scratch(spark, "token-cache"))
+    # a cluster names the lasting cache in this setting; each run without it fills one of its own
+    cache = spark.conf.get("spark.palimpsest.token.cache", None) or scratch(spark, "token-cache")
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file(), cache)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import byte_bpe, tokenizer_version
-from palimpsest.llm.common import documents
+from palimpsest.llm.common import documents, meet
 
 CACHE = "digest string, version string, n_tokens long"
 
@@ -40,7 +40,7 @@ def _counts(tokenizer: str, version: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = byte_bpe(tokenizer)
         for pdf in _first_of_each(batches):
-            yield pd.DataFrame({"digest": pdf["digest"], "version": version, "n_tokens": [len(bpe.ids(x)) for x in pdf["text"]]})
+            yield pd.DataFrame({"digest": pdf["digest"], "version": version, "n_tokens": [bpe.count(x) for x in pdf["text"]]})
 
     return run
 
@@ -61,9 +61,10 @@ def fill_cache(docs: DataFrame, tokenizer: str, cache_path: str) -> DataFrame:
 def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int = 1024) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs, repeated rows and null ids included.
 
-    Null texts count as empty (0 bytes, 0 tokens). An empty table gives an empty result. Other
-    columns of docs are ignored.
+    cache_path holds the cache from run to run: contents counted before are not encoded again. Null
+    texts count as empty (0 bytes, 0 tokens). An empty table gives an empty result. Other columns of
+    docs are ignored.
     """
     counts = fill_cache(docs, tokenizer, cache_path)
     keyed = documents(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("digest"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return meet(keyed, counts, ["digest"]).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -100,21 +100,53 @@ def test_op2(docs, none):
     assert all(got[i][0].lang_pred == "und" for i in (4, 5, 6)) and got[1][0].lang_pred == "en"
     assert got[7][0].held_out == (zlib.crc32(b"7") % 3 == 1)
     assert langid.identify_languages(none, tokenizer_file("piece_bpe_32k.model")).collect() == []
-    assert all(0 <= r.score <= 1 for rs in got.values() for r in rs) and len(pieces) > 1000
+    assert all(0 <= r.score <= 1 for rs in got.values() for r in rs) and len(pieces) > 1000 and max(map(len, pieces)) > 10
+
+
+def total(model, word, lang):
+    """The sum over all cuts of a word, by recursion."""
+    row = {tuple(x): i for i, x in enumerate(model.spelled)}
+    codes = [ord(c) if model.known[ord(c)] else langid.OTHER for c in word]
+    found = [1.0] + [0.0] * len(codes)
+    for j in range(1, len(codes) + 1):
+        found[j] = sum(found[i] * model.logits[row[tuple(codes[i:j])], lang] for i in range(j) if tuple(codes[i:j]) in row)
+    return found[-1]
 
 
 def test_op2_forward_sums_all_cuts():
     import pandas as pd
 
-    model = langid.fit(pd.DataFrame({"lang": ["a", "a", "b"], "word": ["▁abab", "▁ba", "▁bb"], "n": [3, 1, 2]}), ["ab", "▁a", "bab", "b"], rounds=2)
-    code = {c: i + 1 for i, c in enumerate(model.letters)}
-    p = {int(k): v for k, v in zip(model.keys, model.logits)}
+    many = "".join(chr(0x4E00 + i) for i in range(2000))  # no bound on the letters
+    model = langid.fit(pd.DataFrame({"lang": ["a", "a", "b", "b"], "word": ["▁abab", "▁ba", "▁bb", "▁" + many[:60]], "n": [3, 1, 2, 5]}), ["ab", "▁a", "bab", "b", "ababababab", many[3:9]], rounds=2)
+    for word in ("▁abab", "▁bbab", "▁zab", "▁ababababababz", "▁" + many[:12], "▁" + "ab" * 40):
+        assert np.allclose(np.exp(model.forward([word])[0]), [total(model, word, 0), total(model, word, 1)])
+    long = model.forward(["▁" + "ab" * 5000])[0]  # far below the least double
+    assert np.isfinite(long).all() and long[0] > long[1] and long[0] < -1000
 
-    def total(word, lang):
-        return 1.0 if not word else sum(p[langid.packed(word[:k], code)][lang] * total(word[k:], lang) for k in range(1, len(word) + 1) if langid.packed(word[:k], code) in p and k <= 3)
 
-    for word in ("▁abab", "▁bbab", "▁zab"):
-        assert np.allclose(np.exp(model.forward([word])[0]), [total(word, 0), total(word, 1)])
+def test_op2_scores_add_up(spark, monkeypatch):
+    """Scores are the sum over all words, in whatever stretches; many letters tell languages apart."""
+    import pandas as pd
+
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    model = langid.fit(pd.DataFrame([(k, "▁" + c * 2, 1) for k, part in (("x", han[:1500]), ("y", han[1500:])) for c in part], columns=["lang", "word", "n"]), ["ab"])
+    texts = [" ".join(rng.choice(han[:1500]) for _ in range(300)), " ".join(rng.choice(han[1400:]) for _ in range(50)), han[2900], "123", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(df, model).collect()}
+    assert [got[i].lang_pred for i in range(5)] == ["x", "y", "y", "und", "und"]
+    for i, x in enumerate(texts[:3]):
+        log = np.array([sum(np.log(total(model, w, k)) for w in langid.words_of(x)) for k in (0, 1)]) / len(x.split()) ** 0.5
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(log.min() - log.max())))
+
+
+def test_op2_keeps_rows_by_their_own_text(spark):
+    """A row goes for its own text alone, whatever rows have its id, or none; no name of a column clashes."""
+    model = langid.train(spark.createDataFrame([(i, prose(60), "en") for i in range(9)] + [(i, "éà " * 40, "fr") for i in range(9, 18)], "doc_id long, text string, lang string"), ["ab"], langid.F.lit(True))
+    rows = [(1, WORDS[0] + " " + WORDS[1], "a"), (1, "123 456", "b"), (None, "123", "c"), (None, WORDS[2] * 2, "d"), (2, None, "e"), (3, "", "f"), (4, WORDS[3] + " " + WORDS[4], "g"), (4, WORDS[3] + " " + WORDS[4], "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, told string")
+    kept = langid.keep_told(df, model)
+    assert kept.columns == df.columns and sorted(r.told for r in kept.collect()) == ["a", "d", "g", "g"]
+    assert langid.keep_told(df.limit(0), model).collect() == [] == langid.keep_told(df, None).collect()
 
 
 def test_op2_held_out_accuracy(spark):
@@ -201,7 +233,7 @@ def test_op4(spark, docs, none):
 def test_bpe_agrees_on_odd_texts():
     b = bpe.byte_bpe(tokenizer_file())
     for x in hostile(600, ["a", " ", "  ", "\n", "\t", "é", "1", ".", "'s", "\r\n", "\x0b", "\xa0", " ", "Ж", "日", "🙂", "<|endoftext|>"]):
-        assert list(b.ids(x)) == b.whole.encode(x, add_special_tokens=False).ids
+        assert b.ids(x).tolist() == b.whole.encode(x, add_special_tokens=False).ids
 
 
 def slow_repeats(texts, length):
@@ -326,29 +358,77 @@ def test_op8_search(spark):
     assert got == {(*a, *b) for a in rows for b in rows if differ(a, b) <= 6}
 
 
-def test_op9_round_trip(docs, none):
-    rows = packing.pack_documents(docs, tokenizer_file(), shard=6).collect()
-    b = bpe.byte_bpe(tokenizer_file())
-    want = Counter()
-    for i, t in TEXTS:
-        want[i, len(b.ids(t or "")) + 1] += 1
-    assert Counter({k: sum(1 for r in rows if (r.doc_id, r.doc_tokens) == k and r.start == 0) for k in want}) == want
+def laid_out(rows):
+    """Pieces by sequence, gapless and within the window."""
     by = defaultdict(list)
     for r in rows:
         by[r.sequence_id].append(r)
     for parts in by.values():
         parts.sort(key=lambda r: r.offset)
         assert [r.offset for r in parts] == np.cumsum([0, *[r.length for r in parts]])[:-1].tolist() and sum(r.length for r in parts) <= 2048
-    assert sum(r.length for r in rows) == sum(n * k for (_, n), k in want.items())
+    return by
+
+
+def test_op9_round_trip(docs, none):
+    b = bpe.byte_bpe(tokenizer_file())
+    want = Counter()
+    for i, t in TEXTS:
+        want[i, len(b.ids(t or "")) + 1] += 1
     ids = np.array([*b.ids(LONG), 1], "<u4")
-    assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows if r.doc_id == 10)
+    for settings in ({}, {"shard_tokens": 300}, {"range_tokens": 3000, "shard_tokens": 300}):
+        rows = packing.pack_documents(docs, tokenizer_file(), **settings).collect()
+        assert Counter({k: sum(1 for r in rows if (r.doc_id, r.doc_tokens) == k and r.start == 0) for k in want}) == want
+        laid_out(rows)
+        assert sum(r.length for r in rows) == sum(n * k for (_, n), k in want.items())
+        assert all(zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in rows if r.doc_id == 10)
     assert packing.pack_documents(none, tokenizer_file()).collect() == []
 
 
-def test_op9_neighbours():
-    a, b = np.array([1, 2, 3, 4] * 5), np.array([11, 12, 13, 14] * 5)
-    order = packing.neighbour_order([a, b, b + 0, a + 0, np.array([99])])
-    assert order[1] == 3 and abs(order.index(1) - order.index(2)) == 1
+def slow_bm25(docs, weights_of, seed):
+    """Score of each document for the seed's terms, by the formula."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    out = []
+    for d in docs:
+        tf = Counter(d.tolist())
+        out.append(sum(np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(docs[seed].tolist()) if t in tf))
+    return out
+
+
+def test_op9_neighbours_by_bm25():
+    docs = [np.array([rng.randrange(80) for _ in range(rng.randint(1, 40))]) for _ in range(60)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=100)
+    weights = packing.Weights(df, len(docs), np.mean([len(d) for d in docs]))
+    index = packing.Shard(docs, weights)
+    for seed in range(0, 60, 7):
+        unused = np.array([rng.random() < 0.6 for _ in docs])
+        slow = slow_bm25(docs, weights, seed)
+        shared = [set(docs[seed].tolist()) & set(d.tolist()) for d in docs]
+        want = sorted((i for i in range(60) if unused[i] and shared[i]), key=lambda i: (-round(slow[i], 9), i))
+        assert index.neighbours(seed, unused).tolist() == want
+
+
+def test_op9_windows_follow_their_seed():
+    """The seed's neighbours fill its window in the order of their scores; what runs over seeds the next."""
+    topics = [np.arange(100 * k, 100 * k + 100) for k in range(1, 6)]
+    docs = [np.resize(topics[i % 5], 300 + i) for i in range(40)]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=700)
+    pieces = list(packing.Filler(2048).fill(docs, packing.Weights(df, 40, 320.0)))
+    assert sorted({d for d, *_ in pieces}) == list(range(40))
+    first = [d for d, start, *_ in pieces if start == 0]
+    # all documents of one topic follow each other
+    assert all(len({d % 5 for d in first[i : i + 8]}) == 1 for i in range(0, 40, 8))
+
+
+def test_op9_and_op4_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_file())
+    rows = [(i, w * 1_000_000 + "x") for i, w in enumerate((" ", "\n", "\t"))] + [(9, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in rows}
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(df, tokenizer_file(), scratch(spark, "cache")).collect()} == want
+    assert {r.doc_id: r.doc_tokens - 1 for r in packing.pack_documents(df, tokenizer_file()).collect()} == want
 
 
 def slow_secrets(text):
