@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, documents
+from palimpsest.llm.common import SENT, cut, documents, plain_text, wrapped
 from palimpsest.llm.rolling import mix, prefix, spans
 
 #: log2 of the filter's bits: 2 MB, whatever the benchmark's size; false hits fall out in the join.
@@ -91,32 +91,37 @@ def seed_filter(found: DataFrame) -> np.ndarray:
                 marks[b] = True
         yield pd.DataFrame({"word": np.flatnonzero(marks) >> 5, "bit": np.int64(1) << (np.flatnonzero(marks) & 31)})
 
-    words = found.mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    words = found.select("seed").mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     out = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
     out[words["word"]] = words["bits"]
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool) if len(words) else np.zeros(1 << FILTER_BITS, bool)
+    return out.view(np.uint8)
 
 
-def neighbourhoods(docs: DataFrame, marks: np.ndarray, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, text, seeds): stretches of a document around n-grams that pass the filter, `reach` words to both sides; nearer hits share one."""
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(marks, bitorder="little"))
+def neighbourhoods(docs: DataFrame, filters: list[tuple[int, np.ndarray]], sizes: list[int]) -> DataFrame:
+    """(doc_id, text, seeds): stretches of a document around n-grams that pass a filter, to both sides as many words as stand beside it; stretches that meet are one."""
+    held = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = np.unpackbits(held.value, bitorder="little").astype(bool)
+        filters = [(reach, np.unpackbits(x, bitorder="little").astype(bool)) for reach, x in held.value]
 
         def scan(ids: list, texts: list[str]) -> pd.DataFrame:
             raw, start, end, whose, first, gram, length = _grams(texts, sizes)
             one, two = _bits(gram)
-            hit = marks[one] & marks[two]
-            first, gram, length = first[hit], gram[hit], length[hit]
+            reach = np.full(len(gram), -1)
+            for words, marks in filters:  # the widest last
+                reach[marks[one] & marks[two]] = words
+            hit = reach >= 0
+            first, gram, length, reach = first[hit], gram[hit], length[hit], reach[hit]
             rows = []
             if len(first):
-                apart = np.flatnonzero((np.diff(first) > reach) | (np.diff(whose[first]) != 0)) + 1
+                doc = whose[first]
                 lo, hi = np.searchsorted(whose, np.arange(len(texts))), np.searchsorted(whose, np.arange(len(texts)), side="right")
-                for a, b in zip(np.r_[0, apart], np.r_[apart, len(first)]):
-                    d = whose[first[a]]
-                    s, e = max(first[a] - reach, lo[d]), min(first[b - 1] + length[b - 1] + reach, hi[d])
-                    rows.append((ids[d], raw[start[s] : end[e - 1]].decode("utf-8", "surrogatepass"), np.unique(gram[a:b]).view(np.int64)))
+                s, e = np.maximum(first - reach, lo[doc]), np.minimum(first + length + reach, hi[doc])
+                order = np.argsort(s, kind="stable")
+                s, e, gram, doc = s[order], np.maximum.accumulate(e[order]), gram[order], doc[order]
+                apart = np.flatnonzero((s[1:] > e[:-1]) | (doc[1:] != doc[:-1])) + 1
+                for a, b in zip(np.r_[0, apart], np.r_[apart, len(s)]):
+                    rows.append((ids[doc[a]], raw[start[s[a]] : end[e[b - 1] - 1]].decode("utf-8", "surrogatepass"), np.unique(gram[a:b]).view(np.int64)))
             out = pd.DataFrame(rows, columns=["doc_id", "text", "seeds"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             return out
@@ -185,13 +190,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
     give an empty result; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = cut(seeds(items, n), "seeds")
-    sizes = sorted({n, *(r.size_ for r in found.select(F.col("size").alias("size_")).distinct().collect())})  # n numbers at most
+    count = F.length("text") - F.length(F.regexp_replace(F.lower("text"), r"(?<![0-9a-z\x{80}-\x{10ffff}])[0-9a-z\x{80}-\x{10ffff}]", ""))
+    longest = items.groupBy("item_id").agg(F.ceil(F.log2(F.greatest(F.max(count), F.lit(1)))).cast("int").alias("class"))
+    found = cut(seeds(items, n).join(longest, "item_id"), "seeds")
+    told = found.select(F.col("size").alias("size_"), "class").distinct().collect()  # sizes up to n, classes up to the logarithm of the longest item
+    sizes = sorted({n, *(r.size_ for r in told)})
+    # of a passage over the threshold, the words put in are fewer than the score leaves; each class of lengths has its own reach
+    filters = [(math.ceil(2**c * (2 - threshold)), seed_filter(found.filter(F.col("class") == c))) for c in sorted({r["class"] for r in told})]
     found = found.select("item_id", "seed")
-    longest = items.agg(F.max(F.length("text") - F.length(F.regexp_replace(F.lower("text"), r"(?<![0-9a-z\x{80}-\x{10ffff}])[0-9a-z\x{80}-\x{10ffff}]", "")))).first()[0] or 0
-    # of a passage over the threshold, the words put in are fewer than the score leaves
-    reach = math.ceil(longest * (2 - threshold))
-    near = cut(neighbourhoods(documents(docs), seed_filter(found), sizes, reach).withColumn("key", F.sha2("text", 256)), "neighbourhoods")
+    near = cut(neighbourhoods(documents(docs), filters, sizes).withColumn("key", F.sha2("text", 256)), "neighbourhoods")
     texts = near.dropDuplicates(["key"]).select("key", "text", "seeds")
     pairs = texts.select("key", F.explode("seeds").alias("seed")).join(found, "seed").select("key", "item_id").distinct()
     both = pairs.join(texts.select("key", "text"), "key").join(items.select("item_id", F.col("text").alias("item_text")).distinct(), "item_id")
@@ -208,6 +215,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 4, threshold: f
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """docs without the rows of documents that hold a benchmark item; rows with a null doc_id stay."""
-    found = contaminated(docs, benchmark, **settings).select(F.col("doc_id").alias("_found_id")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("_found_id"), "left_anti")
+    """docs without the rows whose text holds a benchmark item; each row is judged by its own text, whatever its id. All columns are as they were, whatever their names."""
+    text = plain_text(docs)
+    found = cut(contaminated(docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text")), benchmark, **settings).select(F.col("doc_id").alias("found")).distinct(), "contaminated")
+    rows = wrapped(docs, key=F.xxhash64(text))
+    return rows.join(F.broadcast(found) if found.count() <= SENT else found, F.col("key") == F.col("found"), "left_anti").select("row.*")

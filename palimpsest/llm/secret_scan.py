@@ -65,7 +65,15 @@ def novel_spans(text: str, near: int = 80, around: int = 400, ratio: float = 0.7
 def all_spans(text: str, **settings) -> list[tuple[str, int, int]]:
     """Base spans and those that the novelty adds beside them (none inside a base span)."""
     base = base_spans(text)
-    more = [x for x in novel_spans(text, **settings) if not any(s < x[2] and x[1] < e for _, s, e in base)]
+    last, more = 0, []
+    covered = iter([*base, ("", len(text), len(text))])
+    _, start, end = next(covered)
+    for x in novel_spans(text, **settings):  # both in the order of their starts
+        while start < x[2] and start < len(text):
+            last = max(last, end)
+            _, start, end = next(covered)
+        if x[1] >= last:
+            more.append(x)
     return sorted([*base, *more], key=lambda x: (x[1], [*KINDS, "novel"].index(x[0])))
 
 
@@ -97,7 +105,10 @@ def scan_secrets(docs: DataFrame, **settings) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]", **settings) -> DataFrame:
-    """docs with every span of its texts replaced by `mark` and n_chars counted anew; all else, nulls included, is as it was."""
+    """docs with every span of its texts replaced by `mark` and n_chars counted anew; all else, nulls included, is as it was.
+
+    Every row stays, repeated ones and those with a null id too; an empty table gives an empty result.
+    """
 
     @F.pandas_udf("string")
     def redacted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
