@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 A block reaches as many words to both sides of a license mark as the longest confirmed wording can
-have, whatever the line ends. Every template of which a block holds enough words is aligned with it
-exactly, word by word. A wording found is compressed with zstandard alone, and with its template as
-a raw dictionary; what the template saves, as a share of the size without it, is reported and ranks
-wordings that are equally like.
+have, whatever the line ends; templates of like length share their blocks. A block is compressed
+with zstandard alone, and with each template as a raw dictionary: templates are ranked by the bytes
+they save, and each that saves a fair part of its own size is confirmed by the exact differences in
+wording, the largest saving first. Of wordings that share words the most exact one stays.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import bisect
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,13 +40,33 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. CC0 1.0 Universal."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
     ("Proprietary", "All rights reserved."),
 ]
 #: Words of a mark may stand on two lines, with a comment's sign between them.
-MARK = re.compile(r"licen[cs]|permission is hereby|redistribut|all rights reserved|public domain|creative commons|\bcc by|\bcc0|warrant|waived".replace(" ", "[^a-z0-9]+"), re.I)
+MARK = re.compile(r"licen[cs]|permission is hereby|permission to use|redistribut|all rights reserved|public domain|creative commons|\bcc by|\bcc0|warrant|waived|copyleft|do what the".replace(" ", "[^a-z0-9]+"), re.I)
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*", re.I)
 SCHEMA = "doc_id long, license string, start long, end long, saving double, similarity double, missing string, added string"
 LEVEL = 9
+#: A template saves at least so much of its own compressed size where a wording as like as 0.8 stands.
+FAIR = 0.2
+#: Words of the longest template whose blocks are short ones.
+SHORT = 24
+#: Blocks of more words than so many reaches are looked at in parts that overlap by two.
+PART = 12
 
 
 def blocks(text: str, starts: list[int], reach: int) -> list[tuple[int, int]]:
@@ -93,24 +112,30 @@ def _trace(item: np.ndarray, text: np.ndarray, cost: float) -> list[tuple[int, i
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]], similarity: float):
+    def __init__(self, templates: list[tuple[str, str]], similarity: float, fair: float = FAIR):
         self.all, self.similarity = templates, similarity
         make = lambda **k: zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False, **k).compress
         self.plain = make()
-        self.primed = [make(dict_data=zstandard.ZstdCompressionDict(x.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, x in templates]
         self.words = [[w.lower() for w in WORD.findall(x)] for _, x in templates]
-        self.counts = [Counter(x) for x in self.words]
+        plain = [" ".join(x).encode() for x in self.words]
+        self.primed = [make(dict_data=zstandard.ZstdCompressionDict(x, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if x else self.plain for x in plain]
         self.code: dict[str, int] = {}
         self.coded = [np.array([self.code.setdefault(w, len(self.code)) for w in x], np.int64) for x in self.words]
         #: a wording as like as `similarity` has at most so many words
         self.spans = [math.ceil(len(x) / similarity) for x in self.words]
-        self.reach = max(self.spans, default=0)
-
-    def saving(self, block: str, i: int) -> float:
-        """The share of the template's own wording that the block's size falls by when the template is known."""
+        empty = len(self.plain(b""))
+        self.size = [len(self.plain(x)) - empty for x in plain]
+        self.fair = fair
+        #: templates whose blocks have the same reach: short ones, long ones
+        kinds = [[i for i, x in enumerate(self.words) if x and (len(x) <= SHORT) == short] for short in (True, False)]
+        self.kinds = [(max(self.spans[i] for i in own), own) for own in kinds if own]
+
+    def ranked(self, block: str, own: list[int]) -> list[tuple[int, int]]:
+        """(bytes saved, template) of the templates that save a fair part of their size in a block, the largest saving first. Both are words in lower case with one space between them, so that line ends and comment signs cost nothing."""
         raw = block.encode("utf-8", "surrogatepass")
         size = len(self.plain(raw))
-        return (size - len(self.primed[i](raw))) / max(1, min(size, len(self.plain(self.all[i][1].encode()))))
+        saved = [(size - len(self.primed[i](raw)), i) for i in own]
+        return sorted((x for x in saved if x[0] >= self.fair * self.size[x[1]]), key=lambda x: (-x[0], x[1]))
 
     def confirm(self, coded: np.ndarray, i: int) -> Iterator[tuple[float, list[tuple[int, int]]]]:
         """(likeness, matched words) of wordings of the template among coded words: words of the template in order, over all of them and those put in between.
@@ -142,44 +167,46 @@ class Templates:
                 yield like, same
 
     def find(self, text: str) -> Iterator[tuple]:
-        """(template, start, end, saving, likeness, missing, added) of the licenses in a text."""
+        """(template, start, end, saving, likeness, missing, added) of the licenses in a text. saving is a share of the template's own size."""
         if not MARK.search(text):
             return
         found = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(text)]
+        starts = [s for s, *_ in found]
         coded = np.array([self.code.get(w, -1) for *_, w in found], np.int64)
-        todo = blocks(text, [s for s, *_ in found], self.reach)
+        todo = [(s, e, reach, own) for reach, own in self.kinds for s, e in blocks(text, starts, reach)]
+        hits: dict[tuple[int, int, int], tuple] = {}
         while todo:
-            s, e = todo.pop()
-            if s >= e or not MARK.search(text, found[s][0], found[e - 1][1]):
+            s, e, reach, own = todo.pop()
+            if e - s > PART * reach:
+                step = (PART - 2) * reach
+                todo += [(a, min(e, a + PART * reach), reach, own) for a in range(s, e - 2 * reach, step)]
                 continue
-            held = Counter(w for *_, w in found[s:e])
-            hits = []
-            for i, words in enumerate(self.words):
-                # no alignment keeps more words than the block holds of the template
-                if not words or sum(min(n, held[w]) for w, n in self.counts[i].items()) < self.similarity * len(words) - 1e-6:
-                    continue
+            for saved, i in self.ranked(" ".join(w for *_, w in found[s:e]), own):
                 for like, same in self.confirm(coded[s:e], i):
                     a, z = s + same[0][1], s + same[-1][1] + 1
                     kept, inside = {x for x, _ in same}, {s + x for _, x in same}
-                    missing = [w for k, w in enumerate(words) if k not in kept]
+                    missing = [w for k, w in enumerate(self.words[i]) if k not in kept]
                     added = [found[k][2] for k in range(a, z) if k not in inside]
-                    hits.append((len(same) - len(missing) - len(added), like, self.saving(text[found[a][0] : found[z - 1][1]], i), -i, a, z, missing, added))
-            taken: list[tuple[int, int]] = []
-            for _, like, saving, i, a, z, missing, added in sorted(hits, key=lambda x: x[:6], reverse=True):
-                at = bisect.bisect_left(taken, (a, z))
-                if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z):
-                    continue
-                taken.insert(at, (a, z))
-                yield -i, found[a][0], found[z - 1][1], saving, like, " ".join(missing), " ".join(added)
-            if taken:  # what stands around them may hold others
-                todo += zip([s, *(z for _, z in taken)], [*(a for a, _ in taken), e])
+                    # what the template saves of this wording alone
+                    own_saving = self.ranked(" ".join(w for *_, w in found[a:z]), [i])
+                    saving = own_saving[0][0] / max(1, self.size[i]) if own_saving else 0.0
+                    if MARK.search(text, found[a][0], found[z - 1][1]):
+                        hits[a, z, i] = (len(same) - len(missing) - len(added), like, saving, -i, a, z, missing, added)
+        taken: list[tuple[int, int]] = []
+        for _, like, saving, i, a, z, missing, added in sorted(hits.values(), key=lambda x: x[:6], reverse=True):
+            at = bisect.bisect_left(taken, (a, z))
+            if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < z):
+                continue
+            taken.insert(at, (a, z))
+            yield -i, found[a][0], found[z - 1][1], saving, like, " ".join(missing), " ".join(added)
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, similarity: float = 0.8) -> DataFrame:
     """One row for each license found in each row of docs, as in SCHEMA; start and end are code points, end exclusive.
 
     Every wording as like a template as `similarity` is found, over line ends and whatever stands between its words, if a mark
-    stands in it. Of wordings that share words, the one with most of its template's words less the differences wins (ties: the more
+    stands in it and the template saves at least FAIR of its own size in the block (tests/llm tries edited wordings down to that
+    likeness). Of wordings that share words, the one with most of its template's words less the differences wins (ties: the more
     like, the larger saving, then the first template). missing and added are the differences in wording. Null and empty texts, and
     blocks without a confirmed template, give no row. Repeated rows give repeated results; other columns are ignored.
     """

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import byte_bpe
-from palimpsest.llm.common import cut, documents, spread
+from palimpsest.llm.common import batches_of, cut, documents, spread
 
 #: Tokens of a range (one task), and of a shard of the index (what a task holds at a time).
 RANGE, SHARD = 2_000_000, 400_000
@@ -140,7 +140,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         seen = np.flatnonzero(df)
         yield pd.DataFrame({"doc_id": None, "ids": None, "size": None, "term": seen, "df": df[seen]})
 
-    held = cut(documents(docs).mapInPandas(encode, "doc_id long, ids binary, size long, term int, df long"), "encoded")
+    with batches_of(docs.sparkSession, 2000):
+        held = cut(documents(docs).mapInPandas(encode, "doc_id long, ids binary, size long, term int, df long"), "encoded")
     encoded = held.filter("term IS NULL").select("doc_id", "ids", "size")
     count, tokens = encoded.agg(F.count("size"), F.sum("size")).first()
     bpe = byte_bpe(tokenizer)
