@@ -320,11 +320,31 @@ def slow_repeats(texts, length):
     return out
 
 
+def slow_passages(texts, words):
+    """Maximal stretches of words covered by sequences of `words` words that start elsewhere too."""
+    cut = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(ws[i : i + words]) for ws in cut for i in range(len(ws) - words + 1))
+    out = []
+    for ws in cut:
+        gone = np.zeros(len(ws), bool)
+        for i in range(len(ws) - words + 1):
+            if seen[tuple(ws[i : i + words])] > 1:
+                gone[i : i + words] = True
+        out.append(int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()))
+    return out
+
+
 def test_op5_brute_force(spark, docs, none):
     cuts = [BASE[a : a + 600] for a in (0, 100, 350)]
-    rows = TEXTS[:10] + TEXTS[11:] + [(100 + i, prose(20) + " " + c + " " + prose(20)) for i, c in enumerate(cuts * 2)] + [(200, "ab" * 900), (201, "é" * 450), (202, BASE[:399]), (203, BASE[:400])]
+    short = " ".join("abc"[k % 3] + str(k) for k in range(51))  # over 50 words, under 400 bytes
+    rows = TEXTS[:10] + TEXTS[11:] + [(100 + i, prose(20) + " " + c + " " + prose(20)) for i, c in enumerate(cuts * 2)] + [(200, "ab" * 900), (201, "é" * 450), (202, BASE[:399]), (203, BASE[:400]), (204, "w " * 400)]
+    rows += [(300 + i, prose(60) + "\t" + short + "\n" + prose(60)) for i in range(3)] + [(310, short), (311, prose(30) + " " + " ".join(short.split()[:49]) + " " + prose(30))]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert Counter(tuple(r) for r in got) == Counter((i, *x) for (i, _), x in zip(rows, slow_repeats([t for _, t in rows], 400)))
+    texts = [t for _, t in rows]
+    want = Counter((i, *x, n) for (i, _), x, n in zip(rows, slow_repeats(texts, 400), slow_passages(texts, 50)))
+    assert Counter(tuple(r) for r in got) == want
+    told = {r.doc_id: (r.n_removed, r.n_passages) for r in got}
+    assert all(told[i] == (0, 1) for i in (300, 301, 302, 310)) and told[311] == (0, 0)
     assert suffix_dedup.remove_repeats(none).collect() == [] and suffix_dedup.remove_repeats(docs, with_text=True).count() == len(TEXTS)
 
 
