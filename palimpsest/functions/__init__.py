@@ -71,10 +71,10 @@ def first_of(kept: list[tuple[Column, str]], otherwise: str) -> Column:
     return F.lit(otherwise) if out is None else out.otherwise(otherwise)
 
 
-def confidence_band(p: Column | str) -> Column:
-    """A word for a probability: strong from 0.9 (or to 0.1), moderate from 0.7 (or to 0.3), else weak; null stays null."""
-    far = F.abs(col(p) - 0.5)
-    return F.when(far >= 0.4, "strong").when(far >= 0.2, "moderate").when(far.isNotNull(), "weak")
+def confidence_band(log_odds: Column | str) -> Column:
+    """A word for log-odds of either sign: high from 2, medium from 0.5, else low; null stays null."""
+    far = F.abs(col(log_odds))
+    return F.when(far >= 2.0, "high").when(far >= 0.5, "medium").when(far.isNotNull(), "low")
 
 
 def written_sum(terms: Column | str, total: Column | str) -> Column:

@@ -120,59 +120,89 @@ def manifest_rows(entities: DataFrame, priors: DataFrame, cell: list[str], held:
     return out.select("person_id", "family", found.alias("found"), F.coalesce(expected, F.lit(False)).alias("expected"), F.coalesce(~found & expected, F.lit(False)).alias("penalised"), (F.round(delta, 6) + 0.0).alias("delta"), F.round(F.when(~found & known, 8 * F.col("shrunk")).otherwise(0.0), 6).alias("widen"))
 
 
-def axis_founder(claims: DataFrame, key: str, findability: str, memory: str, shift: str) -> DataFrame:
-    """(key, n, point, low, high): verified and contradicted claims and findable absences move the point; the rest of the absences only widen.
+def axis_founder(claims: DataFrame, observations: DataFrame, context: DataFrame, key: str, findability: str) -> DataFrame:
+    """(key, n, point, low, high): n and the mean reliability are those of the observations; verified and contradicted claims and findable absences move the point, other absences only widen.
 
-    evidence = clip(50 + 9·mean reliability) + 4·verified − 9·contradicted − 6·penalised, mixed with the prior clip(50 + 8·shift) by n/(n+6);
-    with a memory the evidence is 0.55 of it and 0.45 of the memory. half = min(45, 8 + 22·(1−w) + 2.5·widening absences).
+    direct = clip(50 + 9·mean reliability) + 4·verified − 9·contradicted − 6·penalised; with a memory (context) it is 0.55 of that and 0.45 of
+    the memory; clipped, it is mixed with the prior clip(50 + 8·shift) (context) by n/(n+6). half = min(45, 8 + 22·(1−w) + 2.5·widening absences).
+    A source without a reliability counts as 0.
     """
     absent = F.col("state") == ABSENT
     heavy = absent & (F.coalesce(findability, F.lit(0.0)) >= 0.5)
-    g = claims.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("reliability").alias("_rel"), F.count_if(F.col("state") == VERIFIED).alias("_v"), F.count_if(F.col("state") == CONTRADICTED).alias("_c"), F.count_if(heavy).alias("_p"),
-        F.count_if(absent).alias("_a"), F.max(memory).alias("_memory"), F.max(shift).alias("_shift"),
-    )
+    told = claims.groupBy(key).agg(F.count_if(F.col("state") == VERIFIED).alias("_v"), F.count_if(F.col("state") == CONTRADICTED).alias("_c"), F.count_if(heavy).alias("_p"), F.count_if(absent).alias("_a"))
+    seen = observations.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("reliability", F.lit(0.0))).alias("_rel"))
+    g = seen.join(told, key, "full").fillna(0, ["n", "_v", "_c", "_p", "_a"]).join(context.select(key, F.col("memory").alias("_memory"), F.col("shift").alias("_shift")), key, "left")
     w = F.col("n") / (F.col("n") + 6)
-    raw = clip(clip(50 + 9 * F.coalesce("_rel", F.lit(0.0)), 0.0, 100.0) + 4 * F.col("_v") - 9 * F.col("_c") - 6 * F.col("_p"), 0.0, 100.0)
-    evidence = F.when(F.col("_memory").isNotNull(), 0.55 * raw + 0.45 * F.col("_memory")).otherwise(raw)
-    point = w * evidence + (1 - w) * clip(50 + 8 * F.coalesce("_shift", F.lit(0.0)), 0.0, 100.0)
+    direct = clip(50 + 9 * F.coalesce("_rel", F.lit(0.0)), 0.0, 100.0) + 4 * F.col("_v") - 9 * F.col("_c") - 6 * F.col("_p")
+    direct = clip(F.when(F.col("_memory").isNotNull(), 0.55 * direct + 0.45 * F.col("_memory")).otherwise(direct), 0.0, 100.0)
+    point = w * direct + (1 - w) * clip(50 + 8 * F.coalesce("_shift", F.lit(0.0)), 0.0, 100.0)
     half = F.least(F.lit(45.0), 8 + 22 * (1 - w) + 2.5 * (F.col("_a") - F.col("_p")))
     r = lambda c: F.round(c, 6)
     return g.select(key, "n", r(point).alias("point"), r(clip(point - half, 0.0, 100.0)).alias("low"), r(clip(point + half, 0.0, 100.0)).alias("high"))
 
 
 def axis_market(terms: DataFrame, key: str, shift: DataFrame) -> DataFrame:
-    """(key, n, index, label) from itemised terms (kind, value) and a prior shift.
+    """(key, n, index, label) from itemised terms (kind, value, at) and a prior shift.
 
-    Claims add their sign; comparables −0.4 each, two at most; reviews their change of direction times min(1, last/50)·0.6; wind-downs −0.6, press +0.2.
-    Bear at −0.35 or less, bullish at 0.35 or more; without any term the index is 0.
+    A claim adds 0.3 if verified (value over 0), −0.8 if contradicted (under 0); comparables −0.4 each, two at most; two reviews or more,
+    the first over 0, their change of direction times min(1, last/50)·0.6; wind-downs −0.6, press +0.2. n counts the rows that made a term.
+    Bear at −0.35 or less, bullish at 0.35 or more; without any term the index is the shift.
     """
     is_ = lambda k: F.col("kind") == k
     reviews = lambda f: f(F.when(is_("review"), F.col("value")), F.when(is_("review"), F.col("at")))
     g = terms.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(is_("claim"), F.signum("value")).otherwise(0.0)).alias("_claims"), F.count_if(is_("comparable")).alias("_comp"),
-        reviews(F.min_by).alias("_first"), reviews(F.max_by).alias("_last"), F.count_if(is_("wind_down")).alias("_wind"), F.count_if(is_("press")).alias("_press"),
+        F.count_if(~is_("review")).alias("_n"), F.count_if(is_("claim") & (F.col("value") > 0)).alias("_good"), F.count_if(is_("claim") & (F.col("value") < 0)).alias("_bad"), F.count_if(is_("comparable")).alias("_comp"),
+        F.count_if(is_("review")).alias("_reviews"), reviews(F.min_by).alias("_first"), reviews(F.max_by).alias("_last"), F.count_if(is_("wind_down")).alias("_wind"), F.count_if(is_("press")).alias("_press"),
     )
-    review = F.coalesce(F.signum(F.col("_last") - F.col("_first")) * F.least(F.lit(1.0), F.col("_last") / 50) * 0.6, F.lit(0.0))
-    index = F.col("_claims") - 0.4 * F.least("_comp", F.lit(2)) + review - F.when(F.col("_wind") > 0, 0.6).otherwise(0.0) + F.when(F.col("_press") > 0, 0.2).otherwise(0.0)
-    out = g.join(shift, key, "left").withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 6) + 0.0)
+    counted = F.coalesce((F.col("_reviews") >= 2) & (F.col("_first") > 0), F.lit(False))
+    review = F.when(counted, F.signum(F.col("_last") - F.col("_first")) * F.least(F.lit(1.0), F.col("_last") / 50) * 0.6).otherwise(0.0)
+    index = 0.3 * F.col("_good") - 0.8 * F.col("_bad") - 0.4 * F.least("_comp", F.lit(2)) + review - F.when(F.col("_wind") > 0, 0.6).otherwise(0.0) + F.when(F.col("_press") > 0, 0.2).otherwise(0.0)
+    out = g.join(shift, key, "left").withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 6) + 0.0).withColumn("n", F.col("_n") + F.when(counted, F.col("_reviews")).otherwise(0))
     return out.select(key, "n", "index", F.when(F.col("index") <= -0.35, "bear").when(F.col("index") >= 0.35, "bullish").otherwise("neutral").alias("label"))
 
 
-def axis_fit(rows: DataFrame, key: str) -> DataFrame:
-    """(key, n, point, survives): latest domain state, cadence, claims, comparables and market, shrunk to 50 by n/(n+5); survives at 50 or more."""
-    state = F.element_at(F.create_map(*[F.lit(x) for kv in {"transacting": 14.0, "pricing": 8.0, "changelog": 5.0, "waitlist": 1.0, "parked": -10.0}.items() for x in kv]), F.col("domain_state"))
-    g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max_by(state, "at"), F.lit(0.0)).alias("_state"), F.avg("cadence").alias("_cadence"), F.count_if("good").alias("_good"), F.count_if("bad").alias("_bad"), F.count_if("comparable").alias("_comp"), F.max_by("market", "at").alias("_market"))
-    market = F.when(F.col("_market") == "bullish", 6.0).when(F.col("_market") == "bear", -6.0).otherwise(0.0)
-    raw = clip(50 + F.col("_state") + clip(F.coalesce("_cadence", F.lit(0.0)), -1.0, 1.0) * 8 + 5 * F.col("_good") - 8 * F.col("_bad") - 6 * F.least("_comp", F.lit(2)) + market, 0.0, 100.0)
+#: Points of the latest domain state; any other state has none.
+STATE_POINTS = {"transacting": 12.0, "pricing_page": 6.0, "changelog": 4.0, "calendly": 0.0, "waitlist": -4.0, "parked": -10.0, "unreachable": -10.0}
+
+
+def axis_fit(terms: DataFrame, context: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, n, point, low, high, survives, carries) from itemised terms (kind, state, value, at) and a context (label, market_n, shift, widening, build_low).
+
+    direct = clip(50 + points of the latest domain state + 8·clip((last − first)/first, ±1) of two cadences or more, the first over 0,
+    + 5·verified − 8·contradicted − 6·comparables, two at most, ± 6 for a bullish or bear market), mixed with clip(50 + 8·shift) by n/(n+5);
+    n counts all rows that made a term, the market's too. half = min(45, 7 + 20·(1−w) + 2.5·widening). It survives at 50 or more; if not,
+    carries tells whether the lower bound of the capacity to build reaches the threshold (null without one).
+    """
+    is_ = lambda k: F.col("kind") == k
+    points = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATE_POINTS.items() for x in kv]), F.col("state")), F.lit(0.0))
+    cadence = lambda f: f(F.when(is_("cadence"), F.col("value")), F.when(is_("cadence"), F.col("at")))
+    g = terms.groupBy(key).agg(
+        F.count_if(~is_("cadence")).alias("_n"), F.max_by(F.when(is_("domain"), points), F.when(is_("domain"), F.col("at"))).alias("_state"), F.count_if(is_("cadence")).alias("_cadences"), cadence(F.min_by).alias("_first"), cadence(F.max_by).alias("_last"),
+        F.count_if(is_("verified")).alias("_good"), F.count_if(is_("contradicted")).alias("_bad"), F.count_if(is_("comparable")).alias("_comp"),
+    ).join(context, key, "left")
+    counted = F.coalesce((F.col("_cadences") >= 2) & (F.col("_first") > 0), F.lit(False))
+    ratio = F.when(counted, clip((F.col("_last") - F.col("_first")) / F.col("_first"), -1.0, 1.0)).otherwise(0.0)
+    market = F.when(F.col("label") == "bullish", 6.0).when(F.col("label") == "bear", -6.0).otherwise(0.0)
+    direct = clip(50 + F.coalesce("_state", F.lit(0.0)) + 8 * ratio + 5 * F.col("_good") - 8 * F.col("_bad") - 6 * F.least("_comp", F.lit(2)) + market, 0.0, 100.0)
+    n = F.col("_n") + F.when(counted, F.col("_cadences")).otherwise(0) + F.coalesce("market_n", F.lit(0))
     w = F.col("n") / (F.col("n") + 5)
-    return g.withColumn("point", F.round(w * raw + (1 - w) * 50, 6)).select(key, "n", "point", (F.col("point") >= 50).alias("survives"))
+    out = g.withColumn("n", n).withColumn("_p", w * direct + (1 - w) * clip(50 + 8 * F.coalesce("shift", F.lit(0.0)), 0.0, 100.0))
+    half = F.least(F.lit(45.0), 7 + 20 * (1 - w) + 2.5 * F.coalesce("widening", F.lit(0)))
+    r = lambda c: F.round(c, 6)
+    out = out.select(key, "n", r("_p").alias("point"), r(clip(F.col("_p") - half, 0.0, 100.0)).alias("low"), r(clip(F.col("_p") + half, 0.0, 100.0)).alias("high"), "build_low")
+    return out.withColumn("survives", F.col("point") >= 50).withColumn("carries", F.when(~F.col("survives"), F.col("build_low") >= threshold)).drop("build_low")
+
+
+def stance(score: Column, label: Column, threshold: float) -> Column:
+    """The label of a categorical axis; a number is bear under threshold − 10, bullish over threshold + 10, else neutral; unknown without either."""
+    return F.coalesce(label, F.when(score < threshold - 10, "bear").when(score > threshold + 10, "bullish").when(score.isNotNull(), "neutral"), F.lit("unknown"))
 
 
-def axis_disagreement(axes: DataFrame, key: str, threshold: float = 10.0) -> DataFrame:
-    """(key, disagree, binding, dissent) over rows of (axis, rank, score): stances are above, below or about 50; the binding axis is the least (rank, axis), the dissent the greatest of those with another stance."""
-    stance = F.when(F.col("score") >= 50 + threshold, 1).when(F.col("score") <= 50 - threshold, -1).otherwise(0)
-    g = axes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "axis", stance.alias("stance")))).alias("_s"))
+def axis_disagreement(axes: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, disagree, binding, dissent) over rows of (axis, score, label): the binding axis has the least (rank of the stance, name), the dissent the greatest of those with another stance. Bear ranks 0, neutral and unknown 1, bullish 2."""
+    said = stance(F.col("score"), F.col("label"), threshold)
+    rank = F.when(F.col("_said") == "bear", 0).when(F.col("_said") == "bullish", 2).otherwise(1)
+    g = axes.withColumn("_said", said).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "axis", F.col("_said").alias("stance")))).alias("_s"))
     bind = F.array_min("_s")
     others = F.filter("_s", lambda x: x["stance"] != bind["stance"])
     return g.select(key, (F.size(others) > 0).alias("disagree"), bind["axis"].alias("binding"), F.array_max(others)["axis"].alias("dissent"))

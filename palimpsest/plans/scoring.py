@@ -225,34 +225,41 @@ def absence(v):
     return absence_charged(deltas(v)).select("claim_id", "evidence_id")
 
 
-AXF = CLAIMS | {"rel": "SELECT claim_id, avg(weight) AS reliability, max(findability_prior) AS fp FROM deltas GROUP BY 1",
-    "cl": "SELECT claim_id % 1500 AS opp, state, reliability, fp, CASE WHEN claim_id % 1500 % 3 = 0 THEN (claim_id % 1500 % 100) / 1.0 END AS memory, (claim_id % 1500 % 9 - 4) / 4.0 AS shift FROM scored LEFT JOIN rel USING (claim_id)"}
+AXF = CLAIMS | {"rel": "SELECT claim_id, max(findability_prior) AS fp FROM deltas GROUP BY 1",
+    "cl": "SELECT claim_id % 1500 AS opp, count(*) FILTER (state = 'verified') AS v, count(*) FILTER (state = 'contradicted') AS c, count(*) FILTER (state = 'absent_but_expected' AND coalesce(fp, 0) >= 0.5) AS p, count(*) FILTER (state = 'absent_but_expected') AS a FROM scored LEFT JOIN rel USING (claim_id) GROUP BY 1",
+    "ob": "SELECT person_id % 1500 AS opp, count(*) AS n, avg(coalesce(weight, 0)) AS rel_ FROM observation LEFT JOIN reliability USING (source_class) WHERE person_id IS NOT NULL GROUP BY 1",
+    "ctx": "SELECT DISTINCT person_id % 1500 AS opp, CASE WHEN person_id % 1500 % 3 = 0 THEN (person_id % 1500 % 100) / 1.0 END AS memory, (person_id % 1500 % 9 - 4) / 4.0 AS shift FROM person"}
 
 
-@query("f10_axis_founder", """SELECT opp, n, round(pt, 6) AS point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high FROM (SELECT opp, n, w * ev + (1 - w) * least(greatest(50 + 8 * sh, 0), 100) AS pt, least(45, 8 + 22 * (1 - w) + 2.5 * (a - p)) AS h
-    FROM (SELECT *, n / (n + 6) AS w, CASE WHEN mem IS NOT NULL THEN 0.55 * raw + 0.45 * mem ELSE raw END AS ev FROM (SELECT *, least(greatest(least(greatest(50 + 9 * coalesce(rel_, 0), 0), 100) + 4 * v - 9 * c - 6 * p, 0), 100) AS raw
-    FROM (SELECT opp, count(*) AS n, avg(reliability) AS rel_, count(*) FILTER (state = 'verified') AS v, count(*) FILTER (state = 'contradicted') AS c, count(*) FILTER (state = 'absent_but_expected' AND coalesce(fp, 0) >= 0.5) AS p, count(*) FILTER (state = 'absent_but_expected') AS a, max(memory) AS mem, max(shift) AS sh FROM cl GROUP BY 1))))""", AXF)
+@query("f10_axis_founder", """SELECT opp, n, round(pt, 6) AS point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high FROM (SELECT opp, n, w * least(greatest(CASE WHEN memory IS NOT NULL THEN 0.55 * raw + 0.45 * memory ELSE raw END, 0), 100) + (1 - w) * least(greatest(50 + 8 * coalesce(shift, 0), 0), 100) AS pt, least(45, 8 + 22 * (1 - w) + 2.5 * (a - p)) AS h
+    FROM (SELECT *, n / (n + 6) AS w, least(greatest(50 + 9 * coalesce(rel_, 0), 0), 100) + 4 * v - 9 * c - 6 * p AS raw FROM (SELECT opp, coalesce(n, 0) AS n, rel_, coalesce(v, 0) AS v, coalesce(c, 0) AS c, coalesce(p, 0) AS p, coalesce(a, 0) AS a, memory, shift FROM ob FULL JOIN cl USING (opp) LEFT JOIN ctx USING (opp))))""", AXF)
 def founder(v):
-    rel = deltas(v).groupBy("claim_id").agg(F.avg("weight").alias("reliability"), F.max("findability_prior").alias("fp"))
-    rows = scored(v).join(rel, "claim_id", "left").withColumn("opp", F.col("claim_id") % 1500)
-    rows = rows.withColumn("memory", F.when(F.col("opp") % 3 == 0, (F.col("opp") % 100) / 1.0)).withColumn("shift", (F.col("opp") % 9 - 4) / 4.0)
-    return S.axis_founder(rows, "opp", "fp", "memory", "shift")
+    rel = deltas(v).groupBy("claim_id").agg(F.max("findability_prior").alias("fp"))
+    claims = scored(v).join(rel, "claim_id", "left").withColumn("opp", F.col("claim_id") % 1500)
+    seen = v.observation().filter("person_id IS NOT NULL").join(F.broadcast(reliability(v.spark)), "source_class", "left").select((F.col("person_id") % 1500).alias("opp"), F.col("weight").alias("reliability"))
+    opp = (F.col("person_id") % 1500).alias("opp")
+    context = v.person().select(opp).distinct().select("opp", F.when(F.col("opp") % 3 == 0, (F.col("opp") % 100) / 1.0).alias("memory"), ((F.col("opp") % 9 - 4) / 4.0).alias("shift"))
+    return S.axis_founder(claims, seen, context, "opp", "fp")
 
 
 TERMS = {
-    "terms": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'wind_down' ELSE 'press' END AS kind, CASE WHEN event_type = 'view' THEN value - 10 ELSE value END AS value, ts AS tm FROM events WHERE event_id % 4 <> 0 AND (event_type <> 'error' OR event_id % 9 = 0)",
-    "mk": """SELECT opp, n, round(cl - 0.4 * least(comp, 2) + coalesce(sign(la - fi) * least(1, la / 50) * 0.6, 0) - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) + 0.0::DOUBLE AS index FROM (SELECT opp, count(*) AS n, sum(CASE WHEN kind = 'claim' THEN sign(value) ELSE 0 END) AS cl, count(*) FILTER (kind = 'comparable') AS comp, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms GROUP BY 1)
+    "terms": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN CASE WHEN event_id % 9 = 0 THEN 'wind_down' ELSE 'none' END ELSE 'press' END AS kind, CASE WHEN event_type = 'view' THEN value - 40 ELSE value END AS value, ts AS tm FROM events",
+    "mk": """SELECT opp, CAST(n + CASE WHEN ok THEN nr ELSE 0 END AS BIGINT) AS n, round(0.3 * g - 0.8 * b - 0.4 * least(comp, 2) + CASE WHEN ok THEN sign(la - fi) * least(1, la / 50) * 0.6 ELSE 0 END - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) + 0.0::DOUBLE AS index
+        FROM (SELECT *, coalesce(nr >= 2 AND fi > 0, FALSE) AS ok FROM (SELECT opp, count(*) FILTER (kind <> 'review') AS n, count(*) FILTER (kind = 'claim' AND value > 0) AS g, count(*) FILTER (kind = 'claim' AND value < 0) AS b, count(*) FILTER (kind = 'comparable') AS comp, count(*) FILTER (kind = 'review') AS nr, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms WHERE kind <> 'none' GROUP BY 1))
         LEFT JOIN (SELECT person_id AS opp, (person_id % 7 - 3) / 10.0 AS shift FROM person WHERE person_id % 2 = 0) USING (opp)""",
+    "mkl": "SELECT *, CASE WHEN index <= -0.35 THEN 'bear' WHEN index >= 0.35 THEN 'bullish' ELSE 'neutral' END AS label FROM mk",
 }
 
 
 def market_axis(v):
-    e = v.table("events").filter("event_id % 4 <> 0 AND (event_type <> 'error' OR event_id % 9 = 0)")
-    terms = e.select((F.col("event_id") % 300).alias("opp"), F.expr("CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN 'wind_down' ELSE 'press' END").alias("kind"), F.expr("CASE WHEN event_type = 'view' THEN value - 10 ELSE value END").alias("value"), F.col("ts").alias("at"))
-    return S.axis_market(terms, "opp", v.person().filter("person_id % 2 = 0").select(F.col("person_id").alias("opp"), ((F.col("person_id") % 7 - 3) / 10.0).alias("shift")))
+    terms = v.table("events").select(
+        (F.col("event_id") % 300).alias("opp"), F.expr("CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN CASE WHEN event_id % 9 = 0 THEN 'wind_down' ELSE 'none' END ELSE 'press' END").alias("kind"),
+        F.expr("CASE WHEN event_type = 'view' THEN value - 40 ELSE value END").alias("value"), F.col("ts").alias("at"),
+    )
+    return S.axis_market(terms.filter("kind <> 'none'"), "opp", v.person().filter("person_id % 2 = 0").select(F.col("person_id").alias("opp"), ((F.col("person_id") % 7 - 3) / 10.0).alias("shift")))
 
 
-@query("f11_axis_market", "SELECT opp, n, index, CASE WHEN index <= -0.35 THEN 'bear' WHEN index >= 0.35 THEN 'bullish' ELSE 'neutral' END AS label FROM mk", TERMS)
+@query("f11_axis_market", "SELECT opp, n, index, label FROM mkl", TERMS)
 def market(v):
     return market_axis(v)
 
@@ -263,20 +270,31 @@ def writeback(v):
     return S.sector_writeback(own, "sector", ["opp"], "index", "m").select("opp", "sector", "written", "prior")
 
 
-@query("f12_axis_fit", """SELECT opp, n, point, point >= 50 AS survives FROM (SELECT opp, n, round(n / (n + 5) * least(greatest(50 + st + least(greatest(coalesce(ca, 0), -1), 1) * 8 + 5 * g - 8 * b - 6 * least(co, 2) + CASE m WHEN 'bullish' THEN 6 WHEN 'bear' THEN -6 ELSE 0 END, 0), 100) + (1 - n / (n + 5)) * 50, 6) AS point
-    FROM (SELECT opp, count(*) AS n, coalesce(arg_max(CASE ds WHEN 'transacting' THEN 14 WHEN 'pricing' THEN 8 WHEN 'changelog' THEN 5 WHEN 'waitlist' THEN 1 WHEN 'parked' THEN -10 END, tm), 0) AS st, avg(cadence) AS ca, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS b, count(*) FILTER (comparable) AS co, arg_max(market, tm) AS m FROM fit GROUP BY 1))""",
-    {"fit": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, ts AS tm, CASE event_type WHEN 'view' THEN 'parked' WHEN 'click' THEN 'pricing' WHEN 'signup' THEN 'waitlist' WHEN 'error' THEN 'changelog' ELSE 'transacting' END AS ds, (value - 20) / 20 AS cadence, event_id % 5 = 0 AS good, event_id % 11 = 0 AS bad, event_id % 13 = 0 AS comparable, CASE event_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bear' ELSE 'neutral' END AS market FROM events"})
+KIND = "CASE event_type WHEN 'view' THEN 'domain' WHEN 'click' THEN 'cadence' WHEN 'signup' THEN CASE WHEN event_id % 7 = 0 THEN 'verified' ELSE 'none' END WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'contradicted' ELSE 'none' END ELSE CASE WHEN event_id % 11 = 0 THEN 'comparable' ELSE 'none' END END"
+LATEST = "CASE event_id % 8 WHEN 0 THEN 'transacting' WHEN 1 THEN 'pricing_page' WHEN 2 THEN 'changelog' WHEN 3 THEN 'calendly' WHEN 4 THEN 'waitlist' WHEN 5 THEN 'parked' WHEN 6 THEN 'unreachable' ELSE 'other' END"
+
+
+@query("f12_axis_fit", """SELECT opp, n, point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high, point >= 50 AS survives, CASE WHEN point < 50 THEN build_low >= 60 END AS carries FROM (SELECT *, round(pt, 6) AS point, least(45, 7 + 20 * (1 - w) + 2.5 * coalesce(widening, 0)) AS h FROM (SELECT *, w * direct + (1 - w) * least(greatest(50 + 8 * coalesce(shift, 0), 0), 100) AS pt FROM (SELECT *, n / (n + 5) AS w,
+        least(greatest(50 + coalesce(st, 0) + 8 * CASE WHEN ok THEN least(greatest((la - fi) / fi, -1), 1) ELSE 0 END + 5 * g - 8 * b - 6 * least(co, 2) + CASE label WHEN 'bullish' THEN 6 WHEN 'bear' THEN -6 ELSE 0 END, 0), 100) AS direct
+    FROM (SELECT *, CAST(other + CASE WHEN ok THEN nc ELSE 0 END + coalesce(market_n, 0) AS BIGINT) AS n FROM (SELECT *, coalesce(nc >= 2 AND fi > 0, FALSE) AS ok FROM fitted LEFT JOIN fctx USING (opp))))))""",
+    TERMS | {"fit": f"SELECT CAST(event_id % 300 AS BIGINT) AS opp, {KIND} AS kind, {LATEST} AS state, value, ts AS tm FROM events",
+    "fitted": "SELECT opp, count(*) FILTER (kind <> 'cadence') AS other, arg_max(CASE state WHEN 'transacting' THEN 12 WHEN 'pricing_page' THEN 6 WHEN 'changelog' THEN 4 WHEN 'waitlist' THEN -4 WHEN 'parked' THEN -10 WHEN 'unreachable' THEN -10 ELSE 0 END, tm) FILTER (kind = 'domain') AS st, count(*) FILTER (kind = 'cadence') AS nc, arg_min(value, tm) FILTER (kind = 'cadence') AS fi, arg_max(value, tm) FILTER (kind = 'cadence') AS la, count(*) FILTER (kind = 'verified') AS g, count(*) FILTER (kind = 'contradicted') AS b, count(*) FILTER (kind = 'comparable') AS co FROM fit WHERE kind <> 'none' GROUP BY 1",
+    "fctx": "SELECT mkl.opp, label, mkl.n AS market_n, (person_id % 7 - 3) / 10.0 AS shift, person_id % 4 AS widening, CASE WHEN person_id % 3 > 0 THEN (person_id % 100) / 1.0 END AS build_low FROM mkl LEFT JOIN person ON person_id = mkl.opp"})
 def fit(v):
-    rows = v.table("events").selectExpr("event_id % 300 AS opp", "ts AS at", "CASE event_type WHEN 'view' THEN 'parked' WHEN 'click' THEN 'pricing' WHEN 'signup' THEN 'waitlist' WHEN 'error' THEN 'changelog' ELSE 'transacting' END AS domain_state", "(value - 20) / 20 AS cadence", "event_id % 5 = 0 AS good", "event_id % 11 = 0 AS bad", "event_id % 13 = 0 AS comparable", "CASE event_id % 3 WHEN 0 THEN 'bullish' WHEN 1 THEN 'bear' ELSE 'neutral' END AS market")
-    return S.axis_fit(rows, "opp")
+    terms = v.table("events").selectExpr("event_id % 300 AS opp", f"{KIND} AS kind", f"{LATEST} AS state", "value", "ts AS at").filter("kind <> 'none'")
+    own = v.person().selectExpr("person_id AS opp", "(person_id % 7 - 3) / 10.0 AS shift", "person_id % 4 AS widening", "CASE WHEN person_id % 3 > 0 THEN (person_id % 100) / 1.0 END AS build_low")
+    context = market_axis(v).select("opp", "label", F.col("n").alias("market_n")).join(own, "opp", "left")
+    return S.axis_fit(terms, context, "opp", 60.0)
 
 
-@query("f13_axis_disagreement", """SELECT id, count(DISTINCT st) > 1 AS disagree, arg_min(axis, (rank, axis)) AS binding, (SELECT arg_max(o.axis, (o.rank, o.axis)) FROM ax o WHERE o.id = ax.id AND o.st <> (SELECT arg_min(q.st, (q.rank, q.axis)) FROM ax q WHERE q.id = ax.id)) AS dissent FROM ax GROUP BY id""",
-    {"ax": """SELECT *, CASE WHEN score >= 60 THEN 1 WHEN score <= 40 THEN -1 ELSE 0 END AS st FROM (SELECT c_custkey AS id, 'founder' AS axis, CAST(c_custkey % 3 AS BIGINT) AS rank, c_acctbal / 100 AS score FROM customer UNION ALL SELECT c_custkey, 'market', CAST(c_custkey % 2 AS BIGINT), (c_custkey * 37 % 101)::DOUBLE FROM customer UNION ALL SELECT c_custkey, 'fit', CAST(1 AS BIGINT), (c_custkey * 53 % 103)::DOUBLE FROM customer)"""})
+@query("f13_axis_disagreement", "SELECT id, disagree, binding, arg_max(axis, (rank, axis)) FILTER (stance <> bound) AS dissent FROM ax JOIN (SELECT id, count(DISTINCT stance) > 1 AS disagree, arg_min(axis, (rank, axis)) AS binding, arg_min(stance, (rank, axis)) AS bound FROM ax GROUP BY id) USING (id) GROUP BY id, disagree, binding",
+    {"ax": """SELECT *, CASE stance WHEN 'bear' THEN 0 WHEN 'bullish' THEN 2 ELSE 1 END AS rank FROM (SELECT id, axis, coalesce(label, CASE WHEN score IS NULL THEN 'unknown' WHEN score < 45 THEN 'bear' WHEN score > 65 THEN 'bullish' ELSE 'neutral' END) AS stance FROM (
+    SELECT c_custkey AS id, 'founder' AS axis, c_acctbal / 100 AS score, NULL AS label FROM customer UNION ALL SELECT c_custkey, 'market', NULL, CASE c_custkey % 3 WHEN 0 THEN 'bear' WHEN 1 THEN 'neutral' ELSE 'bullish' END FROM customer UNION ALL SELECT c_custkey, 'idea_vs_market', CASE WHEN c_custkey % 9 > 0 THEN (c_custkey * 53 % 103)::DOUBLE END, NULL FROM customer))"""})
 def disagreement(v):
     c = v.table("customer")
-    one = lambda axis, rank, score: c.selectExpr("c_custkey AS id", f"'{axis}' AS axis", f"cast({rank} AS bigint) AS rank", f"cast({score} AS double) AS score")
-    return S.axis_disagreement(one("founder", "c_custkey % 3", "c_acctbal / 100").unionByName(one("market", "c_custkey % 2", "c_custkey * 37 % 101")).unionByName(one("fit", "1", "c_custkey * 53 % 103")), "id")
+    one = lambda axis, score, label: c.selectExpr("c_custkey AS id", f"'{axis}' AS axis", f"cast({score} AS double) AS score", f"cast({label} AS string) AS label")
+    market = one("market", "NULL", "CASE c_custkey % 3 WHEN 0 THEN 'bear' WHEN 1 THEN 'neutral' ELSE 'bullish' END")
+    return S.axis_disagreement(one("founder", "c_acctbal / 100", "NULL").unionByName(market).unionByName(one("idea_vs_market", "CASE WHEN c_custkey % 9 > 0 THEN c_custkey * 53 % 103 END", "NULL")), "id", 55.0)
 
 
 PRIOR = "CASE WHEN coalesce({0}, 0) > 0 THEN {1} ELSE {2} END"

@@ -136,8 +136,8 @@ def test_scalar_helpers(spark):
     from palimpsest.functions import confidence_band, first_mode, leading_number, written_sum
 
     df = spark.createDataFrame([([-1.2, 0.6], -0.6, ["b", "a", None, "a", "b"], "11_entries_90d")], "t array<double>, s double, m array<string>, v string")
-    row = df.select(written_sum("t", "s").alias("line"), first_mode("m").alias("m"), leading_number("v").alias("v"), confidence_band(F.lit(0.95)).alias("c")).first()
-    assert tuple(row) == ("-1.2 + 0.6 = -0.6", "b", 11.0, "strong")
+    row = df.select(written_sum("t", "s").alias("line"), first_mode("m").alias("m"), leading_number("v").alias("v"), confidence_band(F.lit(-2.5)).alias("c")).first()
+    assert tuple(row) == ("-1.2 + 0.6 = -0.6", "b", 11.0, "high")
 
 
 def test_fronts_peel_and_finish_alike(spark, sf):
