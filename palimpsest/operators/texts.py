@@ -28,11 +28,13 @@ def clean_markup(page: Column, unescape: bool = True) -> Column:
 
 
 def page_state(text: Column, status: Column, markers: dict[str, list[str]], weak: list[str]) -> Column:
-    """The first list of markers, in the order given, of which the page holds one; a weak parked marker alone doesn't count. Statuses 401, 403 and 429 are unknown."""
-    strong = F.when(status.isin(401, 403, 429), "unknown")
+    """The first list of markers, in the order given, of which the page holds one; a weak marker alone doesn't count, two markers of a list do, weak or not. Statuses 401, 403 and 429, and pages without text, are unknown."""
+    low = F.lower(text)
+    found = F.when(status.isin(401, 403, 429) | (F.coalesce(F.trim(text), F.lit("")) == ""), "unknown")
     for name, words in markers.items():
-        strong = strong.when(contains_any(text, [w for w in words if w not in weak]), name)
-    return strong.otherwise("unknown")
+        hits = reduce(lambda x, y: x + y, [low.contains(w).cast("int") for w in words])
+        found = found.when(contains_any(text, [w for w in words if w not in weak]) | (hits >= 2), name)
+    return found.otherwise("unknown")
 
 
 def marker_hits(text: Column, markers: dict[str, list[str]]) -> Column:
@@ -40,41 +42,88 @@ def marker_hits(text: Column, markers: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(contains_any(text, words), F.lit(name)) for name, words in markers.items()]))
 
 
-def signal_score(text: Column, substance: list[str], lived: list[str], sector: list[str]) -> Column:
-    """0.2 each for substance, specificity (numbers), entities (capitals), 0.3 for lived experience, 0.1 for sector, each up to its full mark; times 0.6 if links are over a quarter of the characters, 0.8 with four quoted lines or more. Markers are plain substrings."""
+#: Full marks and patterns of the text signal.
+LEAST_CHARS, MOST_CHARS = 320, 2200
+KEEP_AT, KEEP_TEMPLATE_AT = 0.42, 0.30
+UNITS = (
+    r"(?i)\b\d+(?:[.,]\d+)?\s?(?:ms|µs|us|ns|sec|secs|seconds?|mins?|minutes?|hrs?|hours?|days?|weeks?|months?|years?|k|m|b|kb|mb|gb|tb|qps|rps|rpm|req/s|reqs?|tps|bps|%|x|percent"
+    r"|users?|customers?|employees?|engineers?|seats?|tenants?|rows?|records?|nodes?|instances?|cores?)\b"
+)
+AMOUNTS = r"(?i)[$€£¥]\s?\d[\d,.]*\s?[kmb]?\b"
+VERSIONS = r"\bv?\d+\.\d+(?:\.\d+)?\b"
+LIVED = [
+    r"\bwe (ran|run|built|migrated|shipped|deployed|switched|rewrote|handled?|processed?|ended up|had to|tried)\b",
+    r"\bi (built|wrote|ran|shipped|maintained|debugged|migrated|implemented|spent|managed|rebuilt)\b",
+    r"\bin production\b", r"\bon-?call\b", r"\bpost-?mortem\b", r"\b(outage|incident|regression|downtime)\b", r"\bat my (last|previous|old) (job|company|startup|gig)\b", r"\b(when|while) i (was|worked) at\b",
+    r"\bi(?:'ve| have) (been|worked|spent|shipped|seen)\b", r"\bour (customers|users|clients|team|stack|infra|pipeline)\b", r"\bwe (learned|found|discovered|realised|realized)\b", r"\bthe hard way\b",
+    r"\bmy (co-?founder|startup|company|team)\b", r"\bwe were (doing|running|using|paying)\b", r"\b(currently|used to) (work|build|run|maintain)\b", r"\bi (do|did) this (for|at)\b", r"\bfrom experience\b", r"\bwe (charge|bill|invoice|onboard)\b",
+]
+#: Labels of the hiring template and its header line.
+LABELS = ["location", "remote", "willing to relocate", "relocate", "technologies", "tech stack", "stack", "r[ée]sum[ée]", "resume", "cv", "email", "linkedin", "github", "website", "availability", "seeking", "role"]
+HEADER = r"(?m)^[^\n|]{2,60}\|[^\n|]{2,60}\|"
+
+
+def signal_score(text: Column, entities: list[str], sector: list[str], lived: list[str] | None = None) -> Column:
+    """0.2 each for substance (length from 320 to 2,200 characters), specificity (numbers with units, amounts, versions; six are full) and entities (five), 0.3 for patterns of lived experience (three), 0.1 for sector terms (two).
+
+    Times 0.6 if links are over a quarter of the characters, 0.8 with four quoted lines or more. Entities and sector terms are plain substrings.
+    """
     low = F.lower(text)
-    count = lambda words: reduce(lambda a, b: a + b, [low.contains(w).cast("int") for w in words])
+    total = lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
     part = lambda n, full: clip(n / full, 0.0, 1.0)
+    hits = sum((F.regexp_count(text, F.lit(p)) for p in (AMOUNTS, VERSIONS)), F.regexp_count(text, F.lit(UNITS)))
     base = (
-        0.2 * part(count(substance), 3.0) + 0.2 * part(F.regexp_count(text, F.lit(r"[0-9]+")), 4.0) + 0.2 * part(F.regexp_count(text, F.lit(r"\b[A-Z][a-z]{3,}")), 20.0)
-        + 0.3 * part(count(lived), 2.0) + 0.1 * part(count(sector), 1.0)
+        0.2 * part(F.length(text) - LEAST_CHARS, float(MOST_CHARS - LEAST_CHARS)) + 0.2 * part(hits, 6.0) + 0.2 * part(total([low.contains(w) for w in entities]), 5.0)
+        + 0.3 * part(total([text.rlike("(?i)" + p) for p in lived or LIVED]), 3.0) + 0.1 * part(total([low.contains(w) for w in sector]), 2.0)
     )
     links = F.length(text) - F.length(F.regexp_replace(text, r"https?://\S+", ""))
-    quotes = F.regexp_count(text, F.lit(r"(?m)^>"))
+    quotes = F.regexp_count(text, F.lit(r"(?m)^\s*>"))
     return base * F.when(links > 0.25 * F.length(text), 0.6).otherwise(1.0) * F.when(quotes >= 4, 0.8).otherwise(1.0)
 
 
-def template_fields(text: Column, labels: list[str]) -> Column:
-    """Number of distinct labels (`Label:`), and two more for a header line with two bars."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)\b({'|'.join(labels)})\s*:"), 1), F.lower))
-    return F.size(found) + F.when(F.split_part(text, F.lit("\n"), F.lit(1)).rlike(r"\|.*\|"), 2).otherwise(0)
+def template_fields(text: Column, labels: list[str] | None = None) -> Column:
+    """Number of distinct labels (at a line's start or after a bar, `:` or `|` after them), and two more if any line is a header of two fields with bars."""
+    found = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(rf"(?i)(?:^|\n|\|)\s*({'|'.join(labels or LABELS)})\s*[:|]"), 1), F.lower))
+    return F.size(found) + F.when(text.rlike(HEADER), 2).otherwise(0)
 
 
-#: Kinds of facts in the order in which they take their spans: a hard one must be met, a soft one need not.
-ATOMS = [("date", r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b", True), ("percent", r"[0-9]+(?:\.[0-9]+)?%", True), ("money", r"\$[0-9][0-9,]*(?:\.[0-9]+)?[kmb]?", True), ("version", r"\bv[0-9]+(?:\.[0-9]+)+", True), ("serial", r"\b[0-9]{4,}\b", True), ("count", r"\b[0-9]+\b", False)]
+#: Kinds of facts; a hard one must be met, a soft one need not. Each is sought in the whole text; numbers where no other fact stands.
+ATOMS = [("date", r"\b\d{4}-\d{2}-\d{2}\b"), ("percent", r"\d+(?:\.\d+)?\s?%"), ("money", r"[$€£¥]\s?\d[\d.,]*(?:\s?[KkMmBb])?"), ("version", r"\bv\d+\.\d+(?:\.\d+)?\b")]
+NUMBER = r"\d[\d.,/]*\d|\d"
+SCALES = {"k": 1_000, "m": 1_000_000, "b": 1_000_000_000}
 
 
-def _atom(kind: str, hard: bool):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("raw"), F.lit(hard).alias("hard"))
+def _fact(kind: str):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), F.trim(x).alias("raw"), F.lit(True).alias("hard"))
 
 
-def extract_atoms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, raw, hard) of the facts in a text; what an earlier kind took is blank to later ones."""
-    parts, rest = [], F.col(text)
-    for kind, pattern, hard in ATOMS:
-        parts.append(F.transform(F.regexp_extract_all(rest, F.lit(pattern), 0), _atom(kind, hard)))
+def atoms_of(text: Column) -> Column:
+    """An array of (kind, raw, hard). A number of four digits or more is a serial and hard, a shorter one a count and soft."""
+    parts, rest = [], text
+    for kind, pattern in ATOMS:
+        parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), _fact(kind)))
         rest = F.regexp_replace(rest, pattern, " ")
-    return df.select(key, F.explode(F.flatten(F.array(*parts))).alias("_a")).select(key, "_a.*")
+    long = lambda x: F.length(F.regexp_replace(x, r"\D", "")) >= 4
+    number = lambda x: F.struct(F.when(long(x), "serial").otherwise("count").alias("kind"), x.alias("raw"), long(x).alias("hard"))
+    return F.flatten(F.array(*parts, F.transform(F.regexp_extract_all(rest, F.lit(NUMBER), 0), number)))
+
+
+def digit_forms(raw: Column) -> Column:
+    """The spellings that count as the same number: all digits together, the number without separators but its points, each run of digits, each of these without leading zeros; with a K, M or B also the scaled whole number. "98/441,207" is 98441207, 98, 441 and 207; "41K" is 41 and 41000."""
+    bare = F.regexp_replace(raw, r"[^\d.,/]", "")
+    digits = F.regexp_replace(bare, r"\D", "")
+    unzero = lambda x: F.when(F.ltrim(x, F.lit("0")) == "", "0").otherwise(F.ltrim(x, F.lit("0")))
+    runs = F.filter(F.split(bare, r"\D+"), lambda x: x != "")
+    letter = F.lower(F.regexp_extract(raw, r"([KkMmBb])$", 1))
+    scale = F.element_at(F.create_map(*[F.lit(x) for kv in SCALES.items() for x in kv]), F.when(letter != "", letter))
+    scaled = F.regexp_replace(bare, ",", "").try_cast("decimal(30,6)") * scale
+    forms = F.concat(F.array(digits, unzero(digits), F.regexp_replace(bare, "[,/]", "")), runs, F.transform(runs, unzero), F.array(scaled.cast("decimal(38,0)").cast("string")))
+    return F.array_distinct(F.filter(F.when(digits == "", F.array().cast("array<string>")).otherwise(forms), lambda x: x.isNotNull() & (x != "")))
+
+
+def extract_atoms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, kind, raw, hard) of the facts in a text."""
+    return df.select(key, F.explode(atoms_of(F.col(text))).alias("_a")).select(key, "_a.*")
 
 
 def one_line(text: Column, limit: int) -> Column:
@@ -86,7 +135,8 @@ def passages_in_texts(excerpts: DataFrame, texts: DataFrame, excerpt_id: str, ex
     """(excerpt_id, text_id): excerpts that stand literally in texts.
 
     Both are cut at spaces into runs of words; an excerpt is met by the rarest of its inner runs of three words, so that a word pair
-    common to a third of all texts decides nothing, and containment is tested on the texts met.
+    common to a third of all texts decides nothing, and containment is tested on the texts met. Excerpts under five words are met by
+    the rarest of their runs of eight characters, or of all their characters if they have fewer.
     """
     # the words are bound once; as a mere expression they would be split anew for each run
     grams = lambda words: F.array_distinct(F.transform(F.array(words), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 2), lambda i: F.concat_ws(" ", c[i - 1], c[i], c[i + 1])))[0])
@@ -100,7 +150,20 @@ def passages_in_texts(excerpts: DataFrame, texts: DataFrame, excerpt_id: str, ex
     lacking = asked.join(often, "gram", "left_anti").select(excerpt_id).distinct()  # a run in no text: the excerpt is in none
     met = rare.join(lacking, excerpt_id, "left_anti").join(said, "gram").select(excerpt_id, text_id).distinct()
     both = met.join(excerpts.select(excerpt_id, F.col(excerpt).alias("_e")), excerpt_id).join(texts.select(text_id, F.col(text).alias("_t")), text_id)
-    return both.filter(F.col("_t").contains(F.col("_e"))).select(excerpt_id, text_id)
+    found = both.filter(F.col("_t").contains(F.col("_e"))).select(excerpt_id, text_id)
+    short = excerpts.filter((F.size(inner) < 5) & (F.length(excerpt) > 0))
+    return found if short.isEmpty() else found.unionByName(_short_in_texts(short, texts, excerpt_id, excerpt, text_id, text))
+
+
+def _short_in_texts(excerpts: DataFrame, texts: DataFrame, excerpt_id: str, excerpt: str, text_id: str, text: str, width: int = 8) -> DataFrame:
+    """passages_in_texts by runs of characters: one run of each excerpt, of `width` characters or its length, is met in the texts."""
+    size = F.least(F.length(excerpt), F.lit(width))
+    asked = excerpts.select(excerpt_id, excerpt, F.substring(F.col(excerpt), F.lit(1), size).alias("gram"), size.alias("w"))
+    sizes = [r.w for r in asked.select("w").distinct().collect()]  # `width` numbers at most
+    said = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (w - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(w))))
+    parts = [texts.select(text_id, F.explode(said(w)).alias("gram")).join(asked.filter(F.col("w") == w).select("gram").distinct(), "gram", "left_semi") for w in sizes]
+    met = reduce(lambda x, y: x.unionByName(y), parts).join(asked, "gram").select(excerpt_id, F.col(excerpt).alias("_e"), text_id)
+    return met.join(texts.select(text_id, F.col(text).alias("_t")), text_id).filter(F.col("_t").contains(F.col("_e"))).select(excerpt_id, text_id)
 
 
 def verdict(literal: Column, hard: Column, missing: Column, status: Column, expected_absent: Column, claimed: Column, reserved: Column) -> Column:
@@ -113,20 +176,16 @@ def verdict(literal: Column, hard: Column, missing: Column, status: Column, expe
 
 def verify_excerpts(checks: DataFrame) -> DataFrame:
     """checks (check_id, excerpt, page_text, http_status, expected_absent, claimed_found, url) with the verdict, the missing hard facts, and the share of the excerpt's words that the page has."""
-    def hard(c: Column) -> Column:
-        rest, parts = c, []
-        for _, pattern, is_hard in ATOMS:
-            if is_hard:
-                parts.append(F.regexp_extract_all(rest, F.lit(pattern), 0))
-            rest = F.regexp_replace(rest, pattern, " ")
-        return F.array_distinct(F.transform(F.flatten(F.array(*parts)), lambda x: F.lower(F.regexp_replace(x, "[$,]", ""))))
-
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     page = F.coalesce("page_text", F.lit(""))
-    facts = checks.withColumns({"_hard": hard(F.col("excerpt")), "_there": hard(page), "_we": words(F.col("excerpt")), "_wp": words(page)})
-    missing = F.array_except("_hard", "_there")
+    # a date or version counts as written, any other number in every spelling
+    spelled = lambda a: F.when(a["kind"] == "date", F.array(a["raw"])).when(a["kind"] == "version", F.array(F.ltrim(a["raw"], F.lit("v")))).otherwise(digit_forms(a["raw"]))
+    there = F.array_distinct(F.concat(F.regexp_extract_all(page, F.lit(ATOMS[0][1]), 0), F.flatten(F.transform(F.regexp_extract_all(page, F.lit(NUMBER), 0), digit_forms))))
+    facts = checks.withColumns({"_hard": F.filter(atoms_of(F.col("excerpt")), lambda a: a["hard"]), "_there": there, "_we": words(F.col("excerpt")), "_wp": words(page)})
+    missing = F.filter("_hard", lambda a: ~F.arrays_overlap(spelled(a), F.col("_there")))
     reserved = F.coalesce(F.col("url").rlike(r"\.(test|invalid|localhost)(/|$)"), F.lit(False))
-    said = verdict(page.contains(F.col("excerpt")), F.col("_hard"), missing, F.coalesce("http_status", F.lit(0)), F.col("expected_absent"), F.col("claimed_found"), reserved)
+    flat = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "’‘“”—–−\u00a0", "''\"\"--- "), r"\s+", " "))
+    said = verdict(flat(page).contains(flat(F.col("excerpt"))), F.col("_hard"), missing, F.coalesce("http_status", F.lit(0)), F.col("expected_absent"), F.col("claimed_found"), reserved)
     return facts.select("check_id", said.alias("verdict"), F.size(missing).cast("long").alias("n_missing"), F.try_divide(F.size(F.array_intersect("_we", "_wp")), F.size("_we")).alias("overlap"))
 
 

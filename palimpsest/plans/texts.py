@@ -18,42 +18,53 @@ def strip(v):
     return v.table("pages").select("page_id", T.clean_markup(F.col("html"), unescape=False).alias("text"))
 
 
-MARKERS = {"parked": ['class="ad"', "<nav"], "transacting": ["<form", "<table"], "pricing": ["&amp;&amp;"], "changelog": ["<pre", "2024-"], "waitlist": ["<footer"]}
+MARKERS = {"parked": ['class="ad"', "<nav", "<aside"], "transacting": ["<form", "<table"], "pricing": ["&amp;&amp;"], "changelog": ["<pre", "2024-"], "waitlist": ["<footer"]}
 
 
-@query("j6_page_state", """SELECT page_id, CASE WHEN page_id % 40 = 0 THEN 'unknown' WHEN contains(l, 'class="ad"') THEN 'parked' WHEN contains(l, '<form') OR contains(l, '<table') THEN 'transacting' WHEN contains(l, '&amp;&amp;') THEN 'pricing' WHEN contains(l, '<pre') OR contains(l, '2024-') THEN 'changelog' WHEN contains(l, '<footer') THEN 'waitlist' ELSE 'unknown' END AS state FROM (SELECT page_id, lower(html) AS l FROM pages)""")
+@query("j6_page_state", """SELECT page_id, CASE WHEN page_id % 40 = 0 THEN 'unknown' WHEN trim(coalesce(l, '')) = '' THEN 'unknown' WHEN contains(l, 'class="ad"') OR contains(l, 'class="ad"')::INT + contains(l, '<nav')::INT + contains(l, '<aside')::INT >= 2 THEN 'parked' WHEN contains(l, '<form') OR contains(l, '<table') THEN 'transacting' WHEN contains(l, '&amp;&amp;') THEN 'pricing' WHEN contains(l, '<pre') OR contains(l, '2024-') THEN 'changelog' WHEN contains(l, '<footer') THEN 'waitlist' ELSE 'unknown' END AS state FROM (SELECT page_id, lower(html) AS l FROM pages)""")
 def state(v):
     status = F.when(F.col("page_id") % 40 == 0, 403).otherwise(200)
-    return v.table("pages").select("page_id", T.page_state(F.col("html"), status, MARKERS, ["<nav"]).alias("state"))
+    return v.table("pages").select("page_id", T.page_state(F.col("html"), status, MARKERS, ["<nav", "<aside"]).alias("state"))
 
 
-SUBSTANCE, LIVED, SECTOR = ["the", "and", "tion"], ["was", "and"], ["license", "token"]
+ENTITIES, SECTOR = ["postgres", "kafka", "and", "tion", "license", "redis"], ["license", "token", "the"]
+LEAD = "CASE doc_id % 4 WHEN 0 THEN 'We ran 12 ms p99 and 40 rps on postgres in production at my last job, v1.2 for $40k and 3.5 months ' WHEN 1 THEN 'I wrote it the hard way: 10% of 300 users ' ELSE '' END"
 
 
-@query("j7_text_signal_score", r"""SELECT doc_id, round((0.2 * least(greatest((contains(l, 'the')::INT + contains(l, 'and')::INT + contains(l, 'tion')::INT) / 3, 0), 1) + 0.2 * least(len(regexp_extract_all(text, '[0-9]+')) / 4, 1) + 0.2 * least(len(regexp_extract_all(text, '\b[A-Z][a-z]{3,}')) / 20, 1)
-    + 0.3 * least((contains(l, 'was')::INT + contains(l, 'and')::INT) / 2, 1) + 0.1 * least((contains(l, 'license')::INT + contains(l, 'token')::INT) / 1, 1)) * CASE WHEN length(text) - length(regexp_replace(text, 'https?://\S+', '', 'g')) > 0.25 * length(text) THEN 0.6 ELSE 1 END * CASE WHEN len(regexp_extract_all(text, '(?m)^>')) >= 4 THEN 0.8 ELSE 1 END, 6) AS score
-    FROM (SELECT doc_id, text, lower(text) AS l FROM documents WHERE lang = 'en')""")
+def _sql_text(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+@query("j7_text_signal_score", rf"""SELECT doc_id, round(s, 6) AS score, s >= 0.42 AS kept, s >= 0.3 AS kept_in_template FROM (SELECT doc_id, (0.2 * least(greatest((length(body) - 320) / 1880, 0), 1) + 0.2 * least((len(regexp_extract_all(body, '{_sql_text(T.UNITS)}')) + len(regexp_extract_all(body, '{_sql_text(T.AMOUNTS)}')) + len(regexp_extract_all(body, '{_sql_text(T.VERSIONS)}'))) / 6, 1)
+    + 0.2 * least(({" + ".join(f"contains(l, '{w}')::INT" for w in ENTITIES)}) / 5, 1) + 0.3 * least(({" + ".join(f"regexp_matches(body, '(?i){_sql_text(p)}')::INT" for p in T.LIVED)}) / 3, 1) + 0.1 * least(({" + ".join(f"contains(l, '{w}')::INT" for w in SECTOR)}) / 2, 1))
+    * CASE WHEN length(body) - length(regexp_replace(body, 'https?://\S+', '', 'g')) > 0.25 * length(body) THEN 0.6 ELSE 1 END * CASE WHEN len(regexp_extract_all(body, '(?m)^\s*>')) >= 4 THEN 0.8 ELSE 1 END AS s
+    FROM (SELECT doc_id, {LEAD} || text AS body, lower({LEAD} || text) AS l FROM documents))""".replace("\\\\", "\\"))
 def signal(v):
-    return v.table("documents").filter("lang = 'en'").select("doc_id", F.round(T.signal_score(F.col("text"), SUBSTANCE, LIVED, SECTOR), 6).alias("score"))
+    score = T.signal_score(F.col("body"), ENTITIES, SECTOR)
+    return v.table("documents").select("doc_id", F.concat(F.expr(LEAD), "text").alias("body")).select("doc_id", score.alias("s")).select("doc_id", F.round("s", 6).alias("score"), (F.col("s") >= T.KEEP_AT).alias("kept"), (F.col("s") >= T.KEEP_TEMPLATE_AT).alias("kept_in_template"))
+
+
+FORM = "CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y | Résumé| z' WHEN 1 THEN concat('no role: x', chr(10), 'ab | cd | e', chr(10), ' tech stack: q') WHEN 2 THEN concat('Stack: a', chr(10), 'email| b', chr(10)) ELSE '' END"
 
 
-@query("j8_hiring_template_fields", r"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(body, '(?i)\b(location|remote|visa|token)\s*:', 1), lambda x: lower(x)))) + CASE WHEN regexp_matches(split_part(body, chr(10), 1), '\|.*\|') THEN 2 ELSE 0 END AS BIGINT) AS fields FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y ' WHEN 1 THEN 'visa: no location: x ' ELSE '' END || text AS body FROM documents)")
+@query("j8_hiring_template_fields", rf"SELECT doc_id, CAST(len(list_distinct(list_transform(regexp_extract_all(body, '(?i)(?:^|\n|\|)\s*({'|'.join(T.LABELS)})\s*[:|]', 1), lambda x: lower(x)))) + CASE WHEN regexp_matches(body, '{T.HEADER}') THEN 2 ELSE 0 END AS BIGINT) AS fields FROM (SELECT doc_id, {FORM} || text AS body FROM documents)")
 def template(v):
-    body = F.concat(F.expr("CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y ' WHEN 1 THEN 'visa: no location: x ' ELSE '' END"), "text")
-    return v.table("documents").select("doc_id", T.template_fields(body, ["location", "remote", "visa", "token"]).cast("long").alias("fields"))
+    return v.table("documents").select("doc_id", F.concat(F.expr(FORM), "text").alias("body")).select("doc_id", T.template_fields(F.col("body")).cast("long").alias("fields"))
 
 
 def _atoms_sql() -> str:
     rest, parts = "body", []
-    for kind, pattern, hard in T.ATOMS:
-        parts.append(f"SELECT doc_id, '{kind}' AS kind, unnest(regexp_extract_all({rest}, '{pattern}')) AS raw, {str(hard).upper()} AS hard FROM b")
+    for kind, pattern in T.ATOMS:
+        parts.append(f"SELECT doc_id, '{kind}' AS kind, trim(unnest(regexp_extract_all(body, '{pattern}'))) AS raw, TRUE AS hard FROM b")
         rest = f"regexp_replace({rest}, '{pattern}', ' ', 'g')"
+    number = f"SELECT doc_id, unnest(regexp_extract_all({rest}, '{T.NUMBER}')) AS raw FROM b"
+    parts.append(f"SELECT doc_id, CASE WHEN length(regexp_replace(raw, '\\D', '', 'g')) >= 4 THEN 'serial' ELSE 'count' END AS kind, raw, length(regexp_replace(raw, '\\D', '', 'g')) >= 4 AS hard FROM ({number})".replace("\\\\", "\\"))
     return " UNION ALL ".join(parts)
 
 
-@query("j9_extract_atoms", _atoms_sql(), {"b": "SELECT doc_id, 'v1.' || (doc_id % 7) || ' of 2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' at $' || doc_id || '.5m, ' || (doc_id % 90) || '% ' || text AS body FROM documents"})
+@query("j9_extract_atoms", _atoms_sql(), {"b": "SELECT doc_id, 'v1.' || (doc_id % 7) || ' of 2024-01-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') || ' at $' || doc_id || '.5m, £ 1,815 k and 98/441,' || doc_id || ', ' || (doc_id % 90) || ' % ' || text AS body FROM documents"})
 def atoms(v):
-    body = F.expr("concat('v1.', doc_id % 7, ' of 2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), ' at $', doc_id, '.5m, ', doc_id % 90, '% ', text)")
+    body = F.expr("concat('v1.', doc_id % 7, ' of 2024-01-', lpad(cast(1 + doc_id % 28 AS string), 2, '0'), ' at $', doc_id, '.5m, £ 1,815 k and 98/441,', doc_id, ', ', doc_id % 90, ' % ', text)")
     return T.extract_atoms(v.table("documents").withColumn("body", body), "doc_id", "body")
 
 
@@ -68,7 +79,7 @@ def verify(v):
     from pyspark.sql import Window
 
     c = v.table("conversations").withColumn("page_text", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
-    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("check_id"), F.expr("CASE WHEN turn % 3 = 0 THEN substr(coalesce(page_text, text), 5, 60) ELSE concat(substr(text, 1, 60), ' v1.', conv_id % 3) END").alias("excerpt"), "page_text",
+    rows = c.select(F.concat_ws("-", "conv_id", "turn").alias("check_id"), F.expr("CASE WHEN turn % 3 = 0 THEN substr(coalesce(page_text, text), 5) ELSE concat(text, ' v1.', conv_id % 3) END").alias("excerpt"), "page_text",
                     F.expr("CASE conv_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END").alias("http_status"), F.expr("conv_id % 14 = 0").alias("expected_absent"), F.expr("conv_id % 14 <> 0").alias("claimed_found"), F.expr("CASE WHEN conv_id % 11 = 0 THEN 'http://a.test/x' ELSE 'http://a.example.com/' END").alias("url"))
     return T.verify_excerpts(rows)
 

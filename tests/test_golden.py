@@ -162,3 +162,31 @@ def test_fronts_are_told_to_the_last(spark):
     for small in (10**6, 700):
         got = {(r.a, r.level, r.b): r.front for r in R.pareto_fronts(df, "a", "level", "b", small=small).collect()}
         assert got == want
+
+
+def test_facts_and_their_spellings(spark):
+    """Facts of an excerpt, the spellings of a number, and verdicts by them."""
+    from palimpsest.operators import texts as T
+
+    df = spark.createDataFrame([(1, "on 2024-05-06 23 % of $41K, v1.2.3, serial 98/441,207 and 3 people, 007")], "k int, t string")
+    found = {(r.kind, r.raw, r.hard) for r in T.extract_atoms(df, "k", "t").collect()}
+    assert found == {("date", "2024-05-06", True), ("percent", "23 %", True), ("money", "$41K", True), ("version", "v1.2.3", True), ("serial", "98/441,207", True), ("count", "3", False), ("count", "007", False)}
+    raws = spark.createDataFrame([(x,) for x in ("98/441,207", "41K", "$1.5m", "007", "0.4.1")], "r string")
+    forms = {r.r: set(r.f) for r in raws.select("r", T.digit_forms(F.col("r")).alias("f")).collect()}
+    assert forms["98/441,207"] == {"98441207", "98", "441", "207"} and {"41", "41000"} <= forms["41K"] and "1500000" in forms["$1.5m"] and forms["007"] == {"007", "7"} and "0.4.1" in forms["0.4.1"]
+    rows = [
+        (1, "raised $41K", "they raised 41,000 dollars", 200), (2, "serial 98441207", "No. 98/441,207 filed", 200), (3, "raised $41K", "they raised nothing", 200), (4, "plain words", "other text", 200),
+        (5, "It’s  “here”", 'well it\'s "here" now', 200), (6, "uses v1.2", "since 1.2 it runs", 200),
+    ]
+    checks = spark.createDataFrame([(*r, False, False, "http://a.example.com/") for r in rows], "check_id int, excerpt string, page_text string, http_status int, expected_absent boolean, claimed_found boolean, url string")
+    got = {r.check_id: r.verdict for r in T.verify_excerpts(checks).collect()}
+    assert got == {1: "PASS", 2: "PASS", 3: "MISMATCH", 4: "SOFT-OK", 5: "PASS", 6: "PASS"}
+
+
+def test_short_excerpts_are_found(spark):
+    from palimpsest.operators import texts as T
+
+    said = ["two words", "x", "glued", "a much longer excerpt of words", "nowhere at all"]
+    pages = ["here are two words indeed", "unglued text", "it is a much longer excerpt of words here", ""]
+    got = T.passages_in_texts(spark.createDataFrame(list(enumerate(said)), "e int, s string"), spark.createDataFrame(list(enumerate(pages)), "p int, t string"), "e", "s", "p", "t")
+    assert {(r.e, r.p) for r in got.collect()} == {(i, j) for i, x in enumerate(said) for j, y in enumerate(pages) if x in y}
