@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import days_between
+from palimpsest.operators.ranking import medians, nth_smallest, order_statistics, written
 
 
 def entity_profile(obs: DataFrame, reliability: DataFrame, key: str = "person_id") -> DataFrame:
@@ -117,25 +119,35 @@ def lags(obs: DataFrame, consensus: Column, at: str, key: str = "person_id", cha
 def days_of_edge(lag_rows: DataFrame, obs: DataFrame, channels: DataFrame, at: str, least: int = 5, channel: str = "channel_id") -> DataFrame:
     """Per registered channel: measured lags, censored people, medians, late people, rows of 30 days (the first instant excluded) and of all time, and the basis of the figure."""
     g = lag_rows.groupBy(channel).agg(
-        F.count("lag_days").alias("n_lags"), F.count_if(F.col("lag_days").isNull()).alias("n_censored"), F.median("lag_days").alias("median_days_edge"),
-        F.median(F.when(F.col("lag_days").isNull(), F.col("followed_days"))).alias("censored_followed"), F.count_if(F.col("lag_days") < 0).alias("n_late"),
+        F.count("lag_days").alias("n_lags"), F.count_if(F.col("lag_days").isNull()).alias("n_censored"), F.count_if(F.col("lag_days") < 0).alias("n_late"),
     )
+    middle = medians(lag_rows, [channel], {"median_days_edge": F.col("lag_days"), "censored_followed": F.when(F.col("lag_days").isNull(), F.col("followed_days"))})
     now = F.lit(at).cast("timestamp_ntz")
     t = F.col("observed_at")
     volume = obs.filter(t <= now).groupBy(channel).agg(F.count_if(t > now - F.expr("INTERVAL 7 DAYS")).alias("volume"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("person_id").isNull()).alias("n_unkeyed"))
-    out = channels.join(g, channel, "left").join(volume, channel, "left")
+    out = channels.join(g, channel, "left").join(middle, channel, "left").join(volume, channel, "left")
     basis = F.when(~F.col("applicable"), "not_applicable").when(F.coalesce("n_lags", F.lit(0)) + F.coalesce("n_censored", F.lit(0)) == 0, "insufficient").when(F.col("n_lags") == 0, "fully_censored").when(F.col("n_lags") < least, "insufficient").otherwise("measured")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select(channel, zero("n_lags"), zero("n_censored"), "median_days_edge", "censored_followed", zero("n_late"), zero("volume"), zero("n_rows"), zero("n_unkeyed"), basis.alias("basis"))
 
 
 def order_index(n: int, tail: float = 0.025) -> int:
-    """The largest l with P(Bin(n, ½) < l) at most tail, summed in logarithms so that no n overflows."""
-    total, l = 0.0, 0
-    while l < n:
-        total += math.exp(math.lgamma(n + 1) - math.lgamma(l + 1) - math.lgamma(n - l + 1) - n * math.log(2))
-        if total > tail:
-            break
+    """The largest l with P(Bin(n, ½) < l) at most tail. Starts from the normal approximation; terms are in logarithms, so that no n overflows, and some 10·√n of them tell."""
+
+    def p(i: int) -> float:
+        return math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2))
+
+    l = max(0, int(n / 2 - math.sqrt(n)))
+    total, term, i = 0.0, p(l - 1) if l else 0.0, l - 1
+    while i >= 0 and term > total * 1e-18:
+        total += term
+        term *= i / (n - i + 1)
+        i -= 1
+    while l > 0 and total > tail:
+        l -= 1
+        total -= p(l)
+    while l < n and total + p(l) <= tail:
+        total += p(l)
         l += 1
     return l
 
@@ -143,14 +155,14 @@ def order_index(n: int, tail: float = 0.025) -> int:
 def median_interval(df: DataFrame, key: str, x: str, least: int = 6) -> DataFrame:
     """(key, n, ci_low, ci_high, ci_kind): an interval for the median from order statistics, free of distribution.
 
-    The index depends on n alone; its few distinct values are worked out by a small function over them.
+    The index depends on n alone; its few distinct values are worked out by a small function over them. Rows are placed
+    by ranges, so a channel with a large share of them is still many tasks.
     """
-    rows = df.filter(F.col(x).isNotNull())
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("_least"), F.max(x).alias("_most"))
-    lookup = F.udf(order_index, "int")
-    index = sizes.select("n").distinct().withColumn("_l", lookup("n"))
-    placed = rows.select(key, x).withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(x))).join(sizes.join(index, "n"), key)
-    pick = placed.groupBy(key, "n", "_l", "_least", "_most").agg(F.max(F.when(F.col("_i") == F.col("_l") + 1, F.col(x))).alias("_lo"), F.max(F.when(F.col("_i") == F.col("n") - F.col("_l"), F.col(x))).alias("_hi"))
+    lookup = F.pandas_udf(lambda n: pd.Series([order_index(int(i)) for i in n]), "long")
+    placed = written(order_statistics(df.select(key, x), [key], x))
+    index = placed.select("of").distinct().withColumn("_l", lookup("of"))
+    ends = placed.join(index, "of").groupBy(key, "of", "_l").agg(F.min(x).alias("_least"), F.max(x).alias("_most"), nth_smallest(F.col("_l") + 1, x).alias("_lo"), nth_smallest(F.col("of") - F.col("_l"), x).alias("_hi"))
+    pick = ends.withColumnRenamed("of", "n")
     kind = F.when(F.col("n") == 1, "single").when((F.col("_l") >= 1) & (F.col("n") >= least), "order_statistic_95").otherwise("observed_range")
     found = pick.withColumn("ci_kind", kind).select(key, "n", F.when(kind == "order_statistic_95", F.col("_lo")).otherwise(F.col("_least")).alias("ci_low"), F.when(kind == "order_statistic_95", F.col("_hi")).otherwise(F.col("_most")).alias("ci_high"), "ci_kind")
     return df.select(key).distinct().join(found, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"), "ci_low", "ci_high", F.coalesce("ci_kind", F.lit("insufficient")).alias("ci_kind"))

@@ -14,16 +14,17 @@ def key_of(names: list[str], dims: list[str]) -> Column:
 
 
 def backoff_join(entities: DataFrame, cells: DataFrame, ladder: list[list[str]], dims: list[str], values: list[str], size: str = "n", least: int = 12) -> DataFrame:
-    """Each entity with the first cell of the ladder that has `least` members at least; the last rung is always accepted.
+    """Each entity with the first cell of the ladder that has `least` members at least; the last rung is always accepted. Every row stays, equal ones and those without a cell (nulls) too.
 
-    cells has `level` (place in the ladder), `cell` (key_of its dimensions), size and values. Every rung is an
-    equality on (level, cell): entities are multiplied by the rungs, never compared with all cells.
+    cells has `level` (place in the ladder), `cell` (key_of its dimensions), size and values. The ladder is climbed
+    once for each distinct combination of dimensions, by equality on (level, cell); entities then meet their combination's cell.
     """
-    rungs = F.explode(F.array(*[F.struct(F.lit(i).alias("level"), key_of(r, dims).alias("cell")) for i, r in enumerate(ladder)]))
-    asked = entities.withColumn("_r", rungs).select(*entities.columns, "_r.*")
+    keyed = entities.withColumn("_key", key_of(dims, dims))
+    combinations = keyed.select("_key", F.array(*[F.struct(F.lit(i).alias("level"), key_of(r, dims).alias("cell")) for i, r in enumerate(ladder)]).alias("_r")).groupBy("_key").agg(F.first("_r").alias("_r"))
+    asked = combinations.select("_key", F.explode("_r").alias("_r")).select("_key", "_r.*")
     found = asked.join(cells.select("level", "cell", size, *values), ["level", "cell"]).filter((F.col(size) >= least) | (F.col("level") == len(ladder) - 1))
-    best = found.groupBy(*entities.columns).agg(F.min(F.struct("level", "cell", size, *values)).alias("_b"))
-    return best.select(*entities.columns, "_b.*")
+    best = found.groupBy("_key").agg(F.min_by(F.struct("level", "cell", size, *values), "level").alias("_b"))
+    return keyed.join(best, "_key", "left").select(*entities.columns, "_b.*")
 
 
 def grouping_cells(df: DataFrame, ladder: list[list[str]], dims: list[str], aggs: dict[str, Column]) -> DataFrame:
@@ -87,14 +88,20 @@ def receipt_join(evidence: DataFrame, receipts: DataFrame, key: str) -> DataFram
     return evidence.join(kept, key, "left").withColumn("final_url", F.coalesce("final_url", "receipt_url")).withColumn("http_status", F.coalesce("receipt_status", "http_status")).drop("receipt_url", "receipt_status")
 
 
-def id_drift_pairs(ids: DataFrame, name: str, prefix: str = "ch_", block: int = 3) -> DataFrame:
-    """(drifted, other): ids with the prefix whose stem and another id are prefixes of each other. Ids meet by their first `block` characters, shorter ones by what they have."""
-    left = ids.filter(F.col(name).startswith(prefix)).select(F.col(name).alias("drifted"), F.substring(name, len(prefix) + 1, 1000).alias("_stem")).filter("_stem <> ''")
+def id_drift_pairs(ids: DataFrame, name: str, prefix: str = "ch_") -> DataFrame:
+    """(drifted, other): ids with the prefix whose stem and another id are prefixes of each other. Each id is met by equality with the other side's beginnings, of the lengths that the ids have; so no common beginning is a hot key."""
+    left = ids.filter(F.col(name).startswith(prefix)).select(F.col(name).alias("drifted"), F.col(name).substr(F.lit(len(prefix) + 1), F.length(name)).alias("_stem")).filter("_stem <> ''")
     right = ids.filter(~F.col(name).startswith(prefix) & (F.col(name) != "")).select(F.col(name).alias("other"))
-    keys = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(block), F.length(c))), lambda i: F.substring(c, F.lit(1), i)))
-    a, b = left.withColumn("_k", keys(F.col("_stem"))), right.withColumn("_k", keys(F.col("other")))
-    shared = F.least(F.length("_stem"), F.length("other"), F.lit(block)) == F.length("_k")
-    return a.join(b, "_k").filter(shared & (F.col("_stem").startswith(F.col("other")) | F.col("other").startswith(F.col("_stem")))).select("drifted", "other")
+
+    def beginnings(long: DataFrame, c: str, short: DataFrame, d: str, shorter: bool) -> DataFrame:
+        lengths = short.agg(F.collect_set(F.length(d)).alias("_ls"))  # one row, an entry for each length
+        fits = lambda n: (n < F.length(c)) if shorter else (n <= F.length(c))
+        cuts = F.transform(F.filter("_ls", fits), lambda n: F.col(c).substr(F.lit(1), n))
+        return long.crossJoin(F.broadcast(lengths)).select(*long.columns, F.explode(cuts).alias("_k"))
+
+    by_stem = beginnings(left, "_stem", right, "other", False).join(right.withColumn("_k", F.col("other")), "_k").select("drifted", "other")
+    by_other = beginnings(right, "other", left, "_stem", True).join(left.withColumn("_k", F.col("_stem")), "_k").select("drifted", "other")
+    return by_stem.unionByName(by_other)
 
 
 def board_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -39,6 +39,44 @@ def global_rank(df: DataFrame, order: list[Column | str], name: str) -> DataFram
     return ranged.withColumn(name, local.cast("long")).join(F.broadcast(before), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
 
 
+def sums_before(df: DataFrame, key: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """df with the sum of `value` over the rows before its own in its key (`name`), and over its whole key (`name`_all); null keys are one key.
+
+    key and order must be a total order. Ranges of it are summed each by itself and a row for each range and key carries the
+    sums over, so a key with a large share of all rows is still many tasks.
+    """
+    ranged = written(df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id()))
+    heads = ranged.groupBy("_range", *key).agg(F.sum(value).alias("_s"))
+    earlier = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.sum("_s").over(Window.partitionBy(*key))
+    carried = heads.select(F.col("_range").alias("_r"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_before"), F.coalesce(whole, F.lit(0)).alias(f"{name}_all"))
+    here = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    summed = ranged.withColumn("_here", F.coalesce(F.sum(value).over(here), F.lit(0))).join(carried, same)
+    return summed.withColumn(name, F.col("_here") + F.col("_before")).select(*df.columns, name, f"{name}_all")
+
+
+def order_statistics(df: DataFrame, key: list[str], x: str) -> DataFrame:
+    """(key, x, n, before, of): each value that is not null with its rows, the rows of smaller values in its key, and all of the key's. The i-th smallest is the x with before < i <= before + n. Equal values are counted first."""
+    counts = df.filter(F.col(x).isNotNull()).groupBy(*key, x).agg(F.count(F.lit(1)).alias("n"))
+    return sums_before(counts, key, [x], "n", "before").withColumnRenamed("before_all", "of")
+
+
+def nth_smallest(i: Column, x: str) -> Column:
+    """The i-th smallest x of a key, as an aggregate over order_statistics."""
+    return F.max(F.when((F.col("before") < i) & (i <= F.col("before") + F.col("n")), F.col(x)))
+
+
+def medians(df: DataFrame, key: list[str], values: dict[str, Column]) -> DataFrame:
+    """(key, a column for each of `values` with its exact median), for keys with any value. All values are ordered in one pass over ranges; no median is held in one buffer."""
+    said = df.select(*key, F.explode(F.array(*[F.struct(F.lit(w).alias("which"), c.cast("double").alias("x")) for w, c in values.items()])).alias("_v")).select(*key, F.col("_v.which").alias("_which"), F.col("_v.x").alias("_x"))
+    placed = order_statistics(said, [*key, "_which"], "_x")
+    mid = placed.groupBy(*key, "_which").agg(((nth_smallest(F.ceil(F.col("of") / 2), "_x") + nth_smallest(F.floor(F.col("of") / 2) + 1, "_x")) / 2).alias("_m"))
+    return mid.groupBy(*key).agg(*[F.max(F.when(F.col("_which") == w, F.col("_m"))).alias(w) for w in values])
+
+
 def index_percentile(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     """df with i/(n-1) of its place by value, then key: ties have places of their own; a single row has 1."""
     ranked = global_rank(df, [F.asc(value), F.asc(key)], "_i")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import clip, log_ratio_absent, log_ratio_found, sigmoid
+from palimpsest.operators.ranking import sums_before
 
 VERIFIED, CONTRADICTED, UNVERIFIED, ABSENT = "verified", "contradicted", "unverified", "absent_but_expected"
 
@@ -209,10 +210,9 @@ def axis_disagreement(axes: DataFrame, key: str, threshold: float) -> DataFrame:
 
 
 def sector_writeback(own: DataFrame, sector: str, order: list[str], index: str, n: str) -> DataFrame:
-    """own with `prior`: the sum of 0.5·index (3 decimals each) of the earlier opportunities of the sector that had terms. The recurrence has a closed form, so no loop is needed."""
-    before = Window.partitionBy(sector).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.when(F.col(n) > 0, F.round(0.5 * F.col(index), 3))
-    return own.withColumn("written", shift).withColumn("prior", F.round(F.coalesce(F.sum(shift).over(before), F.lit(0.0)), 3))
+    """own with `prior`: the sum of 0.5·index (3 decimals each) of the earlier opportunities of the sector that had terms. The recurrence has a closed form, so no loop is needed; it is summed over ranges, so a sector is not one task."""
+    shifted = own.withColumn("written", F.when(F.col(n) > 0, F.round(0.5 * F.col(index), 3)))
+    return sums_before(shifted, [sector], order, "written", "prior").drop("prior_all").withColumn("prior", F.round("prior", 3))
 
 
 #: The widest interval to decide on, by appetite.

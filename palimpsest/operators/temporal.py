@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import days_between, minutes_between
+from palimpsest.operators.ranking import medians
 
 
 def rank_shift(df: DataFrame, key: str, raw: str, adjusted: str) -> DataFrame:
@@ -70,10 +71,12 @@ def cohort_timing(timing: DataFrame) -> DataFrame:
     """One row: counts by state, share decided, medians of elapsed time with and without human wait, median discovery lag."""
     state = lambda s: F.count_if(F.col("state") == s)
     done = F.when(F.col("state") == "decided", F.col("elapsed_minutes"))
-    return timing.agg(
+    middle = medians(timing.withColumn("_all", F.lit(0)), ["_all"], {"median_minutes": done, "median_machine_minutes": done - F.when(F.col("state") == "decided", F.col("human_minutes")), "median_lag_days": F.col("discovery_lag_days")})
+    counts = timing.agg(
+        F.lit(0).alias("_all"),
         F.count(F.lit(1)).alias("n"), state("decided").alias("n_decided"), state("stalled").alias("n_stalled"), state("closed").alias("n_closed"), F.round(state("decided") / F.count(F.lit(1)), 6).alias("share_decided"),
-        F.median(done).alias("median_minutes"), F.median(done - F.when(F.col("state") == "decided", F.col("human_minutes"))).alias("median_machine_minutes"), F.median("discovery_lag_days").alias("median_lag_days"),
     )
+    return counts.join(middle, "_all", "left").drop("_all")
 
 
 #: 97.5 % points of Student's t by degrees of freedom, from 1.

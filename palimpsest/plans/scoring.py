@@ -225,6 +225,15 @@ def absence(v):
     return absence_charged(deltas(v)).select("claim_id", "evidence_id")
 
 
+@query("d2_absence_charged_as_stored", "SELECT claim_id, evidence_id FROM evidence WHERE kind = 'expected_absent' AND NOT expected AND interval_widen > 3.75")
+def absence_stored(v):
+    """The same audit over charges as a careless writer would have stored them: a point for each wide interval, expected or not."""
+    from palimpsest.operators.quality import absence_charged
+
+    stored = v.evidence().withColumn("delta", F.when(F.col("interval_widen") > 3.75, -1.0).otherwise(0.0))
+    return absence_charged(stored).select("claim_id", "evidence_id")
+
+
 AXF = CLAIMS | {"rel": "SELECT claim_id, max(findability_prior) AS fp FROM deltas GROUP BY 1",
     "cl": "SELECT claim_id % 1500 AS opp, count(*) FILTER (state = 'verified') AS v, count(*) FILTER (state = 'contradicted') AS c, count(*) FILTER (state = 'absent_but_expected' AND coalesce(fp, 0) >= 0.5) AS p, count(*) FILTER (state = 'absent_but_expected') AS a FROM scored LEFT JOIN rel USING (claim_id) GROUP BY 1",
     "ob": "SELECT person_id % 1500 AS opp, count(*) AS n, avg(coalesce(weight, 0)) AS rel_ FROM observation LEFT JOIN reliability USING (source_class) WHERE person_id IS NOT NULL GROUP BY 1",

@@ -1,7 +1,5 @@
 """K: the streaming jobs run over a file stream of events and read back as tables; K3's oracle is its batch twin."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from palimpsest.operators.ranking import _path
@@ -40,18 +38,25 @@ def append(v):
     return v.spark.read.parquet(path).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k2_stream_volume", "SELECT channel_id, epoch_us(date_trunc('day', observed_at)) // 1000000 AS start_s, count(*) AS n FROM observation GROUP BY ALL")
-def volume(v):
+def closed_volumes(v, width, slide=None):
     rows = StreamViews(v).observation().withColumn("at", F.col("observed_at").cast("timestamp"))
-    name = f"volumes_{uuid.uuid4().hex}"
-    jobs.stream_volume(rows, name, f"{_path(v.table('region'))}-state", "channel_id", "at", "1 day").awaitTermination()
-    return v.spark.table(name).select("channel_id", F.col("start").cast("long").alias("start_s"), "n")
+    path = _path(v.table("region"))
+    jobs.stream_volume(rows, path, f"{path}-state", "channel_id", "at", width, slide).awaitTermination()
+    return v.spark.read.schema("channel_id string, start timestamp, n long").parquet(path).select("channel_id", F.col("start").cast("long").alias("start_s"), "n")
+
+
+#: Windows whose end the watermark has passed: a day before the latest row.
+CLOSED = "SELECT channel_id, epoch_us(d) // 1000000 AS start_s, count(*) AS n FROM (SELECT channel_id, date_trunc('day', observed_at) - CAST(i AS INT) * INTERVAL 1 DAY AS d FROM observation, range(0, {0}) r(i)) WHERE d + INTERVAL {0} DAY <= (SELECT max(observed_at) FROM observation) - INTERVAL 1 DAY GROUP BY ALL"
+
+
+@query("k2_stream_volume", CLOSED.format(1))
+def volume(v):
+    return closed_volumes(v, "1 day")
 
 
-@query("k2_sliding_volume", "SELECT channel_id, epoch_us(d) // 1000000 AS start_s, count(*) AS n FROM observation, range(0, 7) r(i), (SELECT 1) GROUP BY channel_id, start_s".replace("epoch_us(d)", "epoch_us(date_trunc('day', observed_at) - CAST(i AS INT) * INTERVAL 1 DAY)"))
+@query("k2_sliding_volume", CLOSED.format(30))
 def sliding(v):
-    rows = v.observation().withColumn("at", F.col("observed_at").cast("timestamp"))
-    return jobs.volumes(rows, "channel_id", "at", "7 days", "1 day").select("channel_id", F.col("start").cast("long").alias("start_s"), "n")
+    return closed_volumes(v, "30 days", "1 day")
 
 
 CROSS = """SELECT person_id, epoch_us(arg_min(observed_at, (observed_at, observation_id))) AS triggered_us, round(arg_min(s, (observed_at, observation_id)), 6) AS total FROM (SELECT person_id, observed_at, observation_id, round(sum(weight) OVER (PARTITION BY person_id ORDER BY observed_at, observation_id ROWS UNBOUNDED PRECEDING), 6) AS s FROM observation JOIN reliability USING (source_class) WHERE person_id IS NOT NULL) WHERE s >= 12 GROUP BY 1"""

@@ -65,7 +65,10 @@ def cohort(v):
 
 @query("e9_stage_medians", "SELECT stage, count(minutes) AS n, median(minutes) AS median_minutes FROM dm GROUP BY stage", {k: TIMING[k] for k in ("d", "dm")})
 def stage_medians(v):
-    return T.stage_durations(v.stage()).groupBy("stage").agg(F.count("minutes").alias("n"), F.median("minutes").alias("median_minutes"))
+    from palimpsest.operators.ranking import medians
+
+    rows = T.stage_durations(v.stage())
+    return rows.groupBy("stage").agg(F.count("minutes").alias("n")).join(medians(rows, ["stage"], {"median_minutes": F.col("minutes")}), "stage", "left")
 
 
 TREND = """SELECT person_id, n_points, slope, half_width, CASE WHEN slope IS NULL THEN 'insufficient_data' WHEN slope - half_width > 0 THEN 'improving' WHEN slope + half_width < 0 THEN 'declining' ELSE 'stable' END AS trend FROM (

@@ -34,9 +34,15 @@ def volumes(rows: DataFrame, channel: str, clock: str, width: str, slide: str |
     return rows.groupBy(channel, w.alias("_w")).agg(F.count(F.lit(1)).alias("n")).select(channel, F.col("_w.start").alias("start"), "n")
 
 
-def stream_volume(rows: DataFrame, name: str, checkpoint: str, channel: str, clock: str, width: str, slide: str | None = None, delay: str = "1 day") -> StreamingQuery:
-    """Windowed volumes to a memory table of that name; a window is complete when the watermark has passed it."""
-    return volumes(rows.withWatermark(clock, delay), channel, clock, width, slide).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_volume(rows: DataFrame, path: str, checkpoint: str, channel: str, clock: str, width: str, slide: str | None = None, delay: str = "1 day") -> StreamingQuery:
+    """Windowed volumes as Parquet: a window is written once, when the watermark (the latest row less `delay`) has passed its end, and then leaves the state. Windows still open are not written; late rows are left out and told by late_groups."""
+    out = volumes(rows.withWatermark(clock, delay), channel, clock, width, slide)
+    return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def late_groups(run: StreamingQuery) -> int:
+    """How much the watermark dropped in a run's recent batches: late rows, counted once for each channel and window that a task had put them into."""
+    return sum(op["numRowsDroppedByWatermark"] for batch in run.recentProgress for op in batch["stateOperators"])
 
 
 TRIGGERS = "person_id long, triggered_at timestamp, total double"

@@ -1,5 +1,8 @@
 """Hand-made cases, equivalences and plans."""
 
+import math
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -190,3 +193,68 @@ def test_short_excerpts_are_found(spark):
     pages = ["here are two words indeed", "unglued text", "it is a much longer excerpt of words here", ""]
     got = T.passages_in_texts(spark.createDataFrame(list(enumerate(said)), "e int, s string"), spark.createDataFrame(list(enumerate(pages)), "p int, t string"), "e", "s", "p", "t")
     assert {(r.e, r.p) for r in got.collect()} == {(i, j) for i, x in enumerate(said) for j, y in enumerate(pages) if x in y}
+
+
+def test_order_index_is_the_binomial_tail():
+    for n in [*range(0, 120), 399, 1000, 5001]:
+        total, l = 0.0, 0
+        while l < n and total + math.comb(n, l) / 2**n <= 0.025:
+            total += math.comb(n, l) / 2**n
+            l += 1
+        assert A.order_index(n) == l
+    assert 499_000_000 < A.order_index(10**9) < 500_000_000
+
+
+def test_medians_and_sums_by_ranges(spark):
+    from palimpsest.operators.ranking import medians, sums_before
+
+    rows = [("a", i, float(i * 7 % 101)) for i in range(300)] + [("b", 1, 4.0), ("b", 2, None), ("b", 3, 5.0), (None, 1, 2.0), ("c", 1, None)]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    got = {r.k: r.m for r in medians(df, ["k"], {"m": F.col("x")}).collect()}
+    assert got == {"a": statistics.median(r[2] for r in rows[:300]), "b": 4.5, None: 2.0}
+    sums = {(r.k, r.i): (r.s, r.s_all) for r in sums_before(df, ["k"], ["i"], "x", "s").collect()}
+    for k in ("a", "b", None, "c"):
+        own, before = [r for r in rows if r[0] == k], 0.0
+        for _, i, x in own:
+            assert sums[k, i] == (before, sum(r[2] or 0.0 for r in own))
+            before += x or 0.0
+    empty = df.limit(0)
+    assert medians(empty, ["k"], {"m": F.col("x")}).count() == 0 and sums_before(empty, ["k"], ["i"], "x", "s").count() == 0
+
+
+def test_backoff_keeps_every_row(spark):
+    from palimpsest.operators import joins as J
+
+    ladder = [["a", "b"], ["a"], []]
+    people = spark.createDataFrame([(1, "x", "y"), (1, "x", "y"), (2, "x", None), (3, "z", "y")], "id int, a string, b string")
+    cells = spark.createDataFrame([(0, "a=x|b=y", 3, 1.0), (1, "a=x", 9, 2.0), (2, "", 1, 3.0)], "level int, cell string, n int, mean double")
+    of = lambda c: sorted((r.id, r.level, r.mean) for r in J.backoff_join(people, c, ladder, ["a", "b"], ["mean"], least=5).collect())
+    assert of(cells) == [(1, 1, 2.0), (1, 1, 2.0), (2, 1, 2.0), (3, 2, 3.0)]
+    none = J.backoff_join(people, cells.filter("level = 0"), ladder, ["a", "b"], ["mean"], least=5)
+    assert [r.level for r in none.collect()] == [None] * 4
+
+
+def test_id_drift_by_beginnings(spark):
+    from palimpsest.operators import joins as J
+
+    ids = ["ch_abc", "ch_ab", "ch_", "ch_q", "a", "ab", "abcd", "abx", "", "b", None]
+    got = {tuple(r) for r in J.id_drift_pairs(spark.createDataFrame([(i,) for i in ids], "id string"), "id").collect()}
+    assert got == {(d, o) for d in ids[:4] for o in ids[4:10] if o and d[3:] and (d[3:].startswith(o) or o.startswith(d[3:]))}
+
+
+def test_volumes_close_and_late_rows_are_told(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from palimpsest.streaming import jobs
+
+    day = lambda n, h=1: datetime(2024, 1, 1) + timedelta(days=n, hours=h)
+    read = lambda: spark.readStream.schema("c string, at timestamp").parquet(str(tmp_path / "in"))
+    late = 0
+    for rows in ([("a", day(0)), ("a", day(0, 2)), ("b", day(1)), ("a", day(5))], [("a", day(0, 3)), ("b", day(9))]):
+        spark.createDataFrame(rows, "c string, at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = jobs.stream_volume(read(), str(tmp_path / "out"), str(tmp_path / "state"), "c", "at", "1 day")
+        run.awaitTermination()
+        late += jobs.late_groups(run)
+    got = sorted((r.c, r.start, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a", day(0, 0), 2), ("a", day(5, 0), 1), ("b", day(1, 0), 1)]
+    assert late == 1
