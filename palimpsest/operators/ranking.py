@@ -18,6 +18,8 @@ def _path(df: DataFrame) -> str:
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:  # tests and single machines
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         shared = spark.sparkContext.getCheckpointDir()
     return f"{shared.rstrip('/')}/ranks-{uuid.uuid4().hex}"

@@ -64,7 +64,7 @@ def evidence_streams(obs: DataFrame, reliability: DataFrame, rates: DataFrame, r
     cred = proxy.select("person_id", F.lit("credibility").alias("component"), F.col("source_class").alias("stream"), sigmoid("weight").alias("y"))
     settled = resolved.select("person_id", F.lit("credibility").alias("component"), F.concat(F.lit("claim "), F.col("claim_id").cast("string")).alias("stream"), F.col("posterior").alias("y"))
     base = rows.groupBy("person_id", "artifact_type", "is_milestone").agg(F.min_by("confidence", F.struct("observed_at", "observation_id")).alias("base"))
-    build = base.join(F.broadcast(rates), "artifact_type", "left").select("person_id", F.lit("build").alias("component"), F.concat_ws("/", "artifact_type", F.col("is_milestone").cast("string")).alias("stream"), clip(F.col("base") + 0.5 * (F.coalesce("p_pop", F.lit(0.0)) - F.coalesce("p_class", F.lit(0.0))), 0.0, 1.0).alias("y"))
+    build = base.join(rates, "artifact_type", "left").select("person_id", F.lit("build").alias("component"), F.concat_ws("/", "artifact_type", F.col("is_milestone").cast("string")).alias("stream"), clip(F.col("base") + 0.5 * (F.coalesce("p_pop", F.lit(0.0)) - F.coalesce("p_class", F.lit(0.0))), 0.0, 1.0).alias("y"))
     return cred.unionByName(settled).unionByName(build)
 
 
@@ -111,7 +111,7 @@ def ranking_estimate(profiles: DataFrame, missing: DataFrame, class_means: DataF
 def manifest_rows(entities: DataFrame, priors: DataFrame, cell: list[str], held: DataFrame, searched: DataFrame) -> DataFrame:
     """(person_id, family, found, expected, penalised, delta, widen): each entity against each family of its cell; a searched row overrides what was found. An absence that wasn't expected charges nothing."""
     same = [entities[c].eqNullSafe(priors[c]) for c in cell]
-    grid = entities.join(F.broadcast(priors), same).select(entities["person_id"], "family", "shrunk", "complement")
+    grid = entities.join(priors, same).select(entities["person_id"], "family", "shrunk", "complement")
     out = grid.join(held.withColumn("_held", F.lit(True)), ["person_id", "family"], "left").join(searched.select("person_id", "family", "was_found"), ["person_id", "family"], "left")
     found = F.coalesce("was_found", "_held", F.lit(False))
     llr = log_ratio_absent("shrunk", "complement")

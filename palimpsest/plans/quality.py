@@ -1,5 +1,8 @@
 """D: audits (D2 and D4 stand with the claims)."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators import quality as Q
@@ -17,11 +20,18 @@ def constraints(v):
     return Q.violations(v.table("lineitem").withColumn("row_id", F.expr(ROW)), "row_id", {n: F.expr(r) for n, r in RULES.items()})
 
 
-@query("d3_schema_drift")
+EXPECTED = {"events": ["event_id", "ts", "user_id", "event_type", "value", "props", "channel"], "orders": ["o_orderkey", "o_custkey"]}
+
+
+def _drift_sql(table: str, names: list[str]) -> str:
+    have, want = f"(SELECT column_name AS c FROM (DESCRIBE {table}))", f"(SELECT unnest({names!r}) AS c)"
+    return f"SELECT '{table}' AS table_name, c AS column_name, 'missing' AS drift FROM {want} WHERE c NOT IN {have} UNION ALL SELECT '{table}', c, 'extra' FROM {have} WHERE c NOT IN {want}"
+
+
+@query("d3_schema_drift", " UNION ALL ".join(_drift_sql(t, names) for t, names in EXPECTED.items()))
 def drift(v):
     """Columns of the driver's tables against those that the views read."""
-    out = Q.schema_drift(v.table("events"), "events", ["event_id", "ts", "user_id", "event_type", "value", "props", "channel"])
-    return out.unionByName(Q.schema_drift(v.table("orders"), "orders", ["o_orderkey", "o_custkey"]))
+    return reduce(DataFrame.unionByName, [Q.schema_drift(v.table(t), t, names) for t, names in EXPECTED.items()])
 
 
 @query("d5_monotone_visibility", "SELECT days_before, n_visible, coalesce(n_visible > lag(n_visible) OVER (ORDER BY days_before DESC), TRUE) AS grows FROM (" + " UNION ALL ".join(f"SELECT CAST({d} AS BIGINT) AS days_before, count(*) FILTER (observed_at <= TIMESTAMP '2024-01-31' - INTERVAL {d} DAY) AS n_visible FROM observation" for d in (24, 16, 8, 0)) + ")")

@@ -8,7 +8,14 @@ from palimpsest.plans.registry import query
 BARE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<noscript\b[^>]*>.*?</noscript\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"""
 
 
-@query("j5_clean_markup")
+#: The entities that the pages hold, the ampersand last.
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+DECODED = BARE
+for _entity, _char in ENTITIES.items():
+    DECODED = f"replace({DECODED}, '{_entity}', '{_char}')"
+
+
+@query("j5_clean_markup", f"SELECT page_id, {DECODED} AS text FROM pages")
 def clean(v):
     return v.table("pages").select("page_id", T.clean_markup(F.col("html")).alias("text"))
 
