@@ -93,19 +93,29 @@ def spread(rows: int, each: int) -> int:
     return max(1, -(-rows // each))
 
 
-def meet(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+def sent(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to every task if it has SENT rows at most; it should be read from files."""
+    return F.broadcast(df) if df.count() <= SENT else df
+
+
+def meet(rows: DataFrame, keyed: DataFrame, on: list[str], salt: Column | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """rows joined with keyed, which has one row for each key.
 
     The rows of a hot key (over HOT rows and one in MOST_HOT of all) are dealt out in blocks, and its row
     of keyed is given to each block. There are fewer than MOST_HOT hot keys, whatever the tables' size, so
-    these alone are sent to all tasks. rows should be read from files: how they are dealt follows their order there.
+    these alone are sent to all tasks. salt tells how the rows of a key are dealt; without it they are dealt by their order,
+    so rows should then be read from files. sizes, if the caller has them: the keys with _rows, read from files.
     """
-    sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    bound = max(HOT, rows.select(F.lit(1)).count() // MOST_HOT)
+    if sizes is None:
+        sizes = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+        total = rows.select(F.lit(1)).count()
+    else:
+        total = sizes.agg(F.sum("_rows")).first()[0] or 0
+    bound = max(HOT, total // MOST_HOT)
     hot = cut(sizes.filter(F.col("_rows") > bound).select(*on, F.ceil(F.col("_rows") / bound).alias("_blocks")), "hot-keys")
     if hot.isEmpty():
         return rows.join(keyed, on)
-    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left")
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id() if salt is None else salt).join(F.broadcast(hot), on, "left")
     dealt = dealt.withColumn("_block", F.when(F.col("_blocks").isNull(), 0).otherwise(F.pmod("_nth", "_blocks"))).drop("_nth", "_blocks")
     given = keyed.join(F.broadcast(hot), on, "left").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_blocks", F.lit(1)) - 1))).drop("_blocks")
     return dealt.join(given, [*on, "_block"]).drop("_block")

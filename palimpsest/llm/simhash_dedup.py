@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, documents
+from palimpsest.llm.common import cut, documents, meet, sent
 from palimpsest.llm.components import connected_components
 
 BYTES = 8
@@ -130,8 +130,9 @@ def near_links(fps: DataFrame, radius: int = 4, posting: int = POSTING) -> DataF
     byte = lambda p: F.shiftrightunsigned("fp", 8 * (7 - p)).bitwiseAND(255)
     keys = F.array(*[F.lit(i << 24) + byte(a) * 65536 + byte(b) * 256 + byte(c) for i, (a, b, c) in enumerate(position_triples())])
     index = fps.select("fp", F.explode(keys).alias("key"))
-    sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = index.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / posting))
+    # only hot postings meet their sizes; each holds over `posting` of the index's rows
+    hot = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > posting).select("key", F.ceil(F.col("n") / posting).alias("blocks")), "hot-postings")
+    met = index.join(sent(hot), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # a posting within the bound is one block; in a hot one each pair of blocks is one bounded cell, and a block meets itself in the cell (b, b)
     own = met.select("fp", "key", "blocks", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     pair = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
@@ -152,10 +153,10 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, radius:
     fps = cut(fingerprints(docs, words, seed), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(near_links(nodes.select("fp"), radius), "a", "b")
-    named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = cut(nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "component").select("fp", "component_id")
-    return fps.join(names, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    names = meet(named, least, ["component"]).select("fp", "component_id")
+    return meet(fps, names, ["fp"]).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, **settings) -> DataFrame:

@@ -9,9 +9,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, components, decontaminate, fingerprints, langid, licenses, near_text, packing, pii, secret_scan, simhash_dedup, suffix_dedup, token_counts
-from palimpsest.llm.common import scratch
+from palimpsest.llm.common import cut, meet, scratch
 from palimpsest.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, fp string, n string, k string, region string, high string, digest string"
@@ -631,5 +632,16 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == docs.count()
 
 
+def test_hot_keys_meet_whole(spark):
+    rows = cut(spark.range(4000).select(F.when(F.col("id") % 3 == 0, F.lit(-1)).when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 50).alias("k"), "id"))
+    keyed = spark.createDataFrame([(k, f"v{k}") for k in range(-1, 40)], "k long, v string")
+    want = sorted(map(tuple, rows.join(keyed, "k").collect()))
+    assert len(want) > 2000
+    sizes = cut(rows.filter("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("_rows")))
+    for got in (meet(rows, keyed, ["k"]), meet(rows, keyed, ["k"], F.xxhash64("id")), meet(rows, keyed, ["k"], F.xxhash64("id"), sizes)):
+        assert sorted(map(tuple, got.select("k", "id", "v").collect())) == want
+    assert meet(rows.limit(0), keyed, ["k"]).isEmpty() and meet(rows.limit(0), keyed, ["k"], F.col("id"), sizes.limit(0)).isEmpty()
+
+
 def test_oracles_name_queries():
     assert set(ORACLES) <= set(QUERIES)
