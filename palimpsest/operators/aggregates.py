@@ -30,38 +30,8 @@ def rates_by_cell(members: DataFrame, held: DataFrame, ladder: list[list[str]],
     kinds = held.select(artifact).distinct()
     with_one = members.join(held.select(key, artifact).distinct(), key)
     counted = with_one.groupBy(*dims, artifact).agg(F.count(F.lit(1)).alias("_k"))
-    parts = grouping_cells_by(counted, ladder, dims, artifact, F.sum("_k"))
-    # cells and artifact types are both small against the rows they come from
-    return sizes.crossJoin(F.broadcast(kinds)).join(parts, ["level", "cell", artifact], "left").select("level", "cell", artifact, F.coalesce("k", F.lit(0)).cast("long").alias("k"), "n", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("p"))
-
-
-def grouping_cells_by(counted: DataFrame, ladder: list[list[str]], dims: list[str], also: str, k: Column) -> DataFrame:
-    from palimpsest.operators.joins import grouping_cells
-
-    out = grouping_cells(counted, [[*r, also] for r in ladder], [*dims, also], {"k": k, "_also": F.first(also)})
-    # the cell without its last part names the rung's cell
-    return out.select("level", F.regexp_replace("cell", rf"\|?{also}=[^|]*$", "").alias("cell"), F.col("_also").alias(also), "k")
-
-
-def family_priors(members: DataFrame, held: DataFrame, families: dict[str, list[str]], cell: list[str], key: str = "person_id", artifact: str = "artifact_type", strength: float = 8.0, thin: int = 8) -> DataFrame:
-    """(family, cell columns, k, n, raw, shrunk, complement, thin, coverage_gap) for each cell and family.
-
-    shrunk = (k + strength · margin) / (n + strength), with the margin over the whole population; complement is the rate outside the cell.
-    """
-    of = F.create_map(*[F.lit(x) for f, xs in families.items() for a in xs for x in (a, f)])
-    flags = held.select(key, F.element_at(of, F.col(artifact)).alias("family")).dropna().distinct()
-    sizes = members.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
-    found = members.join(flags, key).groupBy(*cell, "family").agg(F.count(F.lit(1)).alias("k"))
-    names = members.sparkSession.createDataFrame([(f,) for f in families], "family string")
-    grid = sizes.crossJoin(F.broadcast(names))
-    same = [grid[c].eqNullSafe(found[c]) for c in cell] + [grid["family"] == found["family"]]
-    full = grid.join(found, same, "left").select(*[grid[c] for c in cell], grid["family"], "n", F.coalesce("k", F.lit(0)).cast("long").alias("k"))
-    total = full.groupBy("family").agg(F.sum("k").alias("_k"), F.sum("n").alias("_n"))
-    out = full.join(F.broadcast(total), "family")
-    return out.select(
-        "family", *cell, "k", "n", (F.col("k") / F.col("n")).alias("raw"), ((F.col("k") + strength * F.col("_k") / F.col("_n")) / (F.col("n") + strength)).alias("shrunk"),
-        F.try_divide(F.col("_k") - F.col("k"), F.col("_n") - F.col("n")).alias("complement"), (F.col("n") < thin).alias("thin"), (F.col("_k") < thin).alias("coverage_gap"),
-    )
+    parts = grouping_cells(counted, ladder, dims, {"k": F.sum("_k")}, [artifact])
+    return sizes.crossJoin(kinds).join(parts, ["level", "cell", artifact], "left").select("level", "cell", artifact, F.coalesce("k", F.lit(0)).cast("long").alias("k"), "n", (F.coalesce("k", F.lit(0)) / F.col("n")).alias("p"))
 
 
 def mom_shrinkage(values: DataFrame, component: str, group: str, y: str, least_groups: int = 20, empty_k: float = 4.0) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 
 def key_of(names: list[str], dims: list[str]) -> Column:
-    """One string for the values of some dimensions, with the dimensions' names; nulls read as unknown."""
-    return F.concat_ws("|", *[F.concat(F.lit(f"{d}="), F.coalesce(F.col(d).cast("string"), F.lit("unknown"))) for d in names if d in dims]) if names else F.lit("")
+    """One string for the values of some dimensions, with the dimensions' names; nulls read as unknown. Bars and backslashes in values are escaped, so no two cells share a string."""
+    value = lambda d: F.replace(F.replace(F.coalesce(F.col(d).cast("string"), F.lit("unknown")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.concat_ws("|", *[F.concat(F.lit(f"{d}="), value(d)) for d in names if d in dims]) if names else F.lit("")
 
 
 def backoff_join(entities: DataFrame, cells: DataFrame, ladder: list[list[str]], dims: list[str], values: list[str], size: str = "n", least: int = 12) -> DataFrame:
@@ -27,14 +28,15 @@ def backoff_join(entities: DataFrame, cells: DataFrame, ladder: list[list[str]],
     return keyed.join(best, "_key", "left").select(*entities.columns, "_b.*")
 
 
-def grouping_cells(df: DataFrame, ladder: list[list[str]], dims: list[str], aggs: dict[str, Column]) -> DataFrame:
-    """(level, cell, aggregates) of each rung, from one GROUPING SETS pass; nulls count as unknown."""
+def grouping_cells(df: DataFrame, ladder: list[list[str]], dims: list[str], aggs: dict[str, Column], also: list[str] | None = None) -> DataFrame:
+    """(level, cell, also, aggregates) of each rung, from one GROUPING SETS pass; nulls count as unknown. The columns `also` are in every set."""
+    also = also or []
     known = df.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit("unknown")) for d in dims})
-    out = known.groupingSets([[F.col(d) for d in r] for r in ladder], *[F.col(d) for d in dims]).agg(F.grouping_id().alias("_g"), *[c.alias(k) for k, c in aggs.items()])
+    out = known.groupingSets([[F.col(d) for d in [*also, *r]] for r in ladder], *[F.col(d) for d in [*also, *dims]]).agg(F.grouping_id().alias("_g"), *[c.alias(k) for k, c in aggs.items()])
     bit = lambda r: sum(1 << (len(dims) - 1 - i) for i, d in enumerate(dims) if d not in r)
     level = reduce(lambda a, x: a.when(F.col("_g") == bit(x[1]), x[0]), enumerate(ladder[1:], 1), F.when(F.col("_g") == bit(ladder[0]), 0))
     cell = reduce(lambda a, x: a.when(F.col("_g") == bit(x[1]), key_of(x[1], dims)), enumerate(ladder[1:], 1), F.when(F.col("_g") == bit(ladder[0]), key_of(ladder[0], dims)))
-    return out.select(level.alias("level"), cell.alias("cell"), *aggs)
+    return out.select(level.alias("level"), cell.alias("cell"), *also, *aggs)
 
 
 def most_specific(entities: DataFrame, rules: DataFrame, key: str, base: str, dims: list[str], order: str) -> DataFrame:

@@ -73,29 +73,6 @@ def absences(people: DataFrame, cells: DataFrame, held: DataFrame, cell: str, le
     return people.join(cells.filter(F.col("p") >= least), cell).join(held, ["person_id", "artifact_type"], "left_anti").select("person_id", "artifact_type", "p", (F.col("p") >= expected).alias("expected"))
 
 
-def eb_score(streams: DataFrame, people: DataFrame, constants: DataFrame, class_means: DataFrame, cell: str, mass: DataFrame) -> DataFrame:
-    """(person_id, component, n, point, low, high, prior_weight), 0 to 100.
-
-    θ = (n·ȳ + k·m)/(n + k), its half width 1.959964·√(σ²/(n+k))·√(1 + mass/(n+k)). Without streams the class mean m stands alone.
-    """
-    g = streams.groupBy("person_id", "component").agg(F.count(F.lit(1)).alias("_n"), F.avg("y").alias("_y"))
-    base = people.crossJoin(F.broadcast(constants.select("component", "sigma2", "k")))  # a row for each of the few components
-    out = base.join(class_means, [cell, "component"], "left").join(g, ["person_id", "component"], "left").join(mass, "person_id", "left")
-    n = F.coalesce("_n", F.lit(0)).cast("long")
-    theta = (n * F.coalesce("_y", F.lit(0.0)) + F.col("k") * F.col("m")) / (n + F.col("k"))
-    half = 1.959964 * F.sqrt(F.col("sigma2") / (n + F.col("k"))) * F.sqrt(1 + F.coalesce("mass", F.lit(0.0)) / (n + F.col("k")))
-    pct = lambda c: F.round(clip(100 * c, 0.0, 100.0), 6)
-    return out.select("person_id", "component", n.alias("n"), pct(theta).alias("point"), pct(theta - half).alias("low"), pct(theta + half).alias("high"), F.round(F.col("k") / (n + F.col("k")), 6).alias("prior_weight"))
-
-
-def eb_leave_one_out(streams: DataFrame, constants: DataFrame, class_means: DataFrame, people: DataFrame, cell: str) -> DataFrame:
-    """(person_id, component, stream, point_without): the score without each stream, from the sums alone; a single stream leaves the class mean."""
-    own = Window.partitionBy("person_id", "component")
-    rows = streams.withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_s", F.sum("y").over(own)).join(people.select("person_id", cell), "person_id").join(F.broadcast(constants.select("component", "k")), "component").join(class_means, [cell, "component"])
-    without = (F.col("_s") - F.col("y") + F.col("k") * F.col("m")) / (F.col("_n") - 1 + F.col("k"))
-    return rows.select("person_id", "component", "stream", F.round(clip(100 * without, 0.0, 100.0), 6).alias("point_without"))
-
-
 def ranking_estimate(profiles: DataFrame, missing: DataFrame, class_means: DataFrame, cell: list[str]) -> DataFrame:
     """(person_id, n, point, low, high): 100·σ(log_odds/6) shrunk to the class mean by n/(n+5); half width 24·√(5/(n+5)) plus 6 for each missing prior of 0.4 or more, times it, at most 45."""
     widen = missing.filter("p >= 0.4").groupBy("person_id").agg(F.sum(6 * F.col("p")).alias("_more"))
@@ -108,19 +85,6 @@ def ranking_estimate(profiles: DataFrame, missing: DataFrame, class_means: DataF
     return out.select("person_id", "n", r(point).alias("point"), r(clip(point - half, 0.0, 100.0)).alias("low"), r(clip(point + half, 0.0, 100.0)).alias("high"))
 
 
-def manifest_rows(entities: DataFrame, priors: DataFrame, cell: list[str], held: DataFrame, searched: DataFrame) -> DataFrame:
-    """(person_id, family, found, expected, penalised, delta, widen): each entity against each family of its cell; a searched row overrides what was found. An absence that wasn't expected charges nothing."""
-    same = [entities[c].eqNullSafe(priors[c]) for c in cell]
-    grid = entities.join(priors, same).select(entities["person_id"], "family", "shrunk", "complement")
-    out = grid.join(held.withColumn("_held", F.lit(True)), ["person_id", "family"], "left").join(searched.select("person_id", "family", "was_found"), ["person_id", "family"], "left")
-    found = F.coalesce("was_found", "_held", F.lit(False))
-    llr = log_ratio_absent("shrunk", "complement")
-    expected = (F.col("shrunk") >= 0.35) & (llr <= -0.15)
-    known = F.col("shrunk").isNotNull() & F.col("complement").isNotNull()
-    delta = F.when(~known, 0.0).when(found, log_ratio_found("shrunk", "complement")).when(expected, llr).otherwise(0.0)
-    return out.select("person_id", "family", found.alias("found"), F.coalesce(expected, F.lit(False)).alias("expected"), F.coalesce(~found & expected, F.lit(False)).alias("penalised"), (F.round(delta, 6) + 0.0).alias("delta"), F.round(F.when(~found & known, 8 * F.col("shrunk")).otherwise(0.0), 6).alias("widen"))
-
-
 def axis_founder(claims: DataFrame, observations: DataFrame, context: DataFrame, key: str, findability: str) -> DataFrame:
     """(key, n, point, low, high): n and the mean reliability are those of the observations; verified and contradicted claims and findable absences move the point, other absences only widen.
 

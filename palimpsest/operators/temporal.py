@@ -83,15 +83,15 @@ def cohort_timing(timing: DataFrame) -> DataFrame:
 T_POINTS = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447]
 
 
-def ols_trend(points: DataFrame, key: list[str], x: str, y: str, per: float = 1.0, otherwise: float = 1.96, digits: int | None = None) -> DataFrame:
+def ols_trend(points: DataFrame, key: list[str], x: str, y: str, per: float = 1.0, otherwise: float = 1.96, digits: int | None = None, t_known: int = len(T_POINTS)) -> DataFrame:
     """(key, n_points, slope, half_width, trend) of a straight line through each key's points.
 
     The slope is per `per` units of x, with a 95 % band; fewer than 3 points or no spread are
-    insufficient_data; the trend is improving or declining only if the band, rounded to `digits` if given, leaves out 0.
+    insufficient_data; of Student's t the first `t_known` points are used, then `otherwise`; the trend is improving or declining only if the band, rounded to `digits` if given, leaves out 0.
     """
     g = points.filter(F.col(y).isNotNull()).groupBy(*key).agg(F.count(F.lit(1)).alias("n_points"), F.regr_slope(y, x).alias("_b"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"))
     enough = (F.col("n_points") >= 3) & (F.col("_sxx") > 0)
-    t = reduce(lambda c, i: c.when(F.col("n_points") - 2 == i + 1, T_POINTS[i]), range(1, len(T_POINTS)), F.when(F.col("n_points") - 2 == 1, T_POINTS[0])).otherwise(otherwise)
+    t = reduce(lambda c, i: c.when(F.col("n_points") - 2 == i + 1, T_POINTS[i]), range(1, t_known), F.when(F.col("n_points") - 2 == 1, T_POINTS[0])).otherwise(otherwise)
     s2 = F.greatest(F.lit(0.0), F.col("_syy") - F.col("_sxy") * F.col("_sxy") / F.col("_sxx")) / (F.col("n_points") - 2)
     cut = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     slope, half = F.when(enough, cut(F.col("_b") * per)), F.when(enough, cut(t * F.sqrt(s2 / F.col("_sxx")) * per))

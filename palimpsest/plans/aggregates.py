@@ -34,20 +34,6 @@ def findability(v):
     return A.rates_by_cell(v.person().select("person_id", *DIMS), held, LADDER, DIMS).withColumn("p", F.round("p", 9))
 
 
-FAMILIES = {"talk": ["view_0", "view_1", "error_0"], "code": ["click_0", "click_1", "click_2"], "registry": ["purchase_0", "signup_3"], "rare": ["error_3"]}
-
-
-@query("e4_family_priors", """SELECT g.family, g.solo_or_team, CAST(coalesce(k, 0) AS BIGINT) AS k, n, round(coalesce(k, 0) / n, 9) AS raw, round((coalesce(k, 0) + 8 * tk / tn) / (n + 8), 9) AS shrunk, round((tk - coalesce(k, 0)) / nullif(tn - n, 0), 9) AS complement, n < 8 AS thin, tk < 8 AS coverage_gap
-    FROM (SELECT * FROM (SELECT solo_or_team, count(*) AS n FROM person GROUP BY 1) CROSS JOIN (SELECT DISTINCT family FROM fam)) g LEFT JOIN found f ON f.family = g.family AND f.solo_or_team IS NOT DISTINCT FROM g.solo_or_team
-    JOIN (SELECT fam.family, count(DISTINCT held.person_id) FILTER (p.person_id IS NOT NULL) AS tk, (SELECT count(*) FROM person) AS tn FROM fam LEFT JOIN held USING (artifact_type) LEFT JOIN person p ON p.person_id = held.person_id GROUP BY 1) t ON t.family = g.family""",
-    {"fam": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}')" for f, xs in FAMILIES.items() for a in xs) + ") AS f(family, artifact_type)", "held": HELD,
-     "found": "SELECT solo_or_team, family, count(DISTINCT person_id) AS k FROM person JOIN held USING (person_id) JOIN fam USING (artifact_type) GROUP BY 1, 2"})
-def families(v):
-    held = v.observation().filter("person_id IS NOT NULL").select("person_id", "artifact_type").distinct()
-    out = A.family_priors(v.person().select("person_id", "solo_or_team"), held, FAMILIES, ["solo_or_team"])
-    return out.withColumns({c: F.round(c, 9) for c in ("raw", "shrunk", "complement")})
-
-
 MOM = {
     "val": "SELECT claim_type AS component, person_id, value FROM observation WHERE person_id IS NOT NULL AND (claim_type <> 'error' OR observation_id % 40 = 0)",
     "grp": "SELECT component, person_id, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS ss FROM val GROUP BY 1, 2",

@@ -85,9 +85,7 @@ POOL = CLAIMS | {
     "streams": f"""SELECT person_id, 'credibility' AS component, source_class AS stream, {SIG.format('weight')} AS y FROM (SELECT DISTINCT person_id, source_class FROM obs WHERE person_id NOT IN (SELECT person_id FROM resolved)) JOIN reliability USING (source_class)
         UNION ALL SELECT person_id, 'credibility', 'claim ' || claim_id, posterior FROM resolved
         UNION ALL SELECT person_id, 'build', artifact_type || '/' || CASE WHEN is_milestone THEN 'true' ELSE 'false' END, {BUILD} FROM (SELECT person_id, artifact_type, is_milestone, arg_min(confidence, (observed_at, observation_id)) AS base FROM obs GROUP BY 1, 2, 3) LEFT JOIN rates USING (artifact_type)""",
-    "constants": "SELECT * FROM (VALUES ('credibility', CAST(0.04 AS DOUBLE), CAST(6 AS DOUBLE)), ('build', CAST(0.09 AS DOUBLE), CAST(9 AS DOUBLE))) AS c(component, sigma2, k)",
     "people": "SELECT person_id, coalesce(sector, 'unknown') AS cell FROM person",
-    "class_means": "SELECT cell, component, avg(m) AS m FROM (SELECT cell, component, person_id, avg(y) AS m FROM streams JOIN people USING (person_id) GROUP BY 1, 2, 3) GROUP BY 1, 2",
     "cellrates": "SELECT cell, artifact_type, count(DISTINCT person_id) / max(n) AS p FROM (SELECT cell, count(*) AS n FROM people GROUP BY 1) JOIN people USING (cell) JOIN (SELECT DISTINCT person_id, artifact_type FROM obs) USING (person_id) GROUP BY 1, 2",
     "gone": "SELECT person_id, artifact_type, p, p >= 0.07 AS expected FROM people JOIN cellrates USING (cell) WHERE p >= 0.05 AND NOT EXISTS (SELECT 1 FROM obs WHERE obs.person_id = people.person_id AND obs.artifact_type = cellrates.artifact_type)",
 }
@@ -100,10 +98,8 @@ def pool(v):
     rates = obs.groupBy("artifact_type").agg(F.countDistinct("person_id").alias("x"), F.countDistinct(F.when(even, F.col("person_id"))).alias("y")).crossJoin(F.broadcast(totals)).select("artifact_type", (F.col("x") / F.col("a")).alias("p_pop"), (F.col("y") / F.col("b")).alias("p_class"))
     resolved = scored(v).filter("state IN ('verified', 'contradicted')").select((F.col("person_id") % 400).alias("person_id"), "claim_id", "posterior")
     streams = S.evidence_streams(obs, reliability(v.spark), rates, resolved)
-    constants = v.spark.createDataFrame([("credibility", 0.04, 6.0), ("build", 0.09, 9.0)], "component string, sigma2 double, k double")
     people = v.person().select("person_id", F.coalesce("sector", F.lit("unknown")).alias("cell"))
-    means = streams.join(people, "person_id").groupBy("cell", "component", "person_id").agg(F.avg("y").alias("m")).groupBy("cell", "component").agg(F.avg("m").alias("m"))
-    return obs, streams, constants, people, means
+    return obs, streams, people
 
 
 def missing(v, obs, people):
@@ -120,25 +116,10 @@ def streams(v):
 
 @query("f5_absences", "SELECT person_id, artifact_type, round(p, 9) AS p, expected FROM gone", POOL)
 def absences(v):
-    obs, _, _, people, _ = pool(v)
+    obs, _, people = pool(v)
     return missing(v, obs, people).withColumn("p", F.round("p", 9))
 
 
-@query("f6_eb_score", """SELECT person_id, component, n, round(least(greatest(100 * th, 0), 100), 6) AS point, round(least(greatest(100 * (th - h), 0), 100), 6) AS low, round(least(greatest(100 * (th + h), 0), 100), 6) AS high, round(k / (n + k), 6) AS prior_weight FROM (
-    SELECT person_id, component, coalesce(n, 0) AS n, k, (coalesce(n, 0) * coalesce(yb, 0) + k * m) / (coalesce(n, 0) + k) AS th, 1.959964 * sqrt(sigma2 / (coalesce(n, 0) + k)) * sqrt(1 + coalesce(mass, 0) / (coalesce(n, 0) + k)) AS h
-    FROM people CROSS JOIN constants LEFT JOIN class_means USING (cell, component) LEFT JOIN (SELECT person_id, component, count(*) AS n, avg(y) AS yb FROM streams GROUP BY 1, 2) USING (person_id, component) LEFT JOIN (SELECT person_id, sum(p) AS mass FROM gone GROUP BY 1) USING (person_id))""", POOL)
-def eb(v):
-    obs, rows, constants, people, means = pool(v)
-    mass = missing(v, obs, people).groupBy("person_id").agg(F.sum("p").alias("mass"))
-    return S.eb_score(rows, people, constants, means, "cell", mass)
-
-
-@query("f7_eb_leave_one_out", "SELECT person_id, component, stream, round(least(greatest(100 * (s - y + k * m) / (n - 1 + k), 0), 100), 6) AS point_without FROM (SELECT *, count(*) OVER w AS n, sum(y) OVER w AS s FROM streams WINDOW w AS (PARTITION BY person_id, component)) JOIN people USING (person_id) JOIN constants USING (component) JOIN class_means USING (cell, component)", POOL)
-def eb_loo(v):
-    _, rows, constants, people, means = pool(v)
-    return S.eb_leave_one_out(rows, constants, means, people, "cell")
-
-
 RANK = {k: POOL[k] for k in ("obs", "people", "cellrates", "gone")} | {
     "prof": "SELECT person_id, n, log_odds, cell FROM (SELECT person_id, count(*) AS n, round(sum(weight), 3) AS log_odds FROM obs LEFT JOIN reliability USING (source_class) GROUP BY 1) JOIN people USING (person_id)",
     "cm": "SELECT cell, n / (n + 20) * mean + 20 / (n + 20) * all_ AS shrunk FROM (SELECT cell, count(*) AS n, avg(100 / (1 + exp(-log_odds / 6))) AS mean FROM prof GROUP BY 1), (SELECT avg(100 / (1 + exp(-log_odds / 6))) AS all_ FROM prof)",
@@ -197,27 +178,6 @@ def rank_board(v):
     return R.rank_board(estimate(v), score, "person_id", ("a", "level", "b"), {"point": 0.6, "n": 0.4}).select("person_id", "verdict", "front", "rank")
 
 
-FAM = {"talk": ["view_0", "view_1", "error_0"], "code": ["click_0", "click_1", "click_2"], "registry": ["purchase_0", "signup_3"]}
-
-
-@query("f9_manifest_rows", f"""SELECT person_id, family, was, coalesce(ex, FALSE) AS expected, coalesce(NOT was AND ex, FALSE) AS penalised, round(CASE WHEN shrunk IS NULL OR complement IS NULL THEN 0 WHEN was THEN {FOUND_LLR.format('shrunk', 'complement')} WHEN ex THEN llr ELSE 0 END, 6) + 0.0::DOUBLE AS delta, round(CASE WHEN NOT was AND shrunk IS NOT NULL AND complement IS NOT NULL THEN 8 * shrunk ELSE 0 END, 6) AS widen
-    FROM (SELECT *, shrunk >= 0.02 AND llr <= -0.001 AS ex FROM (SELECT p.person_id, g.family, coalesce(s.was_found, h.held, FALSE) AS was, g.shrunk, g.complement, {ABSENT_LLR.format('shrunk', 'complement')} AS llr FROM person p JOIN pri g ON g.solo_or_team IS NOT DISTINCT FROM p.solo_or_team
-    LEFT JOIN (SELECT DISTINCT person_id, family, TRUE AS held FROM heldfam) h ON h.person_id = p.person_id AND h.family = g.family LEFT JOIN (SELECT person_id, 'code' AS family, person_id % 14 = 0 AS was_found FROM person WHERE person_id % 7 = 0) s ON s.person_id = p.person_id AND s.family = g.family))""".replace("family, was,", "family, was AS found,").replace("shrunk >= 0.02 AND llr <= -0.001", "shrunk >= 0.35 AND llr <= -0.15"),
-    {"fam": "SELECT * FROM (VALUES " + ", ".join(f"('{f}', '{a}')" for f, xs in FAM.items() for a in xs) + ") AS f(family, artifact_type)",
-     "heldfam": "SELECT DISTINCT person_id, family FROM observation JOIN fam USING (artifact_type) WHERE person_id IS NOT NULL",
-     "pri": """SELECT g.solo_or_team, g.family, (coalesce(k, 0) + 8 * tk / tn) / (n + 8) AS shrunk, (tk - coalesce(k, 0)) / nullif(tn - n, 0) AS complement FROM (SELECT * FROM (SELECT solo_or_team, count(*) AS n FROM person GROUP BY 1) CROSS JOIN (SELECT DISTINCT family FROM fam)) g
-        LEFT JOIN (SELECT solo_or_team, family, count(*) AS k FROM person JOIN heldfam USING (person_id) GROUP BY 1, 2) f ON f.family = g.family AND f.solo_or_team IS NOT DISTINCT FROM g.solo_or_team
-        JOIN (SELECT fam2.family, count(p.person_id) AS tk, (SELECT count(*) FROM person) AS tn FROM (SELECT DISTINCT family FROM fam) fam2 LEFT JOIN heldfam USING (family) LEFT JOIN person p USING (person_id) GROUP BY 1) t ON t.family = g.family"""})
-def manifest(v):
-    held = v.observation().filter("person_id IS NOT NULL").select("person_id", "artifact_type").distinct()
-    people = v.person().select("person_id", "solo_or_team")
-    priors = A.family_priors(people, held, FAM, ["solo_or_team"]).select("family", "solo_or_team", "shrunk", "complement")
-    of = F.create_map(*[F.lit(x) for f, xs in FAM.items() for a in xs for x in (a, f)])
-    found = held.select("person_id", F.element_at(of, F.col("artifact_type")).alias("family")).dropna().distinct()
-    searched = people.filter("person_id % 7 = 0").select("person_id", F.lit("code").alias("family"), (F.col("person_id") % 14 == 0).alias("was_found"))
-    return S.manifest_rows(people, priors, ["solo_or_team"], found, searched)
-
-
 @query("d2_absence_invariant", "SELECT claim_id, evidence_id FROM deltas WHERE kind = 'expected_absent' AND NOT expected AND delta <> 0", DELTAS)
 def absence(v):
     from palimpsest.operators.quality import absence_charged

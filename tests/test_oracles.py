@@ -9,8 +9,8 @@ from palimpsest.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 EMPTY = {"d2_absence_invariant"}
-#: These need a larger population: the priors are refused under 50 people, and every class needs a mean.
-LARGER = {"a11_persist_priors", "f6_eb_score"}
+#: This needs a larger population: priors are refused under 50 people.
+LARGER = {"a11_persist_priors"}
 
 
 def plain(x):
