@@ -22,9 +22,11 @@ UNKNOWN = "und"
 START = "▁"
 #: The code of all characters that the sample lacks.
 OTHER = 0x110000
-#: Forward probabilities of longer words are scaled as they grow small; training leaves such words out.
-SCALED = 64
+#: Training learns from longer words in parts of so many characters at most; probabilities are scaled every EVERY characters.
+PART, EVERY = 64, 16
 MOST_WORDS, STRETCH = 500_000, 200_000
+#: Characters of words that are scored together, ends of padding included.
+CELLS = 4_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,8 +70,9 @@ class Model:
         self.logits = np.zeros((len(row) + 1, len(languages)))
 
     def codes(self, words: list[str]) -> np.ndarray:
-        """A row of codes for each word; the words are of one length."""
-        found = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+        """A row of codes for each word, filled to the longest."""
+        width = max(map(len, words))
+        found = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), width)
         return np.where(self.known[found], found, OTHER).astype(np.uint64) + np.uint64(1)
 
     def cuts(self, codes: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -90,49 +93,80 @@ class Model:
                 yield end - k, who[piece], rows[piece]
 
     def forward(self, words: list[str]) -> np.ndarray:
-        """Log probability of each word in each language, over all its segmentations."""
+        """Log probability of each word in each language, over all its segmentations. Words of about one length are scored together, the longest first; only the ends that a piece can reach back to are held."""
         out = np.zeros((len(words), len(self.languages)))
         length = np.array([len(w) for w in words])
-        for n in np.unique(length):
-            who = np.flatnonzero(length == n)
-            codes = self.codes([words[i] for i in who])
-            alpha = np.zeros((n + 1, len(who), len(self.languages)))
+        for who in _alike(length):
+            n, codes = length[who], self.codes([words[i] for i in who])
+            ring = self.longest + 1
+            alpha, log = np.zeros((ring, len(who), len(self.languages))), np.zeros((len(who), len(self.languages)))
             alpha[0] = 1
-            for j in range(1, n + 1):
-                for i, some, rows in self.cuts(codes, j):
-                    alpha[j, some] += alpha[i, some] * self.logits[rows]
-                if n > SCALED and j % 16 == 0:
-                    lately = alpha[max(0, j - self.longest) : j + 1]
-                    scale = lately.max(axis=0)
-                    lately /= scale
-                    out[who] += np.log(scale)
-            out[who] += np.log(alpha[n])
+            for j in range(1, int(n[0]) + 1):
+                active = int(np.searchsorted(-n, -j, side="right"))
+                alpha[j % ring, :active] = 0
+                for i, some, rows in self.cuts(codes[:active], j):
+                    alpha[j % ring, some] += alpha[i % ring, some] * self.logits[rows]
+                if j % EVERY == 0:
+                    scale = alpha[:, :active].max(axis=0)
+                    alpha[:, :active] /= scale
+                    log[:active] += np.log(scale)
+                over = slice(int(np.searchsorted(-n, -j)), active)
+                out[who[over]] = log[over] + np.log(alpha[j % ring, over])
         return out
 
     def expected(self, words: list[str], weight: np.ndarray, language: int) -> np.ndarray:
-        """Expected uses of each piece in the weighted words."""
+        """Expected uses of each piece in the weighted words, of any length: forward and backward over the same cuts, both scaled."""
         p, out = self.logits[:, language], np.zeros(len(self.logits))
         length = np.array([len(w) for w in words])
-        for who in [x[i : i + 2000] for n in np.unique(length) for x in [np.flatnonzero(length == n)] for i in range(0, len(x), 2000)]:
-            n = length[who[0]]
-            codes = self.codes([words[i] for i in who])
-            alpha, beta, used = np.zeros((n + 1, len(who))), np.zeros((n + 1, len(who))), []
-            alpha[0] = beta[n] = 1
-            for j in range(1, n + 1):
-                for i, some, rows in self.cuts(codes, j):
-                    alpha[j, some] += alpha[i, some] * p[rows]
-                    used.append((i, j, some, rows))
-            for i, j, some, rows in reversed(used):
-                beta[i, some] += beta[j, some] * p[rows]
-            scale = weight[who] / alpha[n]
-            for i, j, some, rows in used:
-                out += np.bincount(rows, alpha[i, some] * p[rows] * beta[j, some] * scale[some], minlength=len(out))
+        for n in np.unique(length):
+            same, most = np.flatnonzero(length == n), max(1, min(2000, CELLS // int(n)))
+            for who in (same[k : k + most] for k in range(0, len(same), most)):
+                codes = self.codes([words[i] for i in who])
+                alpha, beta = np.zeros((n + 1, len(who))), np.zeros((n + 1, len(who)))
+                log, behind = np.zeros((n + 1, len(who))), np.zeros(len(who))
+                alpha[0] = beta[n] = 1
+                for j in range(1, n + 1):
+                    for i, some, rows in self.cuts(codes, j):
+                        alpha[j, some] += alpha[i, some] * p[rows]
+                    if j % EVERY == 0:
+                        lately = slice(max(0, j - self.longest), j + 1)
+                        scale = alpha[lately].max(axis=0)
+                        alpha[lately] /= scale
+                        log[lately.start :] += np.log(scale)
+                whole = weight[who] / alpha[n]
+                for j in range(n, 0, -1):
+                    if j % EVERY == 0:
+                        ahead = slice(max(0, j - self.longest), j + 1)
+                        scale = beta[ahead].max(axis=0)
+                        beta[ahead] /= scale
+                        behind += np.log(scale)
+                    for i, some, rows in self.cuts(codes, j):
+                        used = p[rows] * beta[j, some]
+                        beta[i, some] += used
+                        out += np.bincount(rows, alpha[i, some] * used * whole[some] * np.exp(log[i, some] + behind[some] - log[n, some]), minlength=len(out))
         return out
 
 
+def _alike(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Places by falling length, in parts whose lengths are within a power of two and which fill CELLS characters at most."""
+    order = np.argsort(-length, kind="stable")
+    power = np.frexp(length[order])[1]
+    for k in np.unique(power)[::-1]:
+        some = order[power == k]
+        most = max(1, CELLS // int(length[some[0]]))
+        yield from (some[i : i + most] for i in range(0, len(some), most))
+
+
+def in_parts(counts: pd.DataFrame) -> pd.DataFrame:
+    """counts (lang, word, n) with longer words in nearly equal parts of PART characters at most; their cuts at the seams aren't learned from."""
+    long = counts["word"].str.len() > PART
+    parts = [(lang, w[len(w) * i // k : len(w) * (i + 1) // k], n) for lang, w, n in counts[long].itertuples(index=False) for k in [-(-len(w) // PART)] for i in range(k)]
+    return pd.concat([counts[~long], pd.DataFrame(parts, columns=counts.columns)]).groupby(["lang", "word"], as_index=False)["n"].sum()
+
+
 def fit(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth: float = 0.1) -> Model:
-    """counts: lang, word, n. All letters of the words are pieces; characters never seen, and signs, share one that tells nothing. Words of over SCALED characters don't count."""
-    counts = counts[counts["word"].str.len() <= SCALED]
+    """counts: lang, word, n. All letters of the words are pieces; characters never seen, and signs, share one that tells nothing. Words of any length count."""
+    counts = in_parts(counts)
     letters = sorted({c for w in counts["word"] for c in w if c.isalpha() or c == START} | {START})
     model = Model(sorted(counts["lang"].unique()), letters, pieces)
     model.logits[:-1] = 1 / (len(model.logits) - 1)
@@ -147,15 +181,16 @@ def fit(counts: pd.DataFrame, pieces: list[str], rounds: int = 4, smooth: float
     return model
 
 
-def train(docs: DataFrame, pieces: list[str], usable, per_language: int = 200, rounds: int = 4) -> Model | None:
-    """Fits on at most `per_language` rows of each language (those of least hash) among the rows that `usable` allows and whose lang isn't null; None if there is none."""
+def train(docs: DataFrame, pieces: list[str], usable, per_language: int = 200, words_per_language: int = 200_000, rounds: int = 4) -> Model | None:
+    """Fits on at most `per_language` rows of each language among the rows that `usable` allows and whose lang isn't null, and on at most `words_per_language` of their distinct words (those of least hash, both); None if there is none."""
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string"), "doc_id", F.xxhash64("doc_id", "text").alias("h"))
     best = Window.partitionBy("lang").orderBy("h", "doc_id")
     sample = rows.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= per_language).select("lang", "doc_id", "h")
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).join(F.broadcast(sample), ["doc_id", "h"])
     words = texts.groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).mapInPandas(_counted, "lang string, word string, n long")
-    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    return fit(counts.sort_values(["lang", "word"]), pieces, rounds) if (counts["word"].str.len() <= SCALED).any() else None
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("word"), "word"))
+    counts = words.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("_nth", nth).filter(F.col("_nth") <= words_per_language).drop("_nth").toPandas()
+    return fit(counts.sort_values(["lang", "word"]), pieces, rounds) if len(counts) else None
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, negatives, periods
-from palimpsest.llm.queries import ORACLES, QUERIES
+from palimpsest.llm import chat, langid, negatives, periods
+from palimpsest.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 rng = random.Random(11)
 
@@ -218,3 +218,44 @@ def test_later_sql(spark, sf, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted(map(tuple, df.select(*names).collect())) == sorted(found.fetchall())
+
+
+# language ID of text without spaces
+def slow_uses(model, word, lang):
+    """Expected uses of each piece, by exact sums with Python's fractions of logarithms."""
+    from fractions import Fraction
+
+    row = {tuple(x): i for i, x in enumerate(model.spelled)}
+    codes = [ord(c) if model.known[ord(c)] else langid.OTHER for c in word]
+    n, p = len(codes), [Fraction(float(x)) for x in model.logits[:, lang]]
+    cuts = [(i, j, row[tuple(codes[i:j])]) for j in range(1, n + 1) for i in range(max(0, j - model.longest), j) if tuple(codes[i:j]) in row]
+    before, after = [Fraction(1)] + [Fraction(0)] * n, [Fraction(0)] * n + [Fraction(1)]
+    for i, j, r in cuts:
+        before[j] += before[i] * p[r]
+    for i, j, r in sorted(cuts, key=lambda c: -c[1]):
+        after[i] += p[r] * after[j]
+    out = np.zeros(len(model.logits))
+    for i, j, r in cuts:
+        out[r] += float(before[i] * p[r] * after[j] / before[n])
+    return out
+
+
+def test_op2_expected_uses_of_long_words():
+    import pandas as pd
+
+    model = langid.fit(pd.DataFrame({"lang": ["a", "b"], "word": ["▁abab" * 40, "▁bbba" * 40], "n": [3, 1]}), ["ab", "ba", "bab", "abab"], rounds=1)
+    for word in ("▁" + "ab" * 100, "▁" + "".join(rng.choice("abx") for _ in range(333)), "▁a"):
+        for lang in (0, 1):
+            assert np.allclose(model.expected([word], np.ones(1), lang), slow_uses(model, word, lang))
+    words = ["▁" + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 90))) for _ in range(60)]
+    assert np.allclose(model.forward(words), np.concatenate([model.forward([w]) for w in words]))
+    assert len(langid.in_parts(pd.DataFrame({"lang": ["a"], "word": ["x" * 200], "n": [2]}))) == 1 and langid.in_parts(pd.DataFrame({"lang": ["a"], "word": ["x" * 200], "n": [2]})).n.sum() == 8
+
+
+def test_op2_learns_texts_without_spaces(spark):
+    """A language whose texts are long runs of letters is learned and told."""
+    han = [chr(0x4E00 + i) for i in range(400)]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(300)] + [(i, "".join(rng.choice(han) for _ in range(120)), "zh") for i in range(300, 600)]
+    got = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokenizer_file("piece_bpe_32k.model")).collect()
+    assert all(r.lang_pred == ("en" if r.doc_id < 300 else "zh") for r in got) and sum(r.held_out for r in got) > 100
