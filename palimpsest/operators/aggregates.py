@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import days_between
-from palimpsest.operators.ranking import medians, nth_smallest, order_statistics, written
+from palimpsest.operators.ranking import nth_smallest, order_statistics, written
 
 
 def entity_profile(obs: DataFrame, reliability: DataFrame, key: str = "person_id") -> DataFrame:
@@ -78,27 +78,59 @@ def state_distribution(df: DataFrame, state: str, states: list[str], absent: str
     return wide.select(F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.col(s).alias("n"), (F.col("_n") - F.col(absent)).alias("extracted")) for s in states])).alias("r")).select("r.*")
 
 
+def firsts(obs: DataFrame, consensus: Column, at: str, window_days: int = 30, key: str = "person_id", channel: str = "channel_id") -> DataFrame:
+    """(channel, person, first_signal, first_here, n_rows, n_window) of the rows visible at an instant, in one pass: first_here is the first consensus row, n_window counts the rows of the last days (the first instant excluded). Versions of a channel (#v) are one; null channels and people stay."""
+    now, t = F.lit(at).cast("timestamp_ntz"), F.col("observed_at")
+    rows = obs.filter(t <= now).withColumn(channel, F.split_part(channel, F.lit("#v"), F.lit(1)))
+    return rows.groupBy(channel, key).agg(F.min(t).alias("first_signal"), F.min(F.when(consensus, t)).alias("first_here"), F.count(F.lit(1)).alias("n_rows"), F.count_if(t > now - F.expr(f"INTERVAL {window_days} DAYS")).alias("n_window"))
+
+
+def _with_lags(first: DataFrame, at: str, key: str) -> DataFrame:
+    known = first.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("first_here").alias("first_consensus"))
+    days = lambda to: F.round(days_between(to, "first_signal"), 1)
+    return first.join(known, key, "left").withColumn("lag_days", days("first_consensus")).withColumn("followed_days", days(F.lit(at).cast("timestamp_ntz")))
+
+
 def lags(obs: DataFrame, consensus: Column, at: str, key: str = "person_id", channel: str = "channel_id") -> DataFrame:
-    """(channel, person, first_signal, first_consensus, lag_days, followed_days): days from a channel's first signal to the first consensus row of the person; null where there is none yet, with the days followed so far. Negative lags stay."""
-    seen = obs.filter((F.col("observed_at") <= F.lit(at).cast("timestamp_ntz")) & F.col(key).isNotNull()).withColumn("_c", consensus)
-    known = seen.filter("_c").groupBy(key).agg(F.min("observed_at").alias("first_consensus"))
-    signals = seen.filter("NOT _c").groupBy(channel, key).agg(F.min("observed_at").alias("first_signal"))
-    return signals.join(known, key, "left").select(channel, key, "first_signal", "first_consensus", F.round(days_between("first_consensus", "first_signal"), 1).alias("lag_days"), F.round(days_between(F.lit(at).cast("timestamp_ntz"), "first_signal"), 1).alias("followed_days"))
+    """(channel, person, first_signal, first_consensus, lag_days, followed_days): days from a channel's first row of a person, consensus or not, to the person's first consensus row in any channel; null where there is none yet, with the days followed so far. Negative lags stay; rows without a channel make nobody a signal."""
+    rows = _with_lags(firsts(obs, consensus, at, key=key, channel=channel), at, key).filter(F.col(channel).isNotNull() & F.col(key).isNotNull())
+    return rows.select(channel, key, "first_signal", "first_consensus", "lag_days", "followed_days")
+
 
+def days_of_edge(obs: DataFrame, consensus: Column, channels: DataFrame, at: str, by_construction: list[str], window_days: int = 30, thin: int = 12, key: str = "person_id", channel: str = "channel_id") -> DataFrame:
+    """(channel, registered, kind, native, active, n_lags, n_censored, n_late, median_days_edge, censored_followed, volume, volume_denominator, n_rows, n_unkeyed, basis, thin).
 
-def days_of_edge(lag_rows: DataFrame, obs: DataFrame, channels: DataFrame, at: str, least: int = 5, channel: str = "channel_id") -> DataFrame:
-    """Per registered channel: measured lags, censored people, medians, late people, rows of 30 days (the first instant excluded) and of all time, and the basis of the figure."""
-    g = lag_rows.groupBy(channel).agg(
-        F.count("lag_days").alias("n_lags"), F.count_if(F.col("lag_days").isNull()).alias("n_censored"), F.count_if(F.col("lag_days") < 0).alias("n_late"),
+    channels: channel, kind, native, active of the registered ones; others that have people, or rows in the window, are told as unregistered.
+    basis: not_applicable for a confirmation channel, which has no edge; by_construction for those whose edge is 0 by definition; measured with
+    any lag; fully_censored where nobody surfaced is visible to the market yet (censored_followed, the median of the days followed, is a
+    floor); else insufficient. volume_denominator counts the window's rows of all channels.
+
+    Lags have one decimal, so a channel has as many distinct ones as there are tenths of a day: these are counted first, and medians are read off
+    the counts. One pass over the rows.
+    """
+    first = firsts(obs, consensus, at, window_days, key, channel)
+    rows = _with_lags(first, at, key).filter(F.col(channel).isNotNull())
+    which = F.when(F.col(key).isNull(), "nobody").when(F.col("lag_days").isNotNull(), "lag").otherwise("censored")
+    x = F.when(which == "lag", F.col("lag_days")).when(which == "censored", F.col("followed_days"))
+    counted = rows.groupBy(channel, which.alias("_which"), x.alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum("n_rows").alias("_rows"), F.sum("n_window").alias("_window"))
+    own = Window.partitionBy(channel, "_which")
+    placed = counted.withColumn("_upto", F.sum("_n").over(own.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_of", F.sum("_n").over(own))
+    at_place = lambda name, i: F.max(F.when((F.col("_which") == name) & (F.col("_upto") - F.col("_n") < i) & (i <= F.col("_upto")), F.col("_x")))
+    median = lambda name: (at_place(name, F.ceil(F.col("_of") / 2)) + at_place(name, F.floor(F.col("_of") / 2) + 1)) / 2
+    total = lambda what, c: F.sum(F.when(c, F.col(what)).otherwise(0))
+    lag = F.col("_which") == "lag"
+    g = placed.groupBy(channel).agg(
+        total("_n", lag).alias("n_lags"), total("_n", F.col("_which") == "censored").alias("n_censored"), total("_n", lag & (F.col("_x") < 0)).alias("n_late"), median("lag").alias("_median"), median("censored").alias("censored_followed"),
+        F.sum("_window").alias("volume"), F.sum("_rows").alias("n_rows"), total("_rows", F.col("_which") == "nobody").alias("n_unkeyed"),
     )
-    middle = medians(lag_rows, [channel], {"median_days_edge": F.col("lag_days"), "censored_followed": F.when(F.col("lag_days").isNull(), F.col("followed_days"))})
-    now = F.lit(at).cast("timestamp_ntz")
-    t = F.col("observed_at")
-    volume = obs.filter(t <= now).groupBy(channel).agg(F.count_if(t > now - F.expr("INTERVAL 7 DAYS")).alias("volume"), F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("person_id").isNull()).alias("n_unkeyed"))
-    out = channels.join(g, channel, "left").join(middle, channel, "left").join(volume, channel, "left")
-    basis = F.when(~F.col("applicable"), "not_applicable").when(F.coalesce("n_lags", F.lit(0)) + F.coalesce("n_censored", F.lit(0)) == 0, "insufficient").when(F.col("n_lags") == 0, "fully_censored").when(F.col("n_lags") < least, "insufficient").otherwise("measured")
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return out.select(channel, zero("n_lags"), zero("n_censored"), "median_days_edge", "censored_followed", zero("n_late"), zero("volume"), zero("n_rows"), zero("n_unkeyed"), basis.alias("basis"))
+    out = g.join(channels.select(channel, "kind", "native", "active", F.lit(True).alias("registered")), channel, "full_outer")
+    counts = ["n_lags", "n_censored", "n_late", "volume", "n_rows", "n_unkeyed"]
+    out = out.fillna(0, counts).fillna({"kind": "unregistered", "native": False, "active": True, "registered": False}).filter("registered OR n_lags + n_censored + volume > 0")
+    out = out.crossJoin(F.broadcast(g.agg(F.coalesce(F.sum("volume"), F.lit(0)).alias("volume_denominator"))))
+    built = F.col(channel).isin(by_construction)
+    basis = F.when(F.col("kind") == "confirmation", "not_applicable").when(built, "by_construction").when(F.col("n_lags") > 0, "measured").when(F.col("n_censored") > 0, "fully_censored").otherwise("insufficient")
+    edge = F.when(basis == "by_construction", 0.0).when(basis == "measured", F.col("_median"))
+    return out.select(channel, "registered", "kind", "native", "active", *[F.col(c).cast("long").alias(c) for c in counts[:3]], edge.alias("median_days_edge"), "censored_followed", "volume", "volume_denominator", "n_rows", "n_unkeyed", basis.alias("basis"), ((basis == "measured") & (F.col("n_lags") < thin)).alias("thin"))
 
 
 def order_index(n: int, tail: float = 0.025) -> int:

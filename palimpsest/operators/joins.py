@@ -73,15 +73,38 @@ def exact_then_margin(asked: DataFrame, cells: DataFrame, exact: list[str], marg
                       F.coalesce(F.col(f"_e.{n}"), F.col("_n")).__lt__(thin).alias("thin"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, clock: str, values: list[str], tie: str) -> DataFrame:
-    """left with the values of the latest right row of its key that isn't after `at`; nulls where there is none.
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, clock: str, values: list[str], tie: str, most: int = 1_000_000) -> DataFrame:
+    """left with the values of the latest right row of its key that isn't after `at`; nulls where there is none, or no key.
 
-    Both sides are laid end to end and read in order within each key; no pair of rows is compared.
+    Both sides are laid end to end and read in order within each key; no pair of rows is compared. Keys are counted first: one with over
+    `most` rows is cut into ranges of time, each read by itself, and a range's last values are carried into the next; of a range only
+    its first key can have begun before, so a row a range is carried at most.
     """
-    tagged = left.select(F.col(key), F.col(at).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(F.struct(*values).alias("s")).schema["s"].dataType).alias("_v"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"))
-    marks = right.select(F.col(key), F.col(clock).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(tagged.schema["_row"].dataType).alias("_row"), F.struct(*values).alias("_v"), F.col(tie).alias("_tie"))
-    order = Window.partitionBy(key).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    return tagged.unionByName(marks).withColumn("_v", F.last("_v", ignorenulls=True).over(order)).filter("_side = 1").select("_row.*", *[F.col(f"_v.{v}").alias(v) for v in values])
+    from palimpsest.operators.ranking import written
+
+    kinds = left.select(F.struct("*").alias("r")).schema["r"].dataType, right.select(F.struct(*values).alias("v")).schema["v"].dataType
+    nothing = lambda kind: F.lit(None).cast(kind)
+    tagged = left.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(1).alias("_side"), nothing(right.schema[tie].dataType).alias("_tie"), F.struct("*").alias("_row"), nothing(kinds[1]).alias("_v"))
+    marks = right.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(clock).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), nothing(kinds[0]).alias("_row"), F.struct(*values).alias("_v"))
+    rows, order = tagged.unionByName(marks), ["_t", "_side", "_tie"]
+    latest = lambda *by: F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+    counts = left.groupBy(F.col(key).alias("_k")).count().unionByName(right.groupBy(F.col(key).alias("_k")).count()).groupBy("_k").agg(F.sum("count").alias("_n"))
+    hot = written(counts.filter((F.col("_n") > most) & F.col("_k").isNotNull()).select("_k"))
+    n_hot = hot.count()
+    small = F.broadcast(hot) if n_hot <= 100_000 else hot
+    done = (rows.join(small, "_k", "left_anti") if n_hot else rows).withColumn("_v", latest("_k")).filter("_side = 1")
+    if n_hot:
+        ranged = written(rows.join(small, "_k", "left_semi").repartitionByRange("_k", *order).withColumn("_range", F.spark_partition_id()))
+        heads = ranged.filter(F.col("_v").isNotNull()).groupBy("_range", "_k").agg(F.max_by("_v", F.struct(*order)).alias("_v"))
+        # a range without values hands on what came before it
+        spans = ranged.groupBy("_range", "_k").agg(F.lit(1).alias("_")).join(heads, ["_range", "_k"], "left")
+        before = F.last("_v", ignorenulls=True).over(Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        carried = spans.select("_range", "_k", before.alias("_c")).filter(F.col("_c").isNotNull())
+        cut = ranged.withColumn("_v", latest("_range", "_k")).filter("_side = 1").join(F.broadcast(carried), ["_range", "_k"], "left").withColumn("_v", F.coalesce("_v", "_c"))
+        done = done.select("_row", "_v").unionByName(cut.select("_row", "_v"))
+    keyless = left.filter(F.col(key).isNull()).select(F.struct("*").alias("_row"), nothing(kinds[1]).alias("_v"))
+    return done.select("_row", "_v").unionByName(keyless).select("_row.*", *[F.col(f"_v.{v}").alias(v) for v in values])
 
 
 def receipt_join(evidence: DataFrame, receipts: DataFrame, key: str) -> DataFrame:

@@ -111,7 +111,8 @@ def axis_market(terms: DataFrame, key: str, shift: DataFrame) -> DataFrame:
 
     A claim adds 0.3 if verified (value over 0), −0.8 if contradicted (under 0); comparables −0.4 each, two at most; two reviews or more,
     the first over 0, their change of direction times min(1, last/50)·0.6; wind-downs −0.6, press +0.2. n counts the rows that made a term.
-    Bear at −0.35 or less, bullish at 0.35 or more; without any term the index is the shift.
+    The index has three decimals, on which the label is decided: bear at −0.35 or less, bullish at 0.35 or more. A key with a shift and
+    no term of its own stays: its index is the shift, its n 0.
     """
     is_ = lambda k: F.col("kind") == k
     reviews = lambda f: f(F.when(is_("review"), F.col("value")), F.when(is_("review"), F.col("at")))
@@ -122,7 +123,8 @@ def axis_market(terms: DataFrame, key: str, shift: DataFrame) -> DataFrame:
     counted = F.coalesce((F.col("_reviews") >= 2) & (F.col("_first") > 0), F.lit(False))
     review = F.when(counted, F.signum(F.col("_last") - F.col("_first")) * F.least(F.lit(1.0), F.col("_last") / 50) * 0.6).otherwise(0.0)
     index = 0.3 * F.col("_good") - 0.8 * F.col("_bad") - 0.4 * F.least("_comp", F.lit(2)) + review - F.when(F.col("_wind") > 0, 0.6).otherwise(0.0) + F.when(F.col("_press") > 0, 0.2).otherwise(0.0)
-    out = g.join(shift, key, "left").withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 6) + 0.0).withColumn("n", F.col("_n") + F.when(counted, F.col("_reviews")).otherwise(0))
+    g = g.join(shift, key, "full_outer").fillna(0, ["_n", "_good", "_bad", "_comp", "_reviews", "_wind", "_press"])
+    out = g.withColumn("index", F.round(index + F.coalesce("shift", F.lit(0.0)), 3) + 0.0).withColumn("n", F.col("_n") + F.when(counted, F.col("_reviews")).otherwise(0))
     return out.select(key, "n", "index", F.when(F.col("index") <= -0.35, "bear").when(F.col("index") >= 0.35, "bullish").otherwise("neutral").alias("label"))
 
 
@@ -136,7 +138,8 @@ def axis_fit(terms: DataFrame, context: DataFrame, key: str, threshold: float) -
     direct = clip(50 + points of the latest domain state + 8·clip((last − first)/first, ±1) of two cadences or more, the first over 0,
     + 5·verified − 8·contradicted − 6·comparables, two at most, ± 6 for a bullish or bear market), mixed with clip(50 + 8·shift) by n/(n+5);
     n counts all rows that made a term, the market's too. half = min(45, 7 + 20·(1−w) + 2.5·widening). It survives at 50 or more; if not,
-    carries tells whether the lower bound of the capacity to build reaches the threshold (null without one).
+    carries tells whether the lower bound of the capacity to build reaches the threshold (null without one). Point and bounds have one decimal, on
+    which both are decided. A key with a context and no term of its own stays, at n of the market alone.
     """
     is_ = lambda k: F.col("kind") == k
     points = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in STATE_POINTS.items() for x in kv]), F.col("state")), F.lit(0.0))
@@ -144,18 +147,19 @@ def axis_fit(terms: DataFrame, context: DataFrame, key: str, threshold: float) -
     g = terms.groupBy(key).agg(
         F.count_if(~is_("cadence")).alias("_n"), F.max_by(F.when(is_("domain"), points), F.when(is_("domain"), F.col("at"))).alias("_state"), F.count_if(is_("cadence")).alias("_cadences"), cadence(F.min_by).alias("_first"), cadence(F.max_by).alias("_last"),
         F.count_if(is_("verified")).alias("_good"), F.count_if(is_("contradicted")).alias("_bad"), F.count_if(is_("comparable")).alias("_comp"),
-    ).join(context, key, "left")
+    ).join(context, key, "full_outer").fillna(0, ["_n", "_cadences", "_good", "_bad", "_comp"])
     counted = F.coalesce((F.col("_cadences") >= 2) & (F.col("_first") > 0), F.lit(False))
     ratio = F.when(counted, clip((F.col("_last") - F.col("_first")) / F.col("_first"), -1.0, 1.0)).otherwise(0.0)
     market = F.when(F.col("label") == "bullish", 6.0).when(F.col("label") == "bear", -6.0).otherwise(0.0)
     direct = clip(50 + F.coalesce("_state", F.lit(0.0)) + 8 * ratio + 5 * F.col("_good") - 8 * F.col("_bad") - 6 * F.least("_comp", F.lit(2)) + market, 0.0, 100.0)
     n = F.col("_n") + F.when(counted, F.col("_cadences")).otherwise(0) + F.coalesce("market_n", F.lit(0))
     w = F.col("n") / (F.col("n") + 5)
-    out = g.withColumn("n", n).withColumn("_p", w * direct + (1 - w) * clip(50 + 8 * F.coalesce("shift", F.lit(0.0)), 0.0, 100.0))
+    r = lambda c: F.round(c, 1)
+    out = g.withColumn("n", n).withColumn("point", r(w * direct + (1 - w) * clip(50 + 8 * F.coalesce("shift", F.lit(0.0)), 0.0, 100.0)))
     half = F.least(F.lit(45.0), 7 + 20 * (1 - w) + 2.5 * F.coalesce("widening", F.lit(0)))
-    r = lambda c: F.round(c, 6)
-    out = out.select(key, "n", r("_p").alias("point"), r(clip(F.col("_p") - half, 0.0, 100.0)).alias("low"), r(clip(F.col("_p") + half, 0.0, 100.0)).alias("high"), "build_low")
-    return out.withColumn("survives", F.col("point") >= 50).withColumn("carries", F.when(~F.col("survives"), F.col("build_low") >= threshold)).drop("build_low")
+    survives = F.col("point") >= 50
+    carries = F.when(~survives, r(F.col("build_low")) >= threshold)
+    return out.select(key, "n", "point", r(clip(F.col("point") - half, 0.0, 100.0)).alias("low"), r(clip(F.col("point") + half, 0.0, 100.0)).alias("high"), survives.alias("survives"), carries.alias("carries"))
 
 
 def stance(score: Column, label: Column, threshold: float) -> Column:

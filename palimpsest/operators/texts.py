@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from palimpsest.functions import clip, contains_any
+from palimpsest.functions import contains_any
 
 
 @F.pandas_udf(StringType())
@@ -62,23 +62,39 @@ LIVED = [
 LABELS = ["location", "remote", "willing to relocate", "relocate", "technologies", "tech stack", "stack", "r[ée]sum[ée]", "resume", "cv", "email", "linkedin", "github", "website", "availability", "seeking", "role"]
 HEADER = r"(?m)^[^\n|]{2,60}\|[^\n|]{2,60}\|"
 
+#: What a text must hold in lower case, at least one of them, for the pattern of LIVED in the same place to match.
+NEEDED = [
+    ["we "], ["i "], ["in production"], ["call"], ["mortem"], ["outage", "incident", "regression", "downtime"], ["at my "], ["when i ", "while i "], ["i've ", "i have "], ["our "], ["we "], ["hard way"], ["my "], ["we were "], ["currently ", "used to "], ["i do ", "i did "], ["from experience"], ["we "],
+]
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores at least: a file of one row group is else one task, however dear its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
 
-def signal_score(text: Column, entities: list[str], sector: list[str], lived: list[str] | None = None) -> Column:
-    """0.2 each for substance (length from 320 to 2,200 characters), specificity (numbers with units, amounts, versions; six are full) and entities (five), 0.3 for patterns of lived experience (three), 0.1 for sector terms (two).
+def with_signal_score(df: DataFrame, text: str, entities: list[str], sector: list[str], name: str = "score") -> DataFrame:
+    """df with a text's score: 0.2 each for substance (length from 320 to 2,200 characters), specificity (numbers with units, amounts, versions; six are full) and entities (five), 0.3 for patterns of lived experience (three), 0.1 for sector terms (two).
 
-    Times 0.6 if links are over a quarter of the characters, 0.8 with four quoted lines or more. Entities and sector terms are plain substrings.
+    Times 0.6 if links are over a quarter of the characters, 0.8 with four quoted lines or more. Entities and sector terms are plain
+    substrings. A null text has no score. Counts are a projection of their own below the score, and a pattern runs only over texts
+    that hold what it needs.
     """
-    low = F.lower(text)
-    total = lambda tests: reduce(lambda a, b: a + b, [t.cast("int") for t in tests])
-    part = lambda n, full: clip(n / full, 0.0, 1.0)
-    hits = sum((F.regexp_count(text, F.lit(p)) for p in (AMOUNTS, VERSIONS)), F.regexp_count(text, F.lit(UNITS)))
-    base = (
-        0.2 * part(F.length(text) - LEAST_CHARS, float(MOST_CHARS - LEAST_CHARS)) + 0.2 * part(hits, 6.0) + 0.2 * part(total([low.contains(w) for w in entities]), 5.0)
-        + 0.3 * part(total([text.rlike("(?i)" + p) for p in lived or LIVED]), 3.0) + 0.1 * part(total([low.contains(w) for w in sector]), 2.0)
-    )
-    links = F.length(text) - F.length(F.regexp_replace(text, r"https?://\S+", ""))
-    quotes = F.regexp_count(text, F.lit(r"(?m)^\s*>"))
-    return base * F.when(links > 0.25 * F.length(text), 0.6).otherwise(1.0) * F.when(quotes >= 4, 0.8).otherwise(1.0)
+    body, low = F.col(text), F.col("_low")
+    total = lambda tests: reduce(lambda a, b: a + b, [F.when(t, 1).otherwise(0) for t in tests])
+    any_of = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    digit = body.rlike("[0-9]")
+    number = lambda p: F.when(digit, F.regexp_count(body, F.lit(p))).otherwise(0)
+    lived = total([any_of(need) & body.rlike("(?i)" + p) for p, need in zip(LIVED, NEEDED)])
+    links = F.when(low.contains("://"), F.length(body) - F.length(F.regexp_replace(body, r"https?://\S+", ""))).otherwise(0)
+    quotes = F.when(body.contains(">"), F.regexp_count(body, F.lit(r"(?m)^\s*>"))).otherwise(0)
+    counts = {"_size": F.length(body), "_hits": number(UNITS) + number(AMOUNTS) + number(VERSIONS), "_held": total([low.contains(w) for w in entities]), "_lived": lived, "_terms": total([low.contains(w) for w in sector]), "_links": links, "_quotes": quotes}
+    part = lambda n, full: F.greatest(F.least(F.col(n) / full, F.lit(1.0)), F.lit(0.0))
+    substance = F.greatest(F.least((F.col("_size") - LEAST_CHARS) / float(MOST_CHARS - LEAST_CHARS), F.lit(1.0)), F.lit(0.0))
+    base = 0.2 * substance + 0.2 * part("_hits", 6.0) + 0.2 * part("_held", 5.0) + 0.3 * part("_lived", 3.0) + 0.1 * part("_terms", 2.0)
+    score = base * F.when(F.col("_links") > 0.25 * F.col("_size"), 0.6).otherwise(1.0) * F.when(F.col("_quotes") >= 4, 0.8).otherwise(1.0)
+    return df.withColumn("_low", F.lower(body)).withColumns(counts).select(*df.columns, F.when(F.col("_size").isNotNull(), score).alias(name))
 
 
 def template_fields(text: Column, labels: list[str] | None = None) -> Column:
@@ -166,17 +182,22 @@ def _short_in_texts(excerpts: DataFrame, texts: DataFrame, excerpt_id: str, exce
     return met.join(texts.select(text_id, F.col(text).alias("_t")), text_id).filter(F.col("_t").contains(F.col("_e"))).select(excerpt_id, text_id)
 
 
-def verdict(literal: Column, hard: Column, missing: Column, status: Column, expected_absent: Column, claimed: Column, reserved: Column) -> Column:
-    """The verdict on an excerpt against its page: hard are its facts, missing those that the page lacks."""
+#: Words of four letters or more that tell nothing about an excerpt.
+STOP_WORDS = "from have into that their there they this were with total across three lists named same page site present none".split()
+
+
+def verdict(literal: Column, hard: Column, missing: Column, status: Column, expected_absent: Column, claimed: Column, reserved: Column, blank: Column) -> Column:
+    """The verdict on an excerpt against its page: hard are its facts, missing those that the page lacks. A blank excerpt passes if the page resolves."""
     return (
         F.when(reserved, "SKIPPED").when(status == 404, F.when(expected_absent, "ABSENT-OK").when(claimed, "ABSENT-BAD").otherwise("ERROR")).when(status >= 400, "ERROR")
-        .when(literal, "PASS").when(F.size(hard) == 0, "SOFT-OK").when(F.size(missing) == 0, "PASS").otherwise("MISMATCH")
+        .when(blank | literal, "PASS").when(F.size(hard) == 0, "SOFT-OK").when(F.size(missing) == 0, "PASS").otherwise("MISMATCH")
     )
 
 
 def verify_excerpts(checks: DataFrame) -> DataFrame:
-    """checks (check_id, excerpt, page_text, http_status, expected_absent, claimed_found, url) with the verdict, the missing hard facts, and the share of the excerpt's words that the page has."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """checks (check_id, excerpt, page_text, http_status, expected_absent, claimed_found, url) with the verdict, the missing hard facts, and the share of the excerpt's words that the page has (of four letters or more, stop words aside; 0 without any). Null and blank excerpts pass where the page resolves; a null page is empty."""
+    words = lambda c: F.array_except(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), 0), F.array(*map(F.lit, STOP_WORDS)))
+    checks = checks.withColumn("excerpt", F.coalesce("excerpt", F.lit("")))
     page = F.coalesce("page_text", F.lit(""))
     # a date or version counts as written, any other number in every spelling
     spelled = lambda a: F.when(a["kind"] == "date", F.array(a["raw"])).when(a["kind"] == "version", F.array(F.ltrim(a["raw"], F.lit("v")))).otherwise(digit_forms(a["raw"]))
@@ -185,8 +206,8 @@ def verify_excerpts(checks: DataFrame) -> DataFrame:
     missing = F.filter("_hard", lambda a: ~F.arrays_overlap(spelled(a), F.col("_there")))
     reserved = F.coalesce(F.col("url").rlike(r"\.(test|invalid|localhost)(/|$)"), F.lit(False))
     flat = lambda c: F.trim(F.regexp_replace(F.translate(F.lower(c), "’‘“”—–−\u00a0", "''\"\"--- "), r"\s+", " "))
-    said = verdict(flat(page).contains(flat(F.col("excerpt"))), F.col("_hard"), missing, F.coalesce("http_status", F.lit(0)), F.col("expected_absent"), F.col("claimed_found"), reserved)
-    return facts.select("check_id", said.alias("verdict"), F.size(missing).cast("long").alias("n_missing"), F.try_divide(F.size(F.array_intersect("_we", "_wp")), F.size("_we")).alias("overlap"))
+    said = verdict(flat(page).contains(flat(F.col("excerpt"))), F.col("_hard"), missing, F.coalesce("http_status", F.lit(0)), F.col("expected_absent"), F.col("claimed_found"), reserved, F.trim("excerpt") == "")
+    return facts.select("check_id", said.alias("verdict"), F.size(missing).cast("long").alias("n_missing"), F.coalesce(F.try_divide(F.size(F.array_intersect("_we", "_wp")), F.size("_we")), F.lit(0.0)).alias("overlap"))
 
 
 def derived_attributes(df: DataFrame, key: str, texts: str, at: str, technical: list[str], operating: list[str], sectors: dict[str, list[str]], regions: dict[str, str]) -> DataFrame:

@@ -75,29 +75,32 @@ def distribution(v):
     return A.state_distribution(v.evidence(), "kind", KINDS, "expected_absent")
 
 
+EDGE_AT = "2024-02-08 00:00:00"
+REGISTERED = [("ch0", "discovery", True, True), ("ch1", "discovery", True, True), ("ch2", "discovery", False, True), ("ch3", "confirmation", True, True), ("ch4", "discovery", True, True), ("ch9", "discovery", True, True)]
+BUILT = ["ch4"]
 LAGS = {
-    "seen": f"SELECT *, {CONSENSUS} AS c FROM observation WHERE observed_at <= TIMESTAMP '{AT}' AND person_id IS NOT NULL",
-    "lag_rows": f"SELECT channel_id, person_id, round(date_diff('microsecond', first_signal, first_consensus) / 86400000000.0, 1) AS lag_days, round(date_diff('microsecond', first_signal, TIMESTAMP '{AT}') / 86400000000.0, 1) AS followed_days FROM (SELECT channel_id, person_id, min(observed_at) AS first_signal FROM seen WHERE NOT c GROUP BY 1, 2) LEFT JOIN (SELECT person_id, min(observed_at) AS first_consensus FROM seen WHERE c GROUP BY 1) USING (person_id)",
-    "registered": "SELECT * FROM (VALUES ('ch0', TRUE, TRUE, TRUE), ('ch1', TRUE, TRUE, TRUE), ('ch2', TRUE, FALSE, TRUE), ('ch3', FALSE, TRUE, TRUE), ('ch4', TRUE, TRUE, TRUE), ('ch5', TRUE, TRUE, TRUE), ('ch9', TRUE, TRUE, TRUE)) AS r(channel_id, applicable, native, active)",
-    "edges": f"""SELECT channel_id, coalesce(n_lags, 0) AS n_lags, coalesce(n_censored, 0) AS n_censored, median_days_edge, censored_followed, coalesce(n_late, 0) AS n_late, coalesce(volume, 0) AS volume, coalesce(n_rows, 0) AS n_rows, coalesce(n_unkeyed, 0) AS n_unkeyed,
-        CASE WHEN NOT applicable THEN 'not_applicable' WHEN coalesce(n_lags, 0) + coalesce(n_censored, 0) = 0 THEN 'insufficient' WHEN n_lags = 0 THEN 'fully_censored' WHEN n_lags < 5 THEN 'insufficient' ELSE 'measured' END AS basis, native, active
-        FROM registered LEFT JOIN (SELECT channel_id, count(lag_days) AS n_lags, count(*) FILTER (lag_days IS NULL) AS n_censored, median(lag_days) AS median_days_edge, median(followed_days) FILTER (lag_days IS NULL) AS censored_followed, count(*) FILTER (lag_days < 0) AS n_late FROM lag_rows GROUP BY 1) USING (channel_id)
-        LEFT JOIN (SELECT channel_id, count(*) FILTER (observed_at > TIMESTAMP '{AT}' - INTERVAL 7 DAY) AS volume, count(*) AS n_rows, count(*) FILTER (person_id IS NULL) AS n_unkeyed FROM observation WHERE observed_at <= TIMESTAMP '{AT}' GROUP BY 1) USING (channel_id)""",
+    "seen": f"SELECT *, {CONSENSUS} AS c, split_part(channel_id, '#v', 1) AS base FROM observation WHERE observed_at <= TIMESTAMP '{EDGE_AT}'",
+    "lag_rows": f"SELECT channel_id, person_id, round(date_diff('microsecond', first_signal, first_consensus) / 86400000000.0, 1) AS lag_days, round(date_diff('microsecond', first_signal, TIMESTAMP '{EDGE_AT}') / 86400000000.0, 1) AS followed_days FROM (SELECT base AS channel_id, person_id, min(observed_at) AS first_signal FROM seen WHERE person_id IS NOT NULL AND base IS NOT NULL GROUP BY 1, 2) LEFT JOIN (SELECT person_id, min(observed_at) AS first_consensus FROM seen WHERE c GROUP BY 1) USING (person_id)",
+    "registered": "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{k}', {n}, {a})" for c, k, n, a in REGISTERED) + ") AS r(channel_id, kind, native, active)",
+    "edges": f"""SELECT channel_id, registered, kind, native, active, n_lags, n_censored, n_late, CASE basis WHEN 'by_construction' THEN 0 WHEN 'measured' THEN median_ END::DOUBLE AS median_days_edge, censored_followed, volume, volume_denominator, n_rows, n_unkeyed, basis, basis = 'measured' AND n_lags < 12 AS thin
+        FROM (SELECT *, CASE WHEN kind = 'confirmation' THEN 'not_applicable' WHEN channel_id IN ('{"', '".join(BUILT)}') THEN 'by_construction' WHEN n_lags > 0 THEN 'measured' WHEN n_censored > 0 THEN 'fully_censored' ELSE 'insufficient' END AS basis, (SELECT count(*) FROM seen WHERE base IS NOT NULL AND observed_at > TIMESTAMP '{EDGE_AT}' - INTERVAL 30 DAY) AS volume_denominator
+        FROM (SELECT channel_id, r.channel_id IS NOT NULL AS registered, coalesce(kind, 'unregistered') AS kind, coalesce(native, FALSE) AS native, coalesce(active, TRUE) AS active, coalesce(n_lags, 0) AS n_lags, coalesce(n_censored, 0) AS n_censored, coalesce(n_late, 0) AS n_late, median_, censored_followed, coalesce(volume, 0) AS volume, coalesce(n_rows, 0) AS n_rows, coalesce(n_unkeyed, 0) AS n_unkeyed
+        FROM registered r FULL JOIN (SELECT channel_id, count(lag_days) AS n_lags, count(*) FILTER (lag_days IS NULL) AS n_censored, median(lag_days) AS median_, median(followed_days) FILTER (lag_days IS NULL) AS censored_followed, count(*) FILTER (lag_days < 0) AS n_late FROM lag_rows GROUP BY 1) USING (channel_id)
+        FULL JOIN (SELECT base AS channel_id, count(*) FILTER (observed_at > TIMESTAMP '{EDGE_AT}' - INTERVAL 30 DAY) AS volume, count(*) AS n_rows, count(*) FILTER (person_id IS NULL) AS n_unkeyed FROM seen WHERE base IS NOT NULL GROUP BY 1) USING (channel_id)) WHERE registered OR n_lags + n_censored + volume > 0)""",
 }
 
 
 def lag_rows(v):
-    return A.lags(v.observation(), consensus(), AT)
+    return A.lags(v.observation(), consensus(), EDGE_AT)
 
 
-def registered(v):
-    rows = [("ch0", True, True, True), ("ch1", True, True, True), ("ch2", True, False, True), ("ch3", False, True, True), ("ch4", True, True, True), ("ch5", True, True, True), ("ch9", True, True, True)]
-    return v.spark.createDataFrame(rows, "channel_id string, applicable boolean, native boolean, active boolean")
+def channel_edges(v):
+    return A.days_of_edge(v.observation(), consensus(), v.spark.createDataFrame(REGISTERED, "channel_id string, kind string, native boolean, active boolean"), EDGE_AT, BUILT)
 
 
-@query("e10_days_of_edge", "SELECT channel_id, n_lags, n_censored, median_days_edge, censored_followed, n_late, volume, n_rows, n_unkeyed, basis FROM edges", LAGS)
+@query("e10_days_of_edge", "SELECT * FROM edges", LAGS)
 def edges(v):
-    return A.days_of_edge(lag_rows(v), v.observation(), registered(v), AT)
+    return channel_edges(v)
 
 
 #: l for n up to 400, from exact binomial sums, as rows for SQL.
@@ -113,7 +116,7 @@ def intervals(v):
 @query("e12_coverage_gap_flag", """SELECT channel_id, CASE WHEN m >= 3 THEN coalesce(basis = 'measured' AND median_days_edge > 0 AND median_days_edge >= e AND volume <= vol AND active AND native, FALSE) ELSE coalesce(basis = 'measured' AND median_days_edge > 0 AND median_days_edge >= 14 AND volume < 10 AND active AND native, FALSE) END AS coverage_gap
     FROM edges, (SELECT count(*) AS m, median(median_days_edge) AS e, median(volume) AS vol FROM edges WHERE basis = 'measured' AND median_days_edge > 0)""", LAGS)
 def gaps(v):
-    return A.coverage_gap(A.days_of_edge(lag_rows(v), v.observation(), registered(v), AT).join(registered(v), "channel_id")).select("channel_id", "coverage_gap")
+    return A.coverage_gap(channel_edges(v)).select("channel_id", "coverage_gap")
 
 
 @query("e13_revealing_rate", "SELECT greatest(least(count(*) FILTER (source_class IN ('registry_filing', 'third_party_observable')) / count(*), 0.9), 0.02) AS rate FROM observation")

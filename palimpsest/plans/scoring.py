@@ -213,9 +213,9 @@ def founder(v):
 
 TERMS = {
     "terms": "SELECT CAST(event_id % 300 AS BIGINT) AS opp, CASE event_type WHEN 'view' THEN 'claim' WHEN 'click' THEN 'comparable' WHEN 'signup' THEN 'review' WHEN 'error' THEN CASE WHEN event_id % 9 = 0 THEN 'wind_down' ELSE 'none' END ELSE 'press' END AS kind, CASE WHEN event_type = 'view' THEN value - 40 ELSE value END AS value, ts AS tm FROM events",
-    "mk": """SELECT opp, CAST(n + CASE WHEN ok THEN nr ELSE 0 END AS BIGINT) AS n, round(0.3 * g - 0.8 * b - 0.4 * least(comp, 2) + CASE WHEN ok THEN sign(la - fi) * least(1, la / 50) * 0.6 ELSE 0 END - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 6) + 0.0::DOUBLE AS index
-        FROM (SELECT *, coalesce(nr >= 2 AND fi > 0, FALSE) AS ok FROM (SELECT opp, count(*) FILTER (kind <> 'review') AS n, count(*) FILTER (kind = 'claim' AND value > 0) AS g, count(*) FILTER (kind = 'claim' AND value < 0) AS b, count(*) FILTER (kind = 'comparable') AS comp, count(*) FILTER (kind = 'review') AS nr, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms WHERE kind <> 'none' GROUP BY 1))
-        LEFT JOIN (SELECT person_id AS opp, (person_id % 7 - 3) / 10.0 AS shift FROM person WHERE person_id % 2 = 0) USING (opp)""",
+    "mk": """SELECT opp, CAST(n + CASE WHEN ok THEN nr ELSE 0 END AS BIGINT) AS n, round(0.3 * g - 0.8 * b - 0.4 * least(comp, 2) + CASE WHEN ok THEN sign(la - fi) * least(1, la / 50) * 0.6 ELSE 0 END - CASE WHEN wi > 0 THEN 0.6 ELSE 0 END + CASE WHEN pr > 0 THEN 0.2 ELSE 0 END + coalesce(shift, 0), 3) + 0.0::DOUBLE AS index
+        FROM (SELECT opp, coalesce(n, 0) AS n, coalesce(ok, FALSE) AS ok, coalesce(nr, 0) AS nr, coalesce(g, 0) AS g, coalesce(b, 0) AS b, coalesce(comp, 0) AS comp, fi, la, coalesce(wi, 0) AS wi, coalesce(pr, 0) AS pr, shift FROM (SELECT *, coalesce(nr >= 2 AND fi > 0, FALSE) AS ok FROM (SELECT opp, count(*) FILTER (kind <> 'review') AS n, count(*) FILTER (kind = 'claim' AND value > 0) AS g, count(*) FILTER (kind = 'claim' AND value < 0) AS b, count(*) FILTER (kind = 'comparable') AS comp, count(*) FILTER (kind = 'review') AS nr, arg_min(value, tm) FILTER (kind = 'review') AS fi, arg_max(value, tm) FILTER (kind = 'review') AS la, count(*) FILTER (kind = 'wind_down') AS wi, count(*) FILTER (kind = 'press') AS pr FROM terms WHERE kind <> 'none' GROUP BY 1))
+        FULL JOIN (SELECT person_id AS opp, (person_id % 7 - 3) / 10.0 AS shift FROM person WHERE person_id % 2 = 0) USING (opp))""",
     "mkl": "SELECT *, CASE WHEN index <= -0.35 THEN 'bear' WHEN index >= 0.35 THEN 'bullish' ELSE 'neutral' END AS label FROM mk",
 }
 
@@ -243,9 +243,9 @@ KIND = "CASE event_type WHEN 'view' THEN 'domain' WHEN 'click' THEN 'cadence' WH
 LATEST = "CASE event_id % 8 WHEN 0 THEN 'transacting' WHEN 1 THEN 'pricing_page' WHEN 2 THEN 'changelog' WHEN 3 THEN 'calendly' WHEN 4 THEN 'waitlist' WHEN 5 THEN 'parked' WHEN 6 THEN 'unreachable' ELSE 'other' END"
 
 
-@query("f12_axis_fit", """SELECT opp, n, point, round(least(greatest(pt - h, 0), 100), 6) AS low, round(least(greatest(pt + h, 0), 100), 6) AS high, point >= 50 AS survives, CASE WHEN point < 50 THEN build_low >= 60 END AS carries FROM (SELECT *, round(pt, 6) AS point, least(45, 7 + 20 * (1 - w) + 2.5 * coalesce(widening, 0)) AS h FROM (SELECT *, w * direct + (1 - w) * least(greatest(50 + 8 * coalesce(shift, 0), 0), 100) AS pt FROM (SELECT *, n / (n + 5) AS w,
-        least(greatest(50 + coalesce(st, 0) + 8 * CASE WHEN ok THEN least(greatest((la - fi) / fi, -1), 1) ELSE 0 END + 5 * g - 8 * b - 6 * least(co, 2) + CASE label WHEN 'bullish' THEN 6 WHEN 'bear' THEN -6 ELSE 0 END, 0), 100) AS direct
-    FROM (SELECT *, CAST(other + CASE WHEN ok THEN nc ELSE 0 END + coalesce(market_n, 0) AS BIGINT) AS n FROM (SELECT *, coalesce(nc >= 2 AND fi > 0, FALSE) AS ok FROM fitted LEFT JOIN fctx USING (opp))))))""",
+@query("f12_axis_fit", """SELECT opp, n, point, round(least(greatest(point - h, 0), 100), 1) AS low, round(least(greatest(point + h, 0), 100), 1) AS high, point >= 50 AS survives, CASE WHEN point < 50 THEN round(build_low, 1) >= 60 END AS carries FROM (SELECT *, round(w * direct + (1 - w) * least(greatest(50 + 8 * coalesce(shift, 0), 0), 100), 1) AS point, least(45, 7 + 20 * (1 - w) + 2.5 * coalesce(widening, 0)) AS h FROM (SELECT *, n / (n + 5) AS w,
+        least(greatest(50 + coalesce(st, 0) + 8 * CASE WHEN ok THEN least(greatest((la - fi) / fi, -1), 1) ELSE 0 END + 5 * coalesce(g, 0) - 8 * coalesce(b, 0) - 6 * least(coalesce(co, 0), 2) + CASE label WHEN 'bullish' THEN 6 WHEN 'bear' THEN -6 ELSE 0 END, 0), 100) AS direct
+    FROM (SELECT *, CAST(coalesce(other, 0) + CASE WHEN ok THEN nc ELSE 0 END + coalesce(market_n, 0) AS BIGINT) AS n FROM (SELECT *, coalesce(nc >= 2 AND fi > 0, FALSE) AS ok FROM fitted FULL JOIN fctx USING (opp)))))""",
     TERMS | {"fit": f"SELECT CAST(event_id % 300 AS BIGINT) AS opp, {KIND} AS kind, {LATEST} AS state, value, ts AS tm FROM events",
     "fitted": "SELECT opp, count(*) FILTER (kind <> 'cadence') AS other, arg_max(CASE state WHEN 'transacting' THEN 12 WHEN 'pricing_page' THEN 6 WHEN 'changelog' THEN 4 WHEN 'waitlist' THEN -4 WHEN 'parked' THEN -10 WHEN 'unreachable' THEN -10 ELSE 0 END, tm) FILTER (kind = 'domain') AS st, count(*) FILTER (kind = 'cadence') AS nc, arg_min(value, tm) FILTER (kind = 'cadence') AS fi, arg_max(value, tm) FILTER (kind = 'cadence') AS la, count(*) FILTER (kind = 'verified') AS g, count(*) FILTER (kind = 'contradicted') AS b, count(*) FILTER (kind = 'comparable') AS co FROM fit WHERE kind <> 'none' GROUP BY 1",
     "fctx": "SELECT mkl.opp, label, mkl.n AS market_n, (person_id % 7 - 3) / 10.0 AS shift, person_id % 4 AS widening, CASE WHEN person_id % 3 > 0 THEN (person_id % 100) / 1.0 END AS build_low FROM mkl LEFT JOIN person ON person_id = mkl.opp"})

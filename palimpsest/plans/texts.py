@@ -47,8 +47,8 @@ def _sql_text(pattern: str) -> str:
     * CASE WHEN length(body) - length(regexp_replace(body, 'https?://\S+', '', 'g')) > 0.25 * length(body) THEN 0.6 ELSE 1 END * CASE WHEN len(regexp_extract_all(body, '(?m)^\s*>')) >= 4 THEN 0.8 ELSE 1 END AS s
     FROM (SELECT doc_id, {LEAD} || text AS body, lower({LEAD} || text) AS l FROM documents))""".replace("\\\\", "\\"))
 def signal(v):
-    score = T.signal_score(F.col("body"), ENTITIES, SECTOR)
-    return v.table("documents").select("doc_id", F.concat(F.expr(LEAD), "text").alias("body")).select("doc_id", score.alias("s")).select("doc_id", F.round("s", 6).alias("score"), (F.col("s") >= T.KEEP_AT).alias("kept"), (F.col("s") >= T.KEEP_TEMPLATE_AT).alias("kept_in_template"))
+    rows = T.spread_out(v.table("documents").select("doc_id", "text")).select("doc_id", F.concat(F.expr(LEAD), "text").alias("body"))
+    return T.with_signal_score(rows, "body", ENTITIES, SECTOR, "s").select("doc_id", F.round("s", 6).alias("score"), (F.col("s") >= T.KEEP_AT).alias("kept"), (F.col("s") >= T.KEEP_TEMPLATE_AT).alias("kept_in_template"))
 
 
 FORM = "CASE doc_id % 4 WHEN 0 THEN 'Location: x | REMOTE : y | Résumé| z' WHEN 1 THEN concat('no role: x', chr(10), 'ab | cd | e', chr(10), ' tech stack: q') WHEN 2 THEN concat('Stack: a', chr(10), 'email| b', chr(10)) ELSE '' END"
