@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, documents
+from palimpsest.llm.common import cut, documents, plain_text, wrapped
 
 #: Kinds in the order of ties. Runs are possessive and start where the leftmost match must start, so time stays linear on hostile texts; matches are those of the plain patterns.
 PATTERNS = {
@@ -152,14 +152,19 @@ def scan_pii(docs: DataFrame, **settings) -> DataFrame:
 
 
 def sanitise(docs: DataFrame, **settings) -> DataFrame:
-    """docs with entities generalised to their kind (`[email]`) and disclosing terms removed (`[…]`) from text; other columns and null texts stay."""
-    spans = find_spans(docs, **settings).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("n").alias("_n"), F.col("spans").alias("_spans"))
-    plain = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(plain) == F.col("_h")) & (F.length(plain) == F.col("_n")), "left")
+    """docs with entities generalised to their kind (`[email]`) and disclosing terms removed (`[…]`) from text.
+
+    Every row stays, repeated ones and those of null ids too; other columns, whatever their names, and null texts are as
+    they were; an empty table gives an empty result.
+    """
+    text = plain_text(docs)
+    spans = find_spans(docs, **settings).select(F.col("doc_id").alias("at_id"), F.col("h").alias("at_h"), F.col("n").alias("at_n"), "spans")
+    rows = wrapped(docs, id=docs["doc_id"].cast("long"), h=F.xxhash64(text), n=F.length(text), text=text)
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("h") == F.col("at_h")) & (F.col("n") == F.col("at_n")), "left")
     rebuilt = F.expr("""
-        concat(array_join(transform(_spans, (x, i) -> concat(
-            substring(text, 1 + if(i = 0, 0, array_max(transform(slice(_spans, 1, i), y -> y.end))), greatest(0, x.start - if(i = 0, 0, array_max(transform(slice(_spans, 1, i), y -> y.end))))),
+        concat(array_join(transform(spans, (x, i) -> concat(
+            substring(text, 1 + if(i = 0, 0, array_max(transform(slice(spans, 1, i), y -> y.end))), greatest(0, x.start - if(i = 0, 0, array_max(transform(slice(spans, 1, i), y -> y.end))))),
             if(x.kind = 'term', '[…]', concat('[', x.kind, ']')))), ''),
-          substring(text, 1 + array_max(transform(_spans, y -> y.end))))
+          substring(text, 1 + array_max(transform(spans, y -> y.end))))
     """)
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rebuilt)).select(*docs.columns)
+    return joined.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(F.col("row").withField("text", rebuilt)).alias("row")).select("row.*")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, documents, meet, sent
+from palimpsest.llm.common import cut, documents, meet, plain_text, sent, wrapped
 from palimpsest.llm.components import connected_components
 
 BYTES = 8
@@ -160,13 +160,15 @@ def simhash_components(docs: DataFrame, words: int = 4, seed: int = 42, radius:
 
 
 def keep_one_per_component(docs: DataFrame, **settings) -> DataFrame:
-    """docs with one row of each near-duplicate component: that of the least doc_id.
+    """docs with one row of each component of near-duplicate texts: that of the least doc_id (null ids last), of equal ids that of the least text hash.
 
-    Rows with a null doc_id are kept as they are. An id stands for one document: of several rows with a kept id the longest text stays.
+    Rows are judged by their own text, so rows of one id and different texts may both stay; of repeated rows one stays. Null texts
+    count as empty. All columns, whatever their names, are as they were; an empty table gives an empty result.
     """
-    kept = simhash_components(docs, **settings).select(F.col("component_id").alias("_kept_id")).filter("_kept_id IS NOT NULL").distinct()
-    from pyspark.sql import Window
-
-    mine = docs.filter("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    first = mine.withColumn("_nth_row", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text")))).filter("_nth_row = 1").drop("_nth_row")
-    return first.unionByName(docs.filter("doc_id IS NULL"))
+    text = plain_text(docs)
+    rows = cut(wrapped(docs, key=F.xxhash64(text), id=docs["doc_id"].cast("long"), text=text).withColumn("nth", F.monotonically_increasing_id()), "rows")
+    texts = rows.groupBy("key").agg(F.min("text").alias("text")).select(F.col("key").alias("doc_id"), "text")
+    parts = simhash_components(texts, **settings).select(F.col("doc_id").alias("key"), F.col("component_id").alias("component"))
+    named = meet(rows.select("key", "id", "nth"), parts, ["key"], F.col("nth"))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key", "nth")).alias("first")).select("first.nth")
+    return rows.join(first, "nth", "left_semi").select("row.*")

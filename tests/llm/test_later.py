@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm import chat, langid, negatives, periods
+from palimpsest.llm import chat, langid, negatives, periods, pii, simhash_dedup
 from palimpsest.llm.queries import ORACLES, QUERIES, tokenizer_file
 
 rng = random.Random(11)
@@ -259,3 +259,30 @@ def test_op2_learns_texts_without_spaces(spark):
     rows = [(i, " ".join(rng.choice(words) for _ in range(30)), "en") for i in range(300)] + [(i, "".join(rng.choice(han) for _ in range(120)), "zh") for i in range(300, 600)]
     got = langid.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokenizer_file("piece_bpe_32k.model")).collect()
     assert all(r.lang_pred == ("en" if r.doc_id < 300 else "zh") for r in got) and sum(r.held_out for r in got) > 100
+
+
+CLASHING = "doc_id long, text string, row string, id long, h string, n int, key string, nth int, spans string, _id int, _spans int, _nth_row int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "x", 1, "x", 1, "x", 1, 1, 1) for r in rows], CLASHING)
+
+
+def test_op3_sanitise_edges(spark):
+    said = [(1, "write to a.b@c.example.org now"), (1, "no address"), (None, "or to x@y.example.org"), (2, None), (3, ""), (1, "no address")]
+    df = clashing(spark, said)
+    out = pii.sanitise(df)
+    assert out.columns == df.columns
+    want = [(1, "write to [email] now"), (1, "no address"), (None, "or to [email]"), (2, None), (3, ""), (1, "no address")]
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(want)
+    assert pii.sanitise(df.limit(0)).collect() == []
+
+
+def test_op1_keep_one_edges(spark):
+    words = ["w%d" % i for i in range(300)]
+    a, b = " ".join(words), " ".join(reversed(words))
+    df = clashing(spark, [(5, a), (4, a), (None, a), (5, b), (5, b), (6, None), (7, ""), (None, "other words of nobody")])
+    kept = simhash_dedup.keep_one_per_component(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(4, a), (5, b), (6, None), (None, "other words of nobody")])
+    assert simhash_dedup.keep_one_per_component(df.limit(0)).collect() == []
