@@ -25,9 +25,10 @@ def connected_components(edges: DataFrame, a: str, b: str, most_rounds: int = 60
         large = written(hung.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         star = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         after = written(star.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
-        centres = after.select(F.col("v").alias("u")).distinct()
-        twice = after.groupBy("u").count().filter("count > 1")
         pairs = after
-        if after.join(centres, "u", "left_semi").isEmpty() and twice.isEmpty():
-            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres.select(F.col("u").alias("node"), F.col("u").alias("component")))
+        # settled: every node hangs on one centre, and no centre hangs
+        ends = after.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR (up > 0 AND down > 0)").isEmpty():
+            centres = after.select(F.col("v").alias("node")).distinct()
+            return after.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(centres.withColumn("component", F.col("node")))
     raise RuntimeError("connected components: more rounds are needed")

@@ -90,8 +90,8 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, clock: str,
     latest = lambda *by: F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
     counts = left.groupBy(F.col(key).alias("_k")).count().unionByName(right.groupBy(F.col(key).alias("_k")).count()).groupBy("_k").agg(F.sum("count").alias("_n"))
-    hot = written(counts.filter((F.col("_n") > most) & F.col("_k").isNotNull()).select("_k"))
-    n_hot = hot.count()
+    hot = counts.filter((F.col("_n") > most) & F.col("_k").isNotNull()).select("_k")
+    n_hot = 0 if hot.isEmpty() else (hot := written(hot)).count()
     small = F.broadcast(hot) if n_hot <= 100_000 else hot
     done = (rows.join(small, "_k", "left_anti") if n_hot else rows).withColumn("_v", latest("_k")).filter("_side = 1")
     if n_hot:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.operators.graphs import connected_components
+from palimpsest.operators.ranking import written
+
 
 @F.pandas_udf(StringType())
 def _decomposed(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,8 +63,6 @@ def resolve_entities(rows: DataFrame, spine: DataFrame, aliases: DataFrame) -> D
 
     Keys, not rows, are joined into components, each pair of keys once, so a handle on a third of the rows is one node.
     """
-    from palimpsest.operators.graphs import connected_components
-
     out = (
         rows.join(spine.select(F.col("person_id").alias("given_id"), F.col("person_id").alias("_by_id")), "given_id", "left")
         .join(aliases.groupBy("name_key").agg(F.min("person_id").alias("_by_alias")), "name_key", "left")
@@ -75,9 +76,9 @@ def resolve_entities(rows: DataFrame, spine: DataFrame, aliases: DataFrame) -> D
     steps = [("_by_id", "id"), ("_by_alias", "alias"), ("_by_handle", "handle"), ("_by_both", "name_domain"), ("_by_name", "name")]
     on = reduce(lambda c, s: c.when(F.col(s[0]).isNotNull(), s[1]), steps[1:], F.when(F.col("_by_id").isNotNull(), "id")).otherwise("new")
     handle, both = F.concat(F.lit("@"), "handle_key"), F.concat(F.lit("|"), F.col("name_key"), F.lit("|"), F.col("domain_key"))
-    met = out.select("row_id", "name_key", F.coalesce(*[F.col(c).cast("string") for c, _ in steps]).alias("_met"), on.alias("matched_on"), handle.alias("_h"), both.alias("_b"))
+    met = written(out.select("row_id", "name_key", F.coalesce(*[F.col(c).cast("string") for c, _ in steps]).alias("_met"), on.alias("matched_on"), handle.alias("_h"), both.alias("_b")))
     new = met.filter(F.col("_met").isNull())
-    joined = connected_components(new.filter(F.col("_h").isNotNull() & F.col("_b").isNotNull()).select("_h", "_b").distinct(), "_h", "_b")
+    joined = connected_components(new.filter(F.col("_h").isNotNull() & F.col("_b").isNotNull()).select("_h", "_b"), "_h", "_b")
     met = met.withColumn("_key", F.when(F.col("_met").isNull(), F.coalesce("_h", "_b"))).join(joined.select(F.col("node").alias("_key"), "component"), "_key", "left").withColumn("_own", F.coalesce("component", "_key"))
     named = met.filter(F.col("_own").isNotNull() & (F.col("name_key") != "")).groupBy("name_key").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last")).filter("_first = _last").select("name_key", F.col("_first").alias("_by_new"))
     alone = F.when(F.col("name_key") != "", F.concat(F.lit("|"), F.col("name_key"))).otherwise(F.concat(F.lit("#"), F.col("row_id").cast("string")))
