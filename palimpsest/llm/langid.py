@@ -26,7 +26,7 @@ OTHER = 0x110000
 PART, EVERY = 64, 16
 MOST_WORDS, STRETCH = 500_000, 200_000
 #: Characters of words that are scored together, ends of padding included.
-CELLS = 4_000_000
+CELLS = 400_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
