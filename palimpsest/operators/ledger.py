@@ -62,12 +62,10 @@ def append_counters(batch: DataFrame, target: DataFrame, key: list[str], order:
 
 
 def append_ledger(batch: DataFrame, path: str, key: list[str], order: list[str], clock: str = "observed_at") -> None:
-    """Writes the new rows of a batch to a Parquet ledger partitioned by month; offering rows again changes nothing."""
-    spark = batch.sparkSession
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    held = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    target = spark.read.schema(batch.schema).parquet(path) if held else spark.createDataFrame([], batch.schema)
-    new_rows(batch, target, key, order).withColumn("month", F.date_format(clock, "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+    """Writes the new rows of a batch to a Parquet ledger partitioned by month, by way of the index of its keys (see keyed); offering rows again changes nothing."""
+    from palimpsest.operators.keyed import KeyedLedger
+
+    KeyedLedger(batch.sparkSession, path, key, order, clock).append(batch)
 
 
 def stamp_clocks(df: DataFrame, now: str, clocks: tuple[str, ...] = ("observed_at", "ingested_at")) -> DataFrame:
@@ -131,4 +129,6 @@ def export_json(df: DataFrame, key: str, fields: list[str], path: str, order: st
 
 
 def nested_documents(df: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("items"))
+    """(key, items): one document for each key. A row without a key belongs to nobody: it is a document of its own, so that such rows don't gather in one."""
+    own = F.when(F.col(key).isNull(), F.col(order)).alias("_own")
+    return df.groupBy(key, own).agg(F.array_sort(F.collect_list(F.struct(order, *[f for f in fields if f != order]))).alias("items")).drop("_own")

@@ -113,34 +113,61 @@ def skyline(vectors: DataFrame, a: str, level: str, b: str, levels: int = 3) ->
     return _mark(_ranges(vectors, a, level, b), a, level, b, levels).drop("_range")
 
 
-def _fronts_here(pdf: pd.DataFrame, levels: int, best: list[list[float]]) -> list[int]:
-    """The front of each of some vectors, in the order of a, b, level falling. If a front holds a dominator, so does each one before it, so the vector's own front is found by bisection over the fronts' largest b.
-
-    best holds these, by least level, then front, negated, of all vectors before; it is brought up to date.
-    """
-    out = []
-    for level, b in zip(pdf["level"], pdf["b"]):
-        front = bisect.bisect_right(best[level], -b)
-        for k in range(levels):
-            if front == len(best[k]):
-                best[k].append(math.inf)
-            if k <= level:
-                best[k][front] = min(best[k][front], -b)
-        out.append(front)
-    return out
-
-
-def _carry(levels: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """The fronts of one range, and the fronts' largest b by least level after it (`state`), from those after the range before."""
-
-    def run(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
-        best = [[math.inf] * int((before["level"] == 0).sum()) for _ in range(levels)]  # level 0 counts every vector, so it has every front
-        for level, b, front in zip(before["level"], before["b"], before["front"]):
-            best[level][front] = -int(b)
-        pdf = pdf.sort_values(["a", "b", "level"], ascending=False)
-        rows = pdf[["a", "level", "b"]].assign(front=_fronts_here(pdf, levels, best), state=False)
-        held = [(0, k, -x, f, True) for k in range(levels) for f, x in enumerate(best[k]) if x != math.inf]
-        return pd.concat([rows, pd.DataFrame(held, columns=list(rows.columns))])
+class Reach:
+    """For each least level the fronts' envelope: at place f the largest x of any vector of front f or a later one. Held negated, so that places ascend and a front is found by bisection."""
+
+    def __init__(self, levels: int):
+        self.held: list[list[int]] = [[] for _ in range(levels)]
+
+    def front(self, level: int, x: int) -> int:
+        """One more than the last front that has a vector as high in level and x."""
+        return bisect.bisect_right(self.held[level], -x)
+
+    def add(self, level: int, x: int, front: int) -> None:
+        """A vector of a front has dominators of every front before, as high in level and x as itself, wherever they stand."""
+        for held in self.held[: level + 1]:
+            g = min(front, len(held) - 1)
+            held.extend([-x] * (front + 1 - len(held)))
+            while g >= 0 and held[g] > -x:
+                held[g] = -x
+                g -= 1
+
+    def rows(self, kind: int) -> list[tuple]:
+        return [(kind, k, f, -x) for k, held in enumerate(self.held) for f, x in enumerate(held)]
+
+    def load(self, rows: pd.DataFrame) -> Reach:
+        for k, f, x in sorted(zip(rows["level"], rows["front"], rows["x"])):
+            assert f == len(self.held[k])
+            self.held[k].append(-int(x))
+        return self
+
+
+#: Kinds of rows that blocks hand on: b by front from the blocks of better a, a by front from those of better b, the last front of those better in both.
+VECTOR, BY_B, BY_A, BOTH = range(4)
+HANDED = "i int, j int, kind int, a long, level long, b long, front long, x long"
+
+
+def _block(levels: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The fronts of one block's vectors, and what the blocks after it in either direction need to know."""
+
+    def run(key: tuple, vectors: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(key[0]), int(key[1])
+        above, beside = (Reach(levels).load(known[known["kind"] == kind]) for kind in (BY_B, BY_A))
+        on_by_a = Reach(levels).load(known[known["kind"] == BY_A])
+        least = [0] * levels
+        for k, f in zip(known.loc[known["kind"] == BOTH, "level"], known.loc[known["kind"] == BOTH, "front"]):
+            least[int(k)] = int(f)
+        beyond = [max(n, len(held)) for n, held in zip(least, beside.held)]
+        out = []
+        ordered = vectors.sort_values(["a", "b", "level"], ascending=False)
+        for a, level, b in zip(ordered["a"].tolist(), ordered["level"].tolist(), ordered["b"].tolist()):
+            front = max(least[level], beside.front(level, a), above.front(level, b))
+            above.add(level, b, front)
+            on_by_a.add(level, a, front)
+            out.append((i, j, VECTOR, a, level, b, front, 0))
+        out += [(i + 1, j, kind, 0, k, 0, f, x) for kind, k, f, x in above.rows(BY_B)] + [(i, j + 1, kind, 0, k, 0, f, x) for kind, k, f, x in on_by_a.rows(BY_A)]
+        out += [(i + 1, j, BOTH, 0, k, 0, n, 0) for k, n in enumerate(beyond) if n]
+        return pd.DataFrame(out, columns=["i", "j", "kind", "a", "level", "b", "front", "x"])
 
     return run
 
@@ -148,26 +175,28 @@ def _carry(levels: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
 def pareto_fronts(df: DataFrame, a: str, level: str, b: str, levels: int = 3, small: int = 20_000) -> DataFrame:
     """(a, level, b, front) of each distinct vector: front 0 is dominated by none, the next by front 0 alone, and so on, to the last.
 
-    In the order of a, b and level falling, whatever dominates a vector stands before it, so one ordered pass gives all fronts. The
-    order is cut into ranges of `small` vectors on average, read in turn; a range hands on the largest b of each front and least level.
+    Larger is better; level is 0 to levels-1. The vectors are cut into a square of blocks by ranges of a and of b, of `small` vectors on
+    average. A block needs to know of those better in a, in b or in both only their fronts' largest b, largest a, or last front; so
+    all blocks of a diagonal are worked out together, and n blocks take some 2·√n jobs, each over many tasks. Equal values of a, or of b, lie in one
+    range. What a block hands on has a row a front and level.
     """
-    distinct = df.select(F.col(a).cast("long").alias("a"), F.col(level).cast("long").alias("level"), F.col(b).cast("long").alias("b")).dropna().distinct()
-    distinct = written(distinct)
-    pieces = max(1, -(-distinct.count() // small))
-    ranged = written(distinct.repartitionByRange(pieces, F.desc("a"), F.desc("b"), F.desc("level")).withColumn("_range", F.spark_partition_id()))
-    schema = "a long, level long, b long, front long, state boolean"
-    spark = df.sparkSession
-    state, paths, out = spark.createDataFrame([], schema), [], None
-    for r in range(pieces):
-        here = ranged.filter(F.col("_range") == r).withColumn("_all", F.lit(0)).groupBy("_all")
-        out = here.cogroup(state.withColumn("_all", F.lit(0)).groupBy("_all")).applyInPandas(_carry(levels), schema)
-        if pieces > 1:
-            paths.append(_path(df))
-            out.write.parquet(paths[-1])
-            state = spark.read.schema(schema).parquet(paths[-1]).filter("state")
-    if paths:
-        out = spark.read.schema(schema).parquet(*paths)
-    return out.filter("NOT state").select(F.col("a").alias(a), F.col("level").alias(level), F.col("b").alias(b), "front")
+    distinct = written(df.select(F.col(a).cast("long").alias("a"), F.col(level).cast("long").alias("level"), F.col(b).cast("long").alias("b")).dropna().distinct())
+    side = max(1, math.ceil(math.sqrt(distinct.count() / small)))
+    shares = [k / side for k in range(1, side)]
+    bounds = [sorted({int(x) for x in q}) for q in distinct.approxQuantile(["a", "b"], shares, 0.1 / side)] if shares else [[], []]  # as many as the square has ranges
+    place = lambda c, at: F.size(F.filter(F.array(*map(F.lit, at)), lambda x: x > F.col(c))) if at else F.lit(0)
+    spark, path = df.sparkSession, _path(df)
+    blocks = distinct.withColumns({"i": place("a", bounds[0]), "j": place("b", bounds[1])}).withColumn("d", F.col("i") + F.col("j"))
+    blocks.write.partitionBy("d").parquet(path)
+    blocks = spark.read.schema("a long, level long, b long, i int, j int, d int").parquet(path)
+    known, paths = spark.createDataFrame([], HANDED), []
+    for d in range(len(bounds[0]) + len(bounds[1]) + 1):
+        out = blocks.filter(F.col("d") == d).groupBy("i", "j").cogroup(known.groupBy("i", "j")).applyInPandas(_block(levels), HANDED)
+        paths.append(_path(df))
+        out.write.parquet(paths[-1])
+        known = spark.read.schema(HANDED).parquet(paths[-1]).filter((F.col("kind") != VECTOR) & (F.col("i") <= len(bounds[0])) & (F.col("j") <= len(bounds[1])))
+    found = spark.read.schema(HANDED).parquet(*paths).filter(F.col("kind") == VECTOR)
+    return found.select(F.col("a").alias(a), F.col("level").alias(level), F.col("b").alias(b), "front")
 
 
 def rank_board(df: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, vector: tuple[str, str, str], weights: dict[str, float], levels: int = 3) -> DataFrame:
@@ -213,7 +242,19 @@ def pick_examples(df: DataFrame, key: str, n: str) -> DataFrame:
     )
 
 
-def top_lists(df: DataFrame, key: str, kind: str, order: list[Column], value: str, quotas: dict[str, int]) -> DataFrame:
-    """(key, kind, items): the first values of each kind for each key."""
-    kept = df.withColumn("_nth", F.row_number().over(Window.partitionBy(key, kind).orderBy(*order))).filter(F.col("_nth") <= F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col(kind)))
-    return kept.groupBy(key, kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", value))), lambda x: x[value]).alias("items"))
+def missing_by_rate(held: DataFrame, key: str, value: str, expected: float, quotas: dict[str, int]) -> DataFrame:
+    """(key, kind, items): for everyone in held (key, value, distinct) the values that most others have and they lack, commonest first: `expected` ones at that share or more, `priced` ones below.
+
+    Values in the order of their shares are one row of two arrays, each as long as the largest set held and the quota, which is all that
+    anybody can need; each key takes from them what its own set lacks. No key meets every value.
+    """
+    sets = held.groupBy(key).agg(F.collect_set(value).alias("_held"))
+    sizes = sets.agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.max(F.size("_held")), F.lit(0)).alias("_most"))
+    rates = held.groupBy(value).agg(F.count(F.lit(1)).alias("_k")).crossJoin(F.broadcast(sizes)).withColumn("_rate", F.col("_k") / F.col("_n"))
+    rates = rates.withColumn("_kind", F.when(F.col("_rate") >= expected, "expected").otherwise("priced"))
+    nth = F.row_number().over(Window.partitionBy("_kind").orderBy(F.desc("_rate"), F.asc(value)))
+    listed = rates.withColumn("_nth", nth).filter(F.col("_nth") <= F.col("_most") + max(quotas.values()))
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("_kind") == kind, F.struct("_nth", value)))), lambda x: x[value])
+    lists = listed.agg(*[of(kind).alias(f"_{kind}") for kind in quotas])  # one row
+    lacking = F.array(*[F.struct(F.lit(kind).alias("kind"), F.slice(F.array_except(f"_{kind}", "_held"), 1, most).alias("items")) for kind, most in quotas.items()])
+    return sets.crossJoin(F.broadcast(lists)).select(key, F.explode(lacking).alias("_l")).select(key, "_l.*").filter(F.size("items") > 0)

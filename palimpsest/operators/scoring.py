@@ -209,15 +209,6 @@ def p_present(prior: Column, rate: Column, m: Column, hits: Column) -> Column:
     return F.when(hits > 0, 1 - F.pow(F.lit(0.5), hits)).otherwise(unseen / (unseen + (1 - prior)))
 
 
-def compound_resolve(df: DataFrame, hard: dict[str, Column], soft: dict[str, Column], order: list[Column], top: int | None = None) -> DataFrame:
-    """Rows that no hard constraint rules out, with the probability of each soft one (4 decimals) and p_all, their product; ranked by it, then `order`; the first `top`."""
-    from palimpsest.operators.predicates import apply_constraints
-
-    kept = apply_constraints(df, hard).filter("passes").withColumns({k: F.round(c, 4) for k, c in soft.items()})
-    out = kept.withColumn("p_all", reduce(lambda a, b: a * b, [F.col(k) for k in soft], F.lit(1.0))).orderBy(F.desc("p_all"), *order)
-    return out if top is None else out.limit(top)
-
-
 def idea_fit(in_sector: Column, words: Column, outside: Column, has_text: Column) -> Column:
     return F.when(has_text, F.when(in_sector, 70.0).otherwise(40.0) + F.least(F.lit(15.0), 3.0 * words) + F.least(F.lit(10.0), 2.0 * outside))
 

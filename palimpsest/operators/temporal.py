@@ -62,23 +62,32 @@ def opportunity_timing(stages: DataFrame, opps: DataFrame, obs: DataFrame, at: s
     state = F.when(F.col("first_stage_at").isNull(), "not_entered").when(F.col("decided_at").isNotNull(), "decided").when(F.col("_last.exited_reason") == "screened_out", "closed").otherwise("stalled")
     until = F.coalesce("decided_at", F.lit(at).cast("timestamp_ntz"))
     return out.select(
-        "opportunity_id", signal.alias("first_signal_at"), "decided_at", state.alias("state"), F.when(state == "stalled", F.col("_last.stage")).alias("stalled_in"),
+        "opportunity_id", signal.alias("first_signal_at"), "decided_at", state.alias("state"), F.when(state.isin("stalled", "closed"), F.col("_last.stage")).alias("stalled_in"),
         F.round(minutes_between(until, F.col("first_stage_at")), 1).alias("elapsed_minutes"), F.round(F.coalesce("human_minutes", F.lit(0.0)), 1).alias("human_minutes"), F.round(days_between(F.col("opened_at"), signal), 1).alias("discovery_lag_days"),
     )
 
 
 def cohort_timing(timing: DataFrame) -> DataFrame:
-    """One row: counts by state, share decided, medians of elapsed time with and without human wait, median discovery lag."""
-    state = lambda s: F.count_if(F.col("state") == s)
-    done = F.when(F.col("state") == "decided", F.col("elapsed_minutes"))
-    middle = medians(timing.withColumn("_all", F.lit(0)), ["_all"], {"median_minutes": done, "median_machine_minutes": done - F.when(F.col("state") == "decided", F.col("human_minutes")), "median_lag_days": F.col("discovery_lag_days")})
-    counts = timing.agg(
+    """One row over the opportunities that entered a stage: counts by state, shares in per cent, medians of the decided ones' elapsed time with and without human wait and of that wait, median discovery lag of all."""
+    entered = timing.filter("state <> 'not_entered'")
+    state = lambda *s: F.count_if(F.col("state").isin(*s))
+    decided = lambda c: F.when(F.col("state") == "decided", c)
+    elapsed, human = F.col("elapsed_minutes"), F.col("human_minutes")
+    middle = medians(entered.withColumn("_all", F.lit(0)), ["_all"], {"median_minutes": decided(elapsed), "median_machine_minutes": decided(elapsed - human), "median_human_minutes": decided(human), "median_lag_days": F.col("discovery_lag_days")})
+    share = lambda n: F.round(100 * n / F.nullif(F.count(F.lit(1)), F.lit(0)), 1)
+    counts = entered.agg(
         F.lit(0).alias("_all"),
-        F.count(F.lit(1)).alias("n"), state("decided").alias("n_decided"), state("stalled").alias("n_stalled"), state("closed").alias("n_closed"), F.round(state("decided") / F.count(F.lit(1)), 6).alias("share_decided"),
+        F.count(F.lit(1)).alias("n"), state("decided").alias("n_decided"), state("stalled").alias("n_stalled"), state("closed").alias("n_closed"), share(state("decided")).alias("decided_pct"), share(state("stalled", "closed")).alias("stalled_pct"),
     )
     return counts.join(middle, "_all", "left").drop("_all")
 
 
+def stall_breakdown(timing: DataFrame) -> DataFrame:
+    """(stage, n_stalled, n_closed, n): where opportunities without a decision stand, or stood when they were closed."""
+    count = lambda s: F.count_if(F.col("state") == s).alias(f"n_{s}")
+    return timing.filter("state IN ('stalled', 'closed')").groupBy(F.coalesce("stalled_in", F.lit("unknown")).alias("stage")).agg(count("stalled"), count("closed"), F.count(F.lit(1)).alias("n"))
+
+
 #: 97.5 % points of Student's t by degrees of freedom, from 1.
 T_POINTS = [12.706, 4.303, 3.182, 2.776, 2.571, 2.447]
 

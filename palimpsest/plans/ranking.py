@@ -64,9 +64,5 @@ def examples(v):
     {"rates": "SELECT artifact_type, count(DISTINCT person_id) / (SELECT count(DISTINCT person_id) FROM observation) AS rate FROM observation WHERE person_id IS NOT NULL GROUP BY 1"})
 def bench(v):
     held = v.observation().filter("person_id IS NOT NULL").select("person_id", "artifact_type").distinct()
-    people = held.select("person_id").distinct()
-    rates = held.groupBy("artifact_type").agg(F.count(F.lit(1)).alias("k")).crossJoin(F.broadcast(people.agg(F.count(F.lit(1)).alias("n")))).select("artifact_type", (F.col("k") / F.col("n")).alias("rate"))
-    # artifact types are a small fixed set: each person meets each of them
-    missing = people.crossJoin(F.broadcast(rates)).join(held, ["person_id", "artifact_type"], "left_anti").withColumn("kind", F.when(F.col("rate") >= 0.9, "expected").otherwise("priced"))
-    out = R.top_lists(missing, "person_id", "kind", [F.desc("rate"), F.asc("artifact_type")], "artifact_type", {"expected": 4, "priced": 2})
+    out = R.missing_by_rate(held, "person_id", "artifact_type", 0.9, {"expected": 4, "priced": 2})
     return out.select("person_id", "kind", F.array_join("items", ",").alias("items"))

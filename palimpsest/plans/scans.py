@@ -80,7 +80,7 @@ def feed(v):
     return L.feed_rows(entries.withColumn("authors", F.transform("authors", lambda a: F.struct(a["name"].alias("name"), a["affiliation"].alias("affiliation")))), "conv_id", "authors", "abstract")
 
 
-@query("a8_json_export", "SELECT person_id, CASE WHEN person_id IS NULL THEN '{' ELSE '{\"person_id\":' || person_id || ',' END || '\"items\":[' || string_agg(CAST(to_json({'observation_id': observation_id, 'claim_type': claim_type, 'value': value}) AS VARCHAR), ',' ORDER BY observation_id) || ']}' AS document FROM observation GROUP BY person_id")
+@query("a8_json_export", "SELECT person_id, CASE WHEN person_id IS NULL THEN '{' ELSE '{\"person_id\":' || person_id || ',' END || '\"items\":[' || string_agg(CAST(to_json({'observation_id': observation_id, 'claim_type': claim_type, 'value': value}) AS VARCHAR), ',' ORDER BY observation_id) || ']}' AS document FROM observation GROUP BY person_id, CASE WHEN person_id IS NULL THEN observation_id END")
 def json_export(v):
     """Rows of the nested documents, as the sink writes them."""
     return L.nested_documents(v.observation(), "person_id", ["observation_id", "claim_type", "value"], "observation_id").select("person_id", F.to_json(F.struct("person_id", "items")).alias("document"))

@@ -282,13 +282,56 @@ def absent_present(v):
     return presence(v).select("person_id", F.round("p_absent", 9).alias("p_absent"), F.round("p_present", 9).alias("p_present"))
 
 
-@query("f18_compound_resolve", "SELECT person_id, round(p_present, 4) AS s_repo, round(1 - pow(0.9, n % 9), 4) AS s_other, round(round(p_present, 4) * round(1 - pow(0.9, n % 9), 4), 9) AS p_all FROM probs WHERE coalesce(sector, 'BUILDING') IN ('BUILDING', 'MACHINERY') AND coalesce(region, 'x') <> 'ASIA'", PRESENCE)
+CONSTRAINTS = [
+    (1, "sector", "in", ["BUILDING", "MACHINERY"], None, None, None, True, False), (2, "region", "in", ["ASIA"], None, None, None, True, True), (3, "balance", "at_least", None, 0.0, None, None, True, False), (4, "name", "contains", ["13", "#X"], None, None, None, True, True),
+    (5, "funding", "evidence", None, None, 0.18, 0.1, False, True), (6, "traction", "evidence", None, None, 0.3, 0.05, False, False), (7, "founder_type", "in", ["technical"], None, None, None, False, False), (8, "nothing_known", "in", ["x"], None, None, None, False, False),
+]
+THREE = "CASE WHEN ({0}) IS NULL THEN 'unresolved' WHEN {0} THEN '{1}' ELSE '{2}' END"
+COMPOUND = {
+    "asked": "SELECT p.person_id, sector, region, balance, display_name AS name, coalesce(n, 0) AS n, coalesce(funding, 0) AS funding, coalesce(traction, 0) AS traction, CASE WHEN funding > 2 THEN 'technical' WHEN p.person_id % 3 = 0 THEN 'operator' END AS founder_type, (p.person_id * 7 % 100) / 1.0 AS point FROM person p LEFT JOIN (SELECT person_id, count(*) AS n, count(*) FILTER (artifact_type = 'click_0') AS funding, count(*) FILTER (artifact_type = 'purchase_1') AS traction FROM observation GROUP BY 1) USING (person_id)",
+    "states": f"""SELECT *, {THREE.format("sector IN ('BUILDING', 'MACHINERY')", "match", "mismatch")} AS s1, {THREE.format("region = 'ASIA'", "mismatch", "match")} AS s2, {THREE.format("balance >= 0", "match", "mismatch")} AS s3, {THREE.format("contains(lower(name), '13') OR contains(lower(name), '#x')", "mismatch", "match")} AS s4,
+        round(CASE WHEN funding > 0 THEN 0.0 ELSE (1 - 0.18) / ((1 - 0.18) + 0.18 * pow(1 - 0.1, n)) END, 4) AS p5, round(CASE WHEN traction > 0 THEN 1 - pow(0.5, traction) ELSE 0.3 * pow(1 - 0.05, n) / (0.3 * pow(1 - 0.05, n) + (1 - 0.3)) END, 4) AS p6, CASE WHEN founder_type IS NULL THEN 0.5 WHEN founder_type = 'technical' THEN 0.95 ELSE 0.05 END::DOUBLE AS p7, 0.5::DOUBLE AS p8 FROM asked""",
+    "judged": "SELECT *, 'mismatch' NOT IN (s1, s2, s3, s4) AS kept, (s1 = 'unresolved')::INT + (s2 = 'unresolved')::INT + (s3 = 'unresolved')::INT + (s4 = 'unresolved')::INT AS n_unresolved, p5 * p6 * p7 * p8 AS p_all FROM states",
+}
+
+
+def judged(v):
+    from palimpsest.operators import compound as C
+
+    g = v.observation().groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("artifact_type") == "click_0").alias("funding"), F.count_if(F.col("artifact_type") == "purchase_1").alias("traction"))
+    people = v.person().select("person_id", "sector", "region", "balance", F.col("display_name").alias("name")).join(g, "person_id", "left").fillna(0, ["n", "funding", "traction"])
+    people = people.withColumn("founder_type", F.when(F.col("funding") > 2, "technical").when(F.col("person_id") % 3 == 0, "operator")).withColumn("point", (F.col("person_id") * 7 % 100) / 1.0)
+    known = C.attributes(["sector", "region", "name", "founder_type"], ["balance"], ["funding", "traction"])
+    return C.evaluate(people, v.spark.createDataFrame(CONSTRAINTS, C.CONSTRAINT), known, "n")
+
+
+@query("f18_compound_resolve", "SELECT person_id, point, n, concat_ws(',', s1, s2, s3, s4) AS states, concat_ws(',', p5, p6, p7, p8) AS chances, round(p_all, 9) AS p_all FROM judged WHERE kept", COMPOUND)
 def compound(v):
-    from palimpsest.operators.predicates import three_valued
+    from palimpsest.operators import compound as C
+
+    joined = lambda c, f: F.array_join(F.transform(c, lambda s: s[f].cast("string")), ",")
+    return C.ranked(judged(v), "point", "n", "person_id").select("person_id", "point", "n", joined("hard", "state").alias("states"), joined("soft", "p").alias("chances"), F.round("p_all", 9).alias("p_all"))
+
+
+@query("f18_top", "SELECT person_id, round(p_all, 9) AS p_all FROM judged WHERE kept ORDER BY judged.p_all DESC, point DESC, n DESC, person_id LIMIT 10", COMPOUND)
+def compound_top(v):
+    from palimpsest.operators import compound as C
+
+    return C.ranked(judged(v), "point", "n", "person_id", 10).select("person_id", F.round("p_all", 9).alias("p_all"))
+
+
+@query("f18_constraint_chips", " UNION ALL ".join([f"SELECT {i}::INT AS constraint_id, count(*) FILTER (s{i} = 'match') AS n_match, count(*) FILTER (s{i} = 'mismatch') AS n_mismatch, count(*) FILTER (s{i} = 'unresolved') AS n_unresolved, 0 AS n_scored, NULL::DOUBLE AS mean_p FROM judged" for i in range(1, 5)] + [f"SELECT {i}, 0, 0, 0, count(*), round(avg(p{i}), 6) FROM judged WHERE kept" for i in range(5, 9)]), COMPOUND)
+def chips(v):
+    from palimpsest.operators import compound as C
+
+    return C.constraint_chips(judged(v)).withColumn("mean_p", F.round("mean_p", 6))
+
+
+@query("f18_cold_start_survival", "SELECT count(*) AS n_total, count(*) FILTER (kept) AS n_kept, count(*) FILTER (kept AND funding = 0) AS n_without_evidence, count(*) FILTER (kept AND n <= 2) AS n_thin, sum(n_unresolved) AS kept_unresolved, TRUE AS applies FROM judged", COMPOUND)
+def survival(v):
+    from palimpsest.operators import compound as C
 
-    hard = {"c_sector": three_valued("sector", F.col("sector").isin("BUILDING", "MACHINERY")), "c_region": three_valued("region", F.col("region") == "ASIA", negated=True)}
-    out = S.compound_resolve(presence(v), hard, {"s_repo": F.col("p_present"), "s_other": 1 - F.pow(F.lit(0.9), F.col("n") % 9)}, [F.desc("n"), F.asc("person_id")])
-    return out.select("person_id", "s_repo", "s_other", F.round("p_all", 9).alias("p_all"))
+    return C.cold_start_survival(judged(v), "n", "funding")
 
 
 @query("f19_idea_fit", "SELECT doc_id, CASE WHEN n_chars > 300 THEN CASE WHEN source IN ('src1', 'src2') THEN 70.0 ELSE 40.0 END + least(15, 3 * w) + least(10, 2 * (doc_id % 7)) END::DOUBLE AS fit FROM (SELECT *, contains(lower(text), 'license')::INT + contains(lower(text), 'token')::INT + contains(lower(text), 'the')::INT AS w FROM documents)")

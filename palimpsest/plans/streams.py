@@ -1,4 +1,4 @@
-"""K: the streaming jobs run over a file stream of events and read back as tables; K3's oracle is its batch twin."""
+"""K: the streaming jobs run over a file stream of events and read back as tables; K3's SQL knows the watermark."""
 
 from pyspark.sql import functions as F
 
@@ -68,10 +68,14 @@ def trigger(v):
     return jobs.crossings(rows, "person_id", "weight", 12.0, "observed_at", "observation_id").select("person_id", F.unix_micros(F.col("triggered_at").cast("timestamp")).alias("triggered_us"), "total")
 
 
-@query("k3_stream_trigger_state")
+#: What the stream can tell: crossings that the watermark, a day before the latest row in whole milliseconds, has passed.
+PASSED = "epoch_us(observed_at) <= 1000 * (SELECT epoch_us(max(observed_at)) // 1000 - 86400000 FROM observation WHERE person_id IS NOT NULL)"
+
+
+@query("k3_stream_trigger_state", CROSS.replace("WHERE person_id IS NOT NULL)", f"WHERE person_id IS NOT NULL AND {PASSED})"))
 def trigger_state(v):
-    """The stateful stream; its rows are those of the batch twin for keys that the watermark has passed."""
+    """The stateful stream over the events file."""
     rows = StreamViews(v).observation().join(F.broadcast(reliability(v.spark)), "source_class").select("person_id", F.col("observed_at").cast("timestamp").alias("observed_at"), "observation_id", "weight")
     path = _path(v.table("region"))
     jobs.stream_trigger(rows, path, f"{path}-state", 12.0).awaitTermination()
-    return v.spark.read.schema(jobs.TRIGGERS).parquet(path)
+    return v.spark.read.schema(jobs.TRIGGERS).parquet(path).select("person_id", F.unix_micros("triggered_at").alias("triggered_us"), "total")

@@ -42,7 +42,7 @@ TIMING = {
     "d": DURATIONS,
     "dm": f"SELECT *, {MINUTES.format('ended_at', 'entered_at')} AS minutes FROM d",
     "own": "SELECT opportunity_id, min(entered_at) AS first_stage_at, min(entered_at) FILTER (stage = 'decision') AS decided_at, arg_max(stage, (entered_at, stage)) AS last_stage, arg_max(exited_reason, (entered_at, stage)) AS last_reason, sum(minutes) FILTER (wait_is_human) AS human FROM dm GROUP BY 1",
-    "timing": f"""SELECT opportunity_id, signal AS first_signal_at, decided_at, state, CASE WHEN state = 'stalled' THEN last_stage END AS stalled_in, {MINUTES.format("coalesce(decided_at, TIMESTAMP '2003-01-01')", 'first_stage_at')} AS elapsed_minutes, round(coalesce(human, 0.0), 1) AS human_minutes, round(date_diff('microsecond', signal, opened_at) / 86400000000.0, 1) AS discovery_lag_days
+    "timing": f"""SELECT opportunity_id, signal AS first_signal_at, decided_at, state, CASE WHEN state IN ('stalled', 'closed') THEN last_stage END AS stalled_in, {MINUTES.format("coalesce(decided_at, TIMESTAMP '2003-01-01')", 'first_stage_at')} AS elapsed_minutes, round(coalesce(human, 0.0), 1) AS human_minutes, round(date_diff('microsecond', signal, opened_at) / 86400000000.0, 1) AS discovery_lag_days
         FROM (SELECT *, coalesce(first_signal_at, seen, first_stage_at) AS signal, CASE WHEN first_stage_at IS NULL THEN 'not_entered' WHEN decided_at IS NOT NULL THEN 'decided' WHEN last_reason = 'screened_out' THEN 'closed' ELSE 'stalled' END AS state
         FROM opportunity LEFT JOIN own USING (opportunity_id) LEFT JOIN (SELECT person_id, min(observed_at) AS seen FROM observation WHERE person_id IS NOT NULL GROUP BY 1) USING (person_id))""",
 }
@@ -57,12 +57,17 @@ def opportunity_timing(v):
     return timing(v)
 
 
-@query("e9_cohort_timing", """SELECT count(*) AS n, count(*) FILTER (state = 'decided') AS n_decided, count(*) FILTER (state = 'stalled') AS n_stalled, count(*) FILTER (state = 'closed') AS n_closed, round(count(*) FILTER (state = 'decided') / count(*), 6) AS share_decided,
-    median(elapsed_minutes) FILTER (state = 'decided') AS median_minutes, median(elapsed_minutes - human_minutes) FILTER (state = 'decided') AS median_machine_minutes, median(discovery_lag_days) AS median_lag_days FROM timing""", TIMING)
+@query("e9_cohort_timing", """SELECT count(*) AS n, count(*) FILTER (state = 'decided') AS n_decided, count(*) FILTER (state = 'stalled') AS n_stalled, count(*) FILTER (state = 'closed') AS n_closed, round(100 * count(*) FILTER (state = 'decided') / count(*), 1) AS decided_pct, round(100 * count(*) FILTER (state IN ('stalled', 'closed')) / count(*), 1) AS stalled_pct,
+    median(elapsed_minutes) FILTER (state = 'decided') AS median_minutes, median(elapsed_minutes - human_minutes) FILTER (state = 'decided') AS median_machine_minutes, median(human_minutes) FILTER (state = 'decided') AS median_human_minutes, median(discovery_lag_days) AS median_lag_days FROM timing WHERE state <> 'not_entered'""", TIMING)
 def cohort(v):
     return T.cohort_timing(timing(v))
 
 
+@query("e9_stall_breakdown", "SELECT coalesce(stalled_in, 'unknown') AS stage, count(*) FILTER (state = 'stalled') AS n_stalled, count(*) FILTER (state = 'closed') AS n_closed, count(*) AS n FROM timing WHERE state IN ('stalled', 'closed') GROUP BY 1", TIMING)
+def stalls(v):
+    return T.stall_breakdown(timing(v))
+
+
 @query("e9_stage_medians", "SELECT stage, count(minutes) AS n, median(minutes) AS median_minutes FROM dm GROUP BY stage", {k: TIMING[k] for k in ("d", "dm")})
 def stage_medians(v):
     from palimpsest.operators.ranking import medians

@@ -80,7 +80,39 @@ def literal(v):
     return T.passages_in_texts(v.table("benchmark"), v.table("documents"), "item_id", "text", "doc_id", "text")
 
 
-@query("j10_verify_excerpts")
+def _forms(raw: str) -> str:
+    """The spellings of a number as an SQL list."""
+    bare = rf"regexp_replace({raw}, '[^\d.,/]', '', 'g')"
+    digits = rf"regexp_replace({bare}, '\D', '', 'g')"
+    unzero = lambda x: f"CASE WHEN ltrim({x}, '0') = '' THEN '0' ELSE ltrim({x}, '0') END"
+    runs = rf"list_filter(regexp_split_to_array({bare}, '\D+'), lambda r: r <> '')"
+    scale = f"CASE lower(regexp_extract({raw}, '([KkMmBb])$', 1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 WHEN 'b' THEN 1000000000 END"
+    scaled = f"CAST(CAST(TRY_CAST(replace({bare}, ',', '') AS DOUBLE) * {scale} AS BIGINT) AS VARCHAR)"
+    return f"CASE WHEN {digits} = '' THEN CAST([] AS VARCHAR[]) ELSE list_filter(list_concat([{digits}, {unzero(digits)}, regexp_replace({bare}, '[,/]', '', 'g'), {scaled}], list_concat({runs}, list_transform({runs}, lambda u: {unzero('u')}))), lambda f: f IS NOT NULL AND f <> '') END"
+
+
+def _flat(c: str) -> str:
+    for a, b in zip("’‘“”—–−\u00a0", ("''", "''", '"', '"', "-", "-", "-", " ")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return rf"trim(regexp_replace({c}, '\s+', ' ', 'g'))"
+
+
+def _all(c: str, pattern: str) -> str:
+    return f"regexp_extract_all({c}, '{pattern}')"
+
+
+_REST = "e"
+for _, _pattern in T.ATOMS:
+    _REST = f"regexp_replace({_REST}, '{_pattern}', ' ', 'g')"
+_WORDS = f"list_distinct(list_filter({{0}}, lambda w: NOT list_contains({T.STOP_WORDS}, w)))"
+EXCERPTS = {
+    "checks": "SELECT conv_id || '-' || turn AS check_id, coalesce(CASE WHEN turn % 3 = 0 THEN substr(coalesce(page_text, text), 5) ELSE text || ' v1.' || (conv_id % 3) END, '') AS e, coalesce(page_text, '') AS page, CASE conv_id % 7 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END AS status, conv_id % 14 = 0 AS absent, conv_id % 11 = 0 AS reserved FROM (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS page_text FROM conversations)",
+    "facts": f"SELECT *, list_concat(list_transform({_all('e', T.ATOMS[0][1])}, lambda a: [a]), list_concat(list_transform({_all('e', T.ATOMS[3][1])}, lambda a: [ltrim(a, 'v')]), list_transform(list_concat({_all('e', T.ATOMS[1][1])}, list_concat({_all('e', T.ATOMS[2][1])}, list_filter({_all(_REST, T.NUMBER)}, lambda a: length(regexp_replace(a, '\\D', '', 'g')) >= 4))), lambda a: {_forms('a')}))) AS hard, list_concat({_all('page', T.ATOMS[0][1])}, flatten(list_transform({_all('page', T.NUMBER)}, lambda a: {_forms('a')}))) AS there, {_WORDS.format(_all('lower(e)', '[a-z]{4,}'))} AS we, {_WORDS.format(_all('lower(page)', '[a-z]{4,}'))} AS wp FROM checks",
+    "missed": "SELECT *, len(list_filter(hard, lambda f: NOT list_has_any(f, there))) AS n_missing FROM facts",
+}
+
+
+@query("j10_verify_excerpts", f"SELECT check_id, CASE WHEN reserved THEN 'SKIPPED' WHEN status = 404 THEN CASE WHEN absent THEN 'ABSENT-OK' ELSE 'ABSENT-BAD' END WHEN status >= 400 THEN 'ERROR' WHEN trim(e) = '' OR contains({_flat('lower(page)')}, {_flat('lower(e)')}) THEN 'PASS' WHEN len(hard) = 0 THEN 'SOFT-OK' WHEN n_missing = 0 THEN 'PASS' ELSE 'MISMATCH' END AS verdict, n_missing, CASE WHEN len(we) = 0 THEN 0.0 ELSE len(list_intersect(we, wp)) / len(we) END AS overlap FROM missed", EXCERPTS)
 def verify(v):
     """Conversation turns as excerpts, each against the turn before it as its page."""
     from pyspark.sql import Window

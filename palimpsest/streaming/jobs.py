@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from palimpsest.operators.ledger import append_ledger
 
@@ -55,34 +55,76 @@ def crossings(rows: DataFrame, entity: str, weight: str, threshold: float, clock
     return summed.groupBy(entity).agg(F.min_by(F.struct(clock, "_s"), F.struct(clock, tie)).alias("_f")).select(F.col(entity).cast("long").alias("person_id"), F.col(f"_f.{clock}").alias("triggered_at"), F.round("_f._s", 6).alias("total"))
 
 
-def stream_trigger(rows: DataFrame, path: str, checkpoint: str, threshold: float, delay: str = "1 day") -> StreamingQuery:
-    """The crossings of a stream (person_id, observed_at, observation_id, weight), once each, as Parquet.
+class Crossing(StatefulProcessor):
+    """Adds a key's rows in event-time order, as the watermark passes them, until their sum reaches the threshold; then tells it once.
 
-    A key's rows wait in state until the watermark has passed them, and are then added in event-time order; the state holds the sum,
-    the rows still waiting, and nothing more once the key has fired. Rows later than the watermark are dropped by it.
+    State: the sum so far and whether it was told (a value), and the rows that still wait (a list, empty once it was told). A timer stands at the
+    earliest of these. With `remember` a key that fired is forgotten so many days later, and could then fire anew; else it is kept for good.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        total, fired, waiting = state.get if state.exists else (0.0, False, [])
-        if fired:
+    def __init__(self, threshold: float, remember_days: int | None = None):
+        self.threshold, self.remember_ms = threshold, None if remember_days is None else remember_days * 86_400_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.so_far = handle.getValueState("so_far", "total double, fired boolean")
+        self.waiting = handle.getListState("waiting", "at long, id long, weight double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fired, earliest = self.so_far.exists() and self.so_far.get()[1], None
+        for pdf in rows:
+            if not fired and len(pdf):
+                at = pdf["observed_at"].astype("datetime64[us]").astype("int64")
+                self.waiting.appendList(list(zip(at.tolist(), pdf["observation_id"].tolist(), pdf["weight"].astype(float).tolist())))
+                earliest = min(x for x in (earliest, int(at.min())) if x is not None)
+        if earliest is not None:
+            self.handle.registerTimer(earliest // 1000)
+        yield pd.DataFrame(columns=["person_id", "triggered_at", "total"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        total, fired = self.so_far.get() if self.so_far.exists() else (0.0, False)
+        if fired:  # only the timer that forgets it is left
+            self.so_far.clear()
             return
-        found = [tuple(r) for r in waiting]
-        for pdf in batches:
-            found += list(zip(pdf["observed_at"].astype("datetime64[us]").astype("int64").tolist(), pdf["observation_id"].tolist(), pdf["weight"].tolist()))
-        found.sort()
-        limit = 1000 * state.getCurrentWatermarkMs()
-        ready = [r for r in found if r[0] <= limit]
-        later = [list(r) for r in found[len(ready) :]]
+        limit = 1000 * timerValues.getCurrentWatermarkInMs()
+        rows = sorted(tuple(r) for r in self.waiting.get())
+        ready = [r for r in rows if r[0] <= limit]
         for at, _, w in ready:
             total = round(total + w, 6)
-            if total >= threshold:
+            if total >= self.threshold:
+                self.waiting.clear()
+                self.so_far.update((total, True))
+                if self.remember_ms is not None:
+                    self.handle.registerTimer(at // 1000 + self.remember_ms)
                 yield pd.DataFrame({"person_id": [key[0]], "triggered_at": [pd.Timestamp(at, unit="us")], "total": [total]})
-                fired, later = True, []
-                break
-        state.update((total, fired, later))
+                return
+        self.so_far.update((total, False))
+        later = rows[len(ready) :]
         if later:
-            state.setTimeoutTimestamp(later[0][0] // 1000 + 1)
+            self.waiting.put(later)
+            self.handle.registerTimer(later[0][0] // 1000)
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    keyed = rows.filter("person_id IS NOT NULL").withWatermark("observed_at", delay).groupBy("person_id")
-    out = keyed.applyInPandasWithState(step, TRIGGERS, "total double, fired boolean, waiting array<struct<at:long,id:long,weight:double>>", "append", "EventTimeTimeout")
-    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def stream_trigger(rows: DataFrame, path: str, checkpoint: str, threshold: float, delay: str = "1 day", remember_days: int | None = None) -> StreamingQuery:
+    """The crossings of a stream (person_id, observed_at, observation_id, weight), once each, as Parquet.
+
+    A key's rows wait in state until the watermark has passed them, and are then added in event-time order (see Crossing). Rows later than
+    the watermark are dropped by it, and rows it hasn't passed when the input ends stay in the checkpoint. A restart goes on from there and tells nothing twice.
+    """
+    spark = rows.sparkSession
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)  # state variables live in this store alone; a query keeps the one it began with
+    try:
+        keyed = rows.filter("person_id IS NOT NULL").withWatermark("observed_at", delay).groupBy("person_id")
+        out = keyed.transformWithStateInPandas(Crossing(threshold, remember_days), TRIGGERS, "Append", "EventTime")
+        return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)

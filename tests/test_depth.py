@@ -143,3 +143,114 @@ def test_gates_lose_no_pattern(spark):
     assert not any(v for k, v in wrong.items() if k[0] == "w") and all(v for k, v in wrong.items() if k[0] == "m")
     scored = T.with_signal_score(df, "t", ["ran"], ["stack"]).collect()
     assert len(scored) == len(texts) and [r.score for r in scored if r.t is None] == [None] and all(0 <= r.score <= 1 for r in scored if r.t is not None)
+
+
+def ledger_of(spark, path):
+    from palimpsest.operators.keyed import KeyedLedger
+
+    return KeyedLedger(spark, path, ["url", "kind"], ["id"], "at", buckets=8)
+
+
+def ledger_rows(spark, ids, kind="a"):
+    return spark.createDataFrame([(i, None if i % 10 == 9 else f"u{i % 50}", kind, datetime(2024, 1 + i % 3, 1)) for i in ids], "id long, url string, kind string, at timestamp_ntz")
+
+
+def told(ledger):
+    return sorted((r.id, r.url) for r in ledger.rows().collect())
+
+
+def test_keyed_ledger(spark, tmp_path):
+    """First rows of keys held nowhere come in; null keys always; joined key parts don't blur."""
+    ledger = ledger_of(spark, str(tmp_path / "ledger"))
+    ledger.append(ledger_rows(spark, range(60)))
+    assert told(ledger) == sorted((i, None if i % 10 == 9 else f"u{i}") for i in range(60) if i < 50 or i % 10 == 9)
+    before = told(ledger)
+    ledger.append(ledger_rows(spark, [i for i in range(60) if i % 10 != 9]))
+    assert told(ledger) == before
+    ledger.append(ledger_rows(spark, [1, 101], "b"))
+    assert told(ledger) == sorted([*before, (1, "u1")])
+    odd = spark.createDataFrame([(1, "x", "yz", datetime(2024, 1, 1)), (2, "xy", "z", datetime(2024, 1, 1))], "id long, url string, kind string, at timestamp_ntz")
+    other = ledger_of(spark, str(tmp_path / "other"))
+    other.append(odd)
+    assert len(told(other)) == 2
+
+
+def test_keyed_ledger_reads_its_buckets_alone(spark, tmp_path):
+    ledger = ledger_of(spark, str(tmp_path / "ledger"))
+    ledger.append(ledger_rows(spark, range(50)))
+    plan = ledger.new_rows(ledger_rows(spark, [3]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+@pytest.mark.parametrize("dies", ["before the folder is whole", "before the ledger", "within the ledger", "before the index", "before the folder goes"])
+def test_keyed_ledger_outlives_its_writer(spark, tmp_path, monkeypatch, dies):
+    from palimpsest.operators import keyed
+
+    path = str(tmp_path / "ledger")
+    ledger = ledger_of(spark, path)
+    ledger.append(ledger_rows(spark, range(20)))
+    batch = ledger_rows(spark, range(10, 45))
+    name = ledger._stage(batch)
+    if dies == "before the folder is whole":
+        keyed.Folder(spark, f"{path}-pending/{name}/_SUCCESS").delete()
+    if dies in ("before the index", "before the folder goes"):
+        ledger._to_ledger(spark.read.parquet(f"{path}-pending/{name}"), name, begun=False)
+    if dies == "within the ledger":
+        ledger._to_ledger(spark.read.parquet(f"{path}-pending/{name}").filter("id % 2 = 0"), name, begun=False)
+    if dies == "before the folder goes":
+        keys = spark.read.parquet(f"{path}-pending/{name}").filter("_digest IS NOT NULL").select("_digest", "_bucket")
+        keys.write.mode("append").partitionBy("_bucket").parquet(ledger.index)
+    again = ledger_of(spark, path)
+    again.append(ledger_rows(spark, [i for i in range(10, 45) if i % 10 != 9]))
+    bare = 1 if dies == "before the folder is whole" else 2  # rows of null keys come with the batch that brought them
+    want = [(i, None if i % 10 == 9 else f"u{i}") for i in range(45) if i % 10 != 9 or i < 20 or bare == 2]
+    want += [(19, None)] if bare == 2 else []
+    assert told(again) == sorted(want) and keyed.Folder(spark, again.pending).names() == []
+
+
+def test_constraints_are_rows(spark):
+    from palimpsest.operators import compound as C
+
+    people = spark.createDataFrame([(1, "law", 5.0, 0, 3, 50.0), (2, None, 1.0, 2, 9, 40.0), (3, "tax", None, 0, 0, 60.0), (4, "law", 9.0, 1, 2, 50.0), (5, "law", 9.0, 1, 2, 50.0)], "id long, sector string, size double, hits long, n long, point double")
+    known = C.attributes(["sector"], ["size"], ["hits"])
+
+    def run(*rows):
+        out = C.evaluate(people, spark.createDataFrame(list(rows), C.CONSTRAINT), known, "n")
+        return out, [r.id for r in C.ranked(out, "point", "n", "id").collect()]
+
+    hard = (1, "sector", "in", ["law"], None, None, None, True, False)
+    out, ids = run(hard)
+    assert ids == [1, 4, 5, 2], "an unresolved field stays; by point, then n, then id"
+    assert run((1, "sector", "in", ["law"], None, None, None, True, True))[1] == [3, 2]
+    assert run((1, "sector", "contains", ["AW", "q"], None, None, None, True, False))[1] == [1, 4, 5, 2]
+    assert run((1, "size", "at_least", None, 5.0, None, None, True, False), (2, "size", "at_most", None, 8.0, None, None, True, False))[1] == [3, 1]
+    out, ids = run(hard, (7, "hits", "evidence", None, None, 0.18, 0.1, False, True), (9, "elsewhere", "in", ["x"], None, None, None, False, False))
+    rows = {r.id: r for r in out.collect()}
+    p = round(0.82 / (0.82 + 0.18 * 0.9**3), 4)
+    assert rows[1].p_all == pytest.approx(p * 0.5) and rows[4].p_all == 0.0 and ids == [1, 2, 4, 5] or ids == [1, 4, 5, 2]
+    chips = {r.constraint_id: tuple(r)[1:] for r in C.constraint_chips(out).collect()}
+    assert chips[1] == (3, 1, 1, 0, None) and chips[9] == (0, 0, 0, 4, 0.5)
+    s = C.cold_start_survival(out, "n", "hits").first()
+    assert (s.n_total, s.n_kept, s.n_without_evidence, s.n_thin, s.kept_unresolved, s.applies) == (5, 4, 1, 2, 1, True)
+    none, ids = run()
+    assert len(ids) == 5 and {r.p_all for r in none.collect()} == {1.0} and not C.cold_start_survival(none, "n", "hits").first().applies
+
+
+def test_trigger_goes_on_from_its_checkpoint(spark, tmp_path):
+    """What waits at the end of one input fires after the next; nothing fires twice, rows in any order."""
+    from palimpsest.streaming import jobs
+
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    schema = "person_id long, observed_at timestamp, observation_id long, weight double"
+
+    def feed(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_trigger(spark.readStream.schema(schema).parquet(source), out, state, 3.0).awaitTermination()
+        return sorted((r.person_id, r.triggered_at, r.total) for r in spark.read.schema(jobs.TRIGGERS).parquet(out).collect())
+
+    first = feed([(1, day(3), 3, 2.0), (1, day(1), 1, 1.0), (1, day(2), 2, 1.0), (2, day(4), 4, 5.0), (None, day(1), 5, 9.0), (3, day(1), 6, 1.0), (4, day(5), 7, 0.1)])
+    assert first == [(1, day(3), 4.0), (2, day(4), 5.0)], "the watermark is a day before the latest row"
+    second = feed([(1, day(6), 8, 9.0), (3, day(6), 9, 2.0), (3, day(1), 10, 9.0), (4, day(20), 11, 0.1)])
+    assert second == [*first, (3, day(6), 3.0)], "a late row is dropped, a key fires once"
+    assert feed([(2, day(25), 12, 9.0), (4, day(28), 13, 9.0), (4, day(30), 14, 0.0)]) == [*second, (4, day(28), 9.2)]
