@@ -80,6 +80,35 @@ def feed(v):
     return L.feed_rows(entries.withColumn("authors", F.transform("authors", lambda a: F.struct(a["name"].alias("name"), a["affiliation"].alias("affiliation")))), "conv_id", "authors", "abstract")
 
 
+FEED = {
+    "told": r"""SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE WHEN turn % 5 <> 4 THEN 'author ' || (length(text) % 50) END AS name, CASE WHEN turn % 2 = 0 THEN role END AS affiliation, trim(regexp_replace(first_value(text) OVER (PARTITION BY conv_id ORDER BY turn), '\s+', ' ', 'g')) AS abstract FROM conversations WHERE conv_id % 13 <> 0""",
+    "who": "SELECT * EXCLUDE (turn), row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE WHEN count(*) OVER (PARTITION BY conv_id) > 1 THEN 'team' ELSE 'solo' END AS team FROM told WHERE name IS NOT NULL",
+}
+
+
+@query("a7_feed_xml", """SELECT CAST(conv_id AS VARCHAR) AS entry, 'authorship' AS claim_type, name AS author, name AS value, team FROM who WHERE turn < 4
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'affiliation', arg_min(name, turn), affiliation, any_value(team) FROM who WHERE turn < 4 AND affiliation IS NOT NULL GROUP BY conv_id, affiliation
+    UNION ALL SELECT CAST(conv_id AS VARCHAR), 'abstract', name, abstract, team FROM who WHERE turn = 0""", FEED)
+def feed_xml(v):
+    """The conversations written as XML feeds, some entries without a date and all of them again in a later file, and read back as nested entries."""
+    from palimpsest.operators.ranking import _path
+    from palimpsest.sources.feeds import first_entries, read_feed
+
+    c = v.table("conversations")
+    author = F.struct("turn", F.when(F.col("turn") % 5 != 4, F.concat(F.lit("author "), (F.length("text") % 50).cast("string"))).otherwise(F.lit("  ")).alias("name"), F.when(F.col("turn") % 2 == 0, F.col("role")).alias("affiliation"))
+    rows = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(author)).alias("a"), F.min_by("text", "turn").alias("summary"))
+    day = F.date_format(F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval((F.col("conv_id") % 400).cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    entries = rows.select(
+        F.concat(F.lit("http://x.example.org/abs/"), F.col("conv_id").cast("string")).alias("id"), F.lit("A  title").alias("title"), "summary", F.when(F.col("conv_id") % 13 != 0, day).otherwise("no date").alias("published"),
+        F.struct(F.lit("cs.LG").alias("_term")).alias("primary_category"), F.transform("a", lambda x: F.struct(x["name"].alias("name"), x["affiliation"].alias("affiliation"))).alias("author"),
+    )
+    place = _path(c)
+    again = entries.withColumn("summary", F.lit("later")).withColumn("published", F.lit("1999-01-01T00:00:00Z"))
+    for name, part in (("a", entries), ("b", again.filter(F.regexp_extract("id", "([0-9]+)$", 1).cast("long") % 13 != 0))):
+        part.write.format("xml").option("rootTag", "feed").option("rowTag", "entry").save(f"{place}/{name}")
+    return L.feed_rows(first_entries(read_feed(v.spark, f"{place}/a", f"{place}/b")), "entry", "authors", "abstract")
+
+
 @query("a8_json_export", "SELECT person_id, CASE WHEN person_id IS NULL THEN '{' ELSE '{\"person_id\":' || person_id || ',' END || '\"items\":[' || string_agg(CAST(to_json({'observation_id': observation_id, 'claim_type': claim_type, 'value': value}) AS VARCHAR), ',' ORDER BY observation_id) || ']}' AS document FROM observation GROUP BY person_id, CASE WHEN person_id IS NULL THEN observation_id END")
 def json_export(v):
     """Rows of the nested documents, as the sink writes them."""

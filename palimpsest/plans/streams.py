@@ -59,6 +59,18 @@ def sliding(v):
     return closed_volumes(v, "30 days", "1 day")
 
 
+@query("k2_late_rows", """SELECT count(*) AS seen, count(*) FILTER (observed_at >= TIMESTAMP '2024-01-15' AND date_trunc('day', observed_at) + INTERVAL 1 DAY <= top - INTERVAL 1 DAY) AS written, count(*) FILTER (observed_at >= TIMESTAMP '2024-01-15' AND date_trunc('day', observed_at) + INTERVAL 1 DAY > top - INTERVAL 1 DAY) AS waiting, count(*) FILTER (observed_at < TIMESTAMP '2024-01-15') AS late FROM observation, (SELECT max(observed_at) AS top FROM observation)""")
+def late(v):
+    """The observations in two runs of one stream, the later half first: the earlier half comes when the watermark has passed it."""
+    rows = v.observation().select("observation_id", "channel_id", F.col("observed_at").cast("timestamp").alias("at"))
+    path = _path(v.table("region"))
+    for early in (False, True):
+        rows.filter((F.col("at") < "2024-01-15") == early).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        with jobs.kept_progress(v.spark, f"{path}/progress"):
+            jobs.stream_volume(v.spark.readStream.schema(rows.schema).parquet(f"{path}/in"), f"{path}/out", f"{path}/state", "channel_id", "at", "1 day").awaitTermination()
+    return jobs.late_rows(v.spark, f"{path}/progress", f"{path}/out", f"{path}/state")
+
+
 CROSS = """SELECT person_id, epoch_us(arg_min(observed_at, (observed_at, observation_id))) AS triggered_us, round(arg_min(s, (observed_at, observation_id)), 6) AS total FROM (SELECT person_id, observed_at, observation_id, round(sum(weight) OVER (PARTITION BY person_id ORDER BY observed_at, observation_id ROWS UNBOUNDED PRECEDING), 6) AS s FROM observation JOIN reliability USING (source_class) WHERE person_id IS NOT NULL) WHERE s >= 12 GROUP BY 1"""
 
 

@@ -6,12 +6,14 @@ has a batch twin that gives the same table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 from palimpsest.operators.ledger import append_ledger
 
@@ -35,11 +37,58 @@ def volumes(rows: DataFrame, channel: str, clock: str, width: str, slide: str |
 
 
 def stream_volume(rows: DataFrame, path: str, checkpoint: str, channel: str, clock: str, width: str, slide: str | None = None, delay: str = "1 day") -> StreamingQuery:
-    """Windowed volumes as Parquet: a window is written once, when the watermark (the latest row less `delay`) has passed its end, and then leaves the state. Windows still open are not written; late rows are left out and told by late_groups."""
-    out = volumes(rows.withWatermark(clock, delay), channel, clock, width, slide)
+    """Windowed volumes as Parquet: a window is written once, when the watermark (the latest row less `delay`) has passed its end, and then leaves the state. Windows still open are not written; late rows are left out and told by late_rows."""
+    seen = rows.observe("seen", F.count(F.lit(1)).alias("n"))
+    out = volumes(seen.withWatermark(clock, delay), channel, clock, width, slide)
     return out.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class KeptProgress(StreamingQueryListener):
+    """Keeps what each batch of a query saw, a small file a batch below a folder of any file system: progress that a session holds goes with it, and after a hundred batches."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        seen = p.observedMetrics.get("seen")
+        line = json.dumps({"query_id": str(p.id), "batch": p.batchId, "input_rows": p.numInputRows, "seen": seen["n"] if seen else 0, "dropped_groups": sum(op.numRowsDroppedByWatermark for op in p.stateOperators)})
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{p.id}-{p.batchId:09d}.json")
+        out = place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+        out.write(bytearray(line.encode()))
+        out.close()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+@contextmanager
+def kept_progress(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Queries that run inside leave their batches' counts in the folder."""
+    listener = KeptProgress(spark, folder)
+    spark.streams.addListener(listener)
+    try:
+        yield
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(listener)
+
+
+def late_rows(spark: SparkSession, folder: str, path: str, checkpoint: str) -> DataFrame:
+    """One row (seen, written, waiting, late) of a stream of tumbling volumes: every row seen is in a window that was written, in one that waits in the state, or was late. A batch that was run again counts once."""
+    kept = spark.read.schema("query_id string, batch long, seen long").json(folder).groupBy("query_id", "batch").agg(F.max("seen").alias("seen")).agg(F.coalesce(F.sum("seen"), F.lit(0)).alias("seen"))
+    written = spark.read.schema("n long").parquet(path).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("written"))
+    state = spark.read.format("statestore").load(checkpoint)
+    waiting = state.agg(F.coalesce(F.sum(F.col("value")[state.schema["value"].dataType.names[-1]]), F.lit(0)).alias("waiting"))
+    return kept.crossJoin(written).crossJoin(waiting).withColumn("late", F.col("seen") - F.col("written") - F.col("waiting"))  # one row each
+
+
 def late_groups(run: StreamingQuery) -> int:
     """How much the watermark dropped in a run's recent batches: late rows, counted once for each channel and window that a task had put them into."""
     return sum(op["numRowsDroppedByWatermark"] for batch in run.recentProgress for op in batch["stateOperators"])

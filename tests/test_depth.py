@@ -254,3 +254,31 @@ def test_trigger_goes_on_from_its_checkpoint(spark, tmp_path):
     second = feed([(1, day(6), 8, 9.0), (3, day(6), 9, 2.0), (3, day(1), 10, 9.0), (4, day(20), 11, 0.1)])
     assert second == [*first, (3, day(6), 3.0)], "a late row is dropped, a key fires once"
     assert feed([(2, day(25), 12, 9.0), (4, day(28), 13, 9.0), (4, day(30), 14, 0.0)]) == [*second, (4, day(28), 9.2)]
+
+
+FEED = """<?xml version="1.0"?>
+<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://x.example.org/schemas"><title>all</title>
+<entry><id>http://x.example.org/abs/1.1</id><title>One
+  two</title><summary> An  abstract </summary><published>2024-01-02T03:04:05Z</published><author><name>Ann  B</name><arxiv:affiliation>Lab</arxiv:affiliation></author><author><name> </name></author><author><name>Bo</name></author><category term="cs.LG"/><category term=""/><category term="cs.AI"/><arxiv:primary_category term="cs.LG"/></entry>
+<entry><id>http://x.example.org/abs/2</id><title>No date</title><published>soon</published><author><name>Cy</name></author></entry>
+<entry><title>No id</title><published>2024-01-02T00:00:00Z</published><author><name>Cy</name></author></entry>
+<entry><id>3</id><published>2024-01-02T00:00:00Z</published></entry>
+<entry><id>4</id><published>2024-01-02T00:00:00Z</published><author><name>Di</name></author></entry>
+</feed>"""
+
+
+def test_nested_feed(spark, tmp_path):
+    from palimpsest.operators.ledger import feed_rows
+    from palimpsest.sources.feeds import first_entries, read_feed
+
+    for name, text in (("a", FEED), ("b", FEED.replace("Ann  B", "Other").replace("<id>4</id>", "<id>5</id>")), ("c", "<feed><entry><id>6</id><broken></entry></feed>")):
+        (tmp_path / f"{name}.xml").write_text(text)
+    feed = read_feed(spark, str(tmp_path))
+    got = {r.entry: r for r in first_entries(feed).collect()}
+    assert sorted(got) == ["1.1", "4", "5"]
+    one = got["1.1"]
+    assert (one.title, one.abstract, one.published, one.category, one.categories) == ("One two", "An abstract", datetime(2024, 1, 2, 3, 4, 5), "cs.LG", ["cs.LG", "cs.AI"])
+    assert [tuple(x) for x in one.authors] == [("Ann B", "Lab"), ("Bo", None)], "the first file wins"
+    rows = {tuple(r) for r in feed_rows(first_entries(feed), "entry", "authors", "abstract").filter("entry = '1.1'").collect()}
+    assert rows == {("1.1", "authorship", "Ann B", "Ann B", "team"), ("1.1", "authorship", "Bo", "Bo", "team"), ("1.1", "affiliation", "Ann B", "Lab", "team"), ("1.1", "abstract", "Ann B", "An abstract", "team")}
+    assert first_entries(read_feed(spark, str(tmp_path / "c.xml"))).collect() == []
