@@ -126,7 +126,7 @@ def days_of_edge(obs: DataFrame, consensus: Column, channels: DataFrame, at: str
     out = g.join(channels.select(channel, "kind", "native", "active", F.lit(True).alias("registered")), channel, "full_outer")
     counts = ["n_lags", "n_censored", "n_late", "volume", "n_rows", "n_unkeyed"]
     out = out.fillna(0, counts).fillna({"kind": "unregistered", "native": False, "active": True, "registered": False}).filter("registered OR n_lags + n_censored + volume > 0")
-    out = out.crossJoin(F.broadcast(g.agg(F.coalesce(F.sum("volume"), F.lit(0)).alias("volume_denominator"))))
+    out = out.withColumn("volume_denominator", F.sum("volume").over(Window.partitionBy(F.lit(0))))  # a row a channel
     built = F.col(channel).isin(by_construction)
     basis = F.when(F.col("kind") == "confirmation", "not_applicable").when(built, "by_construction").when(F.col("n_lags") > 0, "measured").when(F.col("n_censored") > 0, "fully_censored").otherwise("insufficient")
     edge = F.when(basis == "by_construction", 0.0).when(basis == "measured", F.col("_median"))
