@@ -24,6 +24,8 @@ from palimpsest.llm.common import batches_of, cut, documents, spread
 
 #: Tokens of a range (one task), and of a shard of the index (what a task holds at a time).
 RANGE, SHARD = 2_000_000, 400_000
+#: Ids whose terms are counted together.
+GROUP = 250_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -34,39 +36,66 @@ class Weights:
         self.df, self.mean, self.k1, self.b = df, max(mean, 1.0), k1, b
         self.idf = np.log(1 + (documents - df + 0.5) / (df + 0.5))
 
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct terms of a document and their weights."""
-        tf = np.bincount(ids, minlength=len(self.df))
-        terms = np.flatnonzero(tf > 0)
-        tf = tf[terms]
-        return terms, self.idf[terms] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * len(ids) / self.mean))
-
-    def leading(self, ids: np.ndarray, n: int) -> list[int]:
-        """The n terms of largest weight that another document has too (ties: the smaller id), -1 where there are fewer."""
-        terms, weight = self.of(ids)
-        shared = self.df[terms] > 1
-        terms, weight = terms[shared], weight[shared]
-        if len(terms) > n:
-            least = np.partition(weight, len(weight) - n)[len(weight) - n]
-            terms, weight = terms[weight >= least], weight[weight >= least]
-        best = terms[np.lexsort((terms, -weight))][:n].tolist()
-        return best + [-1] * (n - len(best))
+    def of(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of the distinct terms of docs, by document, then term."""
+        size = np.array([len(x) for x in docs], np.int64)
+        doc, term, tf = distinct_terms(docs, size, len(self.df))
+        return doc, term, self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size[doc] / self.mean))
+
+    def leading(self, docs: list[np.ndarray], n: int) -> np.ndarray:
+        """For each of docs the n terms of largest weight that another document has too (ties: the smaller id), -1 where there are fewer."""
+        doc, term, weight = self.of(docs)
+        shared = self.df[term] > 1
+        doc, term, weight = doc[shared], term[shared], weight[shared]
+        out = np.full((len(docs), n), -1, np.int32)
+        if not len(doc):
+            return out
+        first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
+        for k in range(n):
+            most = np.maximum.reduceat(weight, first)
+            at = np.flatnonzero((weight == most[row]) & (weight > 0))  # weights are above 0; -1 is taken
+            at = at[np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]])] if len(at) else at
+            out[doc[at], k] = term[at]
+            weight[at] = -1
+        return out
+
+
+def distinct_terms(docs: list[np.ndarray], size: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, uses) of the distinct terms of docs, by document, then term: one sort for all of them."""
+    key = np.concatenate(docs).astype(np.int64)
+    key += np.repeat(np.arange(len(docs)) * terms, size)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    uses = np.diff(np.append(first, len(key)))
+    doc, term = np.divmod(key[first], terms)
+    return doc, term, uses
+
+
+def in_groups(docs: list[np.ndarray], most: int = GROUP) -> Iterator[list[np.ndarray]]:
+    """docs in groups of about `most` ids together, so that what is worked out at once stays small."""
+    group, n = [], 0
+    for x in docs:
+        group.append(x)
+        n += len(x)
+        if n > most:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
 
 
 class Shard:
     """The inverted index of some documents: for each term its documents and weights."""
 
     def __init__(self, docs: list[np.ndarray], weights: Weights):
-        found = [weights.of(x) for x in docs]
-        size = [len(t) for t, _ in found]
-        term, weight = (np.concatenate(x) for x in zip(*found))
-        doc = np.repeat(np.arange(len(docs)), size)
+        doc, term, weight = weights.of(docs)
         order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
         count = np.bincount(term, minlength=len(weights.df))
         self.first = np.cumsum(count) - count
         self.count = count
-        self.terms = [t for t, _ in found]
+        self.terms = np.split(term, np.searchsorted(doc, np.arange(1, len(docs))))
         self.n = len(docs)
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -134,8 +163,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
         df, end = np.zeros(max(bpe.size, end_id + 1), np.int64), np.array([end_id], bpe.dtype).tobytes()
         for pdf in batches:
             ids = [bpe.packed(x) + end for x in pdf["text"]]
-            for x in ids:
-                df += np.bincount(np.frombuffer(x, bpe.dtype), minlength=len(df)) > 0
+            for group in in_groups([np.frombuffer(x, bpe.dtype) for x in ids]):
+                df += np.bincount(distinct_terms(group, np.array([len(x) for x in group]), len(df))[1], minlength=len(df))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "ids": ids, "size": [len(x) // bpe.dtype.itemsize for x in ids], "term": None, "df": None})
         seen = np.flatnonzero(df)
         yield pd.DataFrame({"doc_id": None, "ids": None, "size": None, "term": seen, "df": df[seen]})
@@ -153,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = 2048, end_id:
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            lead = np.array([weights.value.leading(np.frombuffer(x, dtype), 3) for x in pdf["ids"]], np.int32).reshape(-1, 3)
+            lead = np.concatenate([np.zeros((0, 3), np.int32), *[weights.value.leading(group, 3) for group in in_groups([np.frombuffer(x, dtype) for x in pdf["ids"]])]])
             yield pd.DataFrame({"a": lead[:, 0], "b": lead[:, 1], "c": lead[:, 2], "digest": [zlib.crc32(x) for x in pdf["ids"]], "doc_id": pdf["doc_id"].astype("Int64"), "ids": pdf["ids"]})
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

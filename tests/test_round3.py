@@ -9,3 +9,25 @@ def test_only_closed_entities_are_decoded(spark):
     pages = ["<p>and&amp To&amp;&amp;&amp</p>", "&lt;b&gt; &#39;&#x41; &copy &copy;&eacute;", "&amp;lt; &nosuch; &notit; &;", None]
     got = [r.t for r in spark.createDataFrame(list(enumerate(pages)), "i int, h string").orderBy("i").select(T.clean_markup(F.col("h")).alias("t")).collect()]
     assert got == ["and&amp To&&&amp", "<b> 'A &copy ©é", "&lt; &nosuch; &notit; &;", None]
+
+
+def test_terms_of_many_documents_are_weighed_together():
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    from palimpsest.llm import packing
+
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(0, 40, n).astype("<u2") for n in (1, 50, 3, 3, 200, 17)] + [np.array([60], "<u2"), np.zeros(0, "<u2")]
+    df = np.bincount([t for x in docs for t in set(x.tolist())], minlength=70)
+    w = packing.Weights(df, len(docs), 40.0)
+    want = {(i, t): math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / 40)) for i, x in enumerate(docs) for t, n in Counter(x.tolist()).items()}
+    doc, term, weight = w.of(docs)
+    assert list(zip(doc.tolist(), term.tolist())) == sorted(want) and np.allclose(weight, [want[k] for k in sorted(want)])
+    for x, lead in zip(docs, w.leading(docs, 3).tolist()):
+        i = next(k for k, y in enumerate(docs) if y is x)
+        best = sorted((-round(v, 12), t) for (d, t), v in want.items() if d == i and df[t] > 1)[:3]
+        assert lead == [t for _, t in best] + [-1] * (3 - len(best))
+    assert sum(map(len, packing.in_groups(docs, 60))) == len(docs)
