@@ -39,3 +39,18 @@ def test_texts_are_cut_into_runs_once(spark):
     found = T.passages_in_texts(said, pages, "e", "s", "p", "t")
     assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 1)]
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_timer_of_an_earlier_batch_forgets_nothing(spark, tmp_path):
+    from datetime import datetime
+
+    from palimpsest.streaming import jobs
+
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    schema = "person_id long, observed_at timestamp, observation_id long, weight double"
+    # two timers of one key wait: the second batch's is the earlier and fires, the first batch's expires after it
+    for rows in ([(1, day(5), 1, 1.0)], [(1, day(4, 12), 2, 3.0)], [(2, day(20), 3, 0.1)], [(1, day(21), 4, 9.0), (2, day(25), 5, 0.1)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_trigger(spark.readStream.schema(schema).parquet(source), out, state, 3.0).awaitTermination()
+    assert [tuple(r) for r in spark.read.schema(jobs.TRIGGERS).parquet(out).collect()] == [(1, day(4, 12), 3.0)]
