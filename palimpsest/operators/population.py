@@ -82,9 +82,15 @@ def pooling_constants(groups: DataFrame, component: str, by: list[str], least_gr
     return g.select(*by, component, "n_groups", "n_multi", "sigma2", k.alias("k"), "own_k", "grand_mean", "identified")
 
 
-def with_primary_artifact(people: DataFrame, obs: DataFrame, by: list[str], key: str) -> DataFrame:
+def row_kinds(obs: DataFrame, on: list[str]) -> DataFrame:
+    """(on, artifact_type, milestone_type, source_class, n, first) of obs: the number of rows of a kind and its earliest row (observed_at, observation_id, base)."""
+    first = F.min(F.struct("observed_at", "observation_id", "base"))
+    return obs.filter(F.col(on[-1]).isNotNull()).groupBy(*on, "artifact_type", "milestone_type", "source_class").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
+
+
+def with_primary_artifact(people: DataFrame, kinds: DataFrame, by: list[str], key: str) -> DataFrame:
     """people, dimensions as text and null as unknown, with primary_artifact: the one with most rows, of equals the one seen first; none without any."""
-    counted = obs.filter(F.col("artifact_type").isNotNull()).groupBy(*by, key, "artifact_type").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("observed_at", "observation_id")).alias("_first"))
+    counted = kinds.filter(F.col("artifact_type").isNotNull()).groupBy(*by, key, "artifact_type").agg(F.sum("n").alias("_n"), F.min("first").alias("_first"))
     most = counted.groupBy(*by, key).agg(F.min_by("artifact_type", F.struct(-F.col("_n"), "_first")).alias("primary_artifact"))
     dims = [d for d in CLASS_LADDER[0] if d != "primary_artifact"]
     known = people.select(*by, key, *[F.coalesce(F.col(d).cast("string"), F.lit("unknown")).alias(d) for d in dims])
@@ -115,13 +121,13 @@ def fit_population(people: DataFrame, obs: DataFrame, resolved: DataFrame, relia
     Streams: a person's sources each count once, at the sigmoid of their reliability (unknown ones at 0), unless claims are resolved,
     which then stand alone; an artifact with a milestone counts once, at its first row's base plus `adjust` times what it is rarer in the
     person's class than in the population, within [0, 1]. A person of no rows has no stream and is scored by class alone; rows of nobody
-    and of persons who aren't in people don't count. Profiles, rates and streams are written once to the shared folder, since all later steps read them.
+    and of persons who aren't in people don't count. Rows by kind, resolved claims, profiles, rates and streams are written once to the shared folder, since all later steps read them.
     """
     by = by or []
     on = [*by, key]
-    obs, resolved = (df.join(people.select(*on), on, "left_semi") for df in (obs, resolved))
-    profiles = written(with_primary_artifact(people, obs, by, key))
-    held = obs.filter(F.col("artifact_type").isNotNull()).select(*on, "artifact_type").distinct()
+    kinds, resolved = (written(df.join(people.select(*on), on, "left_semi")) for df in (row_kinds(obs, on), resolved.select(*on, "claim_id", "posterior")))
+    profiles = written(with_primary_artifact(people, kinds, by, key))
+    held = kinds.filter(F.col("artifact_type").isNotNull()).select(*on, "artifact_type").distinct()
     sizes = ladder_cells(profiles, RATE_LADDER, {"n": F.count(F.lit(1))}, by)
     rate_dims = RATE_LADDER[0]
     counted = held.join(profiles, on).groupBy(*by, *rate_dims, "artifact_type").agg(F.count(F.lit(1)).alias("_k"))
@@ -130,12 +136,12 @@ def fit_population(people: DataFrame, obs: DataFrame, resolved: DataFrame, relia
     at = climbed(profiles, sizes.withColumn("_v", F.lit(0.0)), RATE_LADDER, [], "_v", by).select(*by, *rate_dims, "taken.level", "taken.cell")
     profiles = profiles.join(at, [*by, *rate_dims])
 
-    unsettled = obs.join(resolved.select(*on).distinct(), on, "left_anti")
+    unsettled = kinds.join(resolved.select(*on).distinct(), on, "left_anti")
     sources = unsettled.select(*on, F.coalesce("source_class", F.lit("unknown")).alias("source_class")).distinct().join(F.broadcast(reliability), "source_class", "left")
     cred = sources.select(*on, F.lit(CREDIBILITY).alias("component"), F.col("source_class").alias("stream"), sigmoid(F.coalesce("weight", F.lit(0.0))).alias("y"))
     settled = resolved.select(*on, F.lit(CREDIBILITY).alias("component"), F.concat(F.lit("claim "), F.col("claim_id").cast("string")).alias("stream"), F.col("posterior").alias("y"))
     artifact, milestone = F.coalesce("artifact_type", F.lit("none")).alias("artifact_type"), F.coalesce("milestone_type", F.lit("")).alias("milestone_type")
-    made = obs.select(*on, artifact, milestone, "base", "observed_at", "observation_id").groupBy(*on, "artifact_type", "milestone_type").agg(F.min_by("base", F.struct("observed_at", "observation_id")).alias("base"))
+    made = kinds.select(*on, artifact, milestone, "first").groupBy(*on, "artifact_type", "milestone_type").agg(F.min("first")["base"].alias("base"))
     own = rates.select(*by, "level", "cell", "artifact_type", F.col("p").alias("_class"))
     whole = rates.filter(F.col("level") == len(RATE_LADDER) - 1).select(*by, "artifact_type", F.col("p").alias("_all"))
     priced = made.join(profiles.select(*on, "level", "cell"), on).join(own, [*by, "level", "cell", "artifact_type"], "left").join(whole, [*by, "artifact_type"], "left")

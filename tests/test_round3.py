@@ -54,3 +54,27 @@ def test_a_timer_of_an_earlier_batch_forgets_nothing(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         jobs.stream_trigger(spark.readStream.schema(schema).parquet(source), out, state, 3.0).awaitTermination()
     assert [tuple(r) for r in spark.read.schema(jobs.TRIGGERS).parquet(out).collect()] == [(1, day(4, 12), 3.0)]
+
+
+def test_observations_and_claims_are_read_once(spark):
+    from palimpsest.operators import population as P
+
+    reads = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(df, reads):
+        def once(batches):
+            for x in batches:
+                reads.add(len(x))
+                yield x
+
+        return df.mapInPandas(once, df.schema)
+
+    people = spark.createDataFrame([(i, "s", "solo", "t", "r") for i in range(4)], "person_id long, sector string, solo_or_team string, resource_tier string, region string")
+    obs = spark.createDataFrame([(0, "a", None, "press", 0.5, "2024-01-02", 1), (0, "a", None, "press", 0.1, "2024-01-01", 2), (1, None, "launch", None, 0.3, "2024-01-01", 3), (None, "a", None, "press", 0.9, "2024-01-01", 4), (9, "a", None, "press", 0.9, "2024-01-01", 5)], "person_id long, artifact_type string, milestone_type string, source_class string, base double, observed_at string, observation_id long")
+    resolved = spark.createDataFrame([(2, 7, 0.8)], "person_id long, claim_id long, posterior double")
+    weight = spark.createDataFrame([("press", 0.2)], "source_class string, weight double")
+    pop = P.fit_population(people, counted(obs, reads[0]), counted(resolved, reads[1]), weight)
+    rows = {(r.person_id, r.component, r.stream): round(r.y, 3) for r in pop.streams.collect()}
+    assert rows == {(0, "credibility", "press"): 0.55, (1, "credibility", "unknown"): 0.5, (2, "credibility", "claim 7"): 0.8, (0, "build", "a"): 0.1, (1, "build", "none/launch"): 0.3}
+    assert len(pop.constants.collect()) == 2 and len(P.score_population(pop).collect()) == 8
+    assert [x.value for x in reads] == [5, 1]
