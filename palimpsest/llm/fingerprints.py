@@ -3,21 +3,23 @@
 A term is a pair of neighbouring words; its weight (1 to 4) grows with its length, since long terms
 tell more. The hash of a term votes with its weight on each of 128 bits, for or against; a bit is
 set where the votes in favour outweigh the rest. Votes of 4 bits share one long integer while terms
-are added up (16 bits each, for at most 16,000 terms at a time), so a document costs 32 sums.
+are added up (16 bits each, for at most 8,000 terms at a time: the highest votes stay within a signed long),
+so a document costs 32 sums.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, documents
+from palimpsest.llm.common import SENT, cut, documents
 
 BITS = 128
-CHUNK = 16_000
+CHUNK = 8_000
 LANES = 0x0001000100010001
 BLOCKS, BLOCK_BITS = 8, 16
 
@@ -81,10 +83,13 @@ def search(queries: DataFrame, index: DataFrame, radius: int = 6) -> DataFrame:
 
     Both have columns hi and lo. With 8 blocks of 16 bits, two fingerprints within 6 bits have 2
     equal blocks; a table for each choice of 2 blocks, keyed by them, holds every answer. Rows with
-    a null half match nothing.
+    a null half match nothing. The keys of the queries are sent to every task if there are SENT at most;
+    beyond, both sides are shuffled: sizes estimated before the keys are dealt out are far too small.
     """
     known = lambda df: df.select("hi", "lo").filter("hi IS NOT NULL AND lo IS NOT NULL").distinct()
-    left = known(queries).select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo")).withColumn("key", F.explode(block_keys("q_hi", "q_lo", radius)))
+    asked = cut(known(queries), "queries").select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"))
+    few = asked.count() * comb(BLOCKS, BLOCKS - radius) <= SENT
+    left = asked.withColumn("key", F.explode(block_keys("q_hi", "q_lo", radius))).hint("broadcast" if few else "merge")
     right = known(index).withColumn("key", F.explode(block_keys("hi", "lo", radius)))
     differ = F.bit_count(F.col("q_hi").bitwiseXOR(F.col("hi"))) + F.bit_count(F.col("q_lo").bitwiseXOR(F.col("lo")))
     return left.join(right, "key").withColumn("differ", differ.cast("int")).filter(F.col("differ") <= radius).drop("key").distinct()
