@@ -37,6 +37,8 @@ from palimpsest.llm.rolling import INVERSE, mix, powers, prefix, spans
 
 #: log2 of a filter's bits: enough for 16 bits a key, within these bounds.
 FILTER_BITS = (24, 27)
+#: Words of a filter that are put together and sent as one row.
+PART = 1 << 8
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 SEGMENT = 1 << 22
@@ -113,7 +115,7 @@ def _bits(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _filter(keys: DataFrame, column: str) -> tuple[int, np.ndarray]:
-    """(log2 of its bits, words): a filter of bounded size over a column of hashes, built by the tasks and ORed word by word."""
+    """(log2 of its bits, words): a filter of bounded size over a column of hashes, built by the tasks. Its parts are put together by tasks as well, so the driver gets the bits alone, 16 MB at most."""
     keys, path = held(keys.select(column), "filter-keys")
     size = min(FILTER_BITS[1], max(FILTER_BITS[0], (16 * keys.count()).bit_length()))
 
@@ -124,13 +126,23 @@ def _filter(keys: DataFrame, column: str) -> tuple[int, np.ndarray]:
                 marks[b] = True
         words = np.packbits(marks, bitorder="little").view("<u4")
         at = np.flatnonzero(words)
-        yield pd.DataFrame({"word": at, "bit": words[at].astype(np.int64)})
+        yield pd.DataFrame({"part": at // PART, "word": at % PART, "bit": words[at].astype(np.int64)})
 
-    words = keys.mapInPandas(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    def together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            part, word, bit = (pdf[c].to_numpy() for c in ("part", "word", "bit"))
+            for p in np.unique(part).tolist():
+                np.bitwise_or.at(parts.setdefault(p, np.zeros(PART, "<u4")), word[part == p], bit[part == p].astype("<u4"))
+        yield pd.DataFrame({"part": np.array(list(parts), np.int64), "bits": [x.tobytes() for x in parts.values()]})
+
+    parts = keys.mapInPandas(run, "part long, word int, bit long").repartition("part").mapInPandas(together, "part long, bits binary").toArrow()
     remove(keys.sparkSession, path)
-    out = np.zeros(1 << (size - 5), np.uint32)
-    out[words["word"]] = words["bits"]
-    return size, out
+    out = np.zeros(((1 << (size - 5)) // PART, PART), np.uint32)
+    for batch in parts.to_batches():
+        for p, bits in zip(batch["part"].to_pylist(), batch["bits"]):
+            out[p] = np.frombuffer(bits.as_buffer(), "<u4")
+    return size, out.ravel()
 
 
 def _passes(marks: tuple[int, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -274,6 +286,8 @@ def repeated_windows(texts: DataFrame, units: list[Unit]) -> tuple[DataFrame, li
 
     fn, schema = _each(units, windows, {"high": "long", "low": "long", "unit": "int", "first": "int", "window": "long", "occ": "long"})
     single, single_at = held(texts.mapInPandas(fn, schema), "windows")
+    known.destroy()
+    undecided.destroy()
     more = single.join(_repeated(single, "window"), "window", "left_semi").select("high", "low", "unit", "first", F.col("first").alias("last"))
     sure = found.select("outer", "high", "low", "unit", "first", "last").join(kinds.filter("a <> b").select("outer"), "outer", "left_semi").drop("outer")
     return sure.unionByName(more), [found_at, kinds_at, single_at]
